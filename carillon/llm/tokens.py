@@ -20,9 +20,11 @@ import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs one worker a core
 
-#: Characters of cached words at which a worker's cache starts anew.
-CACHE_CHARS = 5_000_000
+#: Characters of cached words at which a worker's cache starts a new generation.
+CACHE_CHARS = 4_000_000
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
+#: A letter run and the ASCII signs behind it: two words for either pre-tokenizer.
+_TAILED = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]+)").fullmatch
 #: White space before a space, or a space in front: such texts are cut by the slower rule.
 _RUN = r"[\t\n\v\f\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] |^ "
 
@@ -41,21 +43,52 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.keep_space = self.tokenizer.normalizer is None if keep_space is None else keep_space
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
         self.held = 0
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [array("I", x.ids).tobytes() for x in found]
+        found: list[bytes] = []
+        for i in range(0, len(words), 4000):  # the library's results are large
+            coded = self.tokenizer.encode_batch_fast(words[i : i + 4000], add_special_tokens=False)
+            found += [array("I", x.ids).tobytes() for x in coded]
+        return found
 
     def _of(self, words: list[str]) -> list[bytes]:
+        """Two generations: a word that was used since the last turnover stays."""
         if self.held > CACHE_CHARS:
-            self.cache.clear()
-            self.held = 0
-        missing = [w for w in words if w not in self.cache]
-        if missing:
-            self.held += sum(map(len, missing)) + 4 * len(missing)
-            self.cache.update(zip(missing, self._encode_words([" " + w for w in missing] if self.keep_space else missing), strict=True))
-        return [self.cache[w] for w in words]
+            self.older, self.cache, self.held = self.cache, {}, 0
+        cache, older, tails = self.cache, self.older, self.tails
+        fresh: dict[str, None] = {}
+        parted: list[tuple[str, str, str]] = []
+        for w in words:
+            if w in cache:
+                continue
+            if (known := older.get(w)) is not None:
+                cache[w] = known
+                self.held += len(w) + 4
+            elif (m := _TAILED(w)) is not None:  # no token holds letters and what follows them
+                stem, tail = m.groups()
+                parted.append((w, stem, tail))
+                if stem not in cache:
+                    if (known := older.get(stem)) is not None:
+                        cache[stem] = known
+                    else:
+                        fresh[stem] = None
+                    self.held += len(stem) + 4
+            else:
+                fresh[w] = None
+                self.held += len(w) + 4
+        missing = list(fresh)
+        cache.update(zip(missing, self._encode_words([" " + w for w in missing] if self.keep_space else missing), strict=True))
+        for w, stem, tail in parted:
+            if tail not in tails:
+                if len(tails) > 20_000:
+                    tails.clear()
+                tails[tail] = self._encode_words([tail])[0]
+            cache[w] = cache[stem] + tails[tail]
+            self.held += len(w) + 4
+        return [cache[w] for w in words]
 
     def encode(self, texts: pa.Array) -> pa.ListArray:
         """texts: strings without nulls."""
@@ -111,7 +144,7 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def text_groups(texts: pa.Array, chars: int = 4_000_000):
+def text_groups(texts: pa.Array, chars: int = 8_000_000):
     """Yield (start, stop) of runs of rows that hold about so many bytes."""
     sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
     start = 0
