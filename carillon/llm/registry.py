@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dup, packing, pii, quality, templates, token_files
+from . import exact_topk, ivf_pq, near_dup, packing, pii, quality, templates, token_files
 from .common import table
 
 
@@ -29,6 +29,14 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, quality.learn_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.exact_top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op6_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ivf_pq.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
@@ -45,6 +53,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_line_templates": op2_line_templates,
     "op3_quality": op3_quality,
+    "op4_exact_top_k": op4_exact_top_k,
+    "op6_ivf_pq": op6_ivf_pq,
     "op8_pii": op8_pii,
     "op9_near_dup": op9_near_dup,
     "op10_token_files": op10_token_files,
