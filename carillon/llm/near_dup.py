@@ -60,7 +60,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of every text, and where each text's begin (and end)."""
-    words = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string())))
+    texts = pc.ascii_lower(texts.cast(pa.large_string()))
+    for space in "\t\n\v\f\r":
+        texts = pc.replace_substring(texts, space, " ")
+    words = pc.split_pattern(texts, " ")
     offsets = words.offsets.to_numpy().astype(np.int64)
     coded = words.flatten().dictionary_encode()
     offsets -= offsets[0]
