@@ -54,7 +54,7 @@ def _prepared(docs: DataFrame) -> DataFrame:
         "word_list": "filter(split(body, '[ \\\\t-\\\\r]+'), w -> w != '')",
         "line_list": "filter(split(body, '\\n'), l -> l != '')",
         "n_space": "length(regexp_replace(body, '[^ \\\\t-\\\\r]+', ''))",
-        "signs": "regexp_replace(body, '[^!#$%&*|~^<>{}@+=_\\\\\\\\]+', '')",
+        "signs": "regexp_replace(body, '[^!#$%&*|~^<>{}]+', '')",
         "uppers": "regexp_replace(body, '[^\\\\p{Lu}]+', '')",
         "stops": "regexp_replace(body, '[^.,]+', '')",
         "digits": "regexp_replace(body, '[^0-9]+', '')",
