@@ -40,19 +40,18 @@ def _identity(docs: DataFrame) -> list[Column]:
     ]
 
 
-def _masked(text: str) -> str:
-    """SQL: the lines of a text with single spaces and every word with a digit as <*>."""
-    words = "trim(regexp_replace(l, '[ \\\\t\\\\x0B\\\\f\\\\r]+', ' '))"
-    return f"transform(split({text}, '\\n'), l -> regexp_replace({words}, '(?<![^ ])[^ 0-9]*+[0-9][^ ]*+', '<*>'))"
-
-
-def _leaf(line: str, depth: int) -> Column:
-    words = F.split(F.col(line), " ")
-    return F.xxhash64(F.size(words), F.concat_ws(" ", F.slice(words, 1, depth)))
+#: SQL: the lines of ``text`` with single spaces and words with a digit as <*>, each with its
+#: words.  Most lines have neither odd spaces nor digits and skip both replacements.
+_LINES = (
+    r"transform(transform(split(text, '\\n'), "
+    r"l -> trim(if(contains(l, '  ') OR l RLIKE '[\\t\\x0B\\f\\r]', regexp_replace(l, '[ \\t\\x0B\\f\\r]+', ' '), l))), "
+    r"l -> if(l RLIKE '[0-9]', regexp_replace(l, '(?<![^ ])[^ 0-9]*+[0-9][^ ]*+', '<*>'), l))"
+)
+_WITH_WORDS = "transform({}, l -> struct(l AS line, split(l, ' ') AS words))"
 
 
-def _long_enough(line: str, min_words: int) -> Column:
-    return F.size(F.split(F.col(line), " ")) >= min_words
+def _leaf(depth: int) -> Column:
+    return F.xxhash64(F.size("l.words"), F.concat_ws(" ", F.slice("l.words", 1, depth)))
 
 
 def recurring_lines(
@@ -63,27 +62,28 @@ def recurring_lines(
     similarity: float = SIMILARITY,
 ) -> DataFrame:
     """__id, __key, pos: the lines of ``docs(doc_id, text)`` to drop."""
-    known = docs.filter(F.col("text").isNotNull()).select(*_identity(docs), F.expr(_masked("text")).alias("lines"))
-    places = known.select(_ID, _KEY, F.posexplode("lines").alias("pos", "line")).filter(_long_enough("line", min_words))
-    spots = materialise(places.select(_ID, _KEY, "pos", _leaf("line", depth).alias("leaf"), F.xxhash64("line").alias("line_key")), "line-spots")
+    known = docs.filter(F.col("text").isNotNull()).select(*_identity(docs), "text")
+    long_enough = F.size("l.words") >= min_words
+    # the outer forms: the others compute the array once more, to filter on its size
+    places = known.select(_ID, _KEY, F.posexplode_outer(F.expr(_WITH_WORDS.format(_LINES))).alias("pos", "l")).filter(long_enough)
+    spots = materialise(places.select(_ID, _KEY, "pos", _leaf(depth).alias("leaf"), F.xxhash64("l.line").alias("line_key")), "line-spots")
 
     # leaves that enough documents reach (counted by line, so none is missed)
     by_line = spots.groupBy("leaf", "line_key", _ID, _KEY).agg(F.lit(1).alias("one")).groupBy("leaf", "line_key").agg(F.count("*").alias("docs"))
     leaves = by_line.groupBy("leaf").agg(F.sum("docs").alias("reached"), F.count("*").alias("variants")).filter(F.col("reached") >= min_docs)
 
-    distinct = known.select(F.explode(F.array_distinct("lines")).alias("line")).filter(_long_enough("line", min_words))
+    distinct = known.select(F.explode_outer(F.expr(_WITH_WORDS.format(f"array_distinct({_LINES})"))).alias("l")).filter(long_enough)
     lines = (
-        distinct.withColumn("leaf", _leaf("line", depth))
+        distinct.select(_leaf(depth).alias("leaf"), F.xxhash64("l.line").alias("line_key"), F.col("l.line").alias("line"))
         .join(leaves, "leaf")
-        .groupBy("leaf", "line", "variants")
+        .groupBy("leaf", "line_key", "line", "variants")
         .agg(F.count("*").alias("docs"))
     )
     lines = materialise(lines, "line-variants")
-    alone = lines.filter((F.col("variants") == 1) & (F.col("docs") >= min_docs)).select("leaf", F.xxhash64("line").alias("line_key"), F.xxhash64("leaf", "line").alias("template"))
+    alone = lines.filter((F.col("variants") == 1) & (F.col("docs") >= min_docs)).select("leaf", "line_key", F.xxhash64("leaf", "line").alias("template"))
 
     words = (
         lines.filter(F.col("variants") > 1)
-        .withColumn("line_key", F.xxhash64("line"))
         .select("leaf", "line_key", "docs", F.posexplode(F.split("line", " ")).alias("at", "word"))
     )
     fixed = words.groupBy("leaf", "at", "word").agg(F.sum("docs").alias("n")).filter(F.col("n") >= min_docs)
