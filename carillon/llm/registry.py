@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_topk, ivf_pq, near_dup, packing, pii, quality, templates, token_files
+from . import exact_topk, ivf_pq, near_dup, packing, pieces, pii, quality, templates, token_files
 from .common import table
 
 
@@ -33,6 +33,10 @@ def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.exact_top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_digest(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op6_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ivf_pq.nearest_neighbours(table(spark, sf_dir, "embeddings"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_templates": op2_line_templates,
     "op3_quality": op3_quality,
     "op4_exact_top_k": op4_exact_top_k,
+    "op5_pieces": op5_pieces,
     "op6_ivf_pq": op6_ivf_pq,
     "op8_pii": op8_pii,
     "op9_near_dup": op9_near_dup,

@@ -36,12 +36,18 @@ class WordEncoder:
     encoded with it; otherwise the tokenizer drops white space.
     """
 
+    #: Cuts a word in two that share no token, or gives None.
+    apart = staticmethod(_TAILED)
+
     def __init__(self, path: str, keep_space: bool | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.keep_space = self.tokenizer.normalizer is None if keep_space is None else keep_space
+        self.start(self.tokenizer.normalizer is None if keep_space is None else keep_space)
+
+    def start(self, keep_space: bool) -> None:
+        self.keep_space = keep_space
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
@@ -54,6 +60,9 @@ class WordEncoder:
             found += [array("I", x.ids).tobytes() for x in coded]
         return found
 
+    def _encode_heads(self, words: list[str]) -> list[bytes]:
+        return self._encode_words(words)
+
     def _of(self, words: list[str]) -> list[bytes]:
         """Two generations: a word that was used since the last turnover stays."""
         if self.held > CACHE_CHARS:
@@ -67,7 +76,7 @@ class WordEncoder:
             if (known := older.get(w)) is not None:
                 cache[w] = known
                 self.held += len(w) + 4
-            elif (m := _TAILED(w)) is not None:  # no token holds letters and what follows them
+            elif (m := self.apart(w)) is not None:  # no token holds letters and what follows them
                 stem, tail = m.groups()
                 parted.append((w, stem, tail))
                 if stem not in cache:
@@ -124,7 +133,7 @@ class WordEncoder:
         if self.keep_space:  # the first word of a text has no space before it
             first = starts[:-1]
             heads, back = np.unique(at[first], return_inverse=True)
-            pieces += self._encode_words([distinct[i] for i in heads])
+            pieces += self._encode_heads([distinct[i] for i in heads])
             at[first] = len(distinct) + back
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
         store = np.frombuffer(b"".join(pieces), np.uint32)
