@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_topk, ivf_pq, near_dup, packing, pieces, pii, quality, templates, token_files
+from . import exact_topk, ivf_pq, near_dup, packing, pieces, pii, quality, templates, token_files, warc
 from .common import table
 
 
@@ -41,6 +41,11 @@ def op6_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ivf_pq.nearest_neighbours(table(spark, sf_dir, "embeddings"))
 
 
+def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return warc.fixity(pages, warc.damaged_replica(pages))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_top_k": op4_exact_top_k,
     "op5_pieces": op5_pieces,
     "op6_ivf_pq": op6_ivf_pq,
+    "op7_warc_fixity": op7_warc_fixity,
     "op8_pii": op8_pii,
     "op9_near_dup": op9_near_dup,
     "op10_token_files": op10_token_files,
@@ -67,4 +73,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_line_templates": templates.DIGEST_SQL,
+    "op7_warc_fixity": warc.FIXITY_SQL,
 }
