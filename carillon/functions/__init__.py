@@ -1 +1,26 @@
-"""See the package docstring."""
+"""Column helpers that every operator shares."""
+
+from .columns import (
+    amplitude_distance,
+    close_to,
+    cosine_window,
+    dbfs,
+    frequency_change,
+    frequency_distance,
+    is_finite,
+    le_tol,
+    linear_amplitude,
+    linear_power,
+    mad,
+    ratio,
+    robust_slope,
+    rounded,
+    short_id,
+    track_unit,
+    variation,
+)
+
+__all__ = [
+    "amplitude_distance", "close_to", "cosine_window", "dbfs", "frequency_change", "frequency_distance", "is_finite", "le_tol", "linear_amplitude",
+    "linear_power", "mad", "ratio", "robust_slope", "rounded", "short_id", "track_unit", "variation",
+]

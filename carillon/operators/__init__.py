@@ -1 +1 @@
-"""See the package docstring."""
+"""Analysis operators: DataFrames in, lazy DataFrames out."""

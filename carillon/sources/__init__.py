@@ -1 +1 @@
-"""See the package docstring."""
+"""Where signals come from: tables, WAV files, generators, experiment definitions."""
