@@ -240,8 +240,7 @@ query(
     "event_frames",
     lambda s, d: framed_levels(s.read.parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")), "2 days", "1 day").withColumn("start", F.unix_seconds("start")),
     f"""WITH w AS (SELECT epoch_us(ts)//1000000 AS s, event_type, value FROM events), e AS (SELECT (s//86400 - k)*86400 AS start, event_type, value FROM w, range(0, 2) AS t(k))
-    SELECT start, event_type, count(*) AS n, {r('avg(value)', 'mean', 4)}, {r('max(value)', 'peak', 4)} FROM e GROUP BY 1, 2""",
-    digits=4,
+    SELECT start, event_type, count(*) AS n, {r('avg(value)', 'mean')}, {r('max(value)', 'peak')} FROM e GROUP BY 1, 2""",
 )
 query(
     "event_sessions",
