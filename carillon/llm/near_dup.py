@@ -8,12 +8,14 @@ likelihood of J to the power of a band's width whatever the size of the set.
 
 1. Equal sets are one class; a class goes on as one node.
 2. Nodes meet in the buckets of banded registers.  A bucket is never paired out: each node
-   is compared with the bucket's smallest node, by the collision-corrected estimate from
-   all registers, and the best of these pairs is verified on the full sets of shingles.
+   is compared with one node: of the smallest nodes of its buckets the one that it meets most
+   often.  If the collision-corrected estimate from all registers allows it, the pair is
+   verified on the full sets of shingles.
 3. What that leaves apart is searched again: buckets whose nodes lie in different components
-   are cut into blocks, blocks of one bucket are compared with each other in matrices, and
-   pairs of different components whose estimate is not clearly below the threshold are
-   verified.  A link inside a component changes nothing, so no group is paired out.
+   are cut into blocks of bounded size, and blocks of one bucket are compared with each other
+   in matrices.  A pair is taken up in the first band that it shares, if it is in different
+   components and its estimate is not clearly below the threshold; the full sets decide, and
+   only links that join two components leave the task.
 
 With 42 bands of 6 registers a pair at similarity 0.8 shares no bucket with likelihood 3e-6.
 
@@ -222,24 +224,52 @@ def _estimates(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(estimate(equal))], ["a", "b", "likeness"])
 
 
-def _compare_blocks(floor: float):
-    """Pairs of two blocks of a bucket that lie in different components and may reach the threshold."""
+def _link_blocks(floor: float, width: int, percent: int):
+    """Confirmed links between two blocks of a bucket, as few as join what they join.
+
+    A pair is looked at in the first band that it shares, only if its estimate allows a link and
+    its nodes are not joined yet; then the full sets decide.
+    """
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                x, y = row["x"], row["y"]
-                xs, ys = (np.stack([np.frombuffer(m["registers"], np.uint16) for m in g]) for g in (x, y))
-                a, b = (np.array([m["node"] for m in g], np.int64) for g in (x, y))
-                ca, cb = (np.array([m["component"] for m in g], np.int64) for g in (x, y))
-                found = []
+                same_block = row["bx"] == row["by"]
+                x = row["x"]
+                members = x if same_block else x + row["y"]
+                marks = np.stack([np.frombuffer(m["registers"], np.uint16) for m in members])
+                keys = band_keys(marks)
+                own = int((keys[0] == row["key"]).argmax())
+                parent = {m["component"]: m["component"] for m in members}
+
+                def root(c, parent=parent):
+                    while parent[c] != c:
+                        parent[c] = parent[parent[c]]
+                        c = parent[c]
+                    return c
+
+                pairs = []
                 for i in range(len(x)):
-                    likely = estimate((ys == xs[i]).mean(1)) >= floor
-                    for j in np.flatnonzero(likely & (cb != ca[i])):
-                        found.append((min(a[i], b[j]), max(a[i], b[j])))
+                    after = i + 1 if same_block else len(x)
+                    likeness = estimate((marks[after:] == marks[i]).mean(1))
+                    fresh = ~(keys[after:, :own] == keys[i, :own]).any(1)
+                    pairs += [(-likeness[j], i, after + int(j)) for j in np.flatnonzero((likeness >= floor) & fresh)]
+                apart = sorted(p for p in pairs if members[p[1]]["component"] != members[p[2]]["component"])
+                if not apart:
+                    continue
+                flat, bounds = shingle_sets(pa.array([m["text"] for m in members], pa.string()), width)
+                found = []
+                for _, i, j in apart:
+                    one, two = root(members[i]["component"]), root(members[j]["component"])
+                    if one == two:
+                        continue
+                    u, v = flat[bounds[i] : bounds[i + 1]], flat[bounds[j] : bounds[j + 1]]
+                    both = len(np.intersect1d(u, v, assume_unique=True))
+                    if 100 * both >= percent * (len(u) + len(v) - both):
+                        parent[max(one, two)] = min(one, two)
+                        found.append((members[i]["node"], members[j]["node"]))
                 if found:
-                    pairs = np.unique(np.array(found, np.int64), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
 
@@ -285,30 +315,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     members = materialise(bands.join(buckets, "key").select("key", "node", "least", "size"), "near-members")
 
     signs = classes.select("node", "registers")
-    stars = members.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    stars = (
+    # of the smallest nodes of its buckets each node takes the one that it meets most often
+    met = members.filter("node <> least").groupBy("least", "node").agg(F.count("*").alias("times"))
+    stars = met.groupBy(F.col("node").alias("b")).agg(F.max(F.struct("times", (-F.col("least")).alias("a"))).alias("top")).select((-F.col("top.a")).alias("a"), "b")
+    likely = (
         stars.join(signs.toDF("b", "rb"), "b")
         .join(signs.toDF("a", "ra"), "a")
         .select("a", "b", "ra", "rb")
         .mapInArrow(_estimates, "a long, b long, likeness double")
     )
     floor = estimate_floor(percent / 100)
-    best = stars.filter(F.col("likeness") >= floor).groupBy("b").agg(F.max(F.struct("likeness", (-F.col("a")).alias("a"))).alias("top"))
-    first = materialise(best.select((-F.col("top.a")).alias("a"), "b"), "near-stars")
+    first = materialise(likely.filter(F.col("likeness") >= floor).select("a", "b"), "near-stars")
 
     # texts of nodes that share a bucket with another; a node's own text is that of any row with its set
     inside = members.select("node").distinct()
     held = materialise(rows.join(inside, rows["id"] == inside["node"], "left_semi").groupBy("id").agg(F.first("text").alias("text")), "near-texts")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        return (
-            pairs.join(held.toDF("b", "tb"), "b")
-            .join(held.toDF("a", "ta"), "a")
-            .select("a", "b", "ta", "tb")
-            .mapInArrow(_confirm(width, percent), "a long, b long")
-        )
-
-    links = materialise(verified(first), "near-links")
+    links = materialise(
+        first.join(held.toDF("b", "tb"), "b").join(held.toDF("a", "ta"), "a").select("a", "b", "ta", "tb").mapInArrow(_confirm(width, percent), "a long, b long"),
+        "near-links",
+    )
     joined = components(links, "near-components")
     placed = materialise(
         members.join(joined.withColumnRenamed("component", "c"), "node", "left").select("key", "node", "size", F.coalesce("c", "node").alias("component")),
@@ -318,19 +344,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     blocks = (
         placed.join(apart, "key")
         .join(signs, "node")
+        .join(held.withColumnRenamed("id", "node"), "node")
         .withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK)))
         .groupBy("key", "block", "size")
-        .agg(F.collect_list(F.struct("node", "component", "registers")).alias("members"))
+        .agg(F.collect_list(F.struct("node", "component", "registers", "text")).alias("members"))
     )
     blocks = materialise(blocks, "near-blocks")
     tiles = (
         blocks.select("key", F.col("block").alias("bx"), F.col("members").alias("x"))
         .join(blocks.select("key", F.col("block").alias("by"), F.col("members").alias("y")), "key")
         .filter("bx <= by")
-        .select("x", "y")
+        .select("key", "bx", "by", "x", F.when(F.col("bx") < F.col("by"), F.col("y")).alias("y"))
     )
-    later = materialise(tiles.mapInArrow(_compare_blocks(floor), "a long, b long").distinct(), "near-later")
-    final = components(links.unionByName(verified(later)), "near-final")
+    later = materialise(tiles.mapInArrow(_link_blocks(floor, width, percent), "a long, b long"), "near-later")
+    final = components(links.unionByName(later), "near-final")
     node_component = materialise(
         classes.select("s1", "s2", "node").join(final, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component")),
         "near-nodes",
