@@ -24,6 +24,9 @@ from .vectors import matrix, spread, top, usable
 
 QUERY_BLOCK, SHARD = 1024, 8192
 _EXACT = float(1 << 53)
+#: Beyond any product of two vectors of doubles.
+_DIGITS = 640
+_WIDE = 10 ** (_DIGITS - 1)
 
 
 def _blob(ids: pa.Array, rows: np.ndarray) -> dict:
@@ -85,7 +88,8 @@ def _tile(k: int):
                             found.append(ci[others[j]])
                             scores.append(int(own[j]))
                 clipped = [min(max(s, -(1 << 63)), (1 << 63) - 1) for s in scores]
-                exact = [str(s) if s != t else None for s, t in zip(scores, clipped, strict=True)]
+                # text that sorts as the exact scores do, the highest first
+                exact = [str(_WIDE - s).zfill(_DIGITS) if abs(s) >= (1 << 63) - 1 else None for s in scores]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(queries, pa.int64()), pa.array(found, pa.int64()), pa.array(clipped, pa.int64()), pa.array(exact, pa.string()), pa.array([row["block"]] * len(found), pa.int64())],
                     ["query_id", "vec_id", "score", "exact", "part"],
@@ -108,6 +112,4 @@ def exact_top_k(vectors: DataFrame, every: int = 50, k: int = 5, query_block: in
         .select("dim", "block", "q_ids", "q_values", "ids", "values")
     )
     partial = tiles.mapInArrow(_tile(k), "query_id long, vec_id long, score long, exact string, part long")
-    # beyond 64 bits the decimal text decides
-    wide = F.coalesce(F.col("exact").cast("decimal(38,0)"), F.col("score").cast("decimal(38,0)"))
-    return top(partial, k, [-wide], parts=int(most))
+    return top(partial, k, [F.bitwise_not("score"), F.col("exact")], parts=int(most))
