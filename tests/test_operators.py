@@ -161,3 +161,31 @@ def test_stream_frames_equal_the_table(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("levels").collect())) == sorted(map(tuple, framed_levels(table).collect()))
+
+
+def test_experiment_from_wav_files(spark, tmp_path, capsys):
+    from carillon import cli, report
+    from carillon.plans.experiment import STAGES
+
+    rate, t = 4096, np.arange(4096) / 4096
+    args = []
+    for k, label in enumerate(("pp", "p", "mf", "f", "ff")):
+        x = 0.1 * (k + 1) * (np.exp(-t / 0.6) * np.sin(2 * np.pi * 500.3 * t) + 0.3 * np.exp(-t / 0.4) * np.sin(2 * np.pi * 1210 * t))
+        (tmp_path / f"{label}.wav").write_bytes(wav.encode(x, rate, 16))
+        args.append(f"{label}={tmp_path}/{label}.wav")
+    (tmp_path / "c.toml").write_text("[pipeline]\nframe = 256\nhop = 128\npeak_height = 0.004\n")
+    common = [*args, "--config", f"{tmp_path}/c.toml", "--folder", f"{tmp_path}/kept"]
+    assert cli.run(["analyze", *common]) == 0
+    counts = __import__("json").loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert counts["load"] == 5 and counts["candidates"] >= 10 and counts["chains"] >= 10 and counts["hypotheses"] >= 2
+    assert cli.run(["report", *common, "--out", f"{tmp_path}/r.md"]) == 0
+    text = (tmp_path / "r.md").read_text()
+    assert report.problems(text) == [] and "## Hypotheses" in text
+    assert cli.run(["analyze", f"mf={tmp_path}/none.wav"]) == 3 and cli.run(["analyze", "loud=x.wav"]) == 2
+    assert cli.run(["inspect"]) == 0 and cli.run(["version"]) == 0 and len(STAGES) == 20
+
+
+def test_synthetic_validation_passes(spark):
+    from carillon import cli
+
+    assert [f["status"] for f in cli.validate(spark)] == ["passed", "passed"]
