@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,3 +48,22 @@ def trial_quantiles(errors: DataFrame, by: list[str], minimum_pass: float = 0.8)
 def confusion(expected: DataFrame, found: DataFrame, on: list[str]) -> DataFrame:
     """Counts of expected against found status."""
     return expected.join(found, on, "full").groupBy("expected_status", "found_status").agg(F.count("*").alias("n"))
+
+
+def match_tracks(components: DataFrame, tracks: DataFrame, by: str = "scenario", limit_hz: float = 2.0) -> DataFrame:
+    """Tracks (by, track_id, frequency_hz) given to components (by, component_id, f0): nearest pairs first, each once."""
+    both = components.select(by, "component_id", "f0").join(tracks.select(by, "track_id", "frequency_hz"), by)
+    near = both.withColumn("apart_hz", F.abs(F.col("f0") - F.col("frequency_hz"))).filter(F.col("apart_hz") <= limit_hz)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        taken_c, taken_t, keep = set(), set(), []
+        for i, row in pdf.sort_values(["apart_hz", "component_id", "track_id"]).iterrows():
+            if row.component_id not in taken_c and row.track_id not in taken_t:
+                taken_c.add(row.component_id)
+                taken_t.add(row.track_id)
+                keep.append(i)
+        return pdf.loc[keep, [by, "component_id", "track_id", "apart_hz"]]
+
+    kind = dict(near.dtypes)
+    found = near.groupBy(by).applyInPandas(run, f"{by} {kind[by]}, component_id {kind['component_id']}, track_id {kind['track_id']}, apart_hz double")
+    return components.select(by, "component_id").join(found, [by, "component_id"], "left").withColumn("status", F.when(F.col("track_id").isNull(), "missed").otherwise("matched"))

@@ -254,3 +254,47 @@ query(
     lambda s, d: export.manifest({"peaks": spectrum.peaks(bins(s, d)).select("recording_id", "k"), "candidates": candidates_view(s, d).select("candidate_id")}).select("table", "row_count"),
     f"WITH {PEAKS_SQL} SELECT 'peaks' AS \"table\", count(*) AS row_count FROM peaks UNION ALL SELECT 'candidates', count(*) FROM part",
 )
+
+
+# ---- views and the whole experiment -------------------------------------------------
+
+from ..operators import views  # noqa: E402
+from . import association_queries as aq  # noqa: E402
+from . import modal_queries as mq  # noqa: E402
+from .experiment import Settings, analyze  # noqa: E402
+
+
+def experiment_of(s, d):
+    return analyze(recordings(s, d).select("recording_id", "label_idx", "samples"), Settings(rate=64, frame=16, hop=8, track_tolerance=0.3, gate_hz=0.02, maximum_cost=1.0))
+
+
+query("experiment_regimes", lambda s, d: experiment_of(s, d).table("regimes"))
+query("experiment_comparison", lambda s, d: experiment_of(s, d).table("comparison"))
+query(
+    "view_waveform",
+    lambda s, d: views.waveform(signals(s, d), 16),
+    f"""WITH {SIG_SQL}, b AS (SELECT recording_id, n, x, row_number() OVER (PARTITION BY recording_id, n // 8 ORDER BY x, n) lo, row_number() OVER (PARTITION BY recording_id, n // 8 ORDER BY x DESC, n) hi FROM sig) SELECT recording_id, n, {r('x', 'x')} FROM b WHERE lo = 1 OR hi = 1""",
+)
+query(
+    "view_associations",
+    lambda s, d: views.associations(aq.association.mutual_best(costs(s, d))),
+    f"WITH {BEST_SQL} SELECT pair, lower_candidate_id, higher_candidate_id, {r('cost', 'cost')}, (pair + u.i)::INTEGER AS label_idx, {r('CASE u.i WHEN 0 THEN lower_hz ELSE higher_hz END', 'frequency_hz')} FROM best, (VALUES (0), (1)) AS u(i)",
+)
+query(
+    "view_metric_lines",
+    lambda s, d: views.metric_lines(comparison.aggregate(metric_table(s, d))),
+    f"WITH {AGG_SQL} SELECT metric, label_idx, {r('med', 'median')}, {r('med-mad', 'low')}, {r('med+mad', 'high')} FROM ag",
+)
+query(
+    "view_lag_curve",
+    lambda s, d: views.lag_curve(mq.energy.lag_correlations(mq.aligned(s, d), mq.LAGS), 0.5),
+    f"WITH {mq.LAG_SQL} SELECT source_a, source_b, {r('lag*0.5', 'lag_s')}, {r('r', 'r')} FROM lg",
+)
+query(
+    "track_matching",
+    lambda s, d: validation.match_tracks(
+        s.createDataFrame(list(TRUTH), "scenario string, component_id int, f0 double, tau_s double"),
+        s.createDataFrame([("single", 0, 500.4), ("two_modes", 0, 220.9), ("two_modes", 1, 352.0), ("close_pair", 0, 441.6), ("close_pair", 1, 441.8)], "scenario string, track_id int, frequency_hz double"),
+    ),
+)
+query("synthetic_pink_noise", lambda s, d: synthetic.pink_noise(s, 1.0, 1024, 0.1, 7))

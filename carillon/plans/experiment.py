@@ -1,7 +1,8 @@
 """The whole analysis of an experiment as one graph of lazy tables.
 
 Nothing runs until a table is asked for; tables that several later ones need are written to
-the folder given and read back, so a rerun with the same settings takes up what is there.
+the folder given and read back, so a rerun with the same settings takes up what is there;
+without a folder they are held by Spark.
 """
 
 from __future__ import annotations
@@ -82,7 +83,9 @@ class Analysis:
             raise KeyError(f"no such stage: {stage}")
         if stage not in self.tables:
             made = _BUILD[stage](self)
-            self.tables[stage] = self._kept(stage, made) if self.folder and stage in _SHARED else made
+            if stage in _SHARED:
+                made = self._kept(stage, made) if self.folder else made.persist()
+            self.tables[stage] = made
         return self.tables[stage]
 
     def _kept(self, stage: str, made: DataFrame) -> DataFrame:
@@ -176,7 +179,7 @@ _BUILD: dict[str, Callable[[Analysis], DataFrame]] = {
     "stft": lambda a: stft.stft_bins(a.recordings, a.settings.rate, a.settings.frame, a.settings.hop, a.settings.window),
     "frame_peaks": lambda a: stft.frame_peaks(a.table("stft"), a.settings.peak_height),
     "time_resolved": lambda a: stft.frame_descriptors(a.table("stft")),
-    "tracking": lambda a: tracking.track_peaks(a.table("frame_peaks"), a.settings.track_tolerance, a.settings.track_max_gap, a.settings.track_min_length),
+    "tracking": lambda a: tracking.track_peaks(a.table("frame_peaks").withColumn("f_hz", F.coalesce("refined_hz", "f_hz")), a.settings.track_tolerance, a.settings.track_max_gap, a.settings.track_min_length),
     "track_features": _features,
     "candidates": _candidates,
     "within_condition": lambda a: association.cluster_condition(_accepted(a), a.settings.gate_hz),

@@ -45,17 +45,49 @@ def _from_array(spark: SparkSession, values: np.ndarray, rate: int) -> DataFrame
 def white_noise(spark: SparkSession, duration_s: float, rate: int, rms: float, seed: int) -> DataFrame:
     """Seeded normal noise scaled to an exact root mean square; one recording's length at a time."""
     x = np.random.default_rng(seed).standard_normal(round(duration_s * rate))
-    return _from_array(spark, x * (rms / np.sqrt(np.mean(x * x))), rate)
+    return _from_array(spark, _scaled(x, rms), rate)
+
+
+#: Fixed values of a well-known filter from white to pink noise: pole and gain of each state, then two direct gains.
+PINK_POLES = ((0.99886, 0.0555179), (0.99332, 0.0750759), (0.96900, 0.1538520), (0.86650, 0.3104856), (0.55000, 0.5329522), (-0.7616, -0.0168980))
+PINK_NOW, PINK_BEFORE = 0.5362, 0.115926
+
+
+def pink_filter(white: np.ndarray) -> np.ndarray:
+    poles, gains = np.array(PINK_POLES).T
+    state = np.zeros(len(poles))
+    out = np.empty(len(white))
+    last = 0.0
+    for i, w in enumerate(white):
+        state = poles * state + gains * w
+        out[i] = state.sum() + last + PINK_NOW * w
+        last = PINK_BEFORE * w
+    return out
+
+
+def _scaled(x: np.ndarray, rms: float) -> np.ndarray:
+    return x * (rms / np.sqrt(np.mean(x * x)))
 
 
 def pink_noise(spark: SparkSession, duration_s: float, rate: int, rms: float, seed: int) -> DataFrame:
-    """Noise whose power falls with frequency, shaped in the frequency domain and scaled to an exact root mean square."""
+    """Filtered seeded noise scaled to an exact root mean square."""
+    return _from_array(spark, _scaled(pink_filter(np.random.default_rng(seed).standard_normal(round(duration_s * rate))), rms), rate)
+
+
+def coloured_noise(spark: SparkSession, duration_s: float, rate: int, rms: float, seed: int, alpha: float = 1.0) -> DataFrame:
+    """Noise whose power falls as frequency to the power ``alpha``, shaped in the frequency domain."""
     n = round(duration_s * rate)
     bins = np.fft.rfft(np.random.default_rng(seed).standard_normal(n))
-    bins[1:] /= np.sqrt(np.arange(1, len(bins)))
+    bins[1:] *= np.arange(1, len(bins)) ** (-alpha / 2)
     bins[0] = 0
-    x = np.fft.irfft(bins, n)
-    return _from_array(spark, x * (rms / np.sqrt(np.mean(x * x))), rate)
+    return _from_array(spark, _scaled(np.fft.irfft(bins, n), rms), rate)
+
+
+def mains_hum(spark: SparkSession, duration_s: float, rate: int, rms: float, base_hz: float = 50.0, harmonics: int = 3) -> DataFrame:
+    """Harmonics with falling amplitude, scaled to the root mean square of whole periods."""
+    parts = [(base_hz * k, 0.0, 1.0 / k, 0.0) for k in range(1, harmonics + 1)]
+    level = np.sqrt(sum(a * a / 2 for _, _, a, _ in parts))
+    return damped_sum(spark, [(f, d, a * rms / level, p) for f, d, a, p in parts], duration_s, rate)
 
 
 def clipped(signal: DataFrame, threshold: float, soft: bool = False) -> DataFrame:
