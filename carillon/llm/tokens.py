@@ -21,10 +21,13 @@ import pyarrow.compute as pc
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs one worker a core
 
 #: Characters of cached words at which a worker's cache starts a new generation.
-CACHE_CHARS = 4_000_000
+CACHE_CHARS = 6_000_000
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
 #: A letter run and the ASCII signs behind it: two words for either pre-tokenizer.
 _TAILED = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]+)").fullmatch
+_NOUGHT = re.compile("0").search
+#: White space other than a word's own leading space, or no word at all.
+_WHITE = re.compile(r"(?<!^)\s|^[^\S ]|^ ?$").search
 #: White space before a space, or a space in front: such texts are cut by the slower rule.
 _RUN = r"[\t\n\v\f\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] |^ "
 
@@ -45,59 +48,89 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.start(self.tokenizer.normalizer is None if keep_space is None else keep_space)
+        self.folds = "Lowercase" in str(self.tokenizer.normalizer)
 
     def start(self, keep_space: bool) -> None:
         self.keep_space = keep_space
+        self.folds = False  # whether the tokenizer lower-cases, so that ASCII words may be looked up so
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
         self.held = 0
+        self.mark_id: int | None = None
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
-        found: list[bytes] = []
-        for i in range(0, len(words), 4000):  # the library's results are large
-            coded = self.tokenizer.encode_batch_fast(words[i : i + 4000], add_special_tokens=False)
-            found += [array("I", x.ids).tobytes() for x in coded]
-        return found
+        """Many words go through the library as one text, with a mark between them that has one id of its own."""
+        mark, barred = ("\n", _WHITE) if self.keep_space else (" 0 ", _NOUGHT)
+        plain = [w for w in words if barred(w) is None]
+        if self.mark_id is None:
+            (self.mark_id,) = self.tokenizer.encode(mark, add_special_tokens=False).ids
+        found: dict[str, bytes] = {}
+        for i in range(0, len(plain), 20_000):  # the library's results are large
+            part = plain[i : i + 20_000]
+            groups = [part[j : j + 200] for j in range(0, len(part), 200)]
+            coded = self.tokenizer.encode_batch_fast([mark.join(g) for g in groups], add_special_tokens=False)
+            for group, x in zip(groups, coded, strict=True):
+                ids = np.array(x.ids, np.uint32)
+                ends = np.flatnonzero(ids == self.mark_id)
+                raw = ids.tobytes()
+                starts = [0, *(4 * ends + 4).tolist()]
+                found.update(zip(group, [raw[a:b] for a, b in zip(starts, [*(4 * ends).tolist(), len(raw)], strict=True)], strict=True))
+        if len(plain) < len(words):
+            odd = [w for w in words if w not in found]
+            for i in range(0, len(odd), 4000):
+                coded = self.tokenizer.encode_batch_fast(odd[i : i + 4000], add_special_tokens=False)
+                found.update(zip(odd[i : i + 4000], [array("I", x.ids).tobytes() for x in coded], strict=True))
+        return [found[w] for w in words]
 
     def _encode_heads(self, words: list[str]) -> list[bytes]:
         return self._encode_words(words)
 
     def _of(self, words: list[str]) -> list[bytes]:
-        """Two generations: a word that was used since the last turnover stays."""
+        """Ids of distinct words.  Two generations: a word that was used since the last turnover stays."""
         if self.held > CACHE_CHARS:
             self.older, self.cache, self.held = self.cache, {}, 0
-        cache, older, tails = self.cache, self.older, self.tails
+        cache, older, apart = self.cache, self.older, self.apart
+        found: list[bytes] = list(map(cache.get, words))
+        absent = [i for i, f in enumerate(found) if f is None]
         fresh: dict[str, None] = {}
-        parted: list[tuple[str, str, str]] = []
-        for w in words:
-            if w in cache:
+        parted: list[tuple[int, str, str]] = []
+        fold = self.folds
+        for i in absent:
+            w = words[i]
+            known = older.get(w)
+            if known is not None:
+                cache[w] = found[i] = known
                 continue
-            if (known := older.get(w)) is not None:
-                cache[w] = known
-                self.held += len(w) + 4
-            elif (m := self.apart(w)) is not None:  # no token holds letters and what follows them
+            stem, tail = w.lower() if fold and w.isascii() else w, ""
+            if (m := apart(stem)) is not None:  # no token holds letters and what follows them
                 stem, tail = m.groups()
-                parted.append((w, stem, tail))
-                if stem not in cache:
-                    if (known := older.get(stem)) is not None:
-                        cache[stem] = known
-                    else:
-                        fresh[stem] = None
-                    self.held += len(stem) + 4
-            else:
+            if stem == w:
                 fresh[w] = None
-                self.held += len(w) + 4
+                continue
+            parted.append((i, stem, tail))
+            if stem not in cache:
+                if (known := older.get(stem)) is not None:
+                    cache[stem] = known
+                else:
+                    fresh[stem] = None
         missing = list(fresh)
         cache.update(zip(missing, self._encode_words([" " + w for w in missing] if self.keep_space else missing), strict=True))
-        for w, stem, tail in parted:
-            if tail not in tails:
-                if len(tails) > 20_000:
-                    tails.clear()
-                tails[tail] = self._encode_words([tail])[0]
-            cache[w] = cache[stem] + tails[tail]
-            self.held += len(w) + 4
-        return [cache[w] for w in words]
+        tails = self.tails
+        unknown = {tail for _, _, tail in parted if tail not in tails}
+        if len(tails) + len(unknown) > 20_000:
+            tails.clear()
+            tails[""] = b""
+            unknown = {tail for _, _, tail in parted if tail}
+        some = list(unknown)
+        tails.update(zip(some, self._encode_words(some), strict=True))
+        for i, stem, tail in parted:
+            cache[words[i]] = found[i] = cache[stem] + tails[tail]
+        for i in absent:
+            if found[i] is None:
+                found[i] = cache[words[i]]
+        self.held += sum(len(words[i]) + 4 for i in absent) + 4 * len(parted)
+        return found
 
     def encode(self, texts: pa.Array) -> pa.ListArray:
         """texts: strings without nulls."""
@@ -105,7 +138,7 @@ class WordEncoder:
             return pa.array([], pa.list_(pa.uint32()))
         gc.disable()  # millions of small objects, none of them in a cycle
         try:
-            texts = texts.cast(pa.large_string())
+            texts = texts.cast(pa.string())
             order = None
             if self.keep_space:
                 odd = pc.match_substring_regex(texts, _RUN)
@@ -115,20 +148,24 @@ class WordEncoder:
                     cut = [_BEFORE_SPACE.split(t) for t in texts.filter(pa.array(odd)).to_pylist()]
                     words = pa.concat_arrays([
                         pc.split_pattern(texts.filter(pa.array(~odd)), " "),
-                        pa.array([[p[i > 0 :] for i, p in enumerate(parts)] for parts in cut], pa.list_(pa.large_string())),
+                        pa.array([[p[i > 0 :] for i, p in enumerate(parts)] for parts in cut], pa.list_(pa.string())),
                     ])
             if order is None:
                 words = pc.split_pattern(texts, " ")
-            ids = self._gather(words)
+            ids = self._gather(words, spaced=order is not None)
             return ids if order is None else ids.take(pa.array(np.argsort(order)))
         finally:
             gc.enable()
 
-    def _gather(self, words: pa.ListArray) -> pa.ListArray:
+    def _gather(self, words: pa.ListArray, spaced: bool) -> pa.ListArray:
         coded = words.flatten().dictionary_encode()
         starts = words.offsets.to_numpy() - words.offsets[0].as_py()
         at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        distinct = coded.dictionary.to_pylist()
+        if spaced:
+            distinct = coded.dictionary.to_pylist()
+        else:  # no word holds a space, so one string of all is soon cut again
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary), " ")
+            distinct = joined[0].as_py().split(" ")
         pieces = self._of(distinct)
         if self.keep_space:  # the first word of a text has no space before it
             first = starts[:-1]
@@ -137,12 +174,13 @@ class WordEncoder:
             at[first] = len(distinct) + back
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
         store = np.frombuffer(b"".join(pieces), np.uint32)
-        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        offsets = np.cumsum(sizes) - sizes
         # positions in the store of every id of every word, in order
         counts = sizes[at]
         ends = np.cumsum(counts)
         total = int(ends[-1]) if len(ends) else 0
-        where = np.repeat(offsets[at] - (ends - counts), counts) + np.arange(total)
+        where = np.repeat((offsets[at] - (ends - counts)).astype(np.int32), counts)
+        where += np.arange(total, dtype=np.int32)
         per_word = np.concatenate([[0], ends])
         return pa.ListArray.from_arrays(pa.array(per_word[starts], pa.int32()), pa.array(store[where]))
 
