@@ -42,13 +42,14 @@ class WordEncoder:
     #: Cuts a word in two that share no token, or gives None.
     apart = staticmethod(_TAILED)
 
-    def __init__(self, path: str, keep_space: bool | None = None):
+    def __init__(self, path: str, keep_space: bool | None = None, cache_chars: int | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.start(self.tokenizer.normalizer is None if keep_space is None else keep_space)
         self.folds = "Lowercase" in str(self.tokenizer.normalizer)
+        self.cache_chars = cache_chars
 
     def start(self, keep_space: bool) -> None:
         self.keep_space = keep_space
@@ -57,6 +58,7 @@ class WordEncoder:
         self.older: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {"": b""}
         self.held = 0
+        self.cache_chars: int | None = None
         self.mark_id: int | None = None
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
@@ -65,7 +67,7 @@ class WordEncoder:
         plain = [w for w in words if barred(w) is None]
         if self.mark_id is None:
             (self.mark_id,) = self.tokenizer.encode(mark, add_special_tokens=False).ids
-        found: dict[str, bytes] = {}
+        coded_words: list[bytes] = []
         for i in range(0, len(plain), 20_000):  # the library's results are large
             part = plain[i : i + 20_000]
             groups = [part[j : j + 200] for j in range(0, len(part), 200)]
@@ -74,13 +76,16 @@ class WordEncoder:
                 ids = np.array(x.ids, np.uint32)
                 ends = np.flatnonzero(ids == self.mark_id)
                 raw = ids.tobytes()
-                starts = [0, *(4 * ends + 4).tolist()]
-                found.update(zip(group, [raw[a:b] for a, b in zip(starts, [*(4 * ends).tolist(), len(raw)], strict=True)], strict=True))
-        if len(plain) < len(words):
-            odd = [w for w in words if w not in found]
-            for i in range(0, len(odd), 4000):
-                coded = self.tokenizer.encode_batch_fast(odd[i : i + 4000], add_special_tokens=False)
-                found.update(zip(odd[i : i + 4000], [array("I", x.ids).tobytes() for x in coded], strict=True))
+                cuts = (4 * ends).tolist()
+                assert len(cuts) == len(group) - 1
+                coded_words += [raw[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)])]
+        if len(plain) == len(words):
+            return coded_words
+        found = dict(zip(plain, coded_words, strict=True))
+        odd = [w for w in words if w not in found]
+        for i in range(0, len(odd), 4000):
+            coded = self.tokenizer.encode_batch_fast(odd[i : i + 4000], add_special_tokens=False)
+            found.update(zip(odd[i : i + 4000], [array("I", x.ids).tobytes() for x in coded], strict=True))
         return [found[w] for w in words]
 
     def _encode_heads(self, words: list[str]) -> list[bytes]:
@@ -88,7 +93,7 @@ class WordEncoder:
 
     def _of(self, words: list[str]) -> list[bytes]:
         """Ids of distinct words.  Two generations: a word that was used since the last turnover stays."""
-        if self.held > CACHE_CHARS:
+        if self.held > (self.cache_chars or CACHE_CHARS):
             self.older, self.cache, self.held = self.cache, {}, 0
         cache, older, apart = self.cache, self.older, self.apart
         found: list[bytes] = list(map(cache.get, words))
@@ -129,7 +134,7 @@ class WordEncoder:
         for i in absent:
             if found[i] is None:
                 found[i] = cache[words[i]]
-        self.held += sum(len(words[i]) + 4 for i in absent) + 4 * len(parted)
+        self.held += sum(map(len, [words[i] for i in absent])) + 4 * (len(absent) + len(parted))
         return found
 
     def encode(self, texts: pa.Array) -> pa.ListArray:
@@ -172,9 +177,10 @@ class WordEncoder:
             heads, back = np.unique(at[first], return_inverse=True)
             pieces += self._encode_heads([distinct[i] for i in heads])
             at[first] = len(distinct) + back
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
-        store = np.frombuffer(b"".join(pieces), np.uint32)
-        offsets = np.cumsum(sizes) - sizes
+        packed = pa.array(pieces, pa.large_binary())
+        bounds = np.frombuffer(packed.buffers()[1], np.int64)[: len(pieces) + 1] // 4
+        store = np.frombuffer(packed.buffers()[2] or b"", np.uint32)
+        offsets, sizes = bounds[:-1], np.diff(bounds)
         # positions in the store of every id of every word, in order
         counts = sizes[at]
         ends = np.cumsum(counts)
@@ -186,9 +192,9 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, cache_chars: int | None = None) -> WordEncoder:
     """One encoder for each file and Python worker."""
-    return WordEncoder(path)
+    return WordEncoder(path, cache_chars=cache_chars)
 
 
 def text_groups(texts: pa.Array, chars: int = 8_000_000):
