@@ -278,7 +278,7 @@ query(
 
 
 def series_metric(s, d):
-    return series(s, d).filter("recording_id % 3 = 0").select("recording_id", F.lit("value").alias("metric"), "n", "t_s", F.col("x").alias("value"))
+    return series(s, d).select("recording_id", F.lit("value").alias("metric"), "n", "t_s", F.col("x").alias("value"))
 
 
 CHANGE_SQL = f"""WITH {SER_SQL}, v AS (SELECT * FROM ser WHERE recording_id % 3 = 0), w AS (SELECT recording_id, n, t_s, avg(x) OVER b AS mb, avg(x) OVER a AS ma, count(*) OVER b AS cb, count(*) OVER a AS ca FROM v
