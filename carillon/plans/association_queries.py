@@ -120,7 +120,7 @@ GATE = 0.1
 
 
 def refs(s, d):
-    """A tenth of the references' brands, so that most candidates have few partners."""
+    """All accepted references, their frequencies spread so that most candidates have few partners."""
     return candidate_refs(s, d).filter("accepted").withColumn("frequency_hz", F.round(F.col("frequency_hz") + F.col("candidate_id") * 0.37 % 100, 4))
 
 
@@ -161,8 +161,8 @@ query("hungarian_matches", lambda s, d: association.matches(costs(s, d)))
 
 
 def repeats(s, d):
-    """References of the rarest brands, few enough in each condition to be clustered in order."""
-    return candidate_refs(s, d).filter("accepted AND candidate_id % 4 = 0")
+    """All accepted references."""
+    return candidate_refs(s, d).filter("accepted")
 
 
 query("condition_clusters", lambda s, d: association.cluster_condition(repeats(s, d), 0.05))
