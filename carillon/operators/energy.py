@@ -39,11 +39,11 @@ def align(series: DataFrame, pairs: DataFrame, digits: int = 12) -> DataFrame:
     return left.join(right, ["source_b", "at"]).withColumnRenamed("at", "t_s").withColumn("n", F.row_number().over(w) - 1).select(*PAIR, "n", "t_s", "x", "y", "ex", "ey")
 
 
-def resample(series: DataFrame, step_s: float, last_s: float) -> DataFrame:
-    """Linear interpolation on a regular grid, without extrapolation."""
+def resample(series: DataFrame, step_s: float, last_s: float | None = None) -> DataFrame:
+    """Linear interpolation on a regular grid, without extrapolation; up to each series' own last time or ``last_s``."""
     w = Window.partitionBy("source_id").orderBy("t_s")
     seg = series.select("source_id", "t_s", "a", F.lead("t_s").over(w).alias("t1"), F.lead("a").over(w).alias("a1"))
-    first, last = F.ceil(F.col("t_s") / step_s - 1e-9), F.floor(F.least(F.col("t1"), F.lit(last_s)) / step_s + 1e-9)
+    first, last = F.ceil(F.col("t_s") / step_s - 1e-9), F.floor((F.col("t1") if last_s is None else F.least(F.col("t1"), F.lit(last_s))) / step_s + 1e-9)
     seg = seg.filter("t1 > t_s").withColumn("k0", first).withColumn("k1", last).filter("k1 >= k0").select("source_id", "t_s", "a", "t1", "a1", F.explode(F.sequence("k0", "k1")).alias("k"))
     g = F.col("k") * step_s
     value = F.col("a") + (F.col("a1") - F.col("a")) * (g - F.col("t_s")) / (F.col("t1") - F.col("t_s"))

@@ -158,7 +158,7 @@ query(
 
 # ---- energy exchange ----------------------------------------------------------------
 
-STEP, LAST = 86400.0, 25 * 86400.0
+STEP, LAST = 86400.0, 25 * 86400.0  # LAST is the end of the grid in the SQL only
 
 
 def envelopes(s, d):
@@ -170,7 +170,7 @@ def prepared(s, d):
 
 
 def grid(s, d):
-    return energy.resample(prepared(s, d), STEP, LAST).filter("n <= 24")
+    return energy.resample(prepared(s, d), STEP)
 
 
 def pairs(s, d):

@@ -115,3 +115,28 @@ def test_condition_clusters_cover_every_accepted_reference(spark):
     summary = plans.QUERIES["condition_cluster_summary"](spark, sf).collect()
     assert sorted((x.label_idx, x.member_count) for x in summary) == sorted((label, len(f)) for label, f in known)
     assert all(x.recordings == brands[x.label_idx] for x in summary)
+
+
+def grids():
+    """user_id → scaled envelope at whole days, up to the series' own end."""
+    found = {}
+    for user, rows in by_user().items():
+        t, x = np.array(rows).T
+        at = np.arange(int(t[-1] // 86400) + 1)
+        found[user] = np.interp(at * 86400.0, t, x / x.max())
+    return found
+
+
+def test_envelope_grid_reaches_each_series_end(spark):
+    known = {(u, n): a for u, g in grids().items() for n, a in enumerate(g)}
+    got = {(x.source_id, x.n): x.a for x in plans.QUERIES["envelope_resample"](spark, SF).collect()}
+    assert max(n for _, n in known) > 25
+    assert got == pytest.approx(known, abs=1e-5)
+
+
+def test_growth_and_pairs_over_the_whole_grid(spark):
+    g = grids()
+    growth = {x.source_id: x.growth_fraction for x in plans.QUERIES["delayed_growth"](spark, SF).collect()}
+    assert growth == pytest.approx({u: (a - np.minimum.accumulate(a)).max() / a.max() for u, a in g.items()}, abs=1e-5)
+    sizes = {(x.source_a, x.source_b): x.n for x in plans.QUERIES["envelope_trends"](spark, SF).collect()}
+    assert sizes == {(u, v): min(len(g[u]), len(g[v])) for u in g for v in g if u < v and u // 5 == v // 5}
