@@ -94,14 +94,14 @@ query(
 
 
 def peak_costs(s, d):
-    """Costs between each recording's first three and last three peaks."""
+    """Costs between all of each recording's peaks, counted from below (row) and from above (col)."""
     from pyspark.sql import Window
 
     up = Window.partitionBy("recording_id").orderBy("k")
     down = Window.partitionBy("recording_id").orderBy(F.desc("k"))
     p = spectrum.peaks(bins(s, d)).select("recording_id", "f_hz", "mag", F.row_number().over(up).alias("u"), F.row_number().over(down).alias("v"))
-    left = p.filter("u <= 3").select("recording_id", F.col("u").alias("row"), F.col("f_hz").alias("f"))
-    right = p.filter("v <= 3").select("recording_id", F.col("v").alias("col"), F.col("f_hz").alias("g"))
+    left = p.select("recording_id", F.col("u").alias("row"), F.col("f_hz").alias("f"))
+    right = p.select("recording_id", F.col("v").alias("col"), F.col("f_hz").alias("g"))
     return left.join(right, "recording_id").select("recording_id", "row", "col", (F.abs(F.col("f") - F.col("g")) + F.col("row") / 16 + F.col("col") / 64).alias("cost"))
 
 

@@ -140,3 +140,19 @@ def test_growth_and_pairs_over_the_whole_grid(spark):
     assert growth == pytest.approx({u: (a - np.minimum.accumulate(a)).max() / a.max() for u, a in g.items()}, abs=1e-5)
     sizes = {(x.source_a, x.source_b): x.n for x in plans.QUERIES["envelope_trends"](spark, SF).collect()}
     assert sizes == {(u, v): min(len(g[u]), len(g[v])) for u in g for v in g if u < v and u // 5 == v // 5}
+
+
+def test_assignment_margins_over_all_peaks(spark):
+    peaks = {}
+    for x in plans.QUERIES["spectral_peaks"](spark, SF).select("recording_id", "k", "f_hz").collect():
+        peaks.setdefault(x.recording_id, []).append((x.k, x.f_hz))
+    known = {}
+    for rec, found in peaks.items():
+        f = [hz for _, hz in sorted(found)]
+        cost = {(u, v): abs(f[u - 1] - f[-v]) + u / 16 + v / 64 for u in range(1, len(f) + 1) for v in range(1, len(f) + 1)}
+        for (u, v), c in cost.items():
+            others = [x - c for (a, b), x in cost.items() if (a == u) != (b == v)]
+            known[rec, u, v] = min(others) if others else None
+    got = {(x.recording_id, x.row, x.col): x.margin for x in plans.QUERIES["assignment_margins"](spark, SF).collect()}
+    assert max(u for _, u, _ in known) > 3
+    assert got == pytest.approx(known, abs=1e-5)
