@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import text_or_empty, trimmed
 from .token_files import with_end
 from .tokens import encoder, text_groups
 
@@ -221,4 +221,4 @@ def pack_documents(
     if any(a != 2 * b for a, b in zip(tiers, tiers[1:])) or tiers[-1] & (tiers[-1] - 1):
         raise ValueError("tiers must be powers of two, each half of the one before")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(_pack_batches(tokenizer_path, end_id, tiers, step_ids, buffer_ids), SCHEMA)
+    return rows.mapInArrow(trimmed(_pack_batches(tokenizer_path, end_id, tiers, step_ids, buffer_ids)), SCHEMA)

@@ -22,10 +22,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import text_or_empty, trimmed
 from .tokens import WordEncoder, text_groups
 
 SPACE = "▁"
@@ -39,7 +40,9 @@ _NONE = np.int32(2**31 - 1)
 class PieceEncoder(WordEncoder):
     """Encodes words through a suffix array of their batch; caches like WordEncoder."""
 
-    apart = staticmethod(lambda word: None)
+    by_rule = False
+    kind = "piece"
+    added = ""
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
@@ -62,22 +65,52 @@ class PieceEncoder(WordEncoder):
             raise ValueError("a piece of this model crosses the start of a word")
         self.start(keep_space=True)
 
-    def _encode_heads(self, words: list[str]) -> list[bytes]:
+    def _heads(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The first word has a space put before it too; an empty text has no word."""
-        return [b"" if not w else found for w, found in zip(words, self._encode_words([" " + w for w in words]), strict=True)]
-
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        spelt = [w.replace(" ", SPACE) for w in words]
+        some = pc.not_equal(words, "")
+        ids, own = self._of(words.filter(some), spaced=True)
+        counts = np.zeros(len(words), np.int64)
+        counts[some.to_numpy(zero_copy_only=False)] = own
+        return ids, counts
+
+    def _encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        spelt = [w.replace(" ", SPACE) for w in words.to_pylist()]
+        cut = [self._segments(w) if len(w) > INDEXED else [w] for w in spelt]
+        parts = [p for c in cut for p in c]
         found: list[bytes] = []
         i = 0
-        while i < len(spelt):
+        while i < len(parts):
             j, size = i, 0
-            while j < len(spelt) and (j == i or size + len(spelt[j]) < INDEXED):
-                size += len(spelt[j]) + 1
+            while j < len(parts) and (j == i or size + len(parts[j]) < INDEXED):
+                size += len(parts[j]) + 1
                 j += 1
-            found += self._relax(spelt[i:j])
+            found += self._relax(parts[i:j])
             i = j
-        return found
+        sizes = np.array([len(f) // 4 for f in found], np.int64)
+        first = np.cumsum([0, *map(len, cut)])[:-1]
+        return np.frombuffer(b"".join(found), np.uint32), np.add.reduceat(sizes, first) if len(sizes) else sizes
+
+    def _segments(self, word: str) -> list[str]:
+        """A long word cut wherever no piece reaches across: nothing is merged over such a place.
+
+        Edges are looked for in overlapping windows, so only a bit for each character is held.
+        """
+        crossed = np.zeros(len(word) + 1, bool)
+        for start in range(0, len(word), INDEXED):
+            a = max(0, start - self.reach)
+            text = word[a : start + INDEXED + self.reach].replace("\0", "\ufffe")
+            spots, lengths, _ = self._edges(text + "\0")
+            over = np.zeros(len(text) + 2, np.int64)
+            np.add.at(over, spots + 1, 1)
+            np.add.at(over, spots + lengths, -1)
+            crossed[a : a + len(text)] |= np.cumsum(over)[: len(text)] > 0
+        places = [0, *(np.flatnonzero(~crossed[1 : len(word)]) + 1).tolist(), len(word)]
+        out, begin = [], 0
+        for here, after in zip(places[1:], [*places[2:], None]):  # as long as fits, so few
+            if after is None or after - begin > INDEXED // 4:
+                out.append(word[begin:here])
+                begin = here
+        return out
 
     def _edges(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Positions (ascending), lengths and ranks of all pieces of two characters or more in ``text``."""
@@ -109,7 +142,7 @@ class PieceEncoder(WordEncoder):
         return spots[by_place], lengths[by_place], ranks[by_place]
 
     def _relax(self, words: list[str]) -> list[bytes]:
-        text = "\0".join(w.replace("\0", "￾") for w in words) + "\0"
+        text = "\0".join(w.replace("\0", "\ufffe") for w in words) + "\0"
         spots, lengths, ranks = self._edges(text)
         lattice = np.full((len(text), self.reach + 1), _NONE)
         lattice[spots, lengths] = ranks
@@ -236,7 +269,7 @@ def _encode(path: str):
 
 def encode_pieces(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, ids of ``docs(doc_id, text)``."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(_encode(model_path), "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(trimmed(_encode(model_path)), "doc_id long, ids array<int>")
 
 
 def _decode(path: str):
@@ -251,7 +284,7 @@ def _decode(path: str):
 def decode_pieces(ids: DataFrame, model_path: str) -> DataFrame:
     """doc_id, text of ``ids(doc_id, ids)``."""
     full = ids.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
-    return full.mapInArrow(_decode(model_path), "doc_id long, text string")
+    return full.mapInArrow(trimmed(_decode(model_path)), "doc_id long, text string")
 
 
 def _digest(path: str):
@@ -274,4 +307,4 @@ def _digest(path: str):
 def piece_digest(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_ids, ids_crc32 and whether decoding the ids gives the text again."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(_digest(model_path), "doc_id long, n_ids long, ids_crc32 long, round_trip boolean")
+    return rows.mapInArrow(trimmed(_digest(model_path)), "doc_id long, n_ids long, ids_crc32 long, round_trip boolean")

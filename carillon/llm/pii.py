@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import text_or_empty, trimmed
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("national_phone", "secret")
@@ -221,7 +221,7 @@ class ShapeField:
         found = self.seen.get(features)
         if found is None:
             found = sum((self.weights[f] for f in features if f in self.weights), np.zeros(len(LABELS)))
-            if len(self.seen) < 100_000:
+            if len(self.seen) < 20_000:
                 self.seen[features] = found
         return found
 
@@ -381,6 +381,9 @@ def pii(text: Column, model: ShapeField | None = None, redact: bool = True) -> C
 
     @F.pandas_udf(FOUND)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        return trimmed(find)(batches)
+
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             rows = []
             values = texts.tolist()

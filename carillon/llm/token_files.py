@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_path, text_or_empty
+from .common import scratch_path, text_or_empty, trimmed
 from .tokens import encoder, text_groups
 
 #: Smaller than elsewhere: the task also sorts texts and writes files.
@@ -82,7 +82,7 @@ def write_token_files(
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     key = F.xxhash64("text")  # splits rows that share an id, and fixes their order
     placed = rows.withColumn("tie", key).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
-    coded = placed.select("doc_id", "text").mapInArrow(_encode(tokenizer_path, end_id), FILE_SCHEMA)
+    coded = placed.select("doc_id", "text").mapInArrow(trimmed(_encode(tokenizer_path, end_id)), FILE_SCHEMA)
     (
         coded.write.option("compression", compression)
         .option("parquet.writer.version", "PARQUET_2_0")
@@ -126,7 +126,7 @@ def _checksums(batches):
 def token_digest(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, each from what the files hold."""
     rows = spark.read.schema(FILE_SCHEMA).parquet(path).select("part", "doc_id", "start_in_part", "ids")
-    sums = rows.mapInArrow(_checksums, "part int, doc_id long, start_in_part long, n_tokens long, ids_crc32 long")
+    sums = rows.mapInArrow(trimmed(_checksums), "part int, doc_id long, start_in_part long, n_tokens long, ids_crc32 long")
     return sums.join(token_positions(spark, path), "part").select("doc_id", (F.col("base") + F.col("start_in_part")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -1,51 +1,79 @@
 """Tokenised outputs against whole-text encoding and exact round trips."""
 
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
+from sentencepiece import SentencePieceProcessor
+from tokenizers import Tokenizer
 
 from carillon.llm import packing, pieces, token_files
 from carillon.llm.registry import tokenizer_file
 from carillon.llm.tokens import WordEncoder, text_groups
 
-ODD = ["", " ", "  a", "a  b", "a\n b", "a \n b ", "it's a's., b,, <|endoftext|>", "\n\n a\r\n  b\t c ", " lead", "trail ", "ΑΣ ΣΑΣ, Σ.", "́ a ́b", "日本語 テキスト 🙂", "x" * 5000, "a\x1c b", "². ²a, 12. y_ .a", " wide   space"]
+ODD = ["", " ", "  a", "a  b", "a\n b", "a \n b ", "it's a's., b,, <|endoftext|>", "hi <|endoftext|> there", "<|startoftext|>", "<|EndOfText|> x", "aİİ_ İ! İ. aİ", "\u0958! \u0958.", "rock'n'roll-x (see.\nThe \nx.\n\ny", "ſ! Ÿ. Ǆ, ÀÉ.\nß; ŉ.", "a.b c,d'e x-'s e.g.\nfoo's", "\n\n a\r\n  b\t c ", " lead", "trail ", "ΑΣ ΣΑΣ, Σ.", "́ a ́b", "日本語 テキスト 🙂", "x" * 5000, "a\x1c b", "². ²a, 12. y_ .a", " wide   space"]
 FILES = {"byte": "byte_bpe_50k.json", "word": "word_bpe_49k.json"}
 
 
 @pytest.fixture(scope="module", params=FILES)
-def coder(request):
-    return WordEncoder(tokenizer_file(FILES[request.param]))
+def path(request):
+    return tokenizer_file(FILES[request.param])
 
 
-def whole(coder, texts):
-    return [x.ids for x in coder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+library = lru_cache(Tokenizer.from_file)
+own_encoder = lru_cache(WordEncoder)
+piece_library = lru_cache(lambda path: SentencePieceProcessor(model_file=path))
+own_pieces = lru_cache(pieces.PieceEncoder)
 
 
-def test_words_give_the_ids_of_whole_texts(coder):
-    assert coder.encode(pa.array(ODD)).to_pylist() == whole(coder, ODD)
+def whole(path, texts):
+    """The library on the file as it is, on whole texts."""
+    return [x.ids for x in library(path).encode_batch(texts, add_special_tokens=False)]
+
+
+def test_words_give_the_ids_of_whole_texts(path):
+    assert WordEncoder(path).kind != "other"
+    assert WordEncoder(path).encode(pa.array(ODD)).to_pylist() == whole(path, ODD)
+    assert WordEncoder(path).encode(pa.array(["", *ODD, "end"])[1:-1]).to_pylist() == whole(path, ODD)
+
+
+def test_ten_thousand_random_texts(path):
+    rng = np.random.RandomState(5)
+    alphabet = [*"aabbeeiionrst    ..,,''-\n\n", *"İıŞĞÇÖÜéñ_1230()#/Σσςß", "\u0301", "\u0307", "<|endoftext|>", "<|startoftext|>", "\t", "  ", "日", "🙂", "\u0958", "'s", "'ll", "ABC", "Ω", "Ы", "\r\n", "\xa0"]
+    texts = ["".join(alphabet[i] for i in rng.randint(0, len(alphabet), rng.randint(0, 30))) for _ in range(10_000)]
+    coder = WordEncoder(path, cache_chars=20_000)
+    got = [ids for i in range(0, len(texts), 2500) for ids in coder.encode(pa.array(texts[i : i + 2500])).to_pylist()]
+    wanted = whole(path, texts)
+    assert [t for t, a, b in zip(texts, got, wanted, strict=True) if a != b] == []
+
+
+def test_unknown_kinds_of_file_are_used_on_whole_texts(tmp_path):
+    from tokenizers import pre_tokenizers
+
+    other = Tokenizer.from_file(tokenizer_file(FILES["byte"]))
+    other.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+    other.save(f"{tmp_path}/other.json")
+    coder = WordEncoder(f"{tmp_path}/other.json")
+    assert coder.kind == "other" and coder.encode(pa.array(ODD)).to_pylist() == whole(f"{tmp_path}/other.json", ODD)
 
 
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(st.sampled_from("ab ZKH.,'s10é\n\t _-̱̀"), max_size=30), min_size=1, max_size=5))
 def test_any_text(texts):
     for name in FILES.values():
-        coder = CODERS.setdefault(name, WordEncoder(tokenizer_file(name)))
-        assert coder.encode(pa.array(texts)).to_pylist() == whole(coder, texts)
-
+        assert own_encoder(tokenizer_file(name)).encode(pa.array(texts)).to_pylist() == whole(tokenizer_file(name), texts)
 
-CODERS: dict = {}
 
-
-def test_cache_turns_over(coder, monkeypatch):
-    monkeypatch.setattr("carillon.llm.tokens.CACHE_CHARS", 50)
-    for i in range(5):
-        texts = [f"word{i} other{j}, again." for j in range(20)]
-        assert coder.encode(pa.array(texts)).to_pylist() == whole(coder, texts)
+def test_cache_turns_over(path):
+    coder = WordEncoder(path, cache_chars=400)
+    for i in range(8):
+        texts = [f"word{'abcdefgh'[i]}s other{'xyz' * j}, again x{j}." for j in range(20)]
+        assert coder.encode(pa.array(texts)).to_pylist() == whole(path, texts)
+    assert coder.parts.held < 4000
 
 
 def test_groups_cover_all_rows():
@@ -85,8 +113,7 @@ ROWS = [(3, "b b", "x", 1), (1, None, None, None), (2, "", None, 2), (3, "b b",
 def test_packed_pieces_hold_the_ids(spark):
     path = tokenizer_file("word_bpe_49k.json")
     got = packing.pack_documents(docs(spark, ROWS), path).toPandas()
-    coder = WordEncoder(path)
-    ids = {i: np.array(whole(coder, [t or ""])[0] + [1], "<u4") for i, t, *_ in ROWS}
+    ids = {i: np.array(whole(path, [t or ""])[0] + [1], "<u4") for i, t, *_ in ROWS}
     assert got.length.sum() == sum(len(ids[i]) for i, *_ in ROWS)
     for r in got.itertuples():
         own = ids[None if r.doc_id != r.doc_id else r.doc_id]
@@ -101,13 +128,12 @@ def test_token_files_read_back(spark, tmp_path, encoding):
     path = tokenizer_file("byte_bpe_50k.json")
     out = f"{tmp_path}/{encoding}"
     token_files.write_token_files(docs(spark, ROWS), path, out, encoding=encoding, page_rows=2)
-    coder = WordEncoder(path)
     ordered = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0))
     got = sorted(token_files.read_token_files(spark, out).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in got] == [r[0] for r in ordered]
     at = 0
     for r, (_, text, *_) in zip(got, ordered, strict=True):
-        assert r.ids == whole(coder, [text or ""])[0] + [0] and (r.start, r.n_tokens) == (at, len(r.ids))
+        assert r.ids == whole(path, [text or ""])[0] + [0] and (r.start, r.n_tokens) == (at, len(r.ids))
         at += r.n_tokens
     sums = {(r.start, r.ids_crc32) for r in token_files.token_digest(spark, out).collect()}
     assert sums == {(r.start, zlib.crc32(np.array(r.ids, "<u4").tobytes())) for r in got}
@@ -122,9 +148,17 @@ def test_token_files_of_nothing(spark, tmp_path):
 PIECES = [t for t in ODD if "<|" not in t] + ["it's <s> a </s> <0x41> ▁▁a ▁b a▁b", "aaa " * 50 + "a" * 300, "        indented    code", "é" * 60, "€uro ﬁ ｆ"]
 
 
-def test_pieces_equal_the_library(spark):
-    from sentencepiece import SentencePieceProcessor
+def test_long_words_are_cut_where_no_piece_reaches_across(monkeypatch):
+    monkeypatch.setattr(pieces, "INDEXED", 300)
+    path = tokenizer_file("piece_bpe_32k.model")
+    lib, own = SentencePieceProcessor(model_file=path), pieces.PieceEncoder(path)
+    rng = np.random.RandomState(3)
+    texts = ["".join("abcdeionth.,é日"[i] for i in rng.randint(0, 14, n)) for n in (299, 301, 900, 5000)] + ["a" * 2000, "ab" * 700 + "é" * 500]
+    assert all(len(own._segments(t)) > 1 for t in texts[1:4])
+    assert own.encode(pa.array(texts)).to_pylist() == lib.encode(texts)
 
+
+def test_pieces_equal_the_library(spark):
     path = tokenizer_file("piece_bpe_32k.model")
     lib, own = SentencePieceProcessor(model_file=path), pieces.PieceEncoder(path)
     assert own.encode(pa.array(PIECES)).to_pylist() == lib.encode(PIECES)
@@ -140,10 +174,7 @@ def test_pieces_equal_the_library(spark):
 @settings(max_examples=80, deadline=None)
 @given(st.text(st.sampled_from("abcdeion th  .,'\né"), max_size=80))
 def test_any_text_as_pieces(text):
-    from sentencepiece import SentencePieceProcessor
-
     path = tokenizer_file("piece_bpe_32k.model")
-    lib = CODERS.setdefault("lib", SentencePieceProcessor(model_file=path))
-    own = CODERS.setdefault("own", pieces.PieceEncoder(path))
+    lib, own = piece_library(path), own_pieces(path)
     assert own.encode(pa.array([text])).to_pylist() == [lib.encode(text)]
     assert own.decode(lib.encode(text)) == text
