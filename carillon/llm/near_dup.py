@@ -12,17 +12,21 @@ likelihood of J to the power of a band's width whatever the size of the set.
    often.  If the collision-corrected estimate from all registers allows it, the pair is
    verified on the full sets of shingles.
 3. What that leaves apart is searched again: buckets whose nodes lie in different components
-   are cut into blocks of bounded size, and blocks of one bucket are compared with each other
-   in matrices.  A pair is taken up in the first band that it shares, if it is in different
-   components and its estimate is not clearly below the threshold; the full sets decide, and
-   only links that join two components leave the task.
+   are cut into blocks of bounded rows and bytes, and blocks of one bucket are compared with
+   each other in matrices.  A component with many nodes in a bucket has blocks of its own,
+   which never meet each other; small ones share blocks.  A pair is taken up in the first band
+   that it shares, if it is in different components and its estimate is not clearly below the
+   threshold; the full sets decide, and only links that join two components leave the task.
 
 With 42 bands of 6 registers a pair at similarity 0.8 shares no bucket with likelihood 3e-6.
 
 Defined results: words are runs of anything but ASCII white space, A-Z lower-cased; fewer
 words than a shingle make one shingle of the whole sequence; texts without words and null
-texts are empty, linked with nothing; rows that share an id are one document, null ids are
-one document (its component_id is null when no other is reached); other columns pass through.
+texts are empty, linked with nothing, and components of their own; every row is linked by its
+own text, also where rows share an id; a null id is larger than every other (component_id is
+null where no other is reached); of a component's rows that share its smallest id all are
+kept, and one text of them is ``first``; an empty table gives no rows; other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
@@ -33,10 +37,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_or_empty
+from .common import materialise, text_or_empty, trimmed
 from .graph import components
 from .tokens import text_groups
 
@@ -47,6 +51,8 @@ BANDS, WIDTH = 42, 6
 #: Standard deviations by which an estimate may fall short and still be verified.
 SLACK = 5.0
 BLOCK = 256
+#: Bytes of text in a block, about.
+BLOCK_BYTES = 4 << 20
 _NO_ID = (1 << 63) - 1
 
 
@@ -179,7 +185,7 @@ def estimate_floor(threshold: float) -> float:
 def _digest_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
+            ids, keys, texts = (batch.column(k) for k in range(3))
             for i, j in text_groups(texts, 4_000_000):
                 flat, bounds = shingle_sets(texts[i:j], width)
                 sizes = np.diff(bounds)
@@ -196,8 +202,8 @@ def _digest_sets(width: int):
                         for k, row in zip(some[a:b].tolist(), made, strict=True):
                             signatures[k] = row.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [ids[i:j], pa.array(sizes.astype(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(signatures, pa.binary())],
-                    ["id", "n", "s1", "s2", "registers"],
+                    [ids[i:j], keys[i:j], pa.array(sizes.astype(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(signatures, pa.binary())],
+                    ["id", "text_key", "n", "s1", "s2", "registers"],
                 )
 
     return run
@@ -234,8 +240,8 @@ def _link_blocks(floor: float, width: int, percent: int):
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                same_block = row["bx"] == row["by"]
                 x = row["x"]
+                same_block = row["y"] is None
                 members = x if same_block else x + row["y"]
                 marks = np.stack([np.frombuffer(m["registers"], np.uint16) for m in members])
                 keys = band_keys(marks)
@@ -294,25 +300,74 @@ def _confirm(width: int, percent: int):
     return run
 
 
+def text_key() -> Column:
+    """A hash of ``text`` that tells apart the texts of rows that share an id."""
+    return F.xxhash64(text_or_empty())
+
+
 # ---- the operator -------------------------------------------------------------------
 
 
+def _blocks(placed: DataFrame, signs: DataFrame, held: DataFrame) -> DataFrame:
+    """key, x, y: pairs of blocks of each bucket, y null where x is to be compared within itself."""
+    sized = placed.join(held.select("node", F.octet_length("text").alias("bytes")), "node")
+    # a component with a block's worth of nodes (or bytes) in a bucket is a group by itself, the others are one
+    owns = sized.groupBy("key", "component").agg(F.count("*").alias("rows"), F.sum("bytes").alias("bytes"))
+    owns = owns.withColumn("part", F.when((F.col("rows") >= BLOCK) | (F.col("bytes") >= BLOCK_BYTES), F.col("component")))
+    owns = materialise(owns, "near-owns")
+    groups = owns.groupBy("key", "part").agg(
+        F.greatest(F.ceil(F.sum("rows") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")
+    )
+    groups = materialise(groups, "near-groups")
+    filled = (
+        placed.join(owns.select("key", "component", "part"), ["key", "component"])
+        .join(groups.withColumnRenamed("part", "p").withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & F.col("part").eqNullSafe(F.col("p")))
+        .select("key", "part", "node", "component", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+        .join(signs, "node")
+        .join(held, "node")
+        .groupBy("key", "part", "block")
+        .agg(F.collect_list(F.struct("node", "component", "registers", "text")).alias("members"))
+    )
+    filled = materialise(filled, "near-blocks")
+
+    def every(column: str):
+        return F.explode(F.sequence(F.lit(0), F.col(column) - 1))
+
+    one, two = groups.toDF("key", "px", "nx"), groups.toDF("key", "py", "ny")
+    # different components' groups, and the shared group with every component's
+    across = one.join(two, "key").filter((F.col("px") < F.col("py")) | (F.col("px").isNull() & F.col("py").isNotNull()))
+    across = across.withColumn("bx", every("nx")).withColumn("by", every("ny"))
+    inside = one.filter("px IS NULL").withColumn("bx", every("nx")).withColumn("by", F.explode(F.sequence(F.col("bx"), F.col("nx") - 1)))
+    wanted = across.select("key", "px", "bx", "py", "by").unionByName(inside.select("key", "px", "bx", F.lit(None).cast("long").alias("py"), "by"))
+    same = F.col("px").eqNullSafe(F.col("py")) & (F.col("bx") == F.col("by"))
+    left = filled.toDF("key", "px_", "bx", "x")
+    right = filled.toDF("key", "py_", "by", "y")
+    return (
+        wanted.join(left, ["key", "bx"])
+        .filter(F.col("px").eqNullSafe(F.col("px_")))
+        .withColumn("same", same)
+        .join(right, ["key", "by"])
+        .filter(F.col("py").eqNullSafe(F.col("py_")))
+        .select("key", "x", F.when(~F.col("same"), F.col("y")).alias("y"))
+    )
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs(doc_id, text)``.
+    """doc_id, n_shingles, component_id, kept, text_key, first for every row of ``docs(doc_id, text)``.
 
     width: words in a shingle.  percent: least similarity of a link, in hundredths.
-    kept: whether the row is its component's smallest id.
+    kept: whether the row's id is its component's smallest.  text_key: ``text_key()`` of its text.
+    first: whether id and text_key are those of the row that stands for the component.
     """
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), text_or_empty().alias("text"))
-    sets = materialise(rows.mapInArrow(_digest_sets(width), "id long, n long, s1 long, s2 long, registers binary"), "near-sets")
-    classes = materialise(
-        sets.filter("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("node"), F.first("registers").alias("registers")),
-        "near-classes",
-    )
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), text_key().alias("text_key"), text_or_empty().alias("text"))
+    sets = materialise(rows.mapInArrow(trimmed(_digest_sets(width)), "id long, text_key long, n long, s1 long, s2 long, registers binary"), "near-sets")
+    classes = sets.filter("n > 0").groupBy("s1", "s2").agg(F.min(F.struct("id", "text_key")).alias("least_row"), F.first("registers").alias("registers"))
+    # written at once, so the number stays
+    classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")
     bands = classes.select("node", "registers").mapInArrow(_bands, "key long, node long")
-    buckets = bands.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most")
-    buckets = materialise(buckets.select("key", "least", "size"), "near-buckets")
-    members = materialise(bands.join(buckets, "key").select("key", "node", "least", "size"), "near-members")
+    buckets = bands.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most")
+    buckets = materialise(buckets.select("key", "least"), "near-buckets")
+    members = materialise(bands.join(buckets, "key").select("key", "node", "least"), "near-members")
 
     signs = classes.select("node", "registers")
     # of the smallest nodes of its buckets each node takes the one that it meets most often
@@ -327,46 +382,37 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     floor = estimate_floor(percent / 100)
     first = materialise(likely.filter(F.col("likeness") >= floor).select("a", "b"), "near-stars")
 
-    # texts of nodes that share a bucket with another; a node's own text is that of any row with its set
+    # texts of nodes that share a bucket with another; a node's own text is that of the row that stands for it
     inside = members.select("node").distinct()
-    held = materialise(rows.join(inside, rows["id"] == inside["node"], "left_semi").groupBy("id").agg(F.first("text").alias("text")), "near-texts")
+    wanted = classes.join(inside, "node", "left_semi").select("node", F.col("least_row.id").alias("id"), F.col("least_row.text_key").alias("text_key"))
+    held = materialise(rows.join(wanted, ["id", "text_key"]).groupBy("node").agg(F.first("text").alias("text")), "near-texts")
 
     links = materialise(
-        first.join(held.toDF("b", "tb"), "b").join(held.toDF("a", "ta"), "a").select("a", "b", "ta", "tb").mapInArrow(_confirm(width, percent), "a long, b long"),
+        first.join(held.toDF("b", "tb"), "b").join(held.toDF("a", "ta"), "a").select("a", "b", "ta", "tb").mapInArrow(trimmed(_confirm(width, percent)), "a long, b long"),
         "near-links",
     )
     joined = components(links, "near-components")
     placed = materialise(
-        members.join(joined.withColumnRenamed("component", "c"), "node", "left").select("key", "node", "size", F.coalesce("c", "node").alias("component")),
+        members.join(joined.withColumnRenamed("component", "c"), "node", "left").select("key", "node", F.coalesce("c", "node").alias("component")),
         "near-placed",
     )
-    apart = materialise(placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key"), "near-apart")
-    blocks = (
-        placed.join(apart, "key")
-        .join(signs, "node")
-        .join(held.withColumnRenamed("id", "node"), "node")
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK)))
-        .groupBy("key", "block", "size")
-        .agg(F.collect_list(F.struct("node", "component", "registers", "text")).alias("members"))
-    )
-    blocks = materialise(blocks, "near-blocks")
-    tiles = (
-        blocks.select("key", F.col("block").alias("bx"), F.col("members").alias("x"))
-        .join(blocks.select("key", F.col("block").alias("by"), F.col("members").alias("y")), "key")
-        .filter("bx <= by")
-        .select("key", "bx", "by", "x", F.when(F.col("bx") < F.col("by"), F.col("y")).alias("y"))
-    )
-    later = materialise(tiles.mapInArrow(_link_blocks(floor, width, percent), "a long, b long"), "near-later")
+    apart = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
+    tiles = _blocks(materialise(placed.join(apart, "key"), "near-apart"), signs, held)
+    later = materialise(tiles.mapInArrow(trimmed(_link_blocks(floor, width, percent)), "a long, b long"), "near-later")
     final = components(links.unionByName(later), "near-final")
-    node_component = materialise(
-        classes.select("s1", "s2", "node").join(final, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component")),
-        "near-nodes",
+    named = materialise(
+        classes.join(final, "node", "left").select("s1", "s2", "least_row", F.coalesce("component", "node").alias("component")),
+        "near-named",
     )
-    placed_docs = sets.select("id", "n", "s1", "s2").join(node_component, ["s1", "s2"], "left")
-    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
-    return placed_docs.select(
+    least = named.groupBy("component").agg(F.min("least_row").alias("least_of_all"))
+    named = materialise(named.join(least, "component").select("s1", "s2", "least_of_all"), "near-nodes")
+    found = sets.select("id", "text_key", "n", "s1", "s2").join(named, ["s1", "s2"], "left")
+    component = F.when(F.col("n") > 0, F.col("least_of_all.id")).otherwise(F.col("id"))
+    return found.select(
         F.nullif("id", F.lit(_NO_ID)).alias("doc_id"),
         F.col("n").alias("n_shingles"),
         F.nullif(component, F.lit(_NO_ID)).alias("component_id"),
         (F.col("id") == component).alias("kept"),
+        "text_key",
+        F.when(F.col("n") > 0, F.col("least_of_all") == F.struct("id", "text_key")).otherwise(F.lit(True)).alias("first"),
     )

@@ -75,6 +75,40 @@ def test_groups_equal_brute_force(spark, monkeypatch, width):
         assert (got[i].component_id, got[i].n_shingles, got[i].kept) == (parts[i], sizes[i], parts[i] == i)
 
 
+def test_rows_that_share_an_id_keep_all_their_texts(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    a, b = [word() for _ in range(60)], [word() for _ in range(60)]
+    near = lambda t, at: " ".join([*t[:at], word(), *t[at + 1 :]])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a, 30)), (3, near(b, 20)), (None, near(b, 40)), (None, " ".join(a)), (None, near(a, 10)), (7, "alone")]
+    frame = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in rows], "doc_id long, text string, node string, component int, key int")
+    got = near_dup.near_duplicates(frame, width=4)
+    assert sorted(((r.doc_id or 0), r.component_id) for r in got.collect()) == [(0, 1), (0, 1), (0, 1), (1, 1), (1, 1), (2, 1), (3, 1), (7, 7)]
+    stands = sorted(r.doc_id for r in got.filter("first").collect())
+    assert stands == [1, 1, 7]  # one text of each of the two groups, which have the same smallest id
+
+
+def test_a_group_of_near_copies_and_one_outlier(spark, monkeypatch):
+    """The outlier shares buckets with many copies but is like only a few of them."""
+    monkeypatch.setattr(near_dup, "BLOCK", 16)
+    monkeypatch.setattr(near_dup, "BLOCK_BYTES", 6000)
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(200)]
+    group = []
+    for _ in range(150):
+        t = list(base)
+        for _ in range(rng.choice([1, 2, 3])):
+            t[rng.randrange(200)] = word()
+        group.append(t)
+    chain = [*base[:100], *[word() for _ in range(12)], *base[112:]]
+    chain2 = [*chain[:150], *[word() for _ in range(15)], *chain[165:]]
+    rows = [(i + 1, " ".join(t)) for i, t in enumerate([*group, chain, chain2])]
+    rng.shuffle(rows)
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == brute(rows, 5)[0]
+
+
 def test_odd_rows(spark):
     rows = [(5, None), (6, ""), (7, " \n\t "), (None, "one two three"), (8, "ONE two three"), (9, "one two three"), (9, "one two three"), (10, "one"), (11, "One"), (12, "à b"), (13, "À b"), (14, "x" * 200000)]
     got = near_dup.near_duplicates(spark.createDataFrame([(a, b, "q") for a, b in rows], "doc_id long, text string, id string"), width=4).collect()
