@@ -25,9 +25,11 @@ def without_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies; rows that share an id stay together."""
-    kept = near_dup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__kept")), "left_semi")
+    """Keeps one document of each group of near copies, that with the smallest id; of rows equal in id and text one stays."""
+    first = near_dup.near_duplicates(docs).filter("first").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("__id"), near_dup.text_key().alias("__key"))
+    kept = keyed.join(first, keyed["__id"].eqNullSafe(first["__id"]) & (keyed["__key"] == first["__key"]), "left_semi")
+    return kept.dropDuplicates(["__id", "__key"]).select("row.*")
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
