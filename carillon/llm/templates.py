@@ -1,18 +1,21 @@
 """Line dedup by a log-template tree, in DataFrame operations only.
 
 Words with a digit become ``<*>``.  The tree has a fixed depth: a line's leaf is its number
-of words and its first ``depth`` words.  Inside a leaf a word is fixed where at least
-``min_docs`` documents have it at that place; a line with at least ``similarity`` fixed
-places is an instance of the template that keeps its fixed words, takes the leaf's most
-frequent fixed word where its own is not fixed, and ``<*>`` where no word is.  A template in
-at least ``min_docs`` documents recurs: its lines are dropped, save for the first one in the
-document with the smallest id.
+of words and its first ``depth`` words.  Inside a leaf a word is fixed where enough
+documents have it at that place; a line with at least ``similarity`` fixed places is an
+instance of the template that keeps its fixed words, takes the leaf's most frequent fixed word
+where its own is not fixed, and ``<*>`` where no word is.  A template in enough documents
+recurs: its lines are dropped, save for the first one in the document with the smallest id.
+Enough are ``min_docs`` documents, but two for lines of ``long_words`` words or more, which
+chance does not repeat.
 
 Leaves that too few documents reach are left out before any text moves, and only distinct
 lines of leaves with several of them are taken apart into words.  Hot lines and templates
-are pre-aggregated, and joins on them are plain equi-joins that adaptive execution splits.
+are pre-aggregated, the lines of a hot leaf are dealt over several tasks, and joins on lines
+and templates are plain equi-joins that adaptive execution splits.
 
-Defined results: lines end at ``\\n``; lines of fewer than ``min_words`` words always stay; a
+Defined results: lines end at ``\\n``; lines of fewer than ``min_words`` words always stay, as
+chance repeats them; a
 null text stays null and has no lines; null ids count as one id behind all others; rows with
 equal id and text are one document and fare alike; an empty table gives no rows; other
 columns pass through untouched.
@@ -28,6 +31,10 @@ from .common import materialise
 DEPTH = 3
 MIN_DOCS = 3
 MIN_WORDS = 5
+#: From so many words on, two documents are enough.
+LONG_WORDS = 50
+#: Tasks over which the lines of one leaf are dealt.
+SALTS = 16
 SIMILARITY = 0.75
 
 _ID, _KEY = "__id", "__key"
@@ -60,33 +67,37 @@ def recurring_lines(
     min_docs: int = MIN_DOCS,
     min_words: int = MIN_WORDS,
     similarity: float = SIMILARITY,
+    long_words: int = LONG_WORDS,
 ) -> DataFrame:
     """__id, __key, pos: the lines of ``docs(doc_id, text)`` to drop."""
+    enough = F.when(F.size("l.words") >= long_words, min(2, min_docs)).otherwise(min_docs).alias("enough")  # one number a leaf
     known = docs.filter(F.col("text").isNotNull()).select(*_identity(docs), "text")
     long_enough = F.size("l.words") >= min_words
     # the outer forms: the others compute the array once more, to filter on its size
     places = known.select(_ID, _KEY, F.posexplode_outer(F.expr(_WITH_WORDS.format(_LINES))).alias("pos", "l")).filter(long_enough)
-    spots = materialise(places.select(_ID, _KEY, "pos", _leaf(depth).alias("leaf"), F.xxhash64("l.line").alias("line_key")), "line-spots")
+    spots = materialise(places.select(_ID, _KEY, "pos", _leaf(depth).alias("leaf"), F.xxhash64("l.line").alias("line_key"), enough), "line-spots")
 
     # leaves that enough documents reach (counted by line, so none is missed)
-    by_line = spots.groupBy("leaf", "line_key", _ID, _KEY).agg(F.lit(1).alias("one")).groupBy("leaf", "line_key").agg(F.count("*").alias("docs"))
-    leaves = by_line.groupBy("leaf").agg(F.sum("docs").alias("reached"), F.count("*").alias("variants")).filter(F.col("reached") >= min_docs)
+    by_line = spots.groupBy("leaf", "line_key", "enough", _ID, _KEY).agg(F.lit(1).alias("one")).groupBy("leaf", "line_key", "enough").agg(F.count("*").alias("docs"))
+    leaves = by_line.groupBy("leaf", "enough").agg(F.sum("docs").alias("reached"), F.count("*").alias("variants")).filter(F.col("reached") >= F.col("enough"))
+    salted = leaves.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
     distinct = known.select(F.explode_outer(F.expr(_WITH_WORDS.format(f"array_distinct({_LINES})"))).alias("l")).filter(long_enough)
     lines = (
         distinct.select(_leaf(depth).alias("leaf"), F.xxhash64("l.line").alias("line_key"), F.col("l.line").alias("line"))
-        .join(leaves, "leaf")
-        .groupBy("leaf", "line_key", "line", "variants")
+        .withColumn("salt", F.pmod("line_key", F.lit(SALTS)).cast("int"))
+        .join(salted, ["leaf", "salt"])
+        .groupBy("leaf", "salt", "line_key", "line", "variants", "enough")
         .agg(F.count("*").alias("docs"))
     )
     lines = materialise(lines, "line-variants")
-    alone = lines.filter((F.col("variants") == 1) & (F.col("docs") >= min_docs)).select("leaf", "line_key", F.xxhash64("leaf", "line").alias("template"))
+    alone = lines.filter((F.col("variants") == 1) & (F.col("docs") >= F.col("enough"))).select("leaf", "line_key", F.xxhash64("leaf", "line").alias("template"))
 
     words = (
         lines.filter(F.col("variants") > 1)
-        .select("leaf", "line_key", "docs", F.posexplode(F.split("line", " ")).alias("at", "word"))
+        .select("leaf", "line_key", "enough", "docs", F.posexplode(F.split("line", " ")).alias("at", "word"))
     )
-    fixed = words.groupBy("leaf", "at", "word").agg(F.sum("docs").alias("n")).filter(F.col("n") >= min_docs)
+    fixed = words.groupBy("leaf", "at", "word", "enough").agg(F.sum("docs").alias("n")).filter(F.col("n") >= F.col("enough"))
     usual = fixed.groupBy("leaf", "at").agg(F.min_by("word", F.struct(-F.col("n"), F.col("word"))).alias("usual"))
     several = (
         words.join(fixed.select("leaf", "at", "word", F.lit(1).alias("is_fixed")), ["leaf", "at", "word"], "left")
@@ -101,10 +112,10 @@ def recurring_lines(
         .filter(F.col("fixed") >= F.lit(similarity) * F.col("n"))
         .select("leaf", "line_key", F.xxhash64("leaf", F.concat_ws(" ", F.col("parts.part"))).alias("template"))
     )
-    found = spots.join(alone.unionByName(several), ["leaf", "line_key"]).select(_ID, _KEY, "pos", "template")
+    found = spots.join(alone.unionByName(several), ["leaf", "line_key"]).select(_ID, _KEY, "pos", "template", "enough")
     found = materialise(found, "line-templates")
-    in_docs = found.groupBy("template", _ID, _KEY).agg(F.min("pos").alias("pos"))
-    recurring = in_docs.groupBy("template").agg(F.count("*").alias("docs"), F.min(_ID).alias("first_id")).filter(F.col("docs") >= min_docs).drop("docs")
+    in_docs = found.groupBy("template", "enough", _ID, _KEY).agg(F.min("pos").alias("pos"))
+    recurring = in_docs.groupBy("template", "enough").agg(F.count("*").alias("docs"), F.min(_ID).alias("first_id")).filter(F.col("docs") >= F.col("enough")).select("template", "first_id")
     named = found.join(recurring, "template")
     first = (
         in_docs.join(recurring, "template")
@@ -150,6 +161,8 @@ def line_digest(docs: DataFrame, **settings) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("kept_chars"), F.md5(F.col("text").cast("binary")).alias("kept_md5"))
 
 
+_ENOUGH = f"CASE WHEN len(w) >= {LONG_WORDS} THEN 2 ELSE {MIN_DOCS} END"
+
 DIGEST_SQL = f"""
 WITH raw AS (
   SELECT d.doc_id, t.i - 1 AS pos, d.ls[t.i] AS l
@@ -159,13 +172,13 @@ WITH raw AS (
 ), cut AS (
   SELECT *, string_split(line, ' ') AS w FROM masked
 ), spots AS (
-  SELECT *, len(w) || ' ' || array_to_string(w[1:{DEPTH}], ' ') AS leaf FROM cut WHERE len(w) >= {MIN_WORDS}
+  SELECT *, {_ENOUGH} AS enough, len(w) || ' ' || array_to_string(w[1:{DEPTH}], ' ') AS leaf FROM cut WHERE len(w) >= {MIN_WORDS}
 ), lines AS (
-  SELECT leaf, line, w, count(DISTINCT doc_id) AS docs FROM spots GROUP BY ALL
+  SELECT leaf, enough, line, w, count(DISTINCT doc_id) AS docs FROM spots GROUP BY ALL
 ), words AS (
-  SELECT leaf, line, docs, t.i AS place, w[t.i] AS word FROM lines, unnest(range(1, len(w) + 1)) AS t(i)
+  SELECT leaf, enough, line, docs, t.i AS place, w[t.i] AS word FROM lines, unnest(range(1, len(w) + 1)) AS t(i)
 ), fixed AS (
-  SELECT leaf, place, word, sum(docs) AS n FROM words GROUP BY ALL HAVING sum(docs) >= {MIN_DOCS}
+  SELECT leaf, enough, place, word, sum(docs) AS n FROM words GROUP BY ALL HAVING sum(docs) >= enough
 ), usual AS (
   SELECT leaf, place, word AS usual FROM fixed QUALIFY row_number() OVER (PARTITION BY leaf, place ORDER BY n DESC, word) = 1
 ), templates AS (
@@ -173,9 +186,9 @@ WITH raw AS (
   FROM words LEFT JOIN fixed USING (leaf, place, word) LEFT JOIN usual USING (leaf, place)
   GROUP BY words.leaf, line HAVING count(fixed.n) >= {SIMILARITY} * count(*)
 ), found AS (
-  SELECT doc_id, pos, leaf, template FROM spots JOIN templates USING (leaf, line)
+  SELECT doc_id, pos, leaf, enough, template FROM spots JOIN templates USING (leaf, line)
 ), recurring AS (
-  SELECT leaf, template, min(doc_id) AS first_id FROM found GROUP BY ALL HAVING count(DISTINCT doc_id) >= {MIN_DOCS}
+  SELECT leaf, enough, template, min(doc_id) AS first_id FROM found GROUP BY ALL HAVING count(DISTINCT doc_id) >= enough
 ), firsts AS (
   SELECT leaf, template, first_id, min(pos) AS first_pos FROM found JOIN recurring USING (leaf, template) WHERE doc_id = first_id GROUP BY ALL
 ), dropped AS (
