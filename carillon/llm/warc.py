@@ -1,28 +1,34 @@
 """WARC files of web pages and a Merkle audit of their replicas.
 
 ``write_warc`` writes pages as WARC/1.1 resource records, ``read_warc`` reads files back.
-The audit hashes every record and builds a tree for each file: a node is the hash of its
-ordered offset range and of its children's hashes.  Replicas are compared at the roots; only
-children of differing nodes are looked at further, down to the records.
-
-Files are numbered by a hash of the page id and hold a bounded number of records whatever
-hosts the pages have; only hashes, lengths and ids are shuffled.
-
-Defined results: null urls and texts are empty ones; a null page_id is an id of its own;
+``leaves_of_files`` hashes every record as it stands in its file; the audit builds a tree for
+each file: a node is the hash of its ordered offset range and of its children's hashes.
+Replicas are compared at the roots; only children of differing nodes are looked at further,
+down to the records.  ``fixity`` writes both replicas, reads the files back and audits what
+was read.
+
+Files are numbered by a hash of page id and url and hold about a bounded number of records
+whatever hosts the pages have (rows that agree in both are in one file); beyond the write only
+hashes, lengths and ids are shuffled.
+
+Defined results: null urls and texts are empty ones, line ends in a url are
+%0D and %0A; a null page_id is an id of its own;
 records of one file are ordered by page_id (nulls first), url and digest, so repeated rows
-stand side by side; a record that one replica lacks or has changed is damaged; an empty table
-gives no rows; other columns are ignored.
+stand side by side; a record that one replica lacks or has changed is damaged; in a file,
+what follows a place where no record begins is not read; an empty table gives no rows; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, scratch_path, trimmed
 
 FILE_RECORDS = 512
 FAN_OUT = 16
@@ -30,6 +36,8 @@ FAN_OUT = 16
 HEAD = "WARC/1.1"
 DATE = "1970-01-01T00:00:00Z"
 _END = "\r\n\r\n"
+#: A field of our own: the page's id in decimal, empty for a null one.
+PAGE_FIELD = "X-Page-Id"
 
 
 def _field(name: str) -> Column:
@@ -42,13 +50,14 @@ def record_text() -> Column:
     md5 = F.md5(F.concat(F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(" "), _field("url")).cast("binary"))
     name = F.regexp_replace(md5, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
     return F.concat(
-        F.lit(f"{HEAD}\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:"), name, F.lit(f">\r\nWARC-Date: {DATE}\r\nWARC-Target-URI: "), _field("url"),
+        F.lit(f"{HEAD}\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:"), name, F.lit(f">\r\nWARC-Date: {DATE}\r\nWARC-Target-URI: "), F.replace(F.replace(_field("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")),
+        F.lit(f"\r\n{PAGE_FIELD}: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")),
         F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(_field("html")).cast("string"), line, line, _field("html"),
     )
 
 
 def file_number(files: int) -> Column:
-    key = F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit("")).cast("binary"))
+    key = F.md5(F.concat(F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(" "), _field("url")).cast("binary"))
     return F.pmod(F.conv(F.substring(key, 1, 8), 16, 10).cast("long"), F.lit(files)).cast("int")
 
 
@@ -67,48 +76,58 @@ def write_warc(pages: DataFrame, path: str, files: int | None = None) -> None:
 _RECORD = re.compile(rb"WARC/1\.1\r\n(.*?)\r\n\r\n", re.DOTALL)
 
 
+def _records(content: bytes):
+    """(start, end of the head, end, fields) of each record, up to a place where none begins."""
+    at = 0
+    while at < len(content):
+        m = _RECORD.match(content, at)
+        if m is None:
+            return
+        head = dict(line.partition(b": ")[::2] for line in m[1].split(b"\r\n"))
+        size = head.get(b"Content-Length", b"")
+        if not size.isdigit():
+            return
+        end = min(m.end() + int(size), len(content))
+        yield at, m.end(), end, head
+        at = end + len(_END)
+
+
 def _parse(batches):
     for batch in batches:
         for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            offsets, lengths, urls, blocks, at = [], [], [], [], 0
-            while at < len(content):
-                m = _RECORD.match(content, at)
-                if m is None:
-                    break  # what follows is no record
-                head = dict(line.split(b": ", 1) for line in m[1].split(b"\r\n"))
-                end = m.end() + int(head[b"Content-Length"])
-                offsets.append(at)
-                lengths.append(end - at)
-                urls.append(head[b"WARC-Target-URI"].decode())
-                blocks.append(content[m.end() : end])
-                at = end + len(_END)
+            rows = [(a, e - a, h.get(b"WARC-Target-URI", b"").decode("utf-8", "replace"), content[b:e]) for a, b, e, h in _records(content)]
+            offsets, lengths, urls, blocks = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([pa.array([file] * len(urls), pa.int32()), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64()), pa.array(urls, pa.string()), pa.array(blocks, pa.binary())], ["file", "offset", "length", "url", "block"])
 
 
+def _digests(batches):
+    for batch in batches:
+        for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            rows = [(h.get(PAGE_FIELD.encode(), b""), a, e - a, hashlib.sha256(memoryview(content)[a:e]).hexdigest()) for a, _, e, h in _records(content)]
+            names, offsets, lengths, digests = zip(*rows) if rows else ((), (), (), ())
+            ids = [int(n) if re.fullmatch(rb"-?[0-9]{1,19}", n) else None for n in names]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([file] * len(ids), pa.int32()), pa.array(range(len(ids)), pa.int64()), pa.array(ids, pa.int64()), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64()), pa.array(digests, pa.string())],
+                ["file", "record_no", "page_id", "offset", "length", "digest"],
+            )
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path)
+    return found.select(F.regexp_extract("path", "file=([0-9]+)", 1).cast("int").alias("file"), "content")
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """file, offset, length, url, block of every record of the files that ``write_warc`` wrote."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path)
-    named = found.select(F.regexp_extract("path", "file=([0-9]+)", 1).cast("int").alias("file"), "content")
-    return named.mapInArrow(_parse, "file int, offset long, length long, url string, block binary")
+    return _files(spark, path).mapInArrow(trimmed(_parse), "file int, offset long, length long, url string, block binary")
 
 
-# ---- trees --------------------------------------------------------------------------
+def leaves_of_files(spark: SparkSession, path: str) -> DataFrame:
+    """file, record_no, page_id, offset, length, digest: one leaf for each record of the files."""
+    return _files(spark, path).mapInArrow(trimmed(_digests), "file int, record_no long, page_id long, offset long, length long, digest string")
 
 
-def leaves(pages: DataFrame, files: int) -> DataFrame:
-    """file, record_no, page_id, offset, length, digest: one leaf for each record."""
-    text = record_text().cast("binary")
-    rows = pages.select(file_number(files).alias("file"), F.col("page_id").cast("long").alias("page_id"), _field("url").alias("url"), F.octet_length(text).cast("long").alias("length"), F.sha2(text, 256).alias("digest"))
-    order = Window.partitionBy("file").orderBy("page_id", "url", "digest")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    return rows.select(
-        "file",
-        (F.row_number().over(order) - 1).cast("long").alias("record_no"),
-        "page_id",
-        F.coalesce(F.sum(F.col("length") + len(_END)).over(before), F.lit(0)).alias("offset"),
-        "length",
-        "digest",
-    )
+# ---- trees --------------------------------------------------------------------------
 
 
 def tree(leaf: DataFrame, depth: int) -> list[DataFrame]:
@@ -121,6 +140,7 @@ def tree(leaf: DataFrame, depth: int) -> list[DataFrame]:
             .agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.array_sort(F.collect_list(F.struct("at", "hash"))).alias("children"))
             .select("file", "at", "start", "stop", F.sha2(F.concat_ws(":", F.col("start").cast("string"), F.col("stop").cast("string"), F.concat_ws("", "children.hash")).cast("binary"), 256).alias("hash"))
         )
+        level = materialise(level, "warc-level")
         levels.append(level)
     return levels
 
@@ -143,9 +163,18 @@ def audit(first: list[DataFrame], second: list[DataFrame]) -> tuple[DataFrame, D
 
 
 def fixity(pages: DataFrame, replica: DataFrame, records: int = FILE_RECORDS) -> DataFrame:
-    """Every record of ``pages`` with its place, hash, whether its file's root agrees, and whether it is damaged in the replica."""
+    """Writes both as WARC files and audits what the files hold; see ``fixity_of_files``."""
     files = file_count(pages, records)
-    one, two = materialise(leaves(pages, files), "warc-leaves"), materialise(leaves(replica, files), "warc-replica")
+    spark = pages.sparkSession
+    paths = scratch_path(spark, "warc-first"), scratch_path(spark, "warc-second")
+    for held, path in zip((pages, replica), paths, strict=True):
+        write_warc(held, path, files)
+    return fixity_of_files(spark, *paths)
+
+
+def fixity_of_files(spark: SparkSession, first: str, second: str) -> DataFrame:
+    """Every record of the files at ``first`` with its place, hash, whether its file's root agrees, and whether it is damaged at ``second``."""
+    one, two = (materialise(leaves_of_files(spark, p), "warc-leaves") for p in (first, second))
     most = one.unionByName(two).agg(F.max("record_no")).first()[0] or 0
     depth, reach = 1, FAN_OUT
     while reach <= most:
@@ -174,13 +203,13 @@ def _sql_leaves(source: str) -> str:
     record = (
         f"'{HEAD}' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:uuid:' || "
         "substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-' || substr(m, 13, 4) || '-' || substr(m, 17, 4) || '-' || substr(m, 21) || '>' || chr(13) || chr(10) || "
-        f"'WARC-Date: {DATE}' || chr(13) || chr(10) || 'WARC-Target-URI: ' || u || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || "
+        f"'WARC-Date: {DATE}' || chr(13) || chr(10) || 'WARC-Target-URI: ' || replace(replace(u, chr(13), '%0D'), chr(10), '%0A') || chr(13) || chr(10) || '{PAGE_FIELD}: ' || coalesce(page_id::VARCHAR, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || "
         "'Content-Length: ' || strlen(h) || chr(13) || chr(10) || chr(13) || chr(10) || h"
     )
     return f"""
       SELECT f, page_id, row_number() OVER w - 1 AS record_no, coalesce(sum(n + 4) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off, n, d
       FROM (SELECT f, page_id, u, strlen(r)::BIGINT AS n, sha256(r) AS d FROM (
-        SELECT page_id, u, {record} AS r, ('0x' || substr(md5(coalesce(page_id::VARCHAR, '')), 1, 8))::BIGINT % (SELECT greatest(1, ceil(count(*) / {FILE_RECORDS}.0)::BIGINT) FROM pages) AS f
+        SELECT page_id, u, {record} AS r, ('0x' || substr(m, 1, 8))::BIGINT % (SELECT greatest(1, ceil(count(*) / {FILE_RECORDS}.0)::BIGINT) FROM pages) AS f
         FROM (SELECT page_id, coalesce(url, '') AS u, coalesce(html, '') AS h, md5(coalesce(page_id::VARCHAR, '') || ' ' || coalesce(url, '')) AS m FROM {source})))
       WINDOW w AS (PARTITION BY f ORDER BY page_id NULLS FIRST, u, d)"""
 
