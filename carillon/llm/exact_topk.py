@@ -8,7 +8,9 @@ set is stated, blocks are bounded, and no row meets another outside a tile.
 Defined results: components become floor(256 * x); vectors that are null or hold null or
 non-finite components take no part, nor do rows without an id; vectors of another dimension
 are no candidates; ties go to the smaller vec_id; of repeated rows each is a candidate,
-those with the query's own id are not; products are exact up to 64 bits (beyond, they are
+those with the query's own id are not; a query's id with several vectors asks with each of them
+and gets the best of all its answers; an empty table gives no rows; other columns, whatever their
+names, are ignored; products are exact up to 64 bits (beyond, they are
 ranked exactly and reported as the nearest 64-bit integer).
 """
 
@@ -19,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
-from .vectors import matrix, spread, top, usable
+from .common import materialise, trimmed
+from .vectors import in_turn, matrix, spread, top, usable
 
 QUERY_BLOCK, SHARD = 1024, 8192
 _EXACT = float(1 << 53)
@@ -43,9 +45,13 @@ def _to_block(key: tuple, table: pa.Table) -> pa.Table:
 
 
 def as_blocks(vectors: DataFrame, rows: int, name: str) -> DataFrame:
-    """dim, block, ids, values: every dimension's vectors in blocks numbered from 0 without order."""
+    """dim, block, ids, values: every dimension's vectors in blocks numbered from 0 without order.
+
+    Spread by ``turn`` where there is one, so that equal rows are not one block.
+    """
     sizes = vectors.groupBy("dim").agg(F.count("*").alias("n"))
-    numbered = vectors.join(sizes, "dim").withColumn("block", spread(F.col("n"), rows, "vec_id", "v"))
+    by = ["turn"] if "turn" in vectors.columns else ["vec_id", "v"]
+    numbered = vectors.join(sizes, "dim").withColumn("block", spread(F.col("n"), rows, *by))
     blocks = numbered.select("dim", "block", "vec_id", "v").groupBy("dim", "block").applyInArrow(_to_block, "dim int, block long, ids binary, values binary")
     return materialise(blocks, name)
 
@@ -101,7 +107,7 @@ def _tile(k: int):
 def exact_top_k(vectors: DataFrame, every: int = 50, k: int = 5, query_block: int = QUERY_BLOCK, shard: int = SHARD) -> DataFrame:
     """query_id, rank, vec_id, score; queries are the rows whose vec_id is divisible by ``every``."""
     fine = usable(vectors)
-    shards = as_blocks(fine, shard, "shards")
+    shards = as_blocks(in_turn(fine), shard, "shards")
     asked = as_blocks(fine.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"]), query_block, "query-blocks")
     counts = shards.groupBy("dim").agg((F.max("block") + 1).alias("n"))
     most = counts.agg(F.max("n")).first()[0] or 1
@@ -111,5 +117,21 @@ def exact_top_k(vectors: DataFrame, every: int = 50, k: int = 5, query_block: in
         .join(shards, ["dim", "block"])
         .select("dim", "block", "q_ids", "q_values", "ids", "values")
     )
-    partial = tiles.mapInArrow(_tile(k), "query_id long, vec_id long, score long, exact string, part long")
+    partial = tiles.mapInArrow(trimmed(_tile(k)), "query_id long, vec_id long, score long, exact string, part long")
     return top(partial, k, [F.bitwise_not("score"), F.col("exact")], parts=int(most))
+
+
+TOP_SQL = """
+WITH fine AS (
+  SELECT row_number() OVER () AS turn, vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), whole AS (
+  SELECT turn, vec_id, len(e) AS dim, list_transform(e, lambda x: floor(256 * x)::BIGINT) AS z FROM fine
+), asked AS (SELECT DISTINCT vec_id, dim, z FROM whole WHERE vec_id % 50 = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CASE WHEN q.dim = 0 THEN 0 ELSE list_sum(list_transform(range(1, q.dim + 1), lambda i: q.z[i] * c.z[i])) END::BIGINT AS score, c.turn
+  FROM asked q JOIN whole c ON q.dim = c.dim AND q.vec_id <> c.vec_id
+)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id, turn))::INTEGER AS "rank", vec_id, score
+FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id, turn) <= 5
+"""

@@ -3,15 +3,20 @@
 Coarse centroids and the codebooks of the residuals' subspaces are fitted on the driver over
 a bounded sample; every row is then assigned and encoded where it lies.  A list is held in
 blocks of bounded size, so a list that many equal vectors share is many blocks.  A query
-goes to its nearest lists; there asymmetric distance tables give approximate distances, the
-best of each block go on, and the best of all are reranked by their exact distance.  How many
-lists are probed is measured against brute force within the sample, whose neighbours are
-farther apart than those of the whole table, so the share found there is a low estimate.
+goes to its nearest lists; there asymmetric distance tables give approximate distances.  A
+row's own quantisation error, kept beside its code, bounds its true distance on both sides, so
+every row of a block that may be among the ``k`` nearest is reranked by its exact distance,
+however many there are, and ``k`` of each block are merged as a tree.  Nothing that the probed
+lists hold is lost, near copies with equal codes included.  The number of lists grows with the
+table; how many are probed is measured against brute force within the sample, whose neighbours
+are farther apart than those of the whole table, so the share found there is a low estimate.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no
 part, nor do rows without an id or of another dimension than the index (the most frequent
-one, the smaller of equally frequent ones); ties go to the smaller vec_id; of repeated rows each is a candidate, those with
-the query's own id are not; an empty table gives no rows.
+one, the smaller of equally frequent ones); ties go to the smaller vec_id; of repeated rows
+each is a candidate, those with the query's own id are not; of rows that share a query's id the
+least vector, element by element, asks; an empty table gives no rows; other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
@@ -23,17 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
-from .vectors import matrix, spread, usable
+from .common import materialise, trimmed
+from .vectors import in_turn, matrix, spread, top, usable
 
 #: Rows that the index is fitted on at most: those with the smallest hash of their id and values.
 SAMPLE_ROWS = 16_384
-LISTS = 64
+#: Lists: the square root of the number of rows, within these bounds.
+FEWEST_LISTS, MOST_LISTS = 64, 1024
 #: The share of true neighbours in the sample that the probed lists must hold.
 RECALL = 0.97
 SUBSPACES, CODES = 16, 256
-#: Approximate candidates that each query reranks.
-RERANK = 200
 LIST_BLOCK, QUERY_BLOCK = 4096, 512
 
 
@@ -92,7 +96,7 @@ def _k_means(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     return centres
 
 
-def fit_index(sample: np.ndarray, lists: int = LISTS, subspaces: int = SUBSPACES, codes: int = CODES, rounds: int = 8) -> Index:
+def fit_index(sample: np.ndarray, lists: int = FEWEST_LISTS, subspaces: int = SUBSPACES, codes: int = CODES, rounds: int = 8) -> Index:
     x = np.asarray(sample, np.float64)
     dim = x.shape[1]
     centroids = _k_means(x, lists, rounds, 1)
@@ -109,7 +113,12 @@ def _assign(index: Index):
             x = matrix(batch.column(1), index.dim)
             lists = index.assign(x)
             codes = index.encode(x, lists) if len(x) else np.zeros((0, len(index.books)), np.uint8)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "list", "codes"])
+            coded = np.concatenate([book[codes[:, s]] for s, book in enumerate(index.books)], 1) + index.centroids[lists]
+            error = np.sqrt(((x - coded) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(lists.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), batch.column(1)],
+                ["vec_id", "list", "codes", "error", "v"],
+            )
 
     return run
 
@@ -118,7 +127,16 @@ def _pack_list(key: tuple, table: pa.Table) -> pa.Table:
     ids = table.column("vec_id").combine_chunks().to_numpy()
     order = np.argsort(ids, kind="stable")
     codes = table.column("codes").combine_chunks().to_pylist()
-    return pa.table({"list": pa.array([key[0].as_py()], pa.int32()), "ids": [ids[order].tobytes()], "codes": [b"".join(codes[i] for i in order)]})
+    column = table.column("v").combine_chunks()
+    values = matrix(column, len(column[0]))[order]
+    return pa.table({
+        "list": pa.array([key[0].as_py()], pa.int32()),
+        "block": pa.array([key[1].as_py()], pa.int64()),
+        "ids": [ids[order].tobytes()],
+        "codes": [b"".join(codes[i] for i in order)],
+        "errors": [table.column("error").combine_chunks().to_numpy()[order].tobytes()],
+        "values": [np.ascontiguousarray(values).tobytes()],
+    })
 
 
 def _probe(index: Index, probes: int):
@@ -139,33 +157,54 @@ def _pack_queries(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"list": pa.array([key[0].as_py()], pa.int32()), "q_ids": [table.column("query_id").combine_chunks().to_numpy().tobytes()], "q_values": [np.ascontiguousarray(q).tobytes()]})
 
 
-def _scan(index: Index, keep: int):
-    """For every query of a block the ``keep`` best rows of a list's block by approximate distance."""
+def _nearest_of_block(q: np.ndarray, x: np.ndarray, far: np.ndarray, error: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` rows of ``x`` nearest to ``q`` (ties by place) and their exact distances.
+
+    far: approximate distances; the true ones are within ``error`` of them.
+    """
+    slack = 1e-9 * (1 + float(far.max(initial=0)))
+    if len(x) > k:
+        reach = np.partition(far + error, k - 1)[k - 1]
+        some = np.flatnonzero(far - error <= reach + slack)
+    else:
+        some = np.arange(len(x))
+    rest = x[some] - q
+    exact = np.sqrt((rest * rest).sum(1))
+    best = np.argsort(exact, kind="stable")[:k]
+    return some[best], exact[best]
+
+
+def _scan(index: Index, k: int, parts: int):
+    """For every query of a block the ``k`` nearest rows of a list's block."""
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 qi, ids = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
                 q = np.frombuffer(row["q_values"], np.float64).reshape(len(qi), index.dim)
+                x = np.frombuffer(row["values"], np.float64).reshape(len(ids), index.dim)
                 codes = np.frombuffer(row["codes"], np.uint8).reshape(len(ids), len(index.books))
-                queries, found, far = [], [], []
+                errors = np.frombuffer(row["errors"], np.float64)
+                queries, found, scores = [], [], []
                 for a in range(0, len(qi), 64):
                     tables = index.tables(q[a : a + 64], row["list"])
                     distance = np.zeros((tables.shape[0], len(ids)))
                     for s in range(codes.shape[1]):
                         distance += tables[:, s, codes[:, s]]
+                    distance = np.sqrt(distance)
                     for i, line in enumerate(distance):
                         others = np.flatnonzero(ids != qi[a + i])
-                        own = line[others]
-                        if len(own) > keep:
-                            cut = np.partition(own, keep - 1)[keep - 1]
-                            others = others[own <= cut]
-                            own = line[others]
-                        best = np.argsort(own, kind="stable")[:keep]
+                        if len(others) < len(ids):
+                            best, score = _nearest_of_block(q[a + i], x[others], line[others], errors[others], k)
+                            best = others[best]
+                        else:
+                            best, score = _nearest_of_block(q[a + i], x, line, errors, k)
                         queries.append(np.full(len(best), qi[a + i]))
-                        found.append(ids[others[best]])
-                        far.append(own[best])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (queries, found, far)], ["query_id", "vec_id", "far"])
+                        found.append(ids[best])
+                        scores.append(score)
+                part = (row["list"] * 7919 + row["block"]) % parts
+                columns = [pa.array(np.concatenate(c)) for c in (queries, found, scores)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(columns[0]), part))], ["query_id", "vec_id", "score", "part"])
 
     return run
 
@@ -196,8 +235,8 @@ def nearest_neighbours(
     every: int = 100,
     k: int = 10,
     recall: float = RECALL,
-    rerank: int = RERANK,
     sample_rows: int = SAMPLE_ROWS,
+    lists: int | None = None,
 ) -> DataFrame:
     """query_id, rank, vec_id, score; queries are the rows whose vec_id is divisible by ``every``."""
     spark = vectors.sparkSession
@@ -205,33 +244,25 @@ def nearest_neighbours(
     common = fine.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
     if common is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = common["dim"]
+    dim, rows = common["dim"], common["count"]
     fine = fine.filter(F.col("dim") == dim).select("vec_id", "v")
     sample = index_sample(fine, dim, sample_rows)
-    index = fit_index(sample)
+    index = fit_index(sample, lists or min(max(int(rows**0.5), FEWEST_LISTS), MOST_LISTS))
     probes = needed_probes(index, sample, k, recall)
 
-    coded = materialise(fine.mapInArrow(_assign(index), "vec_id long, list int, codes binary"), "ivf-codes")
+    coded = materialise(fine.mapInArrow(trimmed(_assign(index)), "vec_id long, list int, codes binary, error double, v array<double>"), "ivf-codes")
     sizes = coded.groupBy("list").agg(F.count("*").alias("n"))
-    blocks = coded.join(sizes, "list").withColumn("block", spread(F.col("n"), LIST_BLOCK, "vec_id", "codes")).select("list", "block", "vec_id", "codes")
-    lists = materialise(blocks.groupBy("list", "block").applyInArrow(_pack_list, "list int, ids binary, codes binary"), "ivf-lists")
+    blocks = in_turn(coded).join(sizes, "list").withColumn("block", spread(F.col("n"), LIST_BLOCK, "turn")).select("list", "block", "vec_id", "codes", "error", "v")
+    packed = blocks.groupBy("list", "block").applyInArrow(_pack_list, "list int, block long, ids binary, codes binary, errors binary, values binary")
+    packed = materialise(packed, "ivf-lists")
 
-    queries = fine.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
+    queries = fine.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     asked = queries.mapInArrow(_probe(index, probes), "query_id long, v array<double>, list int")
     asked = materialise(asked, "ivf-probes")
     askers = asked.groupBy("list").agg(F.count("*").alias("n"))
     groups = asked.join(askers, "list").withColumn("block", spread(F.col("n"), QUERY_BLOCK, "query_id")).select("list", "block", "query_id", "v")
     groups = materialise(groups.groupBy("list", "block").applyInArrow(_pack_queries, "list int, q_ids binary, q_values binary"), "ivf-queries")
 
-    near = groups.join(lists, "list").mapInArrow(_scan(index, rerank), "query_id long, vec_id long, far double")
-    best = near.groupBy("query_id", F.pmod(F.xxhash64("vec_id"), F.lit(16)).alias("part")).agg(F.slice(F.array_sort(F.collect_list(F.struct("far", "vec_id"))), 1, rerank).alias("c"))
-    best = best.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("c"))), 1, rerank).alias("c"))
-    candidates = best.select("query_id", F.explode("c.vec_id").alias("vec_id")).distinct()
-    square = F.aggregate(F.zip_with("q", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    exact = (
-        candidates.join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
-        .join(fine, "vec_id")
-        .select("query_id", F.struct(F.sqrt(square).alias("score"), F.col("vec_id")).alias("entry"))
-    )
-    ranked = exact.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list("entry")), 1, k).alias("entries"))
-    return ranked.select("query_id", F.posexplode("entries").alias("rank", "entry")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("entry.vec_id").alias("vec_id"), F.col("entry.score").alias("score"))
+    parts = min(4096, max(1, rows // LIST_BLOCK))
+    near = groups.join(packed, "list").mapInArrow(trimmed(_scan(index, k, parts)), "query_id long, vec_id long, score double, part long")
+    return top(near, k, [F.col("score")], parts=parts)

@@ -416,3 +416,29 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         "text_key",
         F.when(F.col("n") > 0, F.col("least_of_all") == F.struct("id", "text_key")).otherwise(F.lit(True)).alias("first"),
     )
+
+
+#: For 4-word shingles at 80 hundredths.
+LINK_SQL = r"""
+WITH RECURSIVE cut AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS s
+  FROM cut
+), classes AS (
+  SELECT min(doc_id) AS node, any_value(s) AS s, len(any_value(s)) AS n, list_sort(s) AS k FROM sets WHERE len(s) > 0 GROUP BY list_sort(s)
+), grams AS (SELECT node, n, unnest(s) AS g FROM classes),
+pairs AS (
+  SELECT a.node AS a, b.node AS b FROM grams a JOIN grams b ON a.g = b.g AND a.node < b.node AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), edges AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach(node, seen) AS (
+  SELECT node, node FROM classes
+  UNION
+  SELECT edges.b, reach.seen FROM reach JOIN edges ON edges.a = reach.node WHERE reach.seen < edges.b
+), least AS (SELECT node, min(seen) AS component FROM reach GROUP BY node)
+SELECT sets.doc_id, len(sets.s) AS n_shingles, coalesce(least.component, sets.doc_id) AS component_id, coalesce(least.component, sets.doc_id) = sets.doc_id AS kept
+FROM sets LEFT JOIN classes ON classes.k = list_sort(sets.s) LEFT JOIN least ON least.node = classes.node
+"""

@@ -51,7 +51,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), width=4)
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), width=4).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,5 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_line_templates": templates.DIGEST_SQL,
+    "op4_exact_top_k": exact_topk.TOP_SQL,
     "op7_warc_fixity": warc.FIXITY_SQL,
+    "op9_near_dup": near_dup.LINK_SQL,
 }

@@ -22,6 +22,14 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)
 
 
+def in_turn(scanned: DataFrame) -> DataFrame:
+    """Adds ``turn``, a number for each row, equal rows included.
+
+    For what a scan gives without a shuffle, whose partitions come out alike when a lost task runs again.
+    """
+    return scanned.withColumn("turn", F.monotonically_increasing_id())
+
+
 def spread(count: Column, rows: int, *by: str) -> Column:
     """A block number for each row, about ``rows`` rows a block; a row run again gets the same one."""
     return F.pmod(F.xxhash64(*by), F.greatest(F.ceil(count / rows), F.lit(1)))
