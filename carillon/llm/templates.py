@@ -11,8 +11,8 @@ chance does not repeat.
 
 Leaves that too few documents reach are left out before any text moves, and only distinct
 lines of leaves with several of them are taken apart into words.  Hot lines and templates
-are pre-aggregated, the lines of a hot leaf are dealt over several tasks, and joins on lines
-and templates are plain equi-joins that adaptive execution splits.
+are pre-aggregated, and joins are plain equi-joins that adaptive execution may split where a
+leaf, a line or a template is hot.
 
 Defined results: lines end at ``\\n``; lines of fewer than ``min_words`` words always stay, as
 chance repeats them; a
@@ -33,8 +33,6 @@ MIN_DOCS = 3
 MIN_WORDS = 5
 #: From so many words on, two documents are enough.
 LONG_WORDS = 50
-#: Tasks over which the lines of one leaf are dealt.
-SALTS = 16
 SIMILARITY = 0.75
 
 _ID, _KEY = "__id", "__key"
@@ -48,17 +46,17 @@ def _identity(docs: DataFrame) -> list[Column]:
 
 
 #: SQL: the lines of ``text`` with single spaces and words with a digit as <*>, each with its
-#: words.  Most lines have neither odd spaces nor digits and skip both replacements.
+#: number of words.  Most lines have neither odd spaces nor digits and skip both replacements.
 _LINES = (
     r"transform(transform(split(text, '\\n'), "
     r"l -> trim(if(contains(l, '  ') OR l RLIKE '[\\t\\x0B\\f\\r]', regexp_replace(l, '[ \\t\\x0B\\f\\r]+', ' '), l))), "
     r"l -> if(l RLIKE '[0-9]', regexp_replace(l, '(?<![^ ])[^ 0-9]*+[0-9][^ ]*+', '<*>'), l))"
 )
-_WITH_WORDS = "transform({}, l -> struct(l AS line, split(l, ' ') AS words))"
+_WITH_WORDS = "transform({}, l -> struct(l AS line, length(l) - length(replace(l, ' ', '')) + 1 AS words))"
 
 
 def _leaf(depth: int) -> Column:
-    return F.xxhash64(F.size("l.words"), F.concat_ws(" ", F.slice("l.words", 1, depth)))
+    return F.xxhash64(F.col("l.words"), F.substring_index("l.line", " ", depth))
 
 
 def recurring_lines(
@@ -70,9 +68,9 @@ def recurring_lines(
     long_words: int = LONG_WORDS,
 ) -> DataFrame:
     """__id, __key, pos: the lines of ``docs(doc_id, text)`` to drop."""
-    enough = F.when(F.size("l.words") >= long_words, min(2, min_docs)).otherwise(min_docs).alias("enough")  # one number a leaf
+    enough = F.when(F.col("l.words") >= long_words, min(2, min_docs)).otherwise(min_docs).alias("enough")  # one number a leaf
     known = docs.filter(F.col("text").isNotNull()).select(*_identity(docs), "text")
-    long_enough = F.size("l.words") >= min_words
+    long_enough = F.col("l.words") >= min_words
     # the outer forms: the others compute the array once more, to filter on its size
     places = known.select(_ID, _KEY, F.posexplode_outer(F.expr(_WITH_WORDS.format(_LINES))).alias("pos", "l")).filter(long_enough)
     spots = materialise(places.select(_ID, _KEY, "pos", _leaf(depth).alias("leaf"), F.xxhash64("l.line").alias("line_key"), enough), "line-spots")
@@ -80,15 +78,14 @@ def recurring_lines(
     # leaves that enough documents reach (counted by line, so none is missed)
     by_line = spots.groupBy("leaf", "line_key", "enough", _ID, _KEY).agg(F.lit(1).alias("one")).groupBy("leaf", "line_key", "enough").agg(F.count("*").alias("docs"))
     leaves = by_line.groupBy("leaf", "enough").agg(F.sum("docs").alias("reached"), F.count("*").alias("variants")).filter(F.col("reached") >= F.col("enough"))
-    salted = leaves.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
     distinct = known.select(F.explode_outer(F.expr(_WITH_WORDS.format(f"array_distinct({_LINES})"))).alias("l")).filter(long_enough)
     lines = (
         distinct.select(_leaf(depth).alias("leaf"), F.xxhash64("l.line").alias("line_key"), F.col("l.line").alias("line"))
-        .withColumn("salt", F.pmod("line_key", F.lit(SALTS)).cast("int"))
-        .join(salted, ["leaf", "salt"])
-        .groupBy("leaf", "salt", "line_key", "line", "variants", "enough")
-        .agg(F.count("*").alias("docs"))
+        .join(leaves, "leaf")
+        # not by leaf, so that the join may be split; partly summed before it is dealt anew
+        .groupBy("line_key", "line")
+        .agg(F.count("*").alias("docs"), F.first("leaf").alias("leaf"), F.first("variants").alias("variants"), F.first("enough").alias("enough"))
     )
     lines = materialise(lines, "line-variants")
     alone = lines.filter((F.col("variants") == 1) & (F.col("docs") >= F.col("enough"))).select("leaf", "line_key", F.xxhash64("leaf", "line").alias("template"))
