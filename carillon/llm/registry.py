@@ -42,8 +42,7 @@ def op6_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    return warc.fixity(pages, warc.damaged_replica(pages))
+    return warc.fixity(table(spark, sf_dir, "pages"))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,11 +68,33 @@ def file_count(pages: DataFrame, records: int = FILE_RECORDS) -> int:
 
 
 def write_warc(pages: DataFrame, path: str, files: int | None = None) -> None:
-    """WARC files under ``path/file=N/``, records in the audit's order."""
+    """WARC files under ``path/file=N/``, packed with gzip, records in the audit's order."""
     files = files or file_count(pages)
     rows = pages.select(file_number(files).alias("file"), "page_id", "url", record_text().alias("value"))
     ordered = rows.repartition("file").sortWithinPartitions("file", "page_id", F.coalesce("url", F.lit("")), F.sha2(F.col("value").cast("binary"), 256))
-    ordered.select("file", "value").write.partitionBy("file").option("lineSep", _END).text(path)
+    ordered.select("file", "value").write.partitionBy("file").option("lineSep", _END).option("compression", "gzip").text(path)
+
+
+def copy_warc(spark: SparkSession, path: str, copy: str, change: Callable[[int | None, str], str] = lambda page_id, block: block) -> None:
+    """Writes every file of ``path`` again; ``change`` gives the block that stands in a record's place.  No shuffle."""
+
+    def run(batches):
+        for batch in batches:
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                content = _unpacked(content)
+                out = []
+                for a, b, e, head in _records(content):
+                    old = content[b:e].decode("utf-8", "replace")
+                    new = change(_page_id(head), old)
+                    if new == old:
+                        out.append(content[a:e].decode("utf-8", "replace"))
+                    else:
+                        fields = content[a:b].decode("utf-8", "replace")
+                        out.append(re.sub(r"(\r\nContent-Length: )[0-9]+(\r\n\r\n)\Z", rf"\g<1>{len(new.encode())}\g<2>", fields) + new)
+                yield pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.array(["".join(r + _END for r in out)], pa.string())], ["file", "value"])
+
+    files = _files(spark, path).mapInArrow(trimmed(run), "file int, value string")
+    files.write.partitionBy("file").option("lineSep", "\n").option("compression", "gzip").text(copy)
 
 
 _RECORD = re.compile(rb"WARC/1\.1\r\n(.*?)\r\n\r\n", re.DOTALL)
@@ -92,9 +116,30 @@ def _records(content: bytes):
         at = end + len(_END)
 
 
+def _page_id(head: dict[bytes, bytes]) -> int | None:
+    name = head.get(PAGE_FIELD.encode(), b"")
+    return int(name) if re.fullmatch(rb"-?[0-9]{1,19}", name) else None
+
+
+def _unpacked(content: bytes) -> bytes:
+    """A file's bytes; of a damaged packed file what can be unpacked."""
+    if content[:2] != b"\x1f\x8b":
+        return content
+    out = []
+    while content[:2] == b"\x1f\x8b":  # one member after the other
+        reader = zlib.decompressobj(31)
+        try:
+            out.append(reader.decompress(content))
+        except zlib.error:
+            break
+        content = reader.unused_data
+    return b"".join(out)
+
+
 def _parse(batches):
     for batch in batches:
         for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            content = _unpacked(content)
             rows = [(a, e - a, h.get(b"WARC-Target-URI", b"").decode("utf-8", "replace"), content[b:e]) for a, b, e, h in _records(content)]
             offsets, lengths, urls, blocks = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([pa.array([file] * len(urls), pa.int32()), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64()), pa.array(urls, pa.string()), pa.array(blocks, pa.binary())], ["file", "offset", "length", "url", "block"])
@@ -103,9 +148,9 @@ def _parse(batches):
 def _digests(batches):
     for batch in batches:
         for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            rows = [(h.get(PAGE_FIELD.encode(), b""), a, e - a, hashlib.sha256(memoryview(content)[a:e]).hexdigest()) for a, _, e, h in _records(content)]
-            names, offsets, lengths, digests = zip(*rows) if rows else ((), (), (), ())
-            ids = [int(n) if re.fullmatch(rb"-?[0-9]{1,19}", n) else None for n in names]
+            content = _unpacked(content)
+            rows = [(_page_id(h), a, e - a, hashlib.sha256(memoryview(content)[a:e]).hexdigest()) for a, _, e, h in _records(content)]
+            ids, offsets, lengths, digests = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([file] * len(ids), pa.int32()), pa.array(range(len(ids)), pa.int64()), pa.array(ids, pa.int64()), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64()), pa.array(digests, pa.string())],
                 ["file", "record_no", "page_id", "offset", "length", "digest"],
@@ -162,14 +207,13 @@ def audit(first: list[DataFrame], second: list[DataFrame]) -> tuple[DataFrame, D
     return roots.select("file").distinct(), odd
 
 
-def fixity(pages: DataFrame, replica: DataFrame, records: int = FILE_RECORDS) -> DataFrame:
-    """Writes both as WARC files and audits what the files hold; see ``fixity_of_files``."""
-    files = file_count(pages, records)
+def fixity(pages: DataFrame, records: int = FILE_RECORDS, change: Callable[[int | None, str], str] | None = None) -> DataFrame:
+    """Writes ``pages`` as WARC files and a copy of the files with ``change``, and audits what both hold; see ``fixity_of_files``."""
     spark = pages.sparkSession
-    paths = scratch_path(spark, "warc-first"), scratch_path(spark, "warc-second")
-    for held, path in zip((pages, replica), paths, strict=True):
-        write_warc(held, path, files)
-    return fixity_of_files(spark, *paths)
+    first, second = scratch_path(spark, "warc-first"), scratch_path(spark, "warc-second")
+    write_warc(pages, first, file_count(pages, records))
+    copy_warc(spark, first, second, change or damaged)
+    return fixity_of_files(spark, first, second)
 
 
 def fixity_of_files(spark: SparkSession, first: str, second: str) -> DataFrame:
@@ -190,13 +234,13 @@ def fixity_of_files(spark: SparkSession, first: str, second: str) -> DataFrame:
     )
 
 
-#: The replica of the query has a wrong first character in these pages, and a lost last one in those.
-WRONG, SHORT = "page_id % 37 = 5", "page_id % 101 = 7"
-
-
-def damaged_replica(pages: DataFrame) -> DataFrame:
-    html = F.expr(f"CASE WHEN {WRONG} THEN concat('?', substring(html, 2)) WHEN {SHORT} THEN substring(html, 1, greatest(length(html) - 1, 0)) ELSE html END")
-    return pages.select("page_id", "url", html.alias("html"))
+def damaged(page_id: int | None, block: str) -> str:
+    """The query's damage: a wrong first character in some pages, a lost last one in others."""
+    if page_id is None:
+        return block
+    if page_id % 37 == 5:
+        return "?" + block[1:]
+    return block[:-1] if page_id % 101 == 7 else block
 
 
 def _sql_leaves(source: str) -> str:
@@ -216,7 +260,7 @@ def _sql_leaves(source: str) -> str:
 
 FIXITY_SQL = f"""
 WITH replica AS (
-  SELECT page_id, url, CASE WHEN {WRONG} THEN '?' || substr(html, 2) WHEN {SHORT} THEN substr(html, 1, greatest(length(html) - 1, 0)) ELSE html END AS html FROM pages
+  SELECT page_id, url, CASE WHEN page_id % 37 = 5 THEN '?' || substr(coalesce(html, ''), 2) WHEN page_id % 101 = 7 THEN substr(html, 1, greatest(length(html) - 1, 0)) ELSE html END AS html FROM pages
 ), one AS ({_sql_leaves("pages")}), two AS ({_sql_leaves("replica")}), odd AS (
   SELECT coalesce(one.f, two.f) AS f, coalesce(one.record_no, two.record_no) AS record_no, one.d IS DISTINCT FROM two.d AS differs, (one.d IS DISTINCT FROM two.d OR one.off IS DISTINCT FROM two.off) AS apart
   FROM one FULL JOIN two ON one.f = two.f AND one.record_no = two.record_no
