@@ -109,8 +109,9 @@ query(
     "assignment_margins",
     lambda s, d: tracking.assignment_margins(peak_costs(s, d)),
     f"""WITH {PEAKS_SQL}, p AS (SELECT recording_id, f_hz, row_number() OVER (PARTITION BY recording_id ORDER BY k) u, row_number() OVER (PARTITION BY recording_id ORDER BY k DESC) v FROM peaks),
-    c AS (SELECT a.recording_id, a.u AS "row", b.v AS col, abs(a.f_hz - b.f_hz) + a.u/16.0::DOUBLE + b.v/64.0::DOUBLE AS cost FROM p a JOIN p b ON a.recording_id = b.recording_id AND a.u <= 3 AND b.v <= 3),
-    m AS (SELECT *, (SELECT min(x.cost) FROM c x WHERE x.recording_id = c.recording_id AND x."row" = c."row" AND x.col <> c.col) - cost AS rm, (SELECT min(x.cost) FROM c x WHERE x.recording_id = c.recording_id AND x.col = c.col AND x."row" <> c."row") - cost AS cm FROM c)
+    c AS (SELECT a.recording_id, a.u AS "row", b.v AS col, abs(a.f_hz - b.f_hz) + a.u/16.0::DOUBLE + b.v/64.0::DOUBLE AS cost FROM p a JOIN p b ON a.recording_id = b.recording_id),
+    o AS (SELECT *, list(cost) OVER (PARTITION BY recording_id, "row") AS lr, list(cost) OVER (PARTITION BY recording_id, col) AS lc FROM c),
+    m AS (SELECT recording_id, "row", col, cost, list_sort(lr)[CASE WHEN cost = list_min(lr) THEN 2 ELSE 1 END] - cost AS rm, list_sort(lc)[CASE WHEN cost = list_min(lc) THEN 2 ELSE 1 END] - cost AS cm FROM o)
     SELECT recording_id, "row", col, {r('cost', 'cost')}, {r('rm', 'row_margin')}, {r('cm', 'column_margin')}, {r('least(rm, cm)', 'margin')} FROM m""",
 )
 

@@ -158,7 +158,7 @@ query(
 
 # ---- energy exchange ----------------------------------------------------------------
 
-STEP, LAST = 86400.0, 25 * 86400.0  # LAST is the end of the grid in the SQL only
+STEP = 86400.0
 
 
 def envelopes(s, d):
@@ -183,12 +183,12 @@ def aligned(s, d):
 
 PREP_SQL = f"{SER_SQL}, pp AS (SELECT recording_id AS source_id, n, t_s, x / max(x) OVER (PARTITION BY recording_id) AS a FROM ser)"
 GRID_SQL = f"""{PREP_SQL}, sg AS (SELECT source_id, t_s, a, lead(t_s) OVER w AS t1, lead(a) OVER w AS a1 FROM pp WINDOW w AS (PARTITION BY source_id ORDER BY t_s)),
-gd AS (SELECT source_id, k AS n, k*{STEP} AS t_s, max(a + (a1-a)*(k*{STEP}-t_s)/(t1-t_s)) AS a FROM sg JOIN range(0, 25) AS u(k) ON t1 > t_s AND k >= ceil(t_s/{STEP} - 1e-9) AND k <= floor(least(t1, {LAST})/{STEP} + 1e-9) GROUP BY 1, 2)"""
+gd AS (SELECT source_id, k AS n, k*{STEP} AS t_s, max(a + (a1-a)*(k*{STEP}-t_s)/(t1-t_s)) AS a FROM sg JOIN (SELECT unnest(range(0, (SELECT floor(max(t_s)/{STEP})::BIGINT + 2 FROM pp))) AS k) ON t1 > t_s AND k >= ceil(t_s/{STEP} - 1e-9) AND k <= floor(t1/{STEP} + 1e-9) GROUP BY 1, 2)"""
 ALIGN_SQL = f"""{GRID_SQL}, src AS (SELECT DISTINCT recording_id // 5 AS g, recording_id AS s FROM ser), al AS (SELECT x.s AS source_a, y.s AS source_b, row_number() OVER (PARTITION BY x.s, y.s ORDER BY p.n) - 1 AS n, p.t_s, p.a AS x, q.a AS y, p.a*p.a AS ex, q.a*q.a AS ey
   FROM src x JOIN src y ON x.g = y.g AND x.s < y.s JOIN gd p ON p.source_id = x.s JOIN gd q ON q.source_id = y.s AND q.n = p.n)"""
 CORR = "CASE WHEN stddev_pop({0}) > 1e-12 AND stddev_pop({1}) > 1e-12 THEN covar_pop({0}, {1})/(stddev_pop({0})*stddev_pop({1})) END"
 query("envelope_prepare", prepared, f"WITH {PREP_SQL} SELECT source_id, n, {r('t_s', 't_s')}, {r('a', 'a')}, {r('a*a', 'energy')} FROM pp")
-query("envelope_resample", grid, f"WITH {GRID_SQL} SELECT source_id, n, {r('t_s', 't_s')}, {r('a', 'a')}, {r('a*a', 'energy')} FROM gd WHERE n <= 24")
+query("envelope_resample", grid, f"WITH {GRID_SQL} SELECT source_id, n, {r('t_s', 't_s')}, {r('a', 'a')}, {r('a*a', 'energy')} FROM gd")
 query("envelope_align", aligned, f"WITH {ALIGN_SQL} SELECT source_a, source_b, n, {r('t_s', 't_s')}, {r('x', 'x')}, {r('y', 'y')}, {r('ex', 'ex')}, {r('ey', 'ey')} FROM al")
 TREND_SQL = f"""{ALIGN_SQL}, ad AS (SELECT *, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy FROM al WINDOW w AS (PARTITION BY source_a, source_b ORDER BY n)),
 tr AS (SELECT source_a, source_b, count(*) n, regr_slope(x, t_s) sx, regr_slope(y, t_s) sy, count(*) FILTER (WHERE dx*dy < 0)/count(dx) os FROM ad GROUP BY 1, 2)"""
@@ -212,7 +212,7 @@ query(
 query(
     "circular_shift_test",
     lambda s, d: energy.shift_test(aligned(s, d)),
-    f"""WITH {ALIGN_SQL}, sz AS (SELECT source_a, source_b, count(*) c FROM al GROUP BY 1, 2), sh AS (SELECT p.source_a, p.source_b, s, {CORR.format('p.x', 'q.y')} AS r FROM al p JOIN sz USING (source_a, source_b), range(0, 30) AS u(s), al q
+    f"""WITH {ALIGN_SQL}, sz AS (SELECT source_a, source_b, count(*) c FROM al GROUP BY 1, 2), sh AS (SELECT p.source_a, p.source_b, s, {CORR.format('p.x', 'q.y')} AS r FROM al p JOIN sz USING (source_a, source_b), (SELECT unnest(range(0, (SELECT max(c) FROM sz))) AS s), al q
       WHERE s < c AND q.source_a = p.source_a AND q.source_b = p.source_b AND q.n = (p.n + s) % c GROUP BY 1, 2, 3), ob AS (SELECT source_a, source_b, r AS o FROM sh WHERE s = 0)
     SELECT source_a, source_b, {r('o', 'observed')}, {r('avg((r <= o + 1e-9)::INTEGER)', 'p_value')}, count(*) AS shifts FROM sh JOIN ob USING (source_a, source_b) GROUP BY source_a, source_b, o""",
 )

@@ -281,7 +281,7 @@ def series_metric(s, d):
     return series(s, d).select("recording_id", F.lit("value").alias("metric"), "n", "t_s", F.col("x").alias("value"))
 
 
-CHANGE_SQL = f"""WITH {SER_SQL}, v AS (SELECT * FROM ser WHERE recording_id % 3 = 0), w AS (SELECT recording_id, n, t_s, avg(x) OVER b AS mb, avg(x) OVER a AS ma, count(*) OVER b AS cb, count(*) OVER a AS ca FROM v
+CHANGE_SQL = f"""WITH {SER_SQL}, v AS (SELECT * FROM ser), w AS (SELECT recording_id, n, t_s, avg(x) OVER b AS mb, avg(x) OVER a AS ma, count(*) OVER b AS cb, count(*) OVER a AS ca FROM v
   WINDOW b AS (PARTITION BY recording_id ORDER BY n ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), a AS (PARTITION BY recording_id ORDER BY n ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING)),
 h AS (SELECT *, abs(ma - mb) >= 100 AS hit FROM w WHERE cb = 2 AND ca = 2), g AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY n) - row_number() OVER (PARTITION BY recording_id, hit ORDER BY n) AS run FROM h)
 SELECT recording_id, 'value' AS metric, min(n) AS at, {r('arg_min(t_s, n)', 't_s')}, {r('arg_min(ma - mb, n)', 'change')}, count(*) AS places FROM g WHERE hit GROUP BY recording_id, run HAVING count(*) >= 2"""
@@ -289,5 +289,5 @@ query("change_points", lambda s, d: stft.change_points(series_metric(s, d), thre
 query(
     "smooth",
     lambda s, d: stft.smooth(series_metric(s, d), 2),
-    f"WITH {SER_SQL} SELECT recording_id, 'value' AS metric, n, {r('t_s', 't_s')}, {r('avg(x) OVER (PARTITION BY recording_id ORDER BY n ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)', 'value')} FROM ser WHERE recording_id % 3 = 0",
+    f"WITH {SER_SQL} SELECT recording_id, 'value' AS metric, n, {r('t_s', 't_s')}, {r('avg(x) OVER (PARTITION BY recording_id ORDER BY n ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)', 'value')} FROM ser",
 )
