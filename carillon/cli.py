@@ -7,9 +7,10 @@ import json
 import sys
 from pathlib import Path
 
+from . import VERSION
+
 #: Exit codes by status.
 EXIT = {"completed": 0, "completed_with_reservations": 1, "invalid_configuration": 2, "missing_input": 3, "failed": 4}
-VERSION = "0.1.0"
 
 
 def parser() -> argparse.ArgumentParser:
@@ -53,10 +54,12 @@ def _analysis(spark, args):
     recs = frames[0]
     for f in frames[1:]:
         recs = recs.unionByName(f)
-    rate = recs.select("sample_rate_hz").first()
-    if rate is None:
+    rates = [r[0] for r in recs.select("sample_rate_hz").distinct().collect()]  # as many as files at most
+    if not rates:
         raise ValueError("no recording could be decoded")
-    return analyze(recs, Settings(**({"rate": rate[0]} | config)), args.folder)
+    if len(rates) > 1:
+        raise ValueError(f"recordings of different sample rates: {sorted(rates)}")
+    return analyze(recs, Settings(**({"rate": rates[0]} | config)), args.folder)
 
 
 def validate(spark) -> list[dict]:

@@ -1,6 +1,8 @@
 """Column helpers that every operator shares."""
 
 from .columns import (
+    METRIC_BEGINNINGS,
+    METRIC_NAMES,
     amplitude_distance,
     close_to,
     cosine_window,
@@ -13,6 +15,7 @@ from .columns import (
     linear_power,
     mad,
     ratio,
+    recognised_metric,
     robust_slope,
     rounded,
     short_id,
@@ -21,6 +24,6 @@ from .columns import (
 )
 
 __all__ = [
-    "amplitude_distance", "close_to", "cosine_window", "dbfs", "frequency_change", "frequency_distance", "is_finite", "le_tol", "linear_amplitude",
-    "linear_power", "mad", "ratio", "robust_slope", "rounded", "short_id", "track_unit", "variation",
+    "METRIC_BEGINNINGS", "METRIC_NAMES", "amplitude_distance", "close_to", "cosine_window", "dbfs", "frequency_change", "frequency_distance", "is_finite", "le_tol", "linear_amplitude",
+    "linear_power", "mad", "ratio", "recognised_metric", "robust_slope", "rounded", "short_id", "track_unit", "variation",
 ]

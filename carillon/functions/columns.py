@@ -101,3 +101,22 @@ def short_id(*parts: Column, bits: str = "sha1") -> Column:
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Every double column rounded, so that sums in another order compare equal."""
     return df.select(*((F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+#: Names of condition metrics, and the beginnings of names by region, band and change point.
+METRIC_NAMES = (
+    "excitation_peak_absolute_amplitude", "excitation_rms_amplitude", "excitation_signal_energy", "excitation_equivalent_level_dbfs", "excitation_crest_factor", "excitation_impulse_duration_s",
+    "excitation_attack_duration_s", "excitation_signal_to_background_db", "excitation_clipped_recording_fraction", "excitation_near_clipped_recording_fraction", "excitation_clipped_sample_fraction",
+    "excitation_near_clipping_sample_fraction", "global_total_spectral_energy", "global_spectral_centroid_hz", "global_spectral_spread_hz", "global_spectral_rolloff_50_hz", "global_spectral_rolloff_85_hz",
+    "global_spectral_rolloff_95_hz", "global_spectral_flatness", "global_spectral_entropy", "global_spectral_crest_factor", "global_significant_peak_count", "global_peak_density_per_hz",
+    "global_peak_density_per_octave", "global_median_peak_spacing_hz", "global_tonal_energy_fraction", "global_residual_energy_fraction", "global_occupied_bandwidth_hz", "global_occupied_frequency_fraction",
+    "time_energy_db_slope_per_s", "time_spectral_centroid_hz_slope_per_s", "time_spectral_spread_hz_slope_per_s", "time_spectral_flatness_slope_per_s", "time_spectral_entropy_slope_per_s",
+    "time_significant_peak_count_slope_per_s", "time_peak_density_per_hz_slope_per_s", "time_tonal_energy_fraction_slope_per_s", "time_residual_energy_fraction_slope_per_s",
+    "time_occupied_bandwidth_hz_slope_per_s", "time_change_point_count", "time_temporal_coverage_fraction",
+)
+METRIC_BEGINNINGS = ("early_", "middle_", "late_", "region_middle_minus_early_", "region_late_minus_early_", "region_late_minus_middle_", "global_band_", "time_band_", "time_first_change_point_")
+
+
+def recognised_metric(name: Column) -> Column:
+    """Whether a name is one of a condition's metrics."""
+    return name.isin(*METRIC_NAMES) | name.rlike("^(" + "|".join(METRIC_BEGINNINGS) + ")")

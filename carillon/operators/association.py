@@ -68,9 +68,17 @@ def matches(pairs: DataFrame, max_cost: float = 1.0, ambiguity: float = 0.1, pre
     """
     p = pairs.filter(F.col("cost") <= max_cost)
     span = p.select("pair", F.least("lower_hz", "higher_hz").alias("a"), F.greatest("lower_hz", "higher_hz").alias("b")).distinct()
-    w = Window.partitionBy("pair").orderBy("a", "b")
+    span = span.withColumn("place", F.floor("a")).withColumn("stop", F.floor("b"))
+    # runs of places that spans touch, chained by place and not by row: one row at most for each place of the scale
+    touched = span.groupBy("pair", "place").agg(F.max("stop").alias("stop"))
+    by_place = Window.partitionBy("pair").orderBy("place")
+    far = F.max("stop").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
+    touched = touched.withColumn("fresh", F.when(far.isNull() | (F.col("place") > far), F.col("place"))).select("pair", "place", F.last("fresh", ignorenulls=True).over(by_place).alias("run"))
+    span = span.join(touched, ["pair", "place"])
+    # inside a run spans that overlap are one group
+    w = Window.partitionBy("pair", "run").orderBy("a", "b")
     reach = F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    span = span.withColumn("new", F.when(reach.isNull() | (F.col("a") > reach), 1).otherwise(0)).withColumn("grp", F.sum("new").over(w))
+    span = span.withColumn("begin", F.when(reach.isNull() | (F.col("a") > reach), F.col("a"))).withColumn("grp", F.last("begin", ignorenulls=True).over(w))
     grouped = p.withColumn("a", F.least("lower_hz", "higher_hz")).withColumn("b", F.greatest("lower_hz", "higher_hz")).join(span.select("pair", "a", "b", "grp"), ["pair", "a", "b"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -51,29 +51,48 @@ CRITERIA = (
     ("line_identity", "identity_centroid_slope_small", "time_spectral_centroid_hz_slope_per_s", "abs<=", 10.0, None, False),
     ("line_identity", "identity_late_tonal_fraction_high", "late_tonal_energy_fraction", ">=", 0.50, None, False),
     ("line_identity", "identity_valid_repeats", "valid_repeat_count", ">=", 1.0, None, False),
+    ("line_identity", "identity_variability_low", "within_condition_coefficient_of_variation", "<=", 0.50, None, False),
+    # without a threshold unless one is given
+    ("dense", "dense_peak_spacing_low", "global_median_peak_spacing_hz", "<=", None, None, True),
+    ("broadband_to_tonal", "b2t_bandwidth_drop", "region_late_minus_early_occupied_bandwidth_hz", "<=", None, None, False),
+    ("tonal_to_broadband", "t2b_bandwidth_increase", "region_late_minus_early_occupied_bandwidth_hz", ">=", None, None, False),
+    ("densification", "densification_bandwidth_increase", "region_late_minus_early_occupied_bandwidth_hz", ">=", None, None, False),
+    ("sparsification", "sparsification_bandwidth_drop", "region_late_minus_early_occupied_bandwidth_hz", "<=", None, None, False),
+    ("stable", "stable_bandwidth_change_small", "region_late_minus_early_occupied_bandwidth_hz", "abs<=", None, None, False),
 )
 _SCHEMA = "descriptor string, criterion string, metric string, op string, threshold double, upper double, density boolean"
 
 
-def catalogue(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(CRITERIA), _SCHEMA)
+def catalogue(spark: SparkSession, thresholds: dict[str, float] | None = None) -> DataFrame:
+    """thresholds: other values by criterion."""
+    given = thresholds or {}
+    return spark.createDataFrame([(d, c, m, o, given.get(c, t), u, w) for d, c, m, o, t, u, w in CRITERIA], _SCHEMA)
 
 
-def evaluate(metrics: DataFrame, limited: DataFrame | None = None, factor: float = 0.25) -> DataFrame:
-    """Every criterion against every condition of (label_idx, metric, value); one without a metric does not apply.
+def evaluate(metrics: DataFrame, limited: DataFrame | None = None, factor: float = 0.25, thresholds: dict[str, float] | None = None) -> DataFrame:
+    """Every criterion against every condition of (label_idx, metric, value); one without a metric or a threshold does not apply.
 
     limited: labels whose peak spacing is near the resolution; there density criteria weigh ``factor``.
     """
     labels = metrics.select("label_idx").distinct()
-    cat = catalogue(metrics.sparkSession)
+    cat = catalogue(metrics.sparkSession, thresholds)
     rows = labels.join(F.broadcast(cat)).join(metrics, ["label_idx", "metric"], "left")  # a fixed catalogue for each label
     v, t = F.col("value"), F.col("threshold")
-    passed = F.when(F.col("op") == "<=", v <= t + 1e-12).when(F.col("op") == ">=", v >= t - 1e-12).when(F.col("op") == "abs<=", F.abs(v) <= t + 1e-12).otherwise((v >= t - 1e-12) & (v <= F.col("upper") + 1e-12))
+    op = F.col("op")
+    passed = (
+        F.when(op == "<=", v <= t + 1e-12)
+        .when(op == ">=", v >= t - 1e-12)
+        .when(op == "abs<=", F.abs(v) <= t + 1e-12)
+        .when(op == "abs>=", F.abs(v) >= t - 1e-12)
+        .when(op == "==", F.abs(v - t) <= 1e-12)
+        .when(op == "present", v.isNotNull())
+        .otherwise((v >= t - 1e-12) & (v <= F.col("upper") + 1e-12))
+    )
     weight = F.lit(1.0)
     if limited is not None:
         rows = rows.join(F.broadcast(limited.select("label_idx", F.lit(True).alias("limited"))), "label_idx", "left")
         weight = F.when(F.coalesce("limited", F.lit(False)) & F.col("density"), factor).otherwise(1.0)
-    return rows.select("label_idx", "descriptor", "criterion", "metric", "value", v.isNotNull().alias("applicable"), passed.alias("passed"), weight.alias("weight"))
+    return rows.select("label_idx", "descriptor", "criterion", "metric", "value", (v.isNotNull() & (t.isNotNull() | (op == "present"))).alias("applicable"), passed.alias("passed"), weight.alias("weight"))
 
 
 def score(criteria: DataFrame, support: float = 0.55, opposition: float = 0.45, least: float = 3.0) -> DataFrame:
@@ -113,3 +132,73 @@ def segments(described: DataFrame, dimension: str) -> DataFrame:
     d = described.select("label_idx", F.col(dimension).alias("descriptor"))
     run = F.row_number().over(w) - F.row_number().over(Window.partitionBy("descriptor").orderBy("label_idx"))
     return d.withColumn("run", run).groupBy("descriptor", "run").agg(F.min("label_idx").alias("start_idx"), F.max("label_idx").alias("end_idx"), F.count("*").alias("conditions")).drop("run")
+
+
+def limitations(summary: DataFrame, least_repeats: int = 1, least_snr_db: float | None = None, least_coverage: float | None = 0.50, most_missing: float = 0.50, most_variation: float | None = 0.50, reject_clipped: bool = False, need_comparable: bool = False) -> DataFrame:
+    """label_idx, limitations: what stands against each condition's evidence, in a fixed order.
+
+    summary: label_idx, valid, valid_repeat_count, clipped_fraction, near_clipped_fraction, snr_db, coverage, incomparable
+    (whether any comparability check failed), missing_fraction, max_variation; values may be missing.
+    """
+    c = F.col
+    clipped, near = F.coalesce(c("clipped_fraction"), F.lit(0.0)) > 0, F.coalesce(c("near_clipped_fraction"), F.lit(0.0)) > 0
+    tests = [
+        (~c("valid"), "condition_summary_invalid"),
+        (c("valid_repeat_count") < least_repeats, "insufficient_valid_repeats"),
+        (clipped, "spectral_metrics_potentially_distorted_by_clipping"),
+        (near & ~clipped, "spectral_metrics_potentially_affected_by_near_clipping"),
+        (clipped & F.lit(reject_clipped), "clipped_condition_rejected_by_configuration"),
+    ]
+    if least_snr_db is not None:
+        tests += [(c("snr_db").isNull(), "signal_to_background_unavailable"), (c("snr_db") < least_snr_db, "low_signal_to_background_ratio")]
+    if least_coverage is not None:
+        tests += [(c("coverage").isNull(), "temporal_coverage_unavailable"), (c("coverage") < least_coverage, "low_valid_temporal_coverage")]
+    tests += [
+        (c("incomparable"), "comparability_limitations_present"),
+        (c("incomparable") & F.lit(need_comparable), "spectral_comparability_required_but_unavailable"),
+        (c("missing_fraction") > most_missing, "many_descriptor_metrics_unavailable"),
+    ]
+    if most_variation is not None:
+        tests.append((c("max_variation") > most_variation, "high_within_condition_variability"))
+    listed = F.array_compact(F.array(*(F.when(t, name) for t, name in tests)))
+    return summary.select("*", listed.alias("limitations"))
+
+
+def confidence(limited: DataFrame, scores: DataFrame, criteria: DataFrame, support: float = 0.55, high: float = 0.70, most_missing: float = 0.50, reject_clipped: bool = False) -> DataFrame:
+    """label_idx, confidence (high, moderate, low, insufficient) from the limitations and the selected descriptors.
+
+    limited: as ``limitations`` gives it, with has_unavailable (whether any metric is missing).
+    """
+    chosen = scores.filter("selected").select("label_idx", "descriptor", "support_fraction")
+    best = chosen.groupBy("label_idx").agg(F.max("support_fraction").alias("best"), F.sum(1 - F.col("support_fraction")).alias("conflicts"))
+    gaps = criteria.join(chosen.select("label_idx", "descriptor"), ["label_idx", "descriptor"], "left_semi").groupBy("label_idx").agg(F.avg((~F.col("applicable")).cast("double")).alias("gaps"))
+    c = F.col
+    has = lambda name: F.array_contains("limitations", name)
+    clipped = F.coalesce(c("clipped_fraction"), F.lit(0.0)) > 0
+    #: Limitations that rule out moderate confidence.
+    heavy = ("spectral_metrics_potentially_distorted_by_clipping", "spectral_metrics_potentially_affected_by_near_clipping", "high_within_condition_variability", "density_metrics_resolution_limited")
+    level = (
+        F.when(~c("valid") | (clipped & F.lit(reject_clipped)), "insufficient")
+        .when(has("low_signal_to_background_ratio") | has("signal_to_background_unavailable") | has("low_valid_temporal_coverage") | has("spectral_metrics_potentially_affected_by_near_clipping"), "low")
+        .when(has("spectral_comparability_required_but_unavailable"), "insufficient")
+        .when(c("best").isNull(), F.when(c("has_unavailable"), "low").otherwise("insufficient"))
+        .when((c("best") >= high) & (F.size("limitations") == 0) & (c("gaps") <= 0.25) & (c("conflicts") <= 0.25), "high")
+        .when((c("best") >= support) & (c("gaps") <= most_missing) & ~F.arrays_overlap("limitations", F.array(*map(F.lit, heavy))), "moderate")
+        .otherwise("low")
+    )
+    return limited.join(best, "label_idx", "left").join(gaps, "label_idx", "left").select("label_idx", level.alias("confidence"))
+
+
+def patterns(described: DataFrame) -> DataFrame:
+    """pattern, start_idx, end_idx, conditions: what several conditions of (label_idx, structure, course, confidence) show together."""
+    c = F.col
+    #: Pattern, the conditions that show it, how many there must be.
+    kinds = (
+        ("tonal_structure_preserved_over_multiple_conditions", c("structure") == "line_dominated", 2),
+        ("increased_density_or_broadband_character_over_dynamic_order", c("structure").isin("dense", "broadband"), 2),
+        ("broadband_attack_followed_by_more_tonal_tail", c("course") == "broadband_to_tonal", 1),
+        ("increased_uncertainty_or_limited_evidence", c("confidence").isin("low", "insufficient"), 1),
+    )
+    shown = described.select("label_idx", F.explode(F.array_compact(F.array(*(F.when(t, F.struct(F.lit(n).alias("pattern"), F.lit(k).alias("least"))) for n, t, k in kinds)))).alias("p"))
+    g = shown.groupBy("p.pattern", "p.least").agg(F.min("label_idx").alias("start_idx"), F.max("label_idx").alias("end_idx"), F.count("*").alias("conditions"))
+    return g.filter("conditions >= least").drop("least")

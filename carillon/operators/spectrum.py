@@ -158,10 +158,18 @@ def band_energy(power: DataFrame, bands: list[tuple[str, float, float]]) -> Data
 
 
 def tonal_residual(power: DataFrame, found: DataFrame, half_hz: float) -> DataFrame:
-    """Energy within ``half_hz`` of any peak, and the rest."""
-    near = power.join(found.select(BY, F.col("f_hz").alias("peak_hz")), BY).filter(F.abs(F.col("f_hz") - F.col("peak_hz")) <= half_hz).select(BY, "k").distinct()
-    marked = power.join(near.withColumn("tonal", F.lit(True)), [BY, "k"], "left")
-    m = marked.groupBy(BY).agg(F.sum(F.when(F.col("tonal"), F.col("p")).otherwise(0.0)).alias("tonal"), F.sum("p").alias("total"))
+    """Energy within ``half_hz`` of any peak, and the rest.
+
+    Each bin looks at the nearest peak below and above it, so the work is a sort of bins and peaks.
+    """
+    nothing = F.lit(None).cast("double")
+    both = power.select(BY, "f_hz", "p", nothing.alias("peak_hz")).unionByName(found.select(BY, "f_hz", nothing.alias("p"), F.col("f_hz").alias("peak_hz")))
+    up = Window.partitionBy(BY).orderBy("f_hz", F.col("peak_hz").isNull())  # a peak before the bin at its place
+    below = F.last("peak_hz", ignorenulls=True).over(up.rowsBetween(Window.unboundedPreceding, 0))
+    above = F.first("peak_hz", ignorenulls=True).over(up.rowsBetween(0, Window.unboundedFollowing))
+    near = both.withColumn("below", below).withColumn("above", above).filter("p IS NOT NULL")
+    tonal = F.coalesce(F.col("f_hz") - F.col("below") <= half_hz, F.lit(False)) | F.coalesce(F.col("above") - F.col("f_hz") <= half_hz, F.lit(False))
+    m = near.groupBy(BY).agg(F.sum(F.when(tonal, F.col("p")).otherwise(0.0)).alias("tonal"), F.sum("p").alias("total"))
     return m.select(BY, "tonal", (F.col("total") - F.col("tonal")).alias("residual"), ratio(F.col("tonal"), F.col("total")).alias("tonal_fraction"))
 
 

@@ -56,14 +56,71 @@ def match_tracks(components: DataFrame, tracks: DataFrame, by: str = "scenario",
     near = both.withColumn("apart_hz", F.abs(F.col("f0") - F.col("frequency_hz"))).filter(F.col("apart_hz") <= limit_hz)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken_c, taken_t, keep = set(), set(), []
-        for i, row in pdf.sort_values(["apart_hz", "component_id", "track_id"]).iterrows():
-            if row.component_id not in taken_c and row.track_id not in taken_t:
-                taken_c.add(row.component_id)
-                taken_t.add(row.track_id)
-                keep.append(i)
+        # nearest pairs that are nearest from both sides are taken together, then the rest is looked at again
+        left, keep = pdf.sort_values(["apart_hz", "component_id", "track_id"]), []
+        while len(left):
+            first = ~left.component_id.duplicated() & ~left.track_id.duplicated()
+            keep += left.index[first].tolist()
+            left = left[~left.component_id.isin(left.component_id[first]) & ~left.track_id.isin(left.track_id[first])]
         return pdf.loc[keep, [by, "component_id", "track_id", "apart_hz"]]
 
     kind = dict(near.dtypes)
     found = near.groupBy(by).applyInPandas(run, f"{by} {kind[by]}, component_id {kind['component_id']}, track_id {kind['track_id']}, apart_hz double")
     return components.select(by, "component_id").join(found, [by, "component_id"], "left").withColumn("status", F.when(F.col("track_id").isNull(), "missed").otherwise("matched"))
+
+
+def candidate_recovery(components: DataFrame, candidates: DataFrame, by: str = "scenario", limit_hz: float = 2.0, limit_relative: float = 0.01, most_missed: int = 0, most_false: int = 0) -> DataFrame:
+    """Expected components found, missed, found but rejected, and false candidates of each scenario, and whether it passes.
+
+    components: by, component_id, f0, detectable; candidates: by, candidate_id, frequency_hz, accepted.
+    """
+    wanted = components.filter("detectable").select(by, "component_id", "f0")
+    given = match_tracks(wanted, candidates.select(by, F.col("candidate_id").alias("track_id"), "frequency_hz"), by, limit_hz).join(wanted, [by, "component_id"])
+    # within both limits
+    given = given.withColumn("track_id", F.when(F.col("apart_hz") / F.col("f0") <= limit_relative, F.col("track_id")))
+    taken = given.filter("track_id IS NOT NULL").select(by, F.col("track_id").alias("candidate_id"), F.lit(True).alias("taken"))
+    c = candidates.join(taken, [by, "candidate_id"], "left").groupBy(by).agg(
+        F.count_if(F.col("taken").isNull() & F.col("accepted")).alias("false_count"), F.count_if(F.col("taken").isNotNull() & ~F.col("accepted")).alias("rejected_expected_count")
+    )
+    g = given.groupBy(by).agg(F.count("*").alias("expected_count"), F.count("track_id").alias("matched_count"))
+    out = g.join(c, by, "left").fillna(0, ["false_count", "rejected_expected_count"]).withColumn("missed_count", F.col("expected_count") - F.col("matched_count"))
+    return out.withColumn("passed", (F.col("missed_count") <= most_missed) & (F.col("false_count") <= most_false) & (F.col("rejected_expected_count") == 0))
+
+
+def exchange_recovery(expected: DataFrame, barred: DataFrame, found: DataFrame, by: str = "scenario") -> DataFrame:
+    """True, false and missed exchanging pairs of each scenario with precision, recall, F1 and lag error.
+
+    expected, barred: by, source_a, source_b (in either order), expected also lag_s; found: the same with status and best_lag_s.
+    """
+    pair = [F.least("source_a", "source_b").alias("a"), F.greatest("source_a", "source_b").alias("b")]
+    e = expected.select(by, *pair, F.col("lag_s").alias("true_lag_s"), F.lit(True).alias("e"))
+    n = barred.select(by, *pair, F.lit(True).alias("n"))
+    f = found.select(by, *pair, F.col("status").isin("supported", "supported_with_reservations").alias("s"), (F.col("status") == "inconclusive").alias("i"), "best_lag_s")
+    j = e.join(n, [by, "a", "b"], "full").join(f, [by, "a", "b"], "full")
+    is_ = lambda c: F.coalesce(F.col(c), F.lit(False))
+    m = j.groupBy(by).agg(
+        F.count_if(is_("e") & is_("s")).alias("true_positive"), F.count_if(is_("n") & is_("s")).alias("false_positive"), F.count_if(is_("e") & ~is_("s")).alias("false_negative"), F.count_if(is_("s")).alias("supported"),
+        F.count_if(is_("i")).alias("inconclusive"), F.max(F.when(is_("e") & is_("s"), F.abs(F.col("best_lag_s") - F.col("true_lag_s")))).alias("lag_error_s"),
+    )
+    tp = F.col("true_positive").cast("double")
+    p = F.when(F.col("supported") > 0, tp / F.col("supported")).when(F.col("true_positive") + F.col("false_negative") == 0, 1.0)
+    r = F.when(F.col("true_positive") + F.col("false_negative") > 0, tp / (F.col("true_positive") + F.col("false_negative"))).otherwise(1.0)
+    m = m.select("*", p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).alias("f1"))
+    return m.withColumn("passed", (F.col("false_positive") == 0) & (F.col("false_negative") == 0))
+
+
+def scenario_status(parts: DataFrame, by: str = "scenario") -> DataFrame:
+    """One verdict for each scenario from (by, part, status) of its validations: failed if any failed, then insufficient
+    evidence if none passed, then with reservations if any is not identifiable or limited, else passed."""
+    n = lambda *s: F.count_if(F.col("status").isin(*s))
+    g = parts.groupBy(by).agg(F.count("*").alias("parts"), n("passed").alias("passed_count"), n("failed").alias("failed_count"), n("not_identifiable", "resolution_limited").alias("limited_count"))
+    verdict = F.when(F.col("failed_count") > 0, "failed").when(F.col("passed_count") == 0, "insufficient_evidence").when(F.col("limited_count") > 0, "passed_with_reservations").otherwise("passed")
+    return g.withColumn("status", verdict)
+
+
+def trajectory_errors(truth: DataFrame, points: DataFrame, by: list[str]) -> DataFrame:
+    """Errors over time of (by, t_s, frequency_hz) against the line f0 + drift t: mean, root mean square, largest, and slope error."""
+    j = points.join(truth.select(*by, "f0", "drift"), by).withColumn("e", F.col("frequency_hz") - F.col("f0") - F.col("drift") * F.col("t_s"))
+    return j.groupBy(*by).agg(
+        F.count("*").alias("points"), F.avg("e").alias("mean_error_hz"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rms_error_hz"), F.max(F.abs("e")).alias("largest_error_hz"), (F.regr_slope("frequency_hz", "t_s") - F.max("drift")).alias("slope_error")
+    )

@@ -4,4 +4,4 @@ from .registry import ORACLE_SQL, QUERIES, query
 
 __all__ = ["ORACLE_SQL", "QUERIES", "query"]
 
-from . import association_queries, comparison_queries, modal_queries, signal_queries  # noqa: E402, F401
+from . import association_queries, comparison_queries, evidence_queries, modal_queries, signal_queries  # noqa: E402, F401

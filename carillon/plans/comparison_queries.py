@@ -73,10 +73,10 @@ def regime_metrics(s, d):
     return level.select("label_idx", "c", named).filter((F.col("label_idx") + F.col("m.i")) % 9 != 0).select("label_idx", F.col("m.metric").alias("metric"), F.when((F.col("label_idx") * F.col("m.i")) % 11 != 5, (k - 3) / 10.0).alias("value"))
 
 
-_IN = ", ".join(f"('{d}', '{c}', '{m}', '{o}', {t}, {'NULL' if u is None else u}, {str(w).lower()})" for d, c, m, o, t, u, w in regimes.CRITERIA)
+_IN = ", ".join(f"('{d}', '{c}', '{m}', '{o}', {'NULL::DOUBLE' if t is None else t}, {'NULL' if u is None else u}, {str(w).lower()})" for d, c, m, o, t, u, w in regimes.CRITERIA)
 _NAMES = ", ".join(f"({i}, '{m}')" for i, m in enumerate(METRICS))
 REGIME_SQL = f"""mn(i, metric) AS (VALUES {_NAMES}), lb AS (SELECT DISTINCT (label % 5)::INTEGER AS label_idx FROM embeddings), rm AS (SELECT label_idx, metric, CASE WHEN (label_idx*i) % 11 <> 5 THEN ((label_idx*7 + i*5) % 12 - 3)/10.0::DOUBLE END AS value FROM lb, mn WHERE (label_idx + i) % 9 <> 0),
-ct(descriptor, criterion, metric, op, th, up, dens) AS (VALUES {_IN}), cr AS (SELECT lb.label_idx, descriptor, criterion, ct.metric, value, value IS NOT NULL AS applicable,
+ct(descriptor, criterion, metric, op, th, up, dens) AS (VALUES {_IN}), cr AS (SELECT lb.label_idx, descriptor, criterion, ct.metric, value, value IS NOT NULL AND th IS NOT NULL AS applicable,
   CASE op WHEN '<=' THEN value <= th::DOUBLE + 1e-12 WHEN '>=' THEN value >= th::DOUBLE - 1e-12 WHEN 'abs<=' THEN abs(value) <= th::DOUBLE + 1e-12 ELSE value >= th::DOUBLE - 1e-12 AND value <= up::DOUBLE + 1e-12 END AS passed, CASE WHEN lb.label_idx >= 3 AND dens THEN 0.25 ELSE 1 END::DOUBLE AS weight
   FROM lb CROSS JOIN ct LEFT JOIN rm ON rm.label_idx = lb.label_idx AND rm.metric = ct.metric),
 sc AS (SELECT label_idx, descriptor, coalesce(sum(weight) FILTER (WHERE passed), 0) s, coalesce(sum(weight) FILTER (WHERE NOT passed), 0) o FROM cr GROUP BY 1, 2),

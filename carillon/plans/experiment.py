@@ -1,8 +1,8 @@
 """The whole analysis of an experiment as one graph of lazy tables.
 
 Nothing runs until a table is asked for; tables that several later ones need are written to
-the folder given and read back, so a rerun with the same settings takes up what is there;
-without a folder they are held by Spark.
+the folder given and read back, so a rerun with the same recordings, settings and version takes
+up what is there; without a folder they are held by Spark until ``release``.
 """
 
 from __future__ import annotations
@@ -11,9 +11,10 @@ import json
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import VERSION
 from ..operators import association, comparison, modal, regimes, spectrum, stft, temporal, tracking
 from ..operators.export import fingerprint
 
@@ -37,7 +38,7 @@ STAGES = {
     "hypotheses": ("chains",),
     "parameters": ("hypotheses",),
     "quality_factors": ("parameters",),
-    "comparison": ("excitation", "descriptors"),
+    "comparison": ("excitation", "descriptors", "frame_peaks", "time_resolved"),
     "regimes": ("comparison",),
 }
 
@@ -73,6 +74,7 @@ class Analysis:
     settings: Settings
     folder: str | None = None
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    _identity: dict[str, str] | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -88,14 +90,33 @@ class Analysis:
             self.tables[stage] = made
         return self.tables[stage]
 
+    def identity(self) -> dict[str, str]:
+        """What the tables depend on: version, settings and the recordings' content, whatever their order."""
+        if self._identity is None:
+            named = sorted(self.recordings.columns)
+            one, two = (F.sum(F.xxhash64(F.lit(seed), *named).cast("decimal(38,0)")).cast("string") for seed in (1, 2))
+            held = self.recordings.agg(F.count("*").alias("n"), one.alias("one"), two.alias("two")).first()
+            self._identity = {
+                "version": VERSION,
+                "settings_fingerprint": self.settings.fingerprint(),
+                "recordings_fingerprint": fingerprint({"columns": [list(t) for t in sorted(self.recordings.dtypes)], "rows": held.n, "sums": [held.one, held.two]}),
+            }
+        return self._identity
+
     def _kept(self, stage: str, made: DataFrame) -> DataFrame:
-        path = f"{self.folder}/{self.settings.fingerprint()[:16]}/{stage}"
-        jvm = self.spark.sparkContext._jvm
-        done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-        if not done.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        path = f"{self.folder}/{fingerprint(self.identity())[:16]}/{stage}"
+        if stage_problems(self.spark, path, self.identity()):
             made.write.mode("overwrite").parquet(path)
+            note = self.spark.createDataFrame([(json.dumps(self.identity(), sort_keys=True),)], "value string")
+            note.coalesce(1).write.mode("overwrite").text(f"{path}.identity")
         return self.spark.read.schema(made.schema).parquet(path)
 
+    def release(self) -> None:
+        """Gives up the tables that Spark holds."""
+        for stage in _SHARED & set(self.tables):
+            self.tables[stage].unpersist()
+        self.tables.clear()
+
     def summary(self) -> DataFrame:
         """Row counts of the stages that end in a result."""
         out = None
@@ -110,7 +131,18 @@ class Analysis:
         return self.spark.createDataFrame(rows, "position int, stage string, dependency_stages string, built boolean")
 
     def provenance(self) -> str:
-        return json.dumps({"settings": asdict(self.settings), "settings_fingerprint": self.settings.fingerprint(), "stages": list(STAGES)}, sort_keys=True)
+        return json.dumps({"settings": asdict(self.settings), **self.identity(), "stages": list(STAGES)}, sort_keys=True)
+
+
+def stage_problems(spark: SparkSession, path: str, expected: dict[str, str]) -> list[str]:
+    """Why a stage's table at ``path`` can't be taken up: not there, not whole, or made from something else."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name in (f"{path}/_SUCCESS", f"{path}.identity/_SUCCESS"):
+        mark = jvm.org.apache.hadoop.fs.Path(name)
+        if not mark.getFileSystem(conf).exists(mark):
+            return ["stage_not_complete"]
+    found = json.loads(spark.read.text(f"{path}.identity").first()[0])
+    return [f"{k}_mismatch" for k in expected if found.get(k) != expected[k]]
 
 
 def _samples(a: Analysis) -> DataFrame:
@@ -160,10 +192,53 @@ def _metrics(a: Analysis) -> DataFrame:
         F.col("peak_count").cast("double").alias("global_significant_peak_count"), F.col("occupied_fraction").alias("global_occupied_frequency_fraction"), F.col("tonal_fraction").alias("global_tonal_energy_fraction"), (1 - F.col("tonal_fraction")).alias("global_residual_energy_fraction"),
     )
     loud = a.table("excitation").select("recording_id", F.col("peak_absolute").alias("excitation_peak_absolute_amplitude"), F.col("rms").alias("excitation_rms_amplitude"), F.col("energy").alias("excitation_signal_energy"))
-    both = wide.join(loud, "recording_id", "left").join(a.recordings.select("recording_id", "label_idx"), "recording_id")
+    both = wide.join(loud, "recording_id", "left").join(_over_time(a), "recording_id", "left").join(a.recordings.select("recording_id", "label_idx"), "recording_id")
     return both.unpivot(["recording_id", "label_idx"], [c for c in both.columns if c not in ("recording_id", "label_idx")], "metric", "value")
 
 
+def _frames(a: Analysis) -> DataFrame:
+    """Descriptors of every frame with its peaks and the energy near them."""
+    key = F.struct("recording_id", "frame").alias("recording_id")
+    bins, found = a.table("stft"), a.table("frame_peaks")
+    power = bins.select(key, "f_hz", (F.col("mag") * F.col("mag")).alias("p"))
+    near = spectrum.tonal_residual(power, found.select(key, "f_hz"), 2 * a.settings.rate / a.settings.frame)
+    near = near.select("recording_id.recording_id", "recording_id.frame", "tonal_fraction")
+    top = bins.groupBy("recording_id", "frame").agg(F.max("mag").alias("top"))
+    wide = bins.join(top, ["recording_id", "frame"]).filter("mag >= 0.1 * top").groupBy("recording_id", "frame").agg((F.max("f_hz") - F.min("f_hz")).alias("occupied_hz"))
+    counts = found.groupBy("recording_id", "frame").agg(F.count("*").alias("peaks"))
+    keys = ["recording_id", "frame"]
+    out = a.table("time_resolved").join(near, keys, "left").join(counts, keys, "left").join(wide, keys, "left")
+    return out.withColumn("peaks", F.coalesce(F.col("peaks"), F.lit(0)).cast("double")).withColumn("density", F.col("peaks") / (a.settings.rate / 2))
+
+
+def _over_time(a: Analysis) -> DataFrame:
+    """recording_id and, one column each, medians of the last third of its frames less those of the first, and courses over all."""
+    all_of = Window.partitionBy("recording_id")
+    t0, t1 = F.min("t_s").over(all_of), F.max("t_s").over(all_of)
+    f = _frames(a).withColumn("at", F.when(t1 > t0, (F.col("t_s") - t0) / (t1 - t0)))
+    early, late = F.col("at") < 1 / 3, F.col("at") >= 2 / 3
+    #: Names of regional metrics and the columns they are of.
+    regional = {
+        "spectral_flatness": F.col("flatness"), "spectral_entropy": F.col("entropy"), "tonal_energy_fraction": F.col("tonal_fraction"), "residual_energy_fraction": 1 - F.col("tonal_fraction"),
+        "peak_density_per_hz": F.col("density"), "significant_peak_count": F.col("peaks"), "occupied_bandwidth_hz": F.col("occupied_hz"),
+    }
+    valid = lambda place, c: F.median(F.when(place & F.col("valid"), c))
+    steps = f.filter("valid").select("recording_id", F.lit("flatness").alias("metric"), F.col("frame").alias("n"), "t_s", F.col("flatness").alias("value"))
+    changes = stft.change_points(steps, threshold=0.15).groupBy("recording_id").agg(F.count("*").cast("double").alias("time_change_point_count"))
+    m = f.groupBy("recording_id").agg(
+        *((valid(late, c) - valid(early, c)).alias(f"region_late_minus_early_{n}") for n, c in regional.items()), *(valid(late, c).alias(f"late_{n}") for n, c in regional.items()),
+        F.avg(F.col("valid").cast("double")).alias("time_temporal_coverage_fraction"), F.regr_slope(F.when(F.col("valid"), F.col("centroid_hz")), F.col("t_s")).alias("time_spectral_centroid_hz_slope_per_s"),
+    )
+    return m.join(changes, "recording_id", "left").fillna(0.0, ["time_change_point_count"])
+
+
+def _condition_values(a: Analysis) -> DataFrame:
+    """label_idx, metric, value: each metric's median, how many repeats there are and the largest variation within the condition."""
+    c = a.table("comparison")
+    repeats = c.groupBy("label_idx").agg(F.max("used").cast("double").alias("valid_repeat_count"), F.max("variation").alias("within_condition_coefficient_of_variation"))
+    return c.select("label_idx", "metric", F.col("median").alias("value")).unionByName(repeats.unpivot("label_idx", ["valid_repeat_count", "within_condition_coefficient_of_variation"], "metric", "value"))
+
+
 def _parameters(a: Analysis) -> DataFrame:
     nodes = a.table("chains")
     return modal.parameter_status(a.table("hypotheses"), modal.locations(nodes), modal.decay(nodes)).join(modal.uncertainties(nodes).select("chain_id", F.col("conservative_hz").alias("frequency_u")), "chain_id", "left")
@@ -189,7 +264,7 @@ _BUILD: dict[str, Callable[[Analysis], DataFrame]] = {
     "parameters": _parameters,
     "quality_factors": lambda a: modal.q_from_decay(a.table("parameters").withColumn("tau_u", F.lit(None).cast("double"))),
     "comparison": lambda a: comparison.aggregate(_metrics(a)),
-    "regimes": lambda a: regimes.describe(regimes.score(regimes.evaluate(a.table("comparison").select("label_idx", "metric", F.col("median").alias("value"))))),
+    "regimes": lambda a: regimes.describe(regimes.score(regimes.evaluate(_condition_values(a)))),
 }
 #: Stages whose rows several others read.
 _SHARED = {"spectrum", "stft", "tracking", "candidates", "cross_condition", "chains"}

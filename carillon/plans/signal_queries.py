@@ -78,8 +78,8 @@ query(
     "series_metrics",
     lambda s, d: temporal.recording_metrics(series(s, d), clip_at=480.0),
     f"""WITH {SER_SQL}, m AS (SELECT recording_id, max(abs(x)) p, sqrt(avg(x*x)) q, avg(x) dc, bool_or(abs(x) >= 480) c, count(*) n FROM ser GROUP BY 1)
-    SELECT recording_id, {r('p', 'peak', 4)}, {r('q', 'rms', 4)}, {r('p/q', 'crest', 4)}, {r('20*log10(p)', 'peak_dbfs', 4)}, {r('20*log10(q)', 'rms_dbfs', 4)}, {r('dc', 'dc_offset', 4)}, c AS clipping, n AS n_samples FROM m""",
-    digits=4,
+    SELECT recording_id, {r('p', 'peak', 8)}, {r('q', 'rms', 8)}, {r('p/q', 'crest', 8)}, {r('20*log10(p)', 'peak_dbfs', 8)}, {r('20*log10(q)', 'rms_dbfs', 8)}, {r('dc', 'dc_offset', 8)}, c AS clipping, n AS n_samples FROM m""",
+    digits=8,
 )
 query(
     "interval",

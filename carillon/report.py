@@ -10,9 +10,22 @@ from pyspark.sql import DataFrame
 from .operators import export
 from .plans.experiment import Analysis
 
-#: Words that no report may use of a hypothesis.
-FORBIDDEN = ("confirmed mode", "proven mode", "physical mode identified", "true mode")
-SECTIONS = ("summary", "stages", "comparison", "regimes", "hypotheses", "parameters", "quality_factors")
+#: Claims that no report may make.
+FORBIDDEN = (
+    "confirmed physical mode",
+    "confirmed energy transfer",
+    "proven nonlinear behavior",
+    "causality demonstrated",
+    "physical split",
+    "physical merge",
+    "modo fisico confirmado",
+    "transferencia de energia confirmada",
+    "comportamento nao linear comprovado",
+    "causalidade demonstrada",
+    "split fisico",
+    "merge fisico",
+)
+SECTIONS = ("summary", "stages", "excitation", "descriptors", "candidates", "within_condition", "cross_condition", "chains", "comparison", "regimes", "hypotheses", "parameters", "quality_factors")
 
 
 def sections(analysis: Analysis) -> dict[str, DataFrame]:
@@ -40,3 +53,23 @@ def problems(text: str) -> list[str]:
 
 def checksum(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+def manifest(analysis: Analysis, files: dict[str, str]) -> dict:
+    """What a report was made from and the checksum of each of its files (name → content)."""
+    return {
+        **analysis.identity(),
+        "sections": list(SECTIONS),
+        "files": {name: {"sha256": checksum(text), "characters": len(text)} for name, text in sorted(files.items())},
+        "problems": {name: problems(text) for name, text in sorted(files.items())},
+    }
+
+
+def summary(made: dict) -> dict:
+    """Counts of a manifest."""
+    found = sum(map(len, made["problems"].values()))
+    return {"section_count": len(made["sections"]), "file_count": len(made["files"]), "problem_count": found, "valid": found == 0}
+
+
+def settings_fingerprint(title: str, rows: int) -> str:
+    return export.fingerprint({"title": title, "rows": rows, "sections": list(SECTIONS)})

@@ -54,7 +54,7 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("value").alias("x"),
             "event_type",
         )
-        .join(F.broadcast(types), "event_type")  # at most a handful of event types
+        .join(types, "event_type")
         .select("recording_id", "n", "t_s", "x", "label_idx")
     )
 

@@ -61,3 +61,30 @@ def problems(recordings: DataFrame) -> DataFrame:
     for f in found[1:]:
         out = out.unionByName(f)
     return out.distinct()
+
+
+def serialised(config: dict) -> str:
+    """Canonical JSON of a configuration."""
+    return json.dumps(config, sort_keys=True, indent=2, ensure_ascii=False) + "\n"
+
+
+def _toml_value(value) -> str:
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, list):
+        return "[" + ", ".join(map(_toml_value, value)) + "]"
+    return json.dumps(value, ensure_ascii=False) if isinstance(value, str) else repr(value)
+
+
+def write_configuration(path: str, config: dict) -> None:
+    """JSON or TOML by the file's ending; a missing value has no place in TOML and is left out."""
+    if path.endswith(".json"):
+        Path(path).write_text(serialised(config))
+        return
+    lines: list[str] = []
+    for section, value in config.items():
+        for table in value if isinstance(value, list) else [value]:
+            lines.append(f"[[{section}]]" if isinstance(value, list) else f"[{section}]")
+            lines += [f"{k} = {_toml_value(v)}" for k, v in table.items() if v is not None]
+            lines.append("")
+    Path(path).write_text("\n".join(lines))

@@ -113,3 +113,80 @@ def drifting(spark: SparkSession, start_hz: float, drift_hz_per_s: float, tau_s:
 def truth(components: DataFrame) -> DataFrame:
     """Q = π f τ and bandwidth 1/(π τ) of (scenario, component_id, f0, tau_s)."""
     return components.select("*", (F.pi() * F.col("f0") * F.col("tau_s")).alias("q"), (1 / (F.pi() * F.col("tau_s"))).alias("bandwidth_hz"))
+
+
+# ---- validation scenarios -----------------------------------------------------------
+
+#: For each scenario its components (id, frequency, amplitude, decay time or none), 8 s long.
+SCENARIOS: dict[str, tuple[tuple[str, float, float, float | None], ...]] = {
+    "single_ideal": (("mode_500", 500.0, 1.0, 2.0),),
+    "multiple_isolated": (("mode_250", 250.0, 0.8, 3.0), ("mode_500", 500.0, 0.7, 2.0), ("mode_900", 900.0, 0.6, 1.2)),
+    "near_modes_resolved": (("near_a", 500.0, 0.8, 2.0), ("near_b", 540.0, 0.7, 2.1)),
+    "near_modes_marginal": (("near_a", 500.0, 0.8, 2.0), ("near_b", 503.0, 0.7, 2.1)),
+    "near_modes_unidentifiable": (("near_a", 500.0, 0.8, 2.0), ("near_b", 500.4, 0.7, 2.1)),
+    "beating": (("beat_a", 500.0, 0.7, 4.0), ("beat_b", 502.0, 0.7, 4.0)),
+    "linear_drift": (("drift_500", 500.0, 0.9, 2.0),),
+    "frequency_crossing": (("cross_a", 490.0, 0.7, 3.0), ("cross_b", 510.0, 0.7, 3.0)),
+    "emergence_disappearance": (("persistent", 500.0, 0.8, 2.0), ("emerging", 750.0, 0.7, 1.5), ("disappearing", 300.0, 0.7, 1.5)),
+    "apparent_split_merge": (("split_parent", 500.0, 0.8, 2.0), ("split_child_a", 497.0, 0.5, 2.0), ("split_child_b", 503.0, 0.5, 2.0)),
+    "energy_exchange": (("exchange_a", 500.0, 1.0, 4.0), ("exchange_b", 700.0, 1.0, 4.0)),
+    "no_energy_exchange": (("decay_a", 500.0, 0.8, 1.5), ("decay_b", 700.0, 0.7, 2.0)),
+    "noise": (("noisy_mode", 500.0, 1.0, 2.0),),
+    "mains_hum": (("mode_500", 500.0, 0.9, 2.0), ("mains_60", 60.0, 0.1, None)),
+    "clipping": (("clipped_mode", 500.0, 1.2, 2.0),),
+    "short_duration": (("long_tau_short_window", 500.0, 0.9, 5.0),),
+    "sampling_resolution": (("resolution_mode", 500.0, 0.9, 2.0),),
+}
+#: Drift in Hz per s, phase, share of the duration at which a component begins or ends, envelope points
+#: (share of the duration, amplitude), components that are not to be found, and pairs that exchange energy or do not.
+DRIFTS = {"drift_500": 2.0, "cross_a": 5.0, "cross_b": -5.0}
+PHASES = {"beat_b": 0.2}
+BEGINS, ENDS = {"emerging": 0.35}, {"disappearing": 0.55}
+ENVELOPES = {"exchange_a": ((0.0, 1.0), (1.0, 0.25)), "exchange_b": ((0.0, 0.15), (0.35, 0.2), (1.0, 0.95))}
+HIDDEN = ("mains_60",)
+EXCHANGING = {"energy_exchange": (("exchange_a", "exchange_b"),)}
+NOT_EXCHANGING = {"beating": (("beat_a", "beat_b"),), "no_energy_exchange": (("decay_a", "decay_b"),)}
+EXCHANGE_LAG = 0.20
+
+
+def scenario_components(spark: SparkSession, names: tuple[str, ...] = tuple(SCENARIOS)) -> DataFrame:
+    """scenario, component_id, f0, amplitude, tau_s, drift, phase, begins, ends, detectable."""
+    rows = [(n, c, f, a, tau, DRIFTS.get(c, 0.0), PHASES.get(c, 0.0), BEGINS.get(c, 0.0), ENDS.get(c, 1.0), c not in HIDDEN) for n in names for c, f, a, tau in SCENARIOS[n]]
+    return spark.createDataFrame(rows, "scenario string, component_id string, f0 double, amplitude double, tau_s double, drift double, phase double, begins double, ends double, detectable boolean")
+
+
+def _envelope(points: tuple[tuple[float, float], ...], share: Column) -> Column:
+    """Straight lines between points."""
+    out = F.lit(points[-1][1])
+    for (a, x), (b, y) in reversed(list(zip(points, points[1:]))):
+        out = F.when(share <= b, x + (y - x) * (share - a) / (b - a)).otherwise(out)
+    return out
+
+
+def scenario_waves(spark: SparkSession, names: tuple[str, ...], duration_s: float, rate: int) -> DataFrame:
+    """scenario, component_id, n, t_s, f_hz, envelope, x: every component's samples; no sample depends on another one.
+
+    The phase is 2π (f t + drift t² / 2), so a drift needs no running sum.
+    """
+    t = _times(spark, duration_s, rate)
+    parts = scenario_components(spark, names)
+    both = t.join(F.broadcast(parts))  # a fixed list of components
+    share, c = F.col("t_s") / duration_s, F.col("t_s")
+    fall = F.when(F.col("tau_s").isNull(), F.lit(1.0)).otherwise(F.exp(-(c - F.col("begins") * duration_s) / F.col("tau_s")))
+    for name, points in ENVELOPES.items():
+        fall = F.when(F.col("component_id") == name, _envelope(points, share)).otherwise(fall)
+    level = F.when((share >= F.col("begins")) & (share <= F.col("ends")), F.col("amplitude") * fall).otherwise(0.0)
+    turn = 2 * np.pi * (F.col("f0") * c + F.col("drift") * c * c / 2) + F.col("phase")
+    return both.select("scenario", "component_id", "n", "t_s", (F.col("f0") + F.col("drift") * c).alias("f_hz"), level.alias("envelope"), (level * F.sin(turn)).alias("x"))
+
+
+def scenario_signals(spark: SparkSession, names: tuple[str, ...], duration_s: float, rate: int, noise_rms: float = 0.02, clip_quantile: float = 0.95, seed: int = 7) -> DataFrame:
+    """scenario, n, t_s, x: the sum of the components, with noise for "noise" and clipped at a quantile for "clipping"."""
+    total = scenario_waves(spark, names, duration_s, rate).groupBy("scenario", "n", "t_s").agg(F.sum(F.round("x", 12)).alias("x"))
+    if "noise" in names:
+        noisy = white_noise(spark, duration_s, rate, noise_rms, seed).select("n", F.col("x").alias("y"))
+        total = total.join(noisy, "n").withColumn("x", F.when(F.col("scenario") == "noise", F.col("x") + F.col("y")).otherwise(F.col("x"))).drop("y")
+    if "clipping" in names:
+        limit = total.filter("scenario = 'clipping'").agg(F.percentile(F.abs("x"), F.lit(clip_quantile)).alias("limit"))
+        total = total.join(F.broadcast(limit)).withColumn("x", F.when(F.col("scenario") == "clipping", F.greatest(F.least("x", "limit"), -F.col("limit"))).otherwise(F.col("x"))).drop("limit")  # one row
+    return total

@@ -1,5 +1,7 @@
 """Operators on small made-up inputs: edges, missing values, independence of order."""
 
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -189,3 +191,65 @@ def test_synthetic_validation_passes(spark):
     from carillon import cli
 
     assert [f["status"] for f in cli.validate(spark)] == ["passed", "passed"]
+
+
+def test_analyses_in_one_folder_do_not_take_up_each_others_tables(spark, tmp_path):
+    from carillon.plans.experiment import Settings, analyze, stage_problems
+
+    def tone(f0):
+        sig = synthetic.pure_sine(spark, f0, 1.0, 1024)
+        return sig.groupBy(F.lit(0).cast("long").alias("recording_id"), F.lit(0).alias("label_idx")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "x"))), lambda s: s.x).alias("samples"))
+
+    settings = Settings(rate=1024, frame=256, hop=128)
+    for f0 in (50.0, 120.0, 50.0):
+        a = analyze(tone(f0), settings, f"{tmp_path}/run")
+        top = a.table("spectrum").orderBy(F.desc("mag")).first()
+        assert top.f_hz == f0
+    path = next(str(p) for p in (tmp_path / "run").glob("*/spectrum"))
+    assert stage_problems(spark, path, a.identity() | {"version": "other"})[0] in ("version_mismatch", "recordings_fingerprint_mismatch")
+    assert stage_problems(spark, path + "x", a.identity()) == ["stage_not_complete"]
+
+
+def test_an_analysis_sees_how_a_sound_changes(spark):
+    """Noise that turns into a tone: flatness falls from the first third to the last."""
+    import numpy as np
+
+    from carillon.plans.experiment import Settings, _over_time, analyze
+
+    rng = np.random.default_rng(2)
+    t = np.arange(8192) / 4096
+    x = np.where(t < 0.8, rng.normal(size=len(t)), np.sin(2 * np.pi * 300 * t) + 0.001 * rng.normal(size=len(t)))
+    rows = [(i, 0, (x * g).tolist()) for i, g in enumerate((1.0, 0.5))]
+    a = analyze(spark.createDataFrame(rows, "recording_id long, label_idx int, samples array<double>"), Settings(rate=4096, frame=512, hop=256, peak_height=0.05))
+    m = _over_time(a).collect()
+    assert len(m) == 2 and all(r.region_late_minus_early_spectral_flatness < -0.15 and r.time_change_point_count >= 1 and r.late_tonal_energy_fraction > 0.9 and r.time_temporal_coverage_fraction == 1.0 for r in m)
+    assert a.table("regimes").first().course == "broadband_to_tonal"
+    a.release()
+
+
+def test_reports_and_configurations(tmp_path):
+    from carillon import report
+
+    assert report.problems("A Confirmed physical mode; causality demonstrated.") == ["forbidden claim: confirmed physical mode", "forbidden claim: causality demonstrated"]
+    config = {"experiment": {"name": "x", "take": 2, "on": True}, "recordings": [{"path": "a.wav", "label": "pp"}, {"path": "b.wav", "gain": 0.5}], "pipeline": {"bands": [1, 2.5]}}
+    for end in ("json", "toml"):
+        experiment.write_configuration(f"{tmp_path}/c.{end}", config)
+        assert experiment.load_configuration(f"{tmp_path}/c.{end}") == config
+    assert json.loads(experiment.serialised(config)) == config
+
+
+def test_scenarios_and_their_recovery(spark):
+    from carillon.operators import validation
+
+    parts = synthetic.scenario_components(spark)
+    assert parts.select("scenario").distinct().count() == 17
+    found = [("single_ideal", 0, 500.5, True), ("single_ideal", 1, 900.0, True), ("multiple_isolated", 0, 250.1, True), ("multiple_isolated", 1, 499.0, False), ("mains_hum", 0, 500.0, True)]
+    got = {r.scenario: r for r in validation.candidate_recovery(parts, spark.createDataFrame(found, "scenario string, candidate_id long, frequency_hz double, accepted boolean")).collect()}
+    assert (got["single_ideal"].matched_count, got["single_ideal"].false_count, got["single_ideal"].passed) == (1, 1, False)
+    assert (got["multiple_isolated"].missed_count, got["multiple_isolated"].rejected_expected_count) == (1, 1)
+    assert got["mains_hum"].passed and not got["noise"].passed
+    sig = synthetic.scenario_signals(spark, ("noise", "clipping", "single_ideal"), 0.25, 2048).groupBy("scenario").agg(F.max(F.abs("x")).alias("top"), F.count("*").alias("n")).collect()
+    top = {r.scenario: r.top for r in sig}
+    assert all(r.n == 512 for r in sig) and top["clipping"] < 1.19 and top["single_ideal"] <= 1.0
+    wave = {r.n: r.envelope for r in synthetic.scenario_waves(spark, ("emergence_disappearance",), 1.0, 100).filter("component_id = 'emerging'").collect()}
+    assert wave[34] == 0 and wave[35] == pytest.approx(0.7) and wave[99] < wave[35]
