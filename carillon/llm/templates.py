@@ -65,10 +65,13 @@ def recurring_lines(
     min_docs: int = MIN_DOCS,
     min_words: int = MIN_WORDS,
     similarity: float = SIMILARITY,
-    long_words: int = LONG_WORDS,
+    long_words: int | None = LONG_WORDS,
 ) -> DataFrame:
-    """__id, __key, pos: the lines of ``docs(doc_id, text)`` to drop."""
-    enough = F.when(F.col("l.words") >= long_words, min(2, min_docs)).otherwise(min_docs).alias("enough")  # one number a leaf
+    """__id, __key, pos: the lines of ``docs(doc_id, text)`` to drop.
+
+    long_words: None where whole copies of documents are to stay alike for a later stage.
+    """
+    enough = (F.lit(min_docs) if long_words is None else F.when(F.col("l.words") >= long_words, min(2, min_docs)).otherwise(min_docs)).alias("enough")  # one number a leaf
     known = docs.filter(F.col("text").isNotNull()).select(*_identity(docs), "text")
     long_enough = F.col("l.words") >= min_words
     # the outer forms: the others compute the array once more, to filter on its size
