@@ -20,8 +20,12 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the lines of recurring templates, save for each template's first."""
-    return templates.dedup_lines(docs).select(*docs.columns)
+    """Drops the lines of recurring templates, save for each template's first.
+
+    Long lines that only two documents share stay: those are mostly pairs of near copies, which the next stage
+    would not know again without them.
+    """
+    return templates.dedup_lines(docs, long_words=None).select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
