@@ -108,6 +108,20 @@ def cumulative_energy(sig: DataFrame, rate: float) -> DataFrame:
     return sig.select(BY, "n", (F.sum(F.col("x") * F.col("x")).over(_rows(Window.unboundedPreceding, 0)) / rate).alias("energy"))
 
 
+def configured_envelope(recs: DataFrame, method: str, window: int = 65, rate: float = 1.0) -> DataFrame:
+    """recording_id, n, envelope of (recording_id, samples) by the named method: hilbert, moving_rms, moving_peak or cumulative_energy."""
+    if method == "hilbert":
+        from .spectrum import hilbert_envelope
+
+        return hilbert_envelope(recs)
+    sig = recs.select(BY, F.posexplode("samples").alias("n", "x")).select(BY, F.col("n").cast("long").alias("n"), "x")
+    if method == "cumulative_energy":
+        return cumulative_energy(sig, rate).withColumnRenamed("energy", "envelope")
+    if method not in ("moving_rms", "moving_peak"):
+        raise ValueError(f"no such envelope: {method}")
+    return (moving_rms if method == "moving_rms" else moving_peak)(sig, window)
+
+
 def signal_to_noise(sig: DataFrame, window: int) -> DataFrame:
     """Level of the recording over its noise floor: 0 for silence, inf without noise."""
     rms = sig.groupBy(BY).agg(F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("rms"))

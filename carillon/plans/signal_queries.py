@@ -91,7 +91,25 @@ query(
     lambda s, d: temporal.mono(signals(s, d).withColumn("channel", F.col("recording_id") % 2).withColumn("recording_id", F.floor(F.col("recording_id") / 2))),
     f"WITH {SIG_SQL} SELECT recording_id // 2 AS recording_id, n, {r('avg(x)', 'x')} FROM sig GROUP BY ALL",
 )
-query("hilbert_envelope", lambda s, d: spectrum.hilbert_envelope(recordings(s, d)))
+query(
+    "hilbert_envelope",
+    lambda s, d: spectrum.hilbert_envelope(recordings(s, d)),
+    # the transform of an even number of samples in the time domain: cotangents at odd distances
+    f"""WITH {SIG_SQL}, h AS (SELECT p.recording_id, p.n, p.x, sum(CASE WHEN (p.n - q.n) % 2 <> 0 THEN q.x/tan(pi()*(p.n - q.n)/{RATE}) ELSE 0 END)*2/{RATE} AS y FROM sig p JOIN sig q ON q.recording_id = p.recording_id GROUP BY 1, 2, 3)
+    SELECT recording_id, n, {r('sqrt(x*x + y*y)', 'envelope')} FROM h""",
+)
+
+
+def configured(s, d, method):
+    return temporal.configured_envelope(recordings(s, d), method, window=9, rate=RATE)
+
+
+query(
+    "configured_envelope",
+    lambda s, d: configured(s, d, "moving_rms").withColumn("method", F.lit("moving_rms")).unionByName(configured(s, d, "moving_peak").withColumn("method", F.lit("moving_peak"))),
+    f"""WITH {SIG_SQL} SELECT recording_id, n, 'moving_rms' AS method, {r('sqrt(sum(x*x) OVER (PARTITION BY recording_id ORDER BY n ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)/9)', 'envelope')} FROM sig
+    UNION ALL SELECT recording_id, n, 'moving_peak', {r('max(abs(x)) OVER (PARTITION BY recording_id ORDER BY n ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)', 'envelope')} FROM sig""",
+)
 query(
     "clipping_run",
     lambda s, d: temporal.longest_run(signals(s, d).withColumn("loud", F.abs("x") >= 0.1), "loud"),
