@@ -7,7 +7,8 @@ instance of the template that keeps its fixed words, takes the leaf's most frequ
 where its own is not fixed, and ``<*>`` where no word is.  A template in enough documents
 recurs: its lines are dropped, save for the first one in the document with the smallest id.
 Enough are ``min_docs`` documents, but two for lines of ``long_words`` words or more, which
-chance does not repeat.
+chance does not repeat.  ``spare_copies`` keeps such lines where the two documents that share
+them are near copies of each other, so that a later stage still knows them as copies.
 
 Leaves that too few documents reach are left out before any text moves, and only distinct
 lines of leaves with several of them are taken apart into words.  Hot lines and templates
@@ -23,6 +24,8 @@ columns pass through untouched.
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +37,8 @@ MIN_WORDS = 5
 #: From so many words on, two documents are enough.
 LONG_WORDS = 50
 SIMILARITY = 0.75
+#: Two documents are near copies with so large a share of their shingles of so many words in common.
+SHINGLE, COPY = 5, 0.8
 
 _ID, _KEY = "__id", "__key"
 
@@ -59,19 +64,41 @@ def _leaf(depth: int) -> Column:
     return F.xxhash64(F.col("l.words"), F.substring_index("l.line", " ", depth))
 
 
+#: SQL: the distinct shingles of ``text``; with fewer words than one needs, all words as one.
+_SHINGLES = (
+    rf"array_distinct(element_at(transform(array(filter(split(translate(text, '{ascii_uppercase}', '{ascii_lowercase}'), '[ \\t\\n\\x0B\\f\\r]+'), w -> w <> '')), "
+    rf"w -> if(size(w) < {SHINGLE}, array(xxhash64(w)), transform(sequence(1, greatest(size(w) - {SHINGLE} + 1, 1)), i -> xxhash64(slice(w, i, {SHINGLE}))))), 1))"
+)
+
+
+def _of_near_copies(known: DataFrame, pairs: DataFrame) -> DataFrame:
+    """template: those of pairs(template, __id, __key), two rows each, whose two documents are near copies."""
+    both = pairs.groupBy("template").agg(F.min(F.struct(_ID, _KEY)).alias("a"), F.max(F.struct(_ID, _KEY)).alias("b"))
+    members = pairs.select(_ID, _KEY).distinct()
+    # rows with equal id and text are one document
+    sets = known.join(members, [_ID, _KEY], "left_semi").dropDuplicates([_ID, _KEY]).select(F.struct(_ID, _KEY).alias("doc"), F.expr(_SHINGLES).alias("set"))
+    sets = materialise(sets, "line-shingles")
+    links = both.select("a", "b").distinct()
+    links = links.join(sets.select(F.col("doc").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("doc").alias("b"), F.col("set").alias("y")), "b")
+    shared = links.select("a", "b", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("shared"))
+    near = shared.filter(F.col("shared") >= COPY * (F.col("n") - F.col("shared"))).select("a", "b")
+    return both.join(near, ["a", "b"], "left_semi").select("template")
+
+
 def recurring_lines(
     docs: DataFrame,
     depth: int = DEPTH,
     min_docs: int = MIN_DOCS,
     min_words: int = MIN_WORDS,
     similarity: float = SIMILARITY,
-    long_words: int | None = LONG_WORDS,
+    long_words: int = LONG_WORDS,
+    spare_copies: bool = False,
 ) -> DataFrame:
     """__id, __key, pos: the lines of ``docs(doc_id, text)`` to drop.
 
-    long_words: None where whole copies of documents are to stay alike for a later stage.
+    spare_copies: not those that only two near copies share.
     """
-    enough = (F.lit(min_docs) if long_words is None else F.when(F.col("l.words") >= long_words, min(2, min_docs)).otherwise(min_docs)).alias("enough")  # one number a leaf
+    enough = F.when(F.col("l.words") >= long_words, min(2, min_docs)).otherwise(min_docs).alias("enough")  # one number a leaf
     known = docs.filter(F.col("text").isNotNull()).select(*_identity(docs), "text")
     long_enough = F.col("l.words") >= min_words
     # the outer forms: the others compute the array once more, to filter on its size
@@ -115,7 +142,12 @@ def recurring_lines(
     found = spots.join(alone.unionByName(several), ["leaf", "line_key"]).select(_ID, _KEY, "pos", "template", "enough")
     found = materialise(found, "line-templates")
     in_docs = found.groupBy("template", "enough", _ID, _KEY).agg(F.min("pos").alias("pos"))
-    recurring = in_docs.groupBy("template", "enough").agg(F.count("*").alias("docs"), F.min(_ID).alias("first_id")).filter(F.col("docs") >= F.col("enough")).select("template", "first_id")
+    recurring = in_docs.groupBy("template", "enough").agg(F.count("*").alias("docs"), F.min(_ID).alias("first_id")).filter(F.col("docs") >= F.col("enough"))
+    if spare_copies:
+        recurring = materialise(recurring, "line-recurring")
+        pairs = recurring.filter(F.col("docs") < min_docs).select("template").join(in_docs, "template")
+        recurring = recurring.join(_of_near_copies(known, pairs), "template", "left_anti")
+    recurring = recurring.select("template", "first_id")
     named = found.join(recurring, "template")
     first = (
         in_docs.join(recurring, "template")

@@ -246,6 +246,23 @@ def test_long_lines_recur_from_two_documents_on(spark):
     assert (got[2].n_lines, got[2].n_dropped, got[2].leaf, got[2].enough) == (3, 1, "c", 1)
 
 
+def test_lines_of_two_near_copies_can_be_spared(spark):
+    passage = lambda name, n=60: " ".join(f"{name}{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}" for i in range(n))
+    rows = [
+        (1, f"{passage('p')}\n{passage('q')}\nend of one"), (2, f"{passage('p')}\n{passage('q')}\nend of two"),  # near copies
+        (3, f"{passage('s')}\n{passage('u', 90)}"), (4, f"{passage('s')}\n{passage('v', 90)}"),  # one passage in two documents
+        (5, f"{passage('z')}\n{passage('y')}"), (6, f"{passage('z')}\n{passage('y')}"), (7, passage("z")),  # a third one has it
+        (None, passage("k")), (None, f"{passage('k')}\nand the ending of another"), (8, None), (9, ""),
+        (1, f"{passage('p')}\n{passage('q')}\nend of one"),
+    ]
+    docs = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, set string")
+    got = sorted(map(tuple, templates.dedup_lines(docs, spare_copies=True).select("doc_id", "text", "set").collect()), key=str)
+    kept = dict(rows) | {4: passage("v", 90), 6: passage("y"), 7: ""}
+    want = [(i, kept[i] if i else t, "c") for i, t in rows]
+    assert got == sorted(want, key=str)
+    assert templates.dedup_lines(docs.limit(0), spare_copies=True).count() == 0
+
+
 def test_search_with_repeated_rows_and_ids(spark):
     rows = [(0, [1.0, 2.0]), (0, [3.0, -1.0]), (7, [2.0, 2.0]), (7, [2.0, 2.0]), (8, [0.5, 0.0]), *[(9, [1.0, 1.0])] * 30]
     df = spark.createDataFrame([(i, v, 1, 2.0, "x") for i, v in rows], "vec_id long, embedding array<double>, rank int, score double, list string")
