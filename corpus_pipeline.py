@@ -22,10 +22,10 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def without_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the lines of recurring templates, save for each template's first.
 
-    Long lines that only two documents share stay: those are mostly pairs of near copies, which the next stage
-    would not know again without them.
+    Long lines that only two near copies share stay, as the next stage would not know the copies again without them;
+    those of two different documents go.
     """
-    return templates.dedup_lines(docs, long_words=None).select(*docs.columns)
+    return templates.dedup_lines(docs, spare_copies=True).select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
