@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import association, spectrum, tracking
+from ..operators import association, diagnosis, spectrum, tracking
 from ..operators.stft import frame_peaks
 from ..sources.adapters import REF_SQL, SER_SQL, candidate_refs, series
 from .registry import query
@@ -190,3 +190,55 @@ query(
     SELECT chain_id, a AS start_idx, b AS end_idx, c AS node_count, {r('f0', 'initial_hz')}, {r('f1', 'final_hz')}, {r('ms', 'max_step_hz')}, pv AS preserved, u AS up, dn AS down, {r('ac', 'mean_cost')}, {r('mc', 'max_cost')}, {r('f1-f0', 'total_change_hz')},
       c = 5 AS complete, c = 1 AS isolated, a > 0 AS emerging, b < 4 AS disappearing, {r('c/5.0', 'coverage')} FROM m""",
 )
+
+
+# ---- costs and reasons of candidate pairs -------------------------------------------
+
+LIMITS_OF_PAIRS = {
+    "absolute_frequency_gate": 0.1,
+    "log_frequency_gate": 0.00012,
+    "tau_gate": 1.05,
+    "maximum_ambiguous_fraction": 0.35,
+    "maximum_near_threshold_fraction": 0.22,
+    "minimum_assignment_margin": 0.05,
+    "cost_above_threshold": 1.1,
+}
+WEIGHTS_OF_PAIRS = {
+    "frequency": 1.0, "frequency_stability": 0.25, "frequency_drift": 0.2, "frequency_fit_rmse": 0.3, "tau": 0.25, "amplitude_fit_quality": 0.5, "ambiguity": 0.15, "near_threshold": 0.35,
+    "assignment_margin": 0.1, "impact_evidence": 0.4,
+}
+
+
+def tracked_refs(s, d):
+    """The references with figures of their tracks, missing ones among them."""
+    k = F.col("candidate_id")
+    return refs(s, d).select(
+        "*", F.when(k % 4 != 0, (k % 9) / 10).alias("drift_hz"), F.when(k % 3 != 0, (k % 8) / 20).alias("rmse_hz"), F.when(k % 10 != 0, (k % 5) / 10).alias("ambiguous_fraction"),
+        F.when(k % 8 != 0, (k % 6) / 20).alias("near_threshold_fraction"), F.when(k % 12 != 0, (k % 7) / 10).alias("assignment_margin"),
+    )
+
+
+_K = "candidate_id"
+TRACKED_SQL = f"""{REFS_SQL}, tr AS (SELECT *, CASE WHEN {_K} % 4 <> 0 THEN ({_K} % 9)/10.0::DOUBLE END AS drift_hz, CASE WHEN {_K} % 3 <> 0 THEN ({_K} % 8)/20.0::DOUBLE END AS rmse_hz, CASE WHEN {_K} % 10 <> 0 THEN ({_K} % 5)/10.0::DOUBLE END AS amb,
+  CASE WHEN {_K} % 8 <> 0 THEN ({_K} % 6)/20.0::DOUBLE END AS nt, CASE WHEN {_K} % 12 <> 0 THEN ({_K} % 7)/10.0::DOUBLE END AS am FROM rf)"""
+query(
+    "pair_diagnosis",
+    lambda s, d: diagnosis.diagnose(tracked_refs(s, d), LIMITS_OF_PAIRS, WEIGHTS_OF_PAIRS, 0.15),
+    f"""WITH {TRACKED_SQL}, pr AS (SELECT l.label_idx AS pair, l.recording_id AS a, l.candidate_id AS b, h.recording_id AS c, h.candidate_id AS d, l.frequency_hz AS f, h.frequency_hz AS g, h.tau_s - l.tau_s AS tau_change, abs(log2(h.tau_s/l.tau_s)) AS tau,
+      l.impact_excited = h.impact_excited AS agree, l.amb AS la, h.amb AS ha, l.nt AS ln, h.nt AS hn, l.am AS lm, h.am AS hm, abs(h.frequency_hz - l.frequency_hz)/0.1::DOUBLE AS c1, coalesce(0.25*abs(h.stability - l.stability), 0)::DOUBLE AS c2,
+      coalesce(0.2*abs(h.drift_hz - l.drift_hz), 0)::DOUBLE AS c3, coalesce(0.3*abs(h.rmse_hz - l.rmse_hz), 0)::DOUBLE AS c4, coalesce(0.25*abs(log2(h.tau_s/l.tau_s)), 0)::DOUBLE AS c5, coalesce(0.5*abs(h.r_squared - l.r_squared), 0)::DOUBLE AS c6,
+      coalesce(0.15*greatest(l.amb, h.amb), 0)::DOUBLE AS c7, coalesce(0.35*greatest(l.nt, h.nt), 0)::DOUBLE AS c8, coalesce(0.1*abs(h.am - l.am), 0)::DOUBLE AS c9, CASE WHEN l.impact_excited <> h.impact_excited THEN 0.4 ELSE 0 END::DOUBLE AS c10
+      FROM tr l JOIN tr h ON h.label_idx = l.label_idx + 1 AND abs(l.frequency_hz - h.frequency_hz) <= 0.15 + 1e-12),
+    t AS (SELECT *, c1 + c2 + c3 + c4 + c5 + c6 + c7 + c8 + c9 + c10 AS cost FROM pr),
+    w AS (SELECT *, CASE WHEN abs(g - f) > 0.1 THEN 'absolute_frequency_gate' WHEN abs(log2(g/f)) > 0.00012 THEN 'log_frequency_gate' WHEN tau > 1.05 THEN 'tau_gate'
+      WHEN la IS NULL OR ha IS NULL THEN 'missing_tracking_evidence' WHEN greatest(la, ha) > 0.35 THEN 'maximum_ambiguous_fraction' WHEN ln IS NULL OR hn IS NULL THEN 'missing_tracking_evidence'
+      WHEN greatest(ln, hn) > 0.22 THEN 'maximum_near_threshold_fraction' WHEN lm IS NULL OR hm IS NULL THEN 'missing_tracking_evidence' WHEN least(lm, hm) < 0.05 THEN 'minimum_assignment_margin' WHEN cost > 1.1 THEN 'cost_above_threshold' END AS reason FROM t)
+    SELECT pair, a AS lower_recording_id, b AS lower_candidate_id, c AS higher_recording_id, d AS higher_candidate_id, {r('g - f', 'change_hz')}, {r('(g - f)/(0.5*(g + f))', 'relative_change')}, {r('tau_change', 'tau_change')}, agree AS impact_compatible,
+      {r('c1', 'frequency_cost')}, {r('c2', 'frequency_stability_cost')}, {r('c3', 'frequency_drift_cost')}, {r('c4', 'frequency_fit_rmse_cost')}, {r('c5', 'tau_cost')}, {r('c6', 'amplitude_fit_quality_cost')}, {r('c7', 'ambiguity_cost')},
+      {r('c8', 'near_threshold_cost')}, {r('c9', 'assignment_margin_cost')}, {r('c10', 'impact_evidence_cost')}, {r('cost', 'cost')}, reason, reason IS NULL AS admissible FROM w""",
+)
+query(
+    "candidate_eligibility",
+    lambda s, d: candidate_refs(s, d).select("recording_id", "candidate_id", diagnosis.ineligible(F.col("accepted"), F.col("impact_excited"), need_impact=True, need_evidence=True).alias("reason")),
+    f"WITH {REF_SQL} SELECT recording_id, candidate_id, CASE WHEN NOT accepted THEN 'candidate_rejected_by_policy' WHEN impact_excited IS NULL OR NOT impact_excited THEN 'missing_required_evidence' END AS reason FROM ref",
+)

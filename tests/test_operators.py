@@ -253,3 +253,26 @@ def test_scenarios_and_their_recovery(spark):
     assert all(r.n == 512 for r in sig) and top["clipping"] < 1.19 and top["single_ideal"] <= 1.0
     wave = {r.n: r.envelope for r in synthetic.scenario_waves(spark, ("emergence_disappearance",), 1.0, 100).filter("component_id = 'emerging'").collect()}
     assert wave[34] == 0 and wave[35] == pytest.approx(0.7) and wave[99] < wave[35]
+
+
+def test_pair_diagnosis_reasons_and_missing_values(spark):
+    from carillon.operators import diagnosis
+
+    names = "label_idx int, recording_id string, candidate_id long, frequency_hz double, stability double, drift_hz double, rmse_hz double, tau_s double, r_squared double, ambiguous_fraction double, near_threshold_fraction double, assignment_margin double, impact_excited boolean"
+    rows = [
+        (0, "a", 1, 100.0, 0.1, 0.0, 0.0, 1.0, 0.9, 0.2, 0.0, 0.5, True),
+        (1, "b", 2, 101.0, 0.3, 0.0, 0.0, 2.0, 0.9, None, 0.1, 0.5, False),
+        (1, "b", 3, 102.5, None, None, None, None, None, None, None, None, None),
+    ]
+    refs = spark.createDataFrame(rows, names)
+    gate = {"absolute_frequency_gate": 2.0}
+    weights = {"frequency_stability": 1.0, "tau": 0.5, "ambiguity": 1.0, "near_threshold": 1.0, "impact_evidence": 0.25}
+    got = {r.higher_candidate_id: r for r in diagnosis.diagnose(refs, gate, weights, 4.0).collect()}
+    assert abs(got[2].cost - (0.5 + 0.2 + 0.5 + 0.2 + 0.1 + 0.25)) < 1e-12 and got[2].reason is None and got[2].admissible
+    assert got[3].reason == "absolute_frequency_gate" and got[3].impact_evidence_cost == 0 and got[3].tau_change is None
+    why = lambda **kw: {r.higher_candidate_id: r.reason for r in diagnosis.diagnose(refs, kw.pop("limits", {"absolute_frequency_gate": 3.0}), weights, 4.0, **kw).collect()}
+    assert why() == {2: None, 3: None} and why(need_tau=True) == {2: None, 3: "missing_tau"}
+    assert why(need_evidence=True)[3] == "missing_preimpact_evidence" and why(need_impact=True)[2] == "impact_excitation_required"
+    assert why(limits=gate | {"tau_gate": 0.5})[2] == "tau_gate" and why(limits=gate | {"maximum_ambiguous_fraction": 0.5})[2] == "missing_tracking_evidence"
+    assert why(limits=gate | {"minimum_assignment_margin": 0.6})[2] == "minimum_assignment_margin" and why(limits=gate | {"cost_above_threshold": 1.0})[2] == "cost_above_threshold"
+    assert diagnosis.diagnose(refs.limit(0), gate, weights, 4.0).count() == 0
