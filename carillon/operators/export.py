@@ -13,9 +13,32 @@ from ..functions import short_id
 
 #: Columns of the exported tables, in order.
 TABLES = {
-    "candidates": ("recording_id", "dynamic_label", "candidate_id", "representative_frequency_hz", "frequency_stability", "amplitude_tau_s", "amplitude_fit_r_squared", "coverage_fraction", "accepted", "impact_excited"),
-    "candidate_chain_nodes": ("chain_id", "node_index", "dynamic_label", "recording_id", "candidate_id", "representative_frequency_hz", "incoming_association_cost"),
-    "diagnostics": ("scope", "source_id", "diagnostic_index", "diagnostic"),
+    name: tuple(columns.split())
+    for name, columns in {
+        "experiment_summary": """analysis_id experiment_id name status valid requires_review recording_count condition_count candidate_count chain_count hypothesis_count
+            parameter_estimate_count q_estimate_count energy_pair_count failure_reason engine_version settings_fingerprint""",
+        "recordings": """recording_id experiment_id dynamic_label take_index file_path file_fingerprint sample_rate_hz channel_count selected_channel original_duration_s
+            analyzed_duration_s offsets_applied candidate_count accepted_candidate_count valid failure_reason diagnostics""",
+        "conditions": """dynamic_label selected_reference_recording_id recording_count valid_recording_count invalid_recording_count candidate_reference_count
+            within_condition_cluster_count valid failure_reason diagnostics""",
+        "candidates": """recording_id dynamic_label candidate_id source_track_id representative_frequency_hz frequency_stability frequency_drift_hz frequency_fit_rmse_hz amplitude_tau_s
+            amplitude_fit_r_squared coverage_fraction accepted impact_excited preimpact_classification ambiguous_assignment_fraction near_threshold_assignment_fraction
+            minimum_assignment_margin acceptance_reasons rejection_reasons diagnostics""",
+        "within_condition_associations": """dynamic_label association_kind cluster_id recording_id candidate_id source_track_id representative_frequency_hz member_count recording_count
+            accepted ambiguous reason minimum_cost_observed diagnostics""",
+        "cross_condition_matches": """match_id lower_dynamic_label higher_dynamic_label lower_recording_id lower_candidate_id higher_recording_id higher_candidate_id frequency_change_hz
+            frequency_change_relative frequency_change_classification association_cost ambiguous near_threshold accepted diagnostics""",
+        "candidate_chains": """chain_id start_dynamic_label end_dynamic_label condition_count match_count complete_across_requested_sequence partial_chain isolated_candidate
+            initial_frequency_hz final_frequency_hz total_frequency_change_hz maximum_association_cost contains_ambiguous_match contains_near_threshold_match
+            contains_possible_split_context contains_possible_merge_context diagnostics""",
+        "candidate_chain_nodes": """chain_id node_index dynamic_label recording_id candidate_id source_track_id representative_frequency_hz incoming_match_id outgoing_match_id
+            incoming_association_cost outgoing_association_cost diagnostics""",
+        "modal_hypotheses": """hypothesis_id source_chain_id status accepted requires_review score condition_coverage_fraction maximum_step_change_hz mean_match_cost
+            mean_tracking_coverage_fraction tau_available_count supporting_reasons reservation_reasons rejection_reasons missing_evidence_reasons diagnostics""",
+        "pipeline_stages": """stage status started completed input_ids output_ids dependency_stages supporting_reasons reservation_reasons skipped_reasons blocked_reasons failure_reasons
+            insufficient_evidence_reasons diagnostics""",
+        "diagnostics": "scope source_id diagnostic_index diagnostic",
+    }.items()
 }
 
 

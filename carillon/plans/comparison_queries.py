@@ -209,12 +209,26 @@ def candidates_view(s, d):
 
 from ..sources.adapters import REF_SQL  # noqa: E402
 
-VIEW_SQL = f"""WITH {REF_SQL} SELECT recording_id, {LABEL_CASE} AS dynamic_label, candidate_id, {r('frequency_hz', 'representative_frequency_hz')}, {r('stability', 'frequency_stability')}, {r('tau_s', 'amplitude_tau_s')}, {r('r_squared', 'amplitude_fit_r_squared')}, {r('coverage', 'coverage_fraction')}, accepted, impact_excited FROM ref"""
+
+
+def in_order_sql(table: str, known: dict[str, str]) -> str:
+    """The select list of an exported table: the known columns, and missing values for the others."""
+    return ", ".join(known.get(c, f"NULL::VARCHAR AS {c}") for c in export.TABLES[table])
+
+
+CANDIDATE_COLUMNS = {c: c for c in ("recording_id", "candidate_id", "accepted", "impact_excited")} | {
+    "dynamic_label": f"{LABEL_CASE} AS dynamic_label", "representative_frequency_hz": r("frequency_hz", "representative_frequency_hz"), "frequency_stability": r("stability", "frequency_stability"),
+    "amplitude_tau_s": r("tau_s", "amplitude_tau_s"), "amplitude_fit_r_squared": r("r_squared", "amplitude_fit_r_squared"), "coverage_fraction": r("coverage", "coverage_fraction"),
+}
+VIEW_SQL = f"WITH {REF_SQL} SELECT {in_order_sql('candidates', CANDIDATE_COLUMNS)} FROM ref"
 query("export_candidates", candidates_view, VIEW_SQL)
+NODE_COLUMNS = {c: c for c in ("chain_id", "node_index", "recording_id", "candidate_id")} | {
+    "dynamic_label": f"{LABEL_CASE} AS dynamic_label", "representative_frequency_hz": r("frequency_hz", "representative_frequency_hz"), "incoming_association_cost": r("cost", "incoming_association_cost"),
+}
 query(
     "export_chain_nodes",
     lambda s, d: export.in_order(best_chains(s, d).withColumn("dynamic_label", label_of(F.col("label_idx"))).withColumnsRenamed({"frequency_hz": "representative_frequency_hz", "cost": "incoming_association_cost"}), "candidate_chain_nodes"),
-    f"WITH RECURSIVE {CHAINS_SQL} SELECT chain_id, node_index, {LABEL_CASE} AS dynamic_label, recording_id, candidate_id, {r('frequency_hz', 'representative_frequency_hz')}, {r('cost', 'incoming_association_cost')} FROM nodes",
+    f"WITH RECURSIVE {CHAINS_SQL} SELECT {in_order_sql('candidate_chain_nodes', NODE_COLUMNS)} FROM nodes",
 )
 query(
     "export_orphans",

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import METRIC_BEGINNINGS, METRIC_NAMES, recognised_metric
-from ..operators import association, regimes, spectrum, summaries, temporal, validation, views
+from ..functions import METRIC_BEGINNINGS, METRIC_NAMES, frequency_change, recognised_metric
+from ..operators import association, export, regimes, spectrum, summaries, temporal, validation, views
 from ..sources import synthetic
-from ..sources.adapters import RATE, REF_SQL, candidate_refs, series, signals
+from ..sources.adapters import RATE, REF_SQL, candidate_refs, label_of, series, signals
 from . import association_queries as aq
 from . import comparison_queries as cq
 from .association_queries import BEST_SQL, CHAINS_SQL, COSTS_SQL, POINTS_SQL, best_chains, costs, points, refs
@@ -329,3 +329,50 @@ query(
     SELECT chain_id, label_idx, {r('frequency_hz', 'frequency_hz', 5)}, {r('ic + sl*node_index', 'fitted_hz', 5)} FROM nodes JOIN ft USING (chain_id)""",
     digits=5,
 )
+
+
+# ---- exported tables ----------------------------------------------------------------
+
+
+def matches_view(s, d):
+    m = association.mutual_best(costs(s, d))
+    low, high = F.col("lower_hz"), F.col("higher_hz")
+    return export.in_order(
+        m.select(
+            "*", label_of(F.col("pair")).alias("lower_dynamic_label"), label_of(F.col("pair") + 1).alias("higher_dynamic_label"), (high - low).alias("frequency_change_hz"), ((high - low) / (0.5 * (low + high))).alias("frequency_change_relative"),
+            frequency_change(low, high, 0.05).alias("frequency_change_classification"), F.col("cost").alias("association_cost"),
+        ),
+        "cross_condition_matches",
+    )
+
+
+def _label(index: str) -> str:
+    return cq.LABEL_CASE.replace("label_idx", index)
+
+
+MATCH_COLUMNS = {c: c for c in ("lower_recording_id", "lower_candidate_id", "higher_recording_id", "higher_candidate_id")} | {
+    "lower_dynamic_label": f"{_label('pair')} AS lower_dynamic_label", "higher_dynamic_label": f"{_label('(pair + 1)')} AS higher_dynamic_label", "association_cost": r("cost", "association_cost"),
+    "frequency_change_hz": r("higher_hz - lower_hz", "frequency_change_hz"), "frequency_change_relative": r("(higher_hz - lower_hz)/(0.5*(lower_hz + higher_hz))", "frequency_change_relative"),
+    "frequency_change_classification": "CASE WHEN abs(higher_hz - lower_hz) <= 0.05 + 1e-12 THEN 'preserved' WHEN higher_hz > lower_hz THEN 'shifted_up' ELSE 'shifted_down' END AS frequency_change_classification",
+}
+query("export_matches", matches_view, f"WITH {BEST_SQL} SELECT {cq.in_order_sql('cross_condition_matches', MATCH_COLUMNS)} FROM best")
+
+
+def chains_view(s, d):
+    c = association.chain_summary(best_chains(s, d), preserved_hz=0.05)
+    return export.in_order(
+        c.select(
+            "chain_id", label_of(F.col("start_idx")).alias("start_dynamic_label"), label_of(F.col("end_idx")).alias("end_dynamic_label"), F.col("node_count").alias("condition_count"), (F.col("node_count") - 1).alias("match_count"),
+            F.col("complete").alias("complete_across_requested_sequence"), (~F.col("complete") & ~F.col("isolated")).alias("partial_chain"), F.col("isolated").alias("isolated_candidate"), F.col("initial_hz").alias("initial_frequency_hz"),
+            F.col("final_hz").alias("final_frequency_hz"), F.col("total_change_hz").alias("total_frequency_change_hz"), F.col("max_cost").alias("maximum_association_cost"),
+        ),
+        "candidate_chains",
+    )
+
+
+CHAIN_COLUMNS = {
+    "chain_id": "chain_id", "start_dynamic_label": f"{_label('start_idx')} AS start_dynamic_label", "end_dynamic_label": f"{_label('end_idx')} AS end_dynamic_label", "condition_count": "node_count AS condition_count",
+    "match_count": "node_count - 1 AS match_count", "complete_across_requested_sequence": "complete AS complete_across_requested_sequence", "partial_chain": "NOT complete AND NOT isolated AS partial_chain", "isolated_candidate": "isolated AS isolated_candidate",
+    "initial_frequency_hz": "initial_hz AS initial_frequency_hz", "final_frequency_hz": "final_hz AS final_frequency_hz", "total_frequency_change_hz": "total_change_hz AS total_frequency_change_hz", "maximum_association_cost": "max_cost AS maximum_association_cost",
+}
+query("export_chains", chains_view, f"WITH c AS ({ORACLE_SQL['chains']}) SELECT {cq.in_order_sql('candidate_chains', CHAIN_COLUMNS)} FROM c")
