@@ -51,12 +51,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete one table of ``scratch_path``."""
+    if path in _written:
+        _written.remove(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete every table that ``materialise`` and the writers of this session have left."""
-    jvm = spark.sparkContext._jvm
     while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete(spark, _written[-1])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

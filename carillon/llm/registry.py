@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_topk, ivf_pq, near_dup, packing, pieces, pii, quality, templates, token_files, warc
+from . import conversations, exact_topk, exponion, ivf_pq, near_dup, packing, pieces, pii, quality, templates, token_files, warc
 from .common import table
 
 
@@ -57,6 +57,14 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_query(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_digest(table(spark, sf_dir, "conversations"))
+
+
+def op13_exponion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exponion.cluster_digest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_line_templates": op2_line_templates,
@@ -68,6 +76,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_near_dup": op9_near_dup,
     "op10_token_files": op10_token_files,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_exponion": op13_exponion,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -75,4 +85,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_exact_top_k": exact_topk.TOP_SQL,
     "op7_warc_fixity": warc.FIXITY_SQL,
     "op9_near_dup": near_dup.LINK_SQL,
+    "op12_conversation_repair": conversations.REPAIR_SQL,
+    "op13_exponion": exponion.CLUSTER_SQL,
 }
