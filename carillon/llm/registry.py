@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversations, exact_topk, exponion, ivf_pq, near_dup, packing, pieces, pii, quality, templates, token_files, warc
+from . import conversations, exact_topk, exponion, ivf_pq, near_dup, ngram_join, packing, pieces, pii, quality, templates, token_files, warc
 from .common import table
 
 
@@ -57,6 +57,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_query(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_digest(table(spark, sf_dir, "conversations"))
 
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_near_dup": op9_near_dup,
     "op10_token_files": op10_token_files,
+    "op11_ngram_join": op11_ngram_join,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_exponion": op13_exponion,
 }
@@ -85,6 +90,7 @@ ORACLE_SQL: dict[str, str] = {
     "op4_exact_top_k": exact_topk.TOP_SQL,
     "op7_warc_fixity": warc.FIXITY_SQL,
     "op9_near_dup": near_dup.LINK_SQL,
+    "op11_ngram_join": ngram_join.JOIN_SQL,
     "op12_conversation_repair": conversations.REPAIR_SQL,
     "op13_exponion": exponion.CLUSTER_SQL,
 }
