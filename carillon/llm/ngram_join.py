@@ -9,7 +9,8 @@ bounded below the threshold is never looked at.
 2. Points near each other are brought together without a loss: with a link, two sets share
    a shingle among the first ``n - ceil(t * n) + 1`` of each, in any order of all shingles.
    The order is common ones last, then by hash; which are common is counted over all texts, and
-   has no effect on results.  The nodes with a shingle among their first are its bucket.
+   has no effect on results.  The nodes with a shingle among their first are its bucket; buckets of
+   the same nodes are one.
 3. Each node is verified against one node, of the smallest nodes of its buckets the one that it
    meets most often, if its point allows a link.
 4. Buckets whose nodes lie in different components are R-trees: packed by size and leading
@@ -354,9 +355,12 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     nodes = classes.select("node", "n", "point")
 
     spots = classes.select("node", F.explode("keys").alias("key"))
-    buckets = spots.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("key", "least")
-    members = materialise(spots.join(materialise(buckets, "join-buckets"), "key").select("key", "node", "least"), "join-members")
-    met = members.filter("node <> least").groupBy("least", "node").agg(F.count("*").alias("times"))
+    marks = [F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("c"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("mark")]
+    buckets = spots.groupBy("key").agg(*marks).filter("least < most")
+    # buckets of the same nodes are one: shingles of one passage, or of near copies
+    buckets = buckets.groupBy("least", "most", "c", "mark").agg(F.min("key").alias("key"), F.count("*").alias("weight")).select("key", "least", "weight")
+    members = materialise(spots.join(materialise(buckets, "join-buckets"), "key").select("key", "node", "least", "weight"), "join-members")
+    met = members.filter("node <> least").groupBy("least", "node").agg(F.sum("weight").alias("times"))
     stars = met.groupBy(F.col("node").alias("b")).agg(F.max(F.struct("times", (-F.col("least")).alias("a"))).alias("top")).select((-F.col("top.a")).alias("a"), "b")
     likely = stars.join(nodes.toDF("b", "nb", "pb"), "b").join(nodes.toDF("a", "na", "pa"), "a").mapInArrow(_allowed(percent), "a long, b long")
 
