@@ -406,8 +406,8 @@ def find_pii(docs: DataFrame, model: ShapeField | None = None) -> DataFrame:
 
 def redact_pii(docs: DataFrame, model: ShapeField | None = None) -> DataFrame:
     """``docs`` with every span in ``text`` replaced; null texts stay null, ``n_chars`` is renewed if there is one."""
-    at = docs.columns
-    named = docs.select(*(F.col(f"`{c}`") for c in at), pii(text_or_empty(), model).alias("__found"))
-    text = F.when(F.col("text").isNotNull(), F.col("__found.redacted"))
-    changed = {"text": text, "n_chars": F.when(F.col("text").isNotNull(), F.length("__found.redacted").cast("long"))}
-    return named.select(*(changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in at))
+    # a struct, so that no name of the table's meets one of ours
+    named = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), F.col("text").isNotNull().alias("some"), pii(text_or_empty(), model)["redacted"].alias("text"))
+    text = F.when(F.col("some"), F.col("text"))
+    changed = {"text": text, "n_chars": F.length(text).cast("long")}
+    return named.select(*((changed[c] if c in changed else F.col("row").getField(c)).alias(c) for c in docs.columns))

@@ -1,44 +1,47 @@
 """Line dedup by a log-template tree, in DataFrame operations only.
 
 Words with a digit become ``<*>``.  The tree has a fixed depth: a line's leaf is its number
-of words and its first ``depth`` words.  Inside a leaf a word is fixed where enough
-documents have it at that place; a line with at least ``similarity`` fixed places is an
+of words and its first ``depth`` words.  Inside a leaf a word is fixed where two documents or more
+have it at that place; a line with at least ``similarity`` fixed places is an
 instance of the template that keeps its fixed words, takes the leaf's most frequent fixed word
-where its own is not fixed, and ``<*>`` where no word is.  A template in enough documents
-recurs: its lines are dropped, save for the first one in the document with the smallest id.
-Enough are ``min_docs`` documents, but two for lines of ``long_words`` words or more, which
-chance does not repeat.  ``spare_copies`` keeps such lines where the two documents that share
-them are near copies of each other, so that a later stage still knows them as copies.
+where its own is not fixed, and ``<*>`` where no word is.
 
-Leaves that too few documents reach are left out before any text moves, and only distinct
+One rule says which templates recur, for lines of every length.  A line is expected by chance as often
+as there are lines, times the frequencies of its first words at their places among all lines, carried on
+to its whole number of words.  A template recurs if the documents that have it, besides the first,
+are so many more than chance explains that the tail of a Poisson distribution (its Chernoff
+bound) is below ``2 ** -evidence``.  So two documents are enough for a line of some seven words, a line
+of three rare words takes three, and single words, which tell nothing beyond their frequency, never recur.
+
+A template's lines are dropped, save for the first one in the document with the smallest id.  Near
+copies of that document fare like it and are not counted, so that whole copies are
+left to a near-duplicate stage, which knows them by what they share: with what documents before them have left out on both sides,
+``copy`` of the words of both lie in lines of common templates.
+
+Lines of leaves that one document alone reaches are left out before any text moves, and only distinct
 lines of leaves with several of them are taken apart into words.  Hot lines and templates
 are pre-aggregated, and joins are plain equi-joins that adaptive execution may split where a
-leaf, a line or a template is hot.
+leaf, a line, a template or a word is hot.
 
-Defined results: lines end at ``\\n``; lines of fewer than ``min_words`` words always stay, as
-chance repeats them; a
+Defined results: lines end at ``\\n``; a text of any length is read as a whole; a
 null text stays null and has no lines; null ids count as one id behind all others; rows with
 equal id and text are one document and fare alike; an empty table gives no rows; other
-columns pass through untouched.
+columns, whatever their names, pass through untouched.
 """
 
 from __future__ import annotations
 
-from string import ascii_lowercase, ascii_uppercase
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
 
 DEPTH = 3
-MIN_DOCS = 3
-MIN_WORDS = 5
-#: From so many words on, two documents are enough.
-LONG_WORDS = 50
 SIMILARITY = 0.75
-#: Two documents are near copies with so large a share of their shingles of so many words in common.
-SHINGLE, COPY = 5, 0.8
+#: Bits that chance must be beaten by: one in a million.
+EVIDENCE = 20
+#: A document is a near copy of another with so large a share of their words in common lines.
+COPY = 0.8
 
 _ID, _KEY = "__id", "__key"
 
@@ -53,9 +56,8 @@ def _identity(docs: DataFrame) -> list[Column]:
 #: SQL: the lines of ``text`` with single spaces and words with a digit as <*>, each with its
 #: number of words.  Most lines have neither odd spaces nor digits and skip both replacements.
 _LINES = (
-    r"transform(transform(split(text, '\\n'), "
-    r"l -> trim(if(contains(l, '  ') OR l RLIKE '[\\t\\x0B\\f\\r]', regexp_replace(l, '[ \\t\\x0B\\f\\r]+', ' '), l))), "
-    r"l -> if(l RLIKE '[0-9]', regexp_replace(l, '(?<![^ ])[^ 0-9]*+[0-9][^ ]*+', '<*>'), l))"
+    r"transform(split(text, '\\n'), l -> if(l RLIKE '[0-9\\t\\x0B\\f\\r]|  ', "
+    r"regexp_replace(trim(regexp_replace(l, '[ \\t\\x0B\\f\\r]+', ' ')), '(?<![^ ])[^ 0-9]*+[0-9][^ ]*+', '<*>'), trim(l)))"
 )
 _WITH_WORDS = "transform({}, l -> struct(l AS line, length(l) - length(replace(l, ' ', '')) + 1 AS words))"
 
@@ -64,67 +66,50 @@ def _leaf(depth: int) -> Column:
     return F.xxhash64(F.col("l.words"), F.substring_index("l.line", " ", depth))
 
 
-#: SQL: the distinct shingles of ``text``; with fewer words than one needs, all words as one.
-_SHINGLES = (
-    rf"array_distinct(element_at(transform(array(filter(split(translate(text, '{ascii_uppercase}', '{ascii_lowercase}'), '[ \\t\\n\\x0B\\f\\r]+'), w -> w <> '')), "
-    rf"w -> if(size(w) < {SHINGLE}, array(xxhash64(w)), transform(sequence(1, greatest(size(w) - {SHINGLE} + 1, 1)), i -> xxhash64(slice(w, i, {SHINGLE}))))), 1))"
-)
+def _chance(spots: DataFrame, leaves: DataFrame, depth: int) -> DataFrame:
+    """leaf, chance: the log (base 2) of how many lines like a leaf's are expected."""
+    lines = float(max(spots.count(), 1))
+    heads = lambda of: of.select("*", F.posexplode(F.split("head", " ")).alias("at", "word"))
+    frequency = heads(spots.select("head")).groupBy("at", "word").agg(F.count("*").alias("lines"))
+    rare = heads(leaves.select("leaf", "words", "head")).join(frequency, ["at", "word"]).groupBy("leaf", "words").agg(F.sum(F.log2(F.lit(lines) / F.col("lines"))).alias("bits"))
+    return rare.select("leaf", (F.log2(F.lit(lines)) - F.col("bits") * F.col("words") / F.least("words", F.lit(depth))).alias("chance"))
 
 
-def _of_near_copies(known: DataFrame, pairs: DataFrame) -> DataFrame:
-    """template: those of pairs(template, __id, __key), two rows each, whose two documents are near copies."""
-    both = pairs.groupBy("template").agg(F.min(F.struct(_ID, _KEY)).alias("a"), F.max(F.struct(_ID, _KEY)).alias("b"))
-    members = pairs.select(_ID, _KEY).distinct()
-    # rows with equal id and text are one document
-    sets = known.join(members, [_ID, _KEY], "left_semi").dropDuplicates([_ID, _KEY]).select(F.struct(_ID, _KEY).alias("doc"), F.expr(_SHINGLES).alias("set"))
-    sets = materialise(sets, "line-shingles")
-    links = both.select("a", "b").distinct()
-    links = links.join(sets.select(F.col("doc").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("doc").alias("b"), F.col("set").alias("y")), "b")
-    shared = links.select("a", "b", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("shared"))
-    near = shared.filter(F.col("shared") >= COPY * (F.col("n") - F.col("shared"))).select("a", "b")
-    return both.join(near, ["a", "b"], "left_semi").select("template")
-
-
-def recurring_lines(
-    docs: DataFrame,
-    depth: int = DEPTH,
-    min_docs: int = MIN_DOCS,
-    min_words: int = MIN_WORDS,
-    similarity: float = SIMILARITY,
-    long_words: int = LONG_WORDS,
-    spare_copies: bool = False,
-) -> DataFrame:
-    """__id, __key, pos: the lines of ``docs(doc_id, text)`` to drop.
-
-    spare_copies: not those that only two near copies share.
-    """
-    enough = F.when(F.col("l.words") >= long_words, min(2, min_docs)).otherwise(min_docs).alias("enough")  # one number a leaf
+def _evidence(others: Column, chance: Column) -> Column:
+    """Bits by which so many documents more than one beat chance; 0 where they do not."""
+    expected = F.pow(F.lit(2.0), chance)
+    bits = others * (F.log2(others) - chance) - (others - expected) * F.log2(F.exp(F.lit(1.0)))
+    return F.when(others > expected, bits).otherwise(0.0)
+
+
+def recurring_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY, evidence: float = EVIDENCE, copy: float = COPY) -> DataFrame:
+    """__id, __key, pos: the lines of ``docs(doc_id, text)`` to drop."""
     known = docs.filter(F.col("text").isNotNull()).select(*_identity(docs), "text")
-    long_enough = F.col("l.words") >= min_words
     # the outer forms: the others compute the array once more, to filter on its size
-    places = known.select(_ID, _KEY, F.posexplode_outer(F.expr(_WITH_WORDS.format(_LINES))).alias("pos", "l")).filter(long_enough)
-    spots = materialise(places.select(_ID, _KEY, "pos", _leaf(depth).alias("leaf"), F.xxhash64("l.line").alias("line_key"), enough), "line-spots")
+    places = known.select(_ID, _KEY, F.posexplode_outer(F.expr(_WITH_WORDS.format(_LINES))).alias("pos", "l"))
+    spots = materialise(
+        places.select(_ID, _KEY, "pos", _leaf(depth).alias("leaf"), F.xxhash64("l.line").alias("line_key"), "l.words", F.substring_index("l.line", " ", depth).alias("head")), "line-spots"
+    )
 
-    # leaves that enough documents reach (counted by line, so none is missed)
-    by_line = spots.groupBy("leaf", "line_key", "enough", _ID, _KEY).agg(F.lit(1).alias("one")).groupBy("leaf", "line_key", "enough").agg(F.count("*").alias("docs"))
-    leaves = by_line.groupBy("leaf", "enough").agg(F.sum("docs").alias("reached"), F.count("*").alias("variants")).filter(F.col("reached") >= F.col("enough"))
+    # leaves that two documents reach (counted by line, so none is missed)
+    by_line = spots.groupBy("leaf", "line_key", _ID, _KEY).agg(F.first("words").alias("words"), F.first("head").alias("head"))
+    by_line = by_line.groupBy("leaf", "line_key", "words", "head").agg(F.count("*").alias("docs"))
+    leaves = by_line.groupBy("leaf", "words", "head").agg(F.sum("docs").alias("reached"), F.count("*").alias("variants")).filter("reached >= 2")
+    leaves = materialise(leaves.select("leaf", "words", "head", "variants"), "line-leaves")
 
-    distinct = known.select(F.explode_outer(F.expr(_WITH_WORDS.format(f"array_distinct({_LINES})"))).alias("l")).filter(long_enough)
+    distinct = known.select(F.explode_outer(F.expr(_WITH_WORDS.format(f"array_distinct({_LINES})"))).alias("l"))
     lines = (
         distinct.select(_leaf(depth).alias("leaf"), F.xxhash64("l.line").alias("line_key"), F.col("l.line").alias("line"))
-        .join(leaves, "leaf")
+        .join(leaves.select("leaf", "variants"), "leaf")
         # not by leaf, so that the join may be split; partly summed before it is dealt anew
         .groupBy("line_key", "line")
-        .agg(F.count("*").alias("docs"), F.first("leaf").alias("leaf"), F.first("variants").alias("variants"), F.first("enough").alias("enough"))
+        .agg(F.count("*").alias("docs"), F.first("leaf").alias("leaf"), F.first("variants").alias("variants"))
     )
     lines = materialise(lines, "line-variants")
-    alone = lines.filter((F.col("variants") == 1) & (F.col("docs") >= F.col("enough"))).select("leaf", "line_key", F.xxhash64("leaf", "line").alias("template"))
+    alone = lines.filter("variants = 1 AND docs >= 2").select("leaf", "line_key", F.xxhash64("leaf", "line").alias("template"))
 
-    words = (
-        lines.filter(F.col("variants") > 1)
-        .select("leaf", "line_key", "enough", "docs", F.posexplode(F.split("line", " ")).alias("at", "word"))
-    )
-    fixed = words.groupBy("leaf", "at", "word", "enough").agg(F.sum("docs").alias("n")).filter(F.col("n") >= F.col("enough"))
+    words = lines.filter(F.col("variants") > 1).select("leaf", "line_key", "docs", F.posexplode(F.split("line", " ")).alias("at", "word"))
+    fixed = words.groupBy("leaf", "at", "word").agg(F.sum("docs").alias("n")).filter("n >= 2")
     usual = fixed.groupBy("leaf", "at").agg(F.min_by("word", F.struct(-F.col("n"), F.col("word"))).alias("usual"))
     several = (
         words.join(fixed.select("leaf", "at", "word", F.lit(1).alias("is_fixed")), ["leaf", "at", "word"], "left")
@@ -139,61 +124,63 @@ def recurring_lines(
         .filter(F.col("fixed") >= F.lit(similarity) * F.col("n"))
         .select("leaf", "line_key", F.xxhash64("leaf", F.concat_ws(" ", F.col("parts.part"))).alias("template"))
     )
-    found = spots.join(alone.unionByName(several), ["leaf", "line_key"]).select(_ID, _KEY, "pos", "template", "enough")
-    found = materialise(found, "line-templates")
-    in_docs = found.groupBy("template", "enough", _ID, _KEY).agg(F.min("pos").alias("pos"))
-    recurring = in_docs.groupBy("template", "enough").agg(F.count("*").alias("docs"), F.min(_ID).alias("first_id")).filter(F.col("docs") >= F.col("enough"))
-    if spare_copies:
-        recurring = materialise(recurring, "line-recurring")
-        pairs = recurring.filter(F.col("docs") < min_docs).select("template").join(in_docs, "template")
-        recurring = recurring.join(_of_near_copies(known, pairs), "template", "left_anti")
-    recurring = recurring.select("template", "first_id")
-    named = found.join(recurring, "template")
-    first = (
-        in_docs.join(recurring, "template")
-        .filter(F.col(_ID) == F.col("first_id"))
-        .groupBy("template", _ID)
-        .agg(F.min("pos").alias("first_pos"))
+    found = spots.select(_ID, _KEY, "pos", "leaf", "line_key", "words").join(alone.unionByName(several), ["leaf", "line_key"])
+    found = materialise(found.select(_ID, _KEY, "pos", "template", "leaf", "words"), "line-templates")
+
+    # every document of a template of several, with the first of them
+    doc, first = F.struct(F.col(_ID), F.col(_KEY)), F.col("first")
+    in_docs = found.groupBy("template", "leaf", "words", _ID, _KEY).agg(F.min("pos").alias("pos"))
+    shared = in_docs.groupBy("template").agg(F.min(doc).alias("first"), F.count("*").alias("docs")).filter("docs >= 2").select("template", "first")
+    held = materialise(in_docs.join(shared, "template").select("template", "leaf", "words", doc.alias("doc"), "first", "pos"), "line-shared")
+    later = held.filter(F.col("doc") != first)
+
+    # near copies of first documents, by the words that no document before has
+    borrowed = later.groupBy("doc").agg(F.sum("words").alias("borrowed"))
+    once = F.sum("words") / F.count_if(F.col("pos") == 0)  # a row that comes several times is one document
+    own = spots.groupBy(doc.alias("doc")).agg(once.alias("words")).join(borrowed, "doc", "left").select("doc", (F.col("words") - F.coalesce("borrowed", F.lit(0))).alias("own"))
+    own = materialise(own, "line-own")
+    both = later.groupBy("first", "doc").agg(F.sum("words").alias("common")).join(own, "doc").filter(F.col("common") >= copy * F.col("own"))
+    copies = both.join(own.select(F.col("doc").alias("first"), F.col("own").alias("own_first")), "first").filter(F.col("common") >= copy * (F.col("own") + F.col("own_first")))
+    copies = materialise(copies.select("first", "doc", F.lit(True).alias("copied")), "line-copies")
+
+    told = held.join(copies, ["first", "doc"], "left").withColumn("alike", F.coalesce("copied", F.col("doc") == first)).drop("copied")
+    told = materialise(told, "line-told")
+    counted = told.filter("NOT alike").groupBy("template", "leaf").agg(F.count("*").cast("double").alias("others"))
+    recurring = counted.join(_chance(spots, leaves, depth), "leaf").filter(_evidence(F.col("others"), F.col("chance")) >= evidence).select("template")
+    spots_of = told.join(recurring, "template", "left_semi").select("template", f"doc.{_ID}", f"doc.{_KEY}", F.when(F.col("alike"), F.col("pos")).alias("stays"))
+    dropped = found.select("template", _ID, _KEY, "pos").join(spots_of, ["template", _ID, _KEY])
+    return dropped.filter(F.col("stays").isNull() | (F.col("pos") != F.col("stays"))).select(_ID, _KEY, "pos")
+
+
+def _deduped(docs: DataFrame, settings: dict) -> DataFrame:
+    """row, before, text, n_lines, n_dropped: every row of ``docs`` whole, its text and what stays of it."""
+    dropped = recurring_lines(docs, **settings).groupBy(_ID, _KEY).agg(F.array_sort(F.collect_set("pos")).alias("drop"))
+    packed = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), F.col("text").alias("before"), *_identity(docs)).join(dropped, [_ID, _KEY], "left")
+    packed = packed.withColumn("lines", F.split("before", "\n"))
+    # the runs between dropped lines, put together again: linear in the length of a text
+    kept = F.expr(
+        "array_join(flatten(transform(sequence(0, size(drop)), j -> slice(lines, if(j = 0, 0, drop[j - 1] + 1) + 1, "
+        "if(j = size(drop), size(lines), drop[j]) - if(j = 0, 0, drop[j - 1] + 1)))), '\n')"
     )
-    return (
-        named.join(first, ["template", _ID], "left")
-        .filter(F.col("first_pos").isNull() | (F.col("pos") != F.col("first_pos")))
-        .select(_ID, _KEY, "pos")
+    return packed.select(
+        "row",
+        F.when(F.col("drop").isNull(), F.col("before")).otherwise(kept).alias("text"),
+        F.when(F.col("before").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
+        F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 
 def dedup_lines(docs: DataFrame, **settings) -> DataFrame:
-    """``docs`` without recurring lines in ``text``; ``n_chars`` is renewed if there is one.
-
-    Adds n_lines and n_dropped (0 for a null text).
-    """
-    dropped = recurring_lines(docs, **settings).groupBy(_ID, _KEY).agg(F.array_sort(F.collect_set("pos")).alias("__drop"))
-    joined = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.col("text").alias("__text"), *_identity(docs)).join(dropped, [_ID, _KEY], "left")
-    joined = joined.withColumn("__lines", F.split("__text", "\n"))
-    # the runs between dropped lines, put together again: linear in the length of a text
-    kept = F.expr(
-        "array_join(flatten(transform(sequence(0, size(__drop)), j -> slice(__lines, if(j = 0, 0, __drop[j - 1] + 1) + 1, "
-        "if(j = size(__drop), size(__lines), __drop[j]) - if(j = 0, 0, __drop[j - 1] + 1)))), '\n')"
-    )
-    text = F.when(F.col("__drop").isNull(), F.col("__text")).otherwise(kept)
-    columns = []
-    for c in docs.columns:
-        value = text if c == "text" else F.length(text).cast("long") if c == "n_chars" else F.col(f"__row.`{c}`")
-        columns.append(value.alias(c))
-    return joined.select(
-        *columns,
-        F.when(F.col("__text").isNull(), 0).otherwise(F.size("__lines")).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("n_dropped"),
-    )
+    """``docs`` without recurring lines in ``text``; ``n_chars`` is renewed if there is one."""
+    changed = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return _deduped(docs, settings).select(*((changed[c] if c in changed else F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def line_digest(docs: DataFrame, **settings) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_chars, kept_md5 (null for a null text)."""
-    out = dedup_lines(docs.select("doc_id", "text"), **settings)
-    return out.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("kept_chars"), F.md5(F.col("text").cast("binary")).alias("kept_md5"))
-
+    out = _deduped(docs.select("doc_id", "text"), settings)
+    return out.select("row.doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("kept_chars"), F.md5(F.col("text").cast("binary")).alias("kept_md5"))
 
-_ENOUGH = f"CASE WHEN len(w) >= {LONG_WORDS} THEN 2 ELSE {MIN_DOCS} END"
 
 DIGEST_SQL = f"""
 WITH raw AS (
@@ -204,13 +191,19 @@ WITH raw AS (
 ), cut AS (
   SELECT *, string_split(line, ' ') AS w FROM masked
 ), spots AS (
-  SELECT *, {_ENOUGH} AS enough, len(w) || ' ' || array_to_string(w[1:{DEPTH}], ' ') AS leaf FROM cut WHERE len(w) >= {MIN_WORDS}
+  SELECT *, len(w) || ' ' || array_to_string(w[1:{DEPTH}], ' ') AS leaf FROM cut
+), frequency AS (
+  SELECT t.i AS place, w[t.i] AS word, count(*) AS lines FROM spots, unnest(range(1, least(len(w), {DEPTH}) + 1)) AS t(i) GROUP BY ALL
+), chance AS (
+  SELECT leaf, log2(n) - sum(log2(n / lines)) * any_value(len(w)) / least(any_value(len(w)), {DEPTH}) AS chance
+  FROM (SELECT leaf, any_value(w) AS w FROM spots GROUP BY leaf) l, (SELECT count(*)::DOUBLE AS n FROM spots) a, unnest(range(1, least(len(w), {DEPTH}) + 1)) AS t(i)
+  JOIN frequency ON place = t.i AND word = w[t.i] GROUP BY leaf, n
 ), lines AS (
-  SELECT leaf, enough, line, w, count(DISTINCT doc_id) AS docs FROM spots GROUP BY ALL
+  SELECT leaf, line, w, count(DISTINCT doc_id) AS docs FROM spots GROUP BY ALL
 ), words AS (
-  SELECT leaf, enough, line, docs, t.i AS place, w[t.i] AS word FROM lines, unnest(range(1, len(w) + 1)) AS t(i)
+  SELECT leaf, line, docs, t.i AS place, w[t.i] AS word FROM lines, unnest(range(1, len(w) + 1)) AS t(i)
 ), fixed AS (
-  SELECT leaf, enough, place, word, sum(docs) AS n FROM words GROUP BY ALL HAVING sum(docs) >= enough
+  SELECT leaf, place, word, sum(docs) AS n FROM words GROUP BY ALL HAVING sum(docs) >= 2
 ), usual AS (
   SELECT leaf, place, word AS usual FROM fixed QUALIFY row_number() OVER (PARTITION BY leaf, place ORDER BY n DESC, word) = 1
 ), templates AS (
@@ -218,13 +211,26 @@ WITH raw AS (
   FROM words LEFT JOIN fixed USING (leaf, place, word) LEFT JOIN usual USING (leaf, place)
   GROUP BY words.leaf, line HAVING count(fixed.n) >= {SIMILARITY} * count(*)
 ), found AS (
-  SELECT doc_id, pos, leaf, enough, template FROM spots JOIN templates USING (leaf, line)
+  SELECT doc_id, pos, leaf, template, len(w) AS k FROM spots JOIN templates USING (leaf, line)
+), in_docs AS (
+  SELECT leaf, template, k, doc_id, min(pos) AS pos FROM found GROUP BY ALL
+), held AS (
+  SELECT *, min(doc_id) OVER (PARTITION BY leaf, template) AS first_id FROM in_docs QUALIFY count(*) OVER (PARTITION BY leaf, template) >= 2
+), borrowed AS (
+  SELECT doc_id, sum(k) AS borrowed FROM held WHERE doc_id <> first_id GROUP BY doc_id
+), own AS (
+  SELECT doc_id, sum(len(w)) - coalesce(any_value(borrowed), 0) AS own FROM spots LEFT JOIN borrowed USING (doc_id) GROUP BY doc_id
+), copies AS (
+  SELECT h.first_id, h.doc_id FROM held h JOIN own x ON x.doc_id = h.doc_id JOIN own y ON y.doc_id = h.first_id WHERE h.doc_id <> h.first_id
+  GROUP BY h.first_id, h.doc_id HAVING sum(k) >= {COPY}::DOUBLE * (any_value(x.own) + any_value(y.own))
+), told AS (
+  SELECT held.*, held.doc_id = held.first_id OR copies.doc_id IS NOT NULL AS alike FROM held LEFT JOIN copies ON copies.first_id = held.first_id AND copies.doc_id = held.doc_id
+), counted AS (
+  SELECT leaf, template, count(*) FILTER (WHERE NOT alike)::DOUBLE AS m, any_value(chance) AS chance, pow(2.0::DOUBLE, any_value(chance)) AS expected FROM told JOIN chance USING (leaf) GROUP BY leaf, template
 ), recurring AS (
-  SELECT leaf, enough, template, min(doc_id) AS first_id FROM found GROUP BY ALL HAVING count(DISTINCT doc_id) >= enough
-), firsts AS (
-  SELECT leaf, template, first_id, min(pos) AS first_pos FROM found JOIN recurring USING (leaf, template) WHERE doc_id = first_id GROUP BY ALL
+  SELECT leaf, template FROM counted WHERE m > 0 AND m > expected AND m * (log2(m) - chance) - (m - expected) * log2(exp(1.0::DOUBLE)) >= {EVIDENCE}
 ), dropped AS (
-  SELECT DISTINCT doc_id, pos FROM found JOIN firsts USING (leaf, template) WHERE NOT (doc_id = first_id AND pos = first_pos)
+  SELECT DISTINCT f.doc_id, f.pos FROM found f JOIN recurring USING (leaf, template) JOIN told t ON t.leaf = f.leaf AND t.template = f.template AND t.doc_id = f.doc_id WHERE NOT (t.alike AND t.pos = f.pos)
 ), kept AS (
   SELECT doc_id, count(*) AS n_lines, count(dropped.pos) AS n_dropped,
     coalesce(string_agg(l, chr(10) ORDER BY pos) FILTER (WHERE dropped.pos IS NULL), '') AS text

@@ -20,18 +20,14 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the lines of recurring templates, save for each template's first.
-
-    Long lines that only two near copies share stay, as the next stage would not know the copies again without them;
-    those of two different documents go.
-    """
-    return templates.dedup_lines(docs, spare_copies=True).select(*docs.columns)
+    """Drops the lines of recurring templates, save for each template's first; near copies of its document keep theirs for the next stage."""
+    return templates.dedup_lines(docs)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies, that with the smallest id; of rows equal in id and text one stays."""
     first = near_dup.near_duplicates(docs).filter("first").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
-    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("__id"), near_dup.text_key().alias("__key"))
+    keyed = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("__id"), near_dup.text_key().alias("__key"))
     kept = keyed.join(first, keyed["__id"].eqNullSafe(first["__id"]) & (keyed["__key"] == first["__key"]), "left_semi")
     return kept.dropDuplicates(["__id", "__key"]).select("row.*")
 
