@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import frequency_change, ratio, short_id
+from .assignment import assign_nodes, matched, scope_of
 from .kernels import assign
 
 KEY = ["recording_id", "candidate_id"]
@@ -36,70 +37,34 @@ def pair_costs(refs: DataFrame, gate: float = 2.0, weights: dict[str, float] | N
     weights = weights or {"tau_s": 0.25, "stability": 0.25}
     low = refs.select(F.col("label_idx").alias("pair"), *refs.drop("label_idx").columns)
     high = refs.select((F.col("label_idx") - 1).alias("pair"), *refs.drop("label_idx").columns)
-    pairs = band_join(low, high, ["pair"], "frequency_hz", gate)
+    scope = scope_of(refs)
+    pairs = band_join(low, high, [*scope, "pair"], "frequency_hz", gate)
     cost = F.abs(F.col("l_frequency_hz") - F.col("r_frequency_hz")) / gate
     for column, weight in weights.items():
         a, b = F.col(f"l_{column}"), F.col(f"r_{column}")
         apart = F.abs(F.log2(a / b)) if column == "tau_s" else F.abs(a - b)
         cost = cost + F.coalesce(weight * apart, F.lit(0.0))
     return pairs.select(
-        "pair", F.col("l_recording_id").alias("lower_recording_id"), F.col("l_candidate_id").alias("lower_candidate_id"), F.col("r_recording_id").alias("higher_recording_id"),
+        *scope, "pair", F.col("l_recording_id").alias("lower_recording_id"), F.col("l_candidate_id").alias("lower_candidate_id"), F.col("r_recording_id").alias("higher_recording_id"),
         F.col("r_candidate_id").alias("higher_candidate_id"), F.col("l_frequency_hz").alias("lower_hz"), F.col("r_frequency_hz").alias("higher_hz"), cost.alias("cost"),
     )
 
 
 def _best(pairs: DataFrame, side: str) -> DataFrame:
-    w = Window.partitionBy("pair", f"{side}_candidate_id").orderBy("cost", f"{'higher' if side == 'lower' else 'lower'}_candidate_id")
+    w = Window.partitionBy(*scope_of(pairs), "pair", f"{side}_candidate_id").orderBy("cost", f"{'higher' if side == 'lower' else 'lower'}_candidate_id")
     return pairs.withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r")
 
 
 def mutual_best(pairs: DataFrame, max_cost: float = 1.0) -> DataFrame:
     """Pairs that are each other's cheapest; the assignment wherever no two compete."""
     p = pairs.filter(F.col("cost") <= max_cost)
-    keys = ["pair", "lower_candidate_id", "higher_candidate_id"]
+    keys = [*scope_of(pairs), "pair", "lower_candidate_id", "higher_candidate_id"]
     return _best(p, "lower").join(_best(p, "higher").select(*keys), keys, "left_semi")
 
 
 def matches(pairs: DataFrame, max_cost: float = 1.0, ambiguity: float = 0.1, preserved_hz: float = 0.5) -> DataFrame:
-    """One-to-one matches of least total cost for each pair of labels, each with its margin.
-
-    Only candidates that compete are assigned together: admissible pairs fall into connected
-    groups of frequency, which are assigned apart from each other.
-    """
-    p = pairs.filter(F.col("cost") <= max_cost)
-    span = p.select("pair", F.least("lower_hz", "higher_hz").alias("a"), F.greatest("lower_hz", "higher_hz").alias("b")).distinct()
-    span = span.withColumn("place", F.floor("a")).withColumn("stop", F.floor("b"))
-    # runs of places that spans touch, chained by place and not by row: one row at most for each place of the scale
-    touched = span.groupBy("pair", "place").agg(F.max("stop").alias("stop"))
-    by_place = Window.partitionBy("pair").orderBy("place")
-    far = F.max("stop").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
-    touched = touched.withColumn("fresh", F.when(far.isNull() | (F.col("place") > far), F.col("place"))).select("pair", "place", F.last("fresh", ignorenulls=True).over(by_place).alias("run"))
-    span = span.join(touched, ["pair", "place"])
-    # inside a run spans that overlap are one group
-    w = Window.partitionBy("pair", "run").orderBy("a", "b")
-    reach = F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    span = span.withColumn("begin", F.when(reach.isNull() | (F.col("a") > reach), F.col("a"))).withColumn("grp", F.last("begin", ignorenulls=True).over(w))
-    grouped = p.withColumn("a", F.least("lower_hz", "higher_hz")).withColumn("b", F.greatest("lower_hz", "higher_hz")).join(span.select("pair", "a", "b", "grp"), ["pair", "a", "b"])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        lows, highs = sorted(set(pdf.lower_candidate_id)), sorted(set(pdf.higher_candidate_id))
-        at_l, at_h = ({c: i for i, c in enumerate(x)} for x in (lows, highs))
-        costs = np.full((len(lows), len(highs)), 1e15)
-        rows = pdf.lower_candidate_id.map(at_l).to_numpy()
-        columns = pdf.higher_candidate_id.map(at_h).to_numpy()
-        costs[rows, columns] = pdf.cost
-        chosen = {(i, j) for i, j in assign(costs) if costs[i, j] < 1e15}
-        margins = []
-        keep = [(i, j) in chosen for i, j in zip(rows, columns, strict=True)]
-        for i, j, k in zip(rows, columns, keep, strict=True):
-            others = np.concatenate([np.delete(costs[i], j), np.delete(costs[:, j], i)])
-            others = others[others < 1e15]
-            margins.append(float(others.min() - costs[i, j]) if k and len(others) else None)
-        out = pdf.assign(margin=pd.Series(margins, index=pdf.index, dtype="float64"))[keep]
-        return out[["pair", "lower_recording_id", "lower_candidate_id", "higher_recording_id", "higher_candidate_id", "lower_hz", "higher_hz", "cost", "margin"]]
-
-    schema = "pair int, lower_recording_id string, lower_candidate_id long, higher_recording_id string, higher_candidate_id long, lower_hz double, higher_hz double, cost double, margin double"
-    found = grouped.groupBy("pair", "grp").applyInPandas(run, schema)
+    """One-to-one matches of least total cost for each pair of labels (and experiment), each with its margin."""
+    found = matched(assign_nodes(pairs.filter(F.col("cost") <= max_cost))).drop("row_margin", "column_margin")
     return found.select(
         "*", (F.col("higher_hz") - F.col("lower_hz")).alias("change_hz"), frequency_change(F.col("lower_hz"), F.col("higher_hz"), preserved_hz).alias("change"),
         F.coalesce(F.col("margin") <= ambiguity, F.lit(False)).alias("ambiguous"), (F.col("cost") >= 0.9 * max_cost).alias("near_threshold"),
@@ -108,7 +73,7 @@ def matches(pairs: DataFrame, max_cost: float = 1.0, ambiguity: float = 0.1, pre
 
 def splits(pairs: DataFrame, side: str = "lower", ambiguity: float = 0.1, max_cost: float = 1.0) -> DataFrame:
     """Candidates with two or more partners within the margin of the best: splits (lower) or merges (higher)."""
-    keys = ["pair", f"{side}_recording_id", f"{side}_candidate_id"]
+    keys = [*scope_of(pairs), "pair", f"{side}_recording_id", f"{side}_candidate_id"]
     best = F.min("cost").over(Window.partitionBy(*keys))
     close = pairs.filter(F.col("cost") <= max_cost).withColumn("best", best).filter(F.col("cost") <= F.col("best") + ambiguity + 1e-12)
     return close.groupBy(*keys).agg(F.count("*").alias("partners"), F.min("cost").alias("best_cost"), F.max("cost").alias("worst_cost")).filter("partners >= 2")
@@ -117,9 +82,10 @@ def splits(pairs: DataFrame, side: str = "lower", ambiguity: float = 0.1, max_co
 def unmatched(refs: DataFrame, found: DataFrame, side: str = "lower") -> DataFrame:
     """References without a match: disappearing (lower) or emerging (higher); labels at the end of the scale have no such side."""
     pair = F.col("label_idx") if side == "lower" else F.col("label_idx") - 1
-    used = found.select("pair", *(F.col(f"{side}_{k}").alias(k) for k in KEY))
+    scope = scope_of(refs)
+    used = found.select(*scope, "pair", *(F.col(f"{side}_{k}").alias(k) for k in KEY))
     inside = (F.col("pair") >= 0) & (F.col("pair") <= 3)
-    return refs.withColumn("pair", pair).filter(inside).join(used, ["pair", *KEY], "left_anti").select("pair", *KEY, "frequency_hz")
+    return refs.withColumn("pair", pair).filter(inside).join(used, [*scope, "pair", *KEY], "left_anti").select(*scope, "pair", *KEY, "frequency_hz")
 
 
 def gate_groups(refs: DataFrame, gate: float) -> DataFrame:
@@ -188,24 +154,28 @@ def chains(refs: DataFrame, found: DataFrame, labels: int = 5) -> DataFrame:
 
     One row a node: chain_id, node_index, label_idx, recording_id, candidate_id, frequency_hz, cost of the match that led here.
     """
-    edge = found.select(F.col("pair").alias("label_idx"), F.col("lower_candidate_id").alias("candidate_id"), F.col("higher_candidate_id").alias("next_id"), "cost")
-    enters = found.select((F.col("pair") + 1).alias("label_idx"), F.col("higher_candidate_id").alias("candidate_id"))
-    walk = refs.select("label_idx", "candidate_id").join(enters, ["label_idx", "candidate_id"], "left_anti")
-    walk = walk.select("label_idx", F.col("candidate_id").alias("c0"), F.col("candidate_id").alias("at"), F.array(F.struct("label_idx", "candidate_id", F.lit(None).cast("double").alias("cost"))).alias("nodes"))
+    scope = scope_of(refs)
+    edge = found.select(*scope, F.col("pair").alias("label_idx"), F.col("lower_candidate_id").alias("candidate_id"), F.col("higher_candidate_id").alias("next_id"), "cost")
+    enters = found.select(*scope, (F.col("pair") + 1).alias("label_idx"), F.col("higher_candidate_id").alias("candidate_id"))
+    walk = refs.select(*scope, "label_idx", "candidate_id").join(enters, [*scope, "label_idx", "candidate_id"], "left_anti")
+    begin = F.array(F.struct("label_idx", "candidate_id", F.lit(None).cast("double").alias("cost")))
+    walk = walk.select(*scope, "label_idx", F.col("candidate_id").alias("at"), begin.alias("nodes"))
     for step in range(labels - 1):
-        e = edge.select((F.col("label_idx") - step).alias("label_idx"), F.col("candidate_id").alias("at"), "next_id", "cost")
+        e = edge.select(*scope, (F.col("label_idx") - step).alias("label_idx"), F.col("candidate_id").alias("at"), "next_id", "cost")
         went = F.struct((F.col("label_idx") + step + 1).alias("label_idx"), F.col("next_id").alias("candidate_id"), F.col("cost").alias("cost"))
-        walk = walk.join(e, ["label_idx", "at"], "left").select("label_idx", "c0", F.col("next_id").alias("at"), F.when(F.col("next_id").isNotNull(), F.concat("nodes", F.array(went))).otherwise(F.col("nodes")).alias("nodes"))
-    name = short_id(F.col("label_idx"), F.concat_ws(",", F.transform("nodes", lambda x: x.candidate_id.cast("string"))))
-    nodes = walk.select(name.alias("chain_id"), F.posexplode("nodes").alias("node_index", "x")).select("chain_id", "node_index", "x.label_idx", "x.candidate_id", F.col("x.cost").alias("cost"))
-    return nodes.join(refs.select("label_idx", *KEY, "frequency_hz"), ["label_idx", "candidate_id"]).select("chain_id", "node_index", "label_idx", *KEY, "frequency_hz", "cost")
+        nodes = F.when(F.col("next_id").isNotNull(), F.concat("nodes", F.array(went))).otherwise(F.col("nodes"))
+        walk = walk.join(e, [*scope, "label_idx", "at"], "left").select(*scope, "label_idx", F.col("next_id").alias("at"), nodes.alias("nodes"))
+    name = short_id(*(F.col(c) for c in scope), F.col("label_idx"), F.concat_ws(",", F.transform("nodes", lambda x: x.candidate_id.cast("string"))))
+    nodes = walk.select(*scope, name.alias("chain_id"), F.posexplode("nodes").alias("node_index", "x"))
+    nodes = nodes.select(*scope, "chain_id", "node_index", "x.label_idx", "x.candidate_id", F.col("x.cost").alias("cost"))
+    return nodes.join(refs.select(*scope, "label_idx", *KEY, "frequency_hz"), [*scope, "label_idx", "candidate_id"]).select(*scope, "chain_id", "node_index", "label_idx", *KEY, "frequency_hz", "cost")
 
 
 def chain_summary(nodes: DataFrame, preserved_hz: float = 0.5, labels: int = 5) -> DataFrame:
     """One row a chain: its extent, changes and costs, and whether it spans the scale, emerges, disappears or stands alone."""
     w = Window.partitionBy("chain_id").orderBy("node_index")
     n = nodes.select("*", (F.col("frequency_hz") - F.lag("frequency_hz").over(w)).alias("step"))
-    m = n.groupBy("chain_id").agg(
+    m = n.groupBy(*scope_of(nodes), "chain_id").agg(
         F.min("label_idx").alias("start_idx"), F.max("label_idx").alias("end_idx"), F.count("*").alias("node_count"), F.min_by("frequency_hz", "node_index").alias("initial_hz"), F.max_by("frequency_hz", "node_index").alias("final_hz"),
         F.max(F.abs("step")).alias("max_step_hz"), F.count_if(F.abs("step") <= preserved_hz).alias("preserved"), F.count_if(F.col("step") > preserved_hz).alias("up"), F.count_if(F.col("step") < -preserved_hz).alias("down"),
         F.avg("cost").alias("mean_cost"), F.max("cost").alias("max_cost"),

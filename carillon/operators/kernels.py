@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from heapq import heappop, heappush
+
 import numpy as np
 
 
@@ -118,3 +120,64 @@ def assign(costs: np.ndarray) -> list[tuple[int, int]]:
             j0 = way[j0]
     pairs = [(int(match[j]) - 1, j - 1) for j in range(1, m + 1) if match[j]]
     return sorted((c, r) if flipped else (r, c) for r, c in pairs)
+
+
+def sparse_assign(rows: np.ndarray, columns: np.ndarray, costs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """As many row and column pairs as possible, at the least total cost, out of the given ones (codes from 0).
+
+    Gives each row's column (-1: left out), the prices of rows and columns, and what leaving a row out
+    costs: more than any exchange of matches saves.  Shortest augmenting paths, each a search
+    from one row that ends at the nearest free column, or at a row that is cheaper left out.
+    """
+    n, m = int(rows.max()) + 1, int(columns.max()) + 1
+    left_out = float(min(n, m) * costs.max() + 1.0)
+    order = np.lexsort((columns, rows))
+    starts = np.searchsorted(rows[order], np.arange(n + 1)).tolist()
+    to, weight = columns[order].tolist(), costs[order].tolist()
+    u, v, of_row, of_column = [0.0] * n, [0.0] * m, [-1] * n, [-1] * m
+    for source in range(n):
+        far: dict[int, float] = {}
+        came: dict[int, int] = {}
+        closed: dict[int, float] = {}
+        reached = {source: 0.0}
+        heap: list[tuple[float, int]] = []
+        row, base, length, end_row, end_column = source, 0.0, np.inf, -1, -1
+        while True:
+            if base + left_out - u[row] < length:
+                length, end_row = base + left_out - u[row], row
+            for k in range(starts[row], starts[row + 1]):
+                j = to[k]
+                d = base + weight[k] - u[row] - v[j]
+                if j not in closed and d < far.get(j, np.inf):
+                    far[j], came[j] = d, row
+                    heappush(heap, (d, j))
+            while heap and (heap[0][1] in closed or heap[0][0] > far[heap[0][1]]):
+                heappop(heap)
+            if not heap or heap[0][0] >= length:
+                break
+            base, j = heappop(heap)
+            closed[j] = base
+            if of_column[j] < 0:
+                length, end_row, end_column = base, -1, j
+                break
+            row = of_column[j]
+            reached[row] = base
+        for r, d in reached.items():
+            u[r] += length - d
+        for j, d in closed.items():
+            v[j] -= length - d
+        # the path turned over, from its end back to the source
+        if end_row >= 0:
+            j, of_row[end_row] = of_row[end_row], -1
+            if end_row == source:
+                continue
+        else:
+            j = end_column
+        while True:
+            r = came[j]
+            before = of_row[r]
+            of_row[r], of_column[j] = j, r
+            if r == source:
+                break
+            j = before
+    return np.array(of_row), np.array(u), np.array(v), left_out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import association, diagnosis, spectrum, tracking
+from ..operators import assignment, association, diagnosis, spectrum, tracking
 from ..operators.stft import frame_peaks
 from ..sources.adapters import REF_SQL, SER_SQL, candidate_refs, series
 from .registry import query
@@ -242,3 +242,55 @@ query(
     lambda s, d: candidate_refs(s, d).select("recording_id", "candidate_id", diagnosis.ineligible(F.col("accepted"), F.col("impact_excited"), need_impact=True, need_evidence=True).alias("reason")),
     f"WITH {REF_SQL} SELECT recording_id, candidate_id, CASE WHEN NOT accepted THEN 'candidate_rejected_by_policy' WHEN impact_excited IS NULL OR NOT impact_excited THEN 'missing_required_evidence' END AS reason FROM ref",
 )
+
+
+# ---- one-to-one assignment inside experiments ---------------------------------------
+
+
+def experiment_refs(s, d):
+    """The references with figures of their tracks, an experiment for each type."""
+    part = s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("candidate_id"), F.col("p_type").alias("experiment_id"))
+    return tracked_refs(s, d).join(part, "candidate_id")
+
+
+def admissible_pairs(s, d):
+    return diagnosis.diagnosed_pairs(experiment_refs(s, d), LIMITS_OF_PAIRS, WEIGHTS_OF_PAIRS, 0.15)
+
+
+_SIDES = [("f", "frequency_hz"), ("t", "tau_s"), ("s", "stability"), ("q", "r_squared"), ("d", "drift_hz"), ("e", "rmse_hz"), ("b", "amb"), ("n", "nt"), ("g", "am"), ("x", "impact_excited")]
+_WEIGHT = WEIGHTS_OF_PAIRS
+ADMISSIBLE_SQL = f"""{TRACKED_SQL}, ex AS (SELECT tr.*, p_type AS experiment_id FROM tr JOIN part ON p_partkey = candidate_id),
+two AS (SELECT l.experiment_id, l.label_idx AS pair, l.recording_id AS lower_recording_id, l.candidate_id AS lower_candidate_id, h.recording_id AS higher_recording_id, h.candidate_id AS higher_candidate_id,
+  {", ".join(f"l.{c} AS l{k}, h.{c} AS h{k}" for k, c in _SIDES)} FROM ex l JOIN ex h ON h.experiment_id = l.experiment_id AND h.label_idx = l.label_idx + 1 AND abs(l.frequency_hz - h.frequency_hz) <= 0.15 + 1e-12),
+ten AS (SELECT *, abs(hf - lf)/0.1::DOUBLE + coalesce({_WEIGHT["frequency_stability"]}*abs(hs - ls), 0) + coalesce({_WEIGHT["frequency_drift"]}*abs(hd - ld), 0) + coalesce({_WEIGHT["frequency_fit_rmse"]}*abs(he - le), 0)
+  + coalesce({_WEIGHT["tau"]}*abs(log2(ht/lt)), 0) + coalesce({_WEIGHT["amplitude_fit_quality"]}*abs(hq - lq), 0) + coalesce({_WEIGHT["ambiguity"]}*greatest(lb, hb), 0) + coalesce({_WEIGHT["near_threshold"]}*greatest(ln, hn), 0)
+  + coalesce({_WEIGHT["assignment_margin"]}*abs(hg - lg), 0) + CASE WHEN lx <> hx THEN {_WEIGHT["impact_evidence"]} ELSE 0 END::DOUBLE AS cost FROM two),
+adm AS (SELECT * FROM ten WHERE abs(hf - lf) <= 0.1 AND abs(log2(hf/lf)) <= 0.00012 AND coalesce(abs(log2(ht/lt)) <= 1.05, TRUE) AND greatest(lb, hb) <= 0.35 AND lb IS NOT NULL AND hb IS NOT NULL
+  AND greatest(ln, hn) <= 0.22 AND ln IS NOT NULL AND hn IS NOT NULL AND least(lg, hg) >= 0.05 AND lg IS NOT NULL AND hg IS NOT NULL AND cost <= 1.1)"""
+
+
+def prices(s, d):
+    pairs = admissible_pairs(s, d)
+    return pairs, assignment.assign_nodes(pairs)
+
+
+query("experiment_matches", lambda s, d: diagnosis.assign_diagnosed(admissible_pairs(s, d), LIMITS_OF_PAIRS["cost_above_threshold"]))
+# what proves the assignment least: SQL can't assign, but knows every pair and candidate that the prices must hold for
+query(
+    "assignment_pair_certificate",
+    lambda s, d: assignment.pair_certificate(*prices(s, d)),
+    f"WITH {ADMISSIBLE_SQL} SELECT experiment_id, pair, lower_recording_id, lower_candidate_id, higher_recording_id, higher_candidate_id, {r('cost', 'cost')}, TRUE AS not_below_prices, TRUE AS tight_if_matched FROM adm",
+)
+query(
+    "assignment_node_certificate",
+    lambda s, d: assignment.node_certificate(prices(s, d)[1]),
+    f"""WITH {ADMISSIBLE_SQL}, nd AS (SELECT DISTINCT experiment_id, pair, 'lower' AS side, lower_recording_id AS recording_id, lower_candidate_id AS candidate_id FROM adm
+      UNION ALL SELECT DISTINCT experiment_id, pair, 'higher', higher_recording_id, higher_candidate_id FROM adm)
+    SELECT *, TRUE AS in_bounds, TRUE AS at_bound_if_left_out, TRUE AS one_mate FROM nd""",
+)
+# the same over the pairs of three costs and no experiments
+query(
+    "hungarian_certificate",
+    lambda s, d: assignment.pair_certificate(p := costs(s, d).filter("cost <= 1"), assignment.assign_nodes(p)),
+    f"WITH {COSTS_SQL} SELECT pair, lower_recording_id, lower_candidate_id, higher_recording_id, higher_candidate_id, {r('cost', 'cost')}, TRUE AS not_below_prices, TRUE AS tight_if_matched FROM pr WHERE cost <= 1",
+)
