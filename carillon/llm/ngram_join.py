@@ -44,7 +44,7 @@ from .near_dup import _NO_ID, _confirm, _mix, shingle_sets, text_key
 from .tokens import text_groups
 
 #: Coordinates of a point; points of a block and of a leaf at most.
-GROUPS, BLOCK, LEAF = 128, 256, 16
+GROUPS, BLOCK, LEAF = 512, 256, 16
 #: Share of documents from which a shingle is common, fewest of a batch, and how many common ones are known at most (8 bytes each).
 COMMON, FEWEST, MOST_COMMON = 0.001, 8, 1 << 18
 #: Coordinates that pack points into blocks.
@@ -174,20 +174,27 @@ def _allowed(percent: int):
     return run
 
 
-def _pack_block(batches):
-    """Blocks with their members in the tree's order, and their rectangles' upper corners."""
+def _pack_blocks(batches):
+    """Blocks with their members, which come in the tree's order, and their rectangles' upper corners."""
     for batch in batches:
-        for row in batch.to_pylist():
-            members = sorted(row["members"], key=lambda m: (m["n"], m["point"], m["node"]))
-            p = _stack([m["point"] for m in members])
-            n = np.array([m["n"] for m in members])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([row["key"]], pa.int64()), pa.array([row["part"]], pa.int64()), pa.array([int(n.min())]), pa.array([int(n.max())]), pa.array([_packed(p.max(0))], pa.binary()),
-                    *(pa.array([np.array([m[c] for m in members], np.int64).tobytes()], pa.binary()) for c in ("node", "component", "n")), pa.array([_packed(p)], pa.binary()),
-                ],
-                ["key", "part", "low", "high", "corner", "nodes", "components", "sizes", "points"],
-            )
+        if not len(batch):
+            continue
+        members = batch.column("members")
+        bounds = members.offsets.to_numpy().astype(np.int64)
+        flat = members.flatten()
+        bounds -= bounds[0]
+        p = _stack(flat.field("point").to_pylist())
+        node, component, n = (flat.field(c).to_numpy() for c in ("node", "component", "n"))
+        starts = bounds[:-1]
+        corners = np.maximum.reduceat(p, starts, 0)
+        cut = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(bounds, bounds[1:])], pa.binary())
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("key"), batch.column("part"), pa.array(np.minimum.reduceat(n, starts)), pa.array(np.maximum.reduceat(n, starts)), pa.array([c.tobytes() for c in corners], pa.binary()),
+                cut(node), cut(component), cut(n), cut(p),
+            ],
+            ["key", "part", "low", "high", "corner", "nodes", "components", "sizes", "points"],
+        )
 
 
 _BLOCK = "key long, part long, low long, high long, corner binary, nodes binary, components binary, sizes binary, points binary"
@@ -248,10 +255,39 @@ def _forest(one: np.ndarray, two: np.ndarray, order: np.ndarray) -> np.ndarray:
     return np.array(kept, np.int64)
 
 
+def _few(batch: pa.RecordBatch, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, nodes, nodes): what single leaves leave, all leaves of a batch at a time."""
+    sizes_of = np.array([len(x) // 8 for x in batch.column("nodes_x").to_pylist()])
+    for m in np.unique(sizes_of[sizes_of <= LEAF]).tolist():
+        rows = np.flatnonzero(sizes_of == m)
+        part = batch.take(pa.array(rows))
+        nodes, components, sizes = (np.frombuffer(b"".join(part.column(f"{c}_x").to_pylist()), np.int64).reshape(-1, m) for c in ("nodes", "components", "sizes"))
+        i, j = np.triu_indices(m, 1)
+        keep = (components[:, i] != components[:, j]) & _sized(sizes[:, i], sizes[:, i], sizes[:, j], sizes[:, j], percent)
+        row, pair = np.nonzero(keep)
+        points_ = part.column("points_x").to_pylist()
+        for a in range(0, len(row), 4096):
+            r, k = row[a : a + 4096], pair[a : a + 4096]
+            known = {x: _matrix(points_[x], m) for x in np.unique(r).tolist()}
+            x = np.stack([known[t][i[u]] for t, u in zip(r.tolist(), k.tolist(), strict=True)])
+            y = np.stack([known[t][j[u]] for t, u in zip(r.tolist(), k.tolist(), strict=True)])
+            fine = _may_link(np.minimum(x, y).sum(1, dtype=np.int64), sizes[r, i[k]], sizes[r, j[k]], percent)
+            yield rows[r[fine]], nodes[r[fine], i[k[fine]]], nodes[r[fine], j[k[fine]]]
+
+
 def _join_blocks(percent: int, inside: bool, forest: bool):
+    """key, a, b: what the trees of a block, or of two, leave."""
+
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            if not len(batch):
+                continue
+            found = list(_few(batch, percent)) if inside else []
+            rows = np.arange(len(batch))
+            if inside:
+                rows = rows[np.array([len(x) // 8 for x in batch.column("nodes_x").to_pylist()]) > LEAF]
+            for at in rows.tolist():
+                row = batch.slice(at, 1).to_pylist()[0]
                 x, y = _Leaves(row, "x"), None if inside else _Leaves(row, "y")
                 i, j, shared = tree_pairs(x, y, percent)
                 y = y or x
@@ -259,9 +295,11 @@ def _join_blocks(percent: int, inside: bool, forest: bool):
                     likeness = shared / (x.sizes[i] + y.sizes[j] - np.minimum(shared, np.minimum(x.sizes[i], y.sizes[j])))
                     kept = _forest(x.components[i], y.components[j], np.argsort(-likeness, kind="stable"))
                     i, j = i[kept], j[kept]
-                if len(i):
-                    a, b = x.nodes[i], y.nodes[j]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                found.append((np.full(len(i), at), x.nodes[i], y.nodes[j]))
+            if found:
+                at, a, b = (np.concatenate(f) for f in zip(*found, strict=True))
+                keys = batch.column("key_x").take(pa.array(at.astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["key", "a", "b"])
 
     return run
 
@@ -293,7 +331,7 @@ def _cell(percent: int) -> Column:
 
 
 def _surviving(placed: DataFrame, nodes: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """a, b: pairs of nodes in different components that share a bucket and that the trees leave."""
+    """key, a, b: pairs of nodes in different components that share a bucket and that its tree leaves."""
     owns = placed.groupBy("key", "component").agg(F.count("*").alias("rows"))
     apart = owns.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
     owns = materialise(owns.join(apart, "key").withColumn("part", F.when(F.col("rows") >= BLOCK, F.col("component"))), "join-owns")
@@ -308,24 +346,24 @@ def _surviving(placed: DataFrame, nodes: DataFrame, percent: int, forest: bool)
     spots = materialise(spots, "join-spots")
     cells = spots.groupBy("key", "part", "cell").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).toDF("k", "p", "c", "blocks")
     same = (F.col("key") == F.col("k")) & F.col("part").eqNullSafe(F.col("p")) & (F.col("cell") == F.col("c"))
-    filled = spots.join(cells, same).groupBy("key", "part", "cell", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("salt")).agg(F.collect_list(F.struct("node", "component", "n", "point")).alias("members"))
-    blocks = filled.select("key", "part", "members").mapInArrow(trimmed(_pack_block), _BLOCK).withColumn("block", F.monotonically_increasing_id())
+    filled = spots.join(cells, same).groupBy("key", "part", "cell", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("salt")).agg(F.array_sort(F.collect_list(F.struct("n", "point", "node", "component"))).alias("members"))
+    blocks = filled.select("key", "part", "members").mapInArrow(trimmed(_pack_blocks), _BLOCK).withColumn("block", F.monotonically_increasing_id())
     blocks = materialise(blocks, "join-blocks")  # written at once, so the number stays
 
     def side(end: str, *columns: str) -> DataFrame:
         return blocks.select(*(F.col(c).alias(f"{c}_{end}") for c in columns))
 
     members = ("block", "nodes", "components", "sizes", "points")
-    schema = "a long, b long"
-    inner = blocks.filter("part IS NULL").select(*(F.col(c).alias(f"{c}_x") for c in members[1:])).mapInArrow(trimmed(_join_blocks(percent, True, forest)), schema)
+    schema = "key long, a long, b long"
+    inner = blocks.filter("part IS NULL").select(*(F.col(c).alias(f"{c}_x") for c in ("key", *members[1:]))).mapInArrow(trimmed(_join_blocks(percent, True, forest)), schema)
     several = blocks.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("key").alias("key_x"))
     corners = ("key", "part", "block", "low", "high", "corner")
     pairs = side("x", *corners).join(several, "key_x", "left_semi").join(side("y", *corners), F.col("key_x") == F.col("key_y"))
     pairs = pairs.filter((F.col("block_x") < F.col("block_y")) & ~F.coalesce(F.col("part_x") == F.col("part_y"), F.lit(False)))
     pairs = pairs.filter(_sized(F.col("low_x"), F.col("high_x"), F.col("low_y"), F.col("high_y"), percent))
     wanted = pairs.select("block_x", "block_y", "low_x", "low_y", "corner_x", "corner_y").mapInArrow(_rectangles(percent), "block_x long, block_y long")
-    across = wanted.join(side("x", *members), "block_x").join(side("y", *members), "block_y").drop("block_x", "block_y").mapInArrow(trimmed(_join_blocks(percent, False, forest)), schema)
-    return inner.unionByName(across).distinct()
+    across = wanted.join(side("x", "key", *members), "block_x").join(side("y", *members), "block_y").drop("block_x", "block_y").mapInArrow(trimmed(_join_blocks(percent, False, forest)), schema)
+    return inner.unionByName(across)
 
 
 def _verified(pairs: DataFrame, held: DataFrame, width: int, percent: int) -> DataFrame:
@@ -370,11 +408,14 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
 
     asked = materialise(likely, "join-stars")
     links = materialise(_verified(asked, held, width, percent), "join-links")
+    held_in = members.select("key", "node")
     for forest in (True, False):
-        survivors = _surviving(_placed(members.select("key", "node"), links), nodes, percent, forest)
-        survivors = materialise(survivors.join(asked, ["a", "b"], "left_anti"), "join-survivors")
+        left = materialise(_surviving(_placed(held_in, links), nodes, percent, forest), "join-left")
+        survivors = materialise(left.select("a", "b").distinct().join(asked, ["a", "b"], "left_anti"), "join-survivors")
         links = materialise(links.unionByName(_verified(survivors, held, width, percent)), "join-links")
         asked = asked.unionByName(survivors)
+        # components only grow, so a bucket that has left nothing will leave nothing
+        held_in = held_in.join(left.select("key").distinct(), "key", "left_semi")
 
     named = classes.join(components(links, "join-final"), "node", "left").select("s1", "s2", "least_row", F.coalesce("component", "node").alias("component"))
     named = materialise(named, "join-named")
