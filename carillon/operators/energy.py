@@ -6,6 +6,9 @@ rounded time or on a resampling grid, never by comparing all points with all.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -76,11 +79,39 @@ def correlation(x: Column, y: Column) -> Column:
     return F.when((sx > 1e-12) & (sy > 1e-12), F.covar_pop(x, y) / (sx * sy))
 
 
+def _pearson(x: np.ndarray, y: np.ndarray) -> float | None:
+    sx, sy = x.std(), y.std()
+    return float(((x - x.mean()) * (y - y.mean())).mean() / (sx * sy)) if sx > _FLAT and sy > _FLAT else None
+
+
+def _by_pair(aligned: DataFrame, found: str, kernel: Callable[[np.ndarray, np.ndarray], list[tuple]]) -> DataFrame:
+    """Rows of ``found`` (names and kinds) that ``kernel(x, y)`` makes of each pair's points in order."""
+    kinds = [(c, aligned.schema[c].dataType.simpleString()) for c in PAIR]
+    names = [f.split()[0] for f in found.split(", ")]
+    types = [{"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}[f.split()[1]] for f in found.split(", ")]
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        at = np.argsort(table.column("n").to_numpy(), kind="stable")
+        x, y = (table.column(c).to_numpy(zero_copy_only=False)[at] for c in ("x", "y"))
+        rows = kernel(x, y)
+        own = [pa.array([k.as_py()] * len(rows), k.type) for k in key]
+        return pa.table([*own, *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))], [*PAIR, *names])
+
+    return aligned.select(*PAIR, "n", "x", "y").groupBy(*PAIR).applyInArrow(run, ", ".join(f"{c} {k}" for c, k in kinds) + f", {found}")
+
+
 def lag_correlations(aligned: DataFrame, lags: range) -> DataFrame:
-    """Correlation of x with y shifted by each lag."""
-    x = aligned.select(*PAIR, "n", "x").withColumn("lag", F.explode(F.array(*map(F.lit, lags)))).withColumn("m", F.col("n") + F.col("lag"))
-    y = aligned.select(*PAIR, F.col("n").alias("m"), "y")
-    return x.join(y, [*PAIR, "m"]).groupBy(*PAIR, "lag").agg(F.count("*").alias("n"), correlation(F.col("x"), F.col("y")).alias("r"))
+    """Correlation of x with y shifted by each lag that leaves points in common; a pair's lags are one kernel's work, without a row for each point and lag."""
+
+    def kernel(x: np.ndarray, y: np.ndarray) -> list[tuple]:
+        out = []
+        for lag in lags:
+            n = len(x) - abs(lag)
+            if n > 0:
+                out.append((lag, n, _pearson(x[max(-lag, 0) :][:n], y[max(lag, 0) :][:n])))
+        return out
+
+    return _by_pair(aligned, "lag int, n long, r double", kernel)
 
 
 def best_negative(lagged: DataFrame) -> DataFrame:
@@ -121,6 +152,30 @@ def shift_test(aligned: DataFrame) -> DataFrame:
     return rows.groupBy(*PAIR).applyInArrow(run, ", ".join(f"{c} long" for c in PAIR) + ", observed double, p_value double, shifts long")
 
 
+def block_order(seed: int, turn: int, blocks: int) -> list[int]:
+    """The blocks by the md5 of ``seed:turn:block``: a permutation that any engine can repeat."""
+    return sorted(range(blocks), key=lambda b: hashlib.md5(f"{seed}:{turn}:{b}".encode()).hexdigest())
+
+
+def block_permutation_test(aligned: DataFrame, block: int = 3, permutations: int = 19, seed: int = 0) -> DataFrame:
+    """How often correlation is as negative as observed when y's blocks are dealt anew, the observation itself counted.
+
+    The least p_value is so 1 / (permutations + 1).  It is missing with fewer than four points, or if one side is constant.
+    """
+
+    def kernel(x: np.ndarray, y: np.ndarray) -> list[tuple]:
+        observed = _pearson(x, y)
+        if observed is None or len(x) < 4:
+            return [(observed, None, 0)]
+        parts = [y[i : i + block] for i in range(0, len(y), block)]
+        u, v = (x - x.mean()) / x.std(), y.std()
+        made = np.stack([np.concatenate([parts[b] for b in block_order(seed, turn, len(parts))]) for turn in range(permutations)]) if permutations else np.zeros((0, len(y)))
+        r = (made - y.mean()) @ u / (len(y) * v)
+        return [(observed, float((1 + (r <= observed + 1e-9).sum()) / (permutations + 1)), permutations)]
+
+    return _by_pair(aligned, "observed double, p_value double, permutations long", kernel)
+
+
 def delayed_growth(series: DataFrame, fraction: float = 0.15) -> DataFrame:
     """Growth of the late peak over the least value before it, relative to the series' peak."""
     low = F.min("a").over(Window.partitionBy("source_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
@@ -156,9 +211,9 @@ def dominance(aligned: DataFrame, hysteresis: float = 1.05) -> DataFrame:
 
 
 def modulation_period(series: DataFrame) -> DataFrame:
-    """Median interval between strict local maxima."""
+    """Median interval between local maxima: points no lower than the one before and above the next, so that a plateau counts at its end."""
     w = Window.partitionBy("source_id").orderBy("n")
-    s = series.select("source_id", "n", "t_s", "a", F.lag("a").over(w).alias("l"), F.lead("a").over(w).alias("h")).filter("a > l AND a > h")
+    s = series.select("source_id", "n", "t_s", "a", F.lag("a").over(w).alias("l"), F.lead("a").over(w).alias("h")).filter("a >= l AND a > h")
     return s.select("source_id", (F.col("t_s") - F.lag("t_s").over(w)).alias("gap")).groupBy("source_id").agg(F.median("gap").alias("period_s"), F.count("*").alias("maxima"))
 
 

@@ -7,9 +7,9 @@ and weights are keyword arguments.
 from __future__ import annotations
 
 import math
-from random import Random
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -165,16 +165,44 @@ def decay(nodes: DataFrame, range_limit: float = 0.5, std_limit: float = 0.25, m
     )
 
 
-def bootstrap(nodes: DataFrame, samples: int = 200, seed: int = 0, level: float = 0.95) -> DataFrame:
-    """Bounds of the mean frequency from seeded resampling with replacement."""
+def bootstrap(nodes: DataFrame, value: str = "frequency_hz", location: str = "mean", samples: int = 200, seed: int = 0, level: float = 0.95) -> DataFrame:
+    """Bounds and deviation of a chain's location from resampling with replacement.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = pdf.sort_values("node_index").frequency_hz.tolist()
-        rng = Random(seed)
-        means = pd.Series([sum(rng.choice(values) for _ in values) / len(values) for _ in range(samples)])
-        return pd.DataFrame({KEY: [pdf[KEY].iloc[0]], "lower_hz": [means.quantile((1 - level) / 2)], "upper_hz": [means.quantile((1 + level) / 2)], "std_hz": [means.std()]})
+    location: mean, median or geometric (the mean in the domain of logarithms).  Missing values, and others than positive
+    ones for geometric, take no part.  Draws come from the md5 of ``seed:sample:draw``, so any
+    engine repeats them; a chain's values, one a label at most, are an array and a sample is a
+    function of it, without a row for each sample.
+    """
+    v = F.ln(value) if location == "geometric" else F.col(value)
+    fine = F.col(value).isNotNull() & ~F.isnan(value) & (F.col(value) > 0 if location == "geometric" else F.lit(True))
+    held = nodes.filter(fine).groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("node_index", v.alias("v")))).alias("s")).select(KEY, F.col("s.v").alias("v"), F.size("s").alias("n"))
+
+    def drawn(sample: Column) -> Column:
+        def one(draw: Column) -> Column:
+            name = F.concat_ws(":", F.lit(str(seed)), sample.cast("string"), draw.cast("string"))
+            return F.element_at("v", (F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long") % F.col("n") + 1).cast("int"))
+
+        return F.transform(F.sequence(F.lit(0), F.col("n") - 1), one)
+
+    def total(a: Column) -> Column:
+        return F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
+
+    def middle(a: Column) -> Column:
+        a = F.array_sort(a)
+        return (F.element_at(a, F.floor((F.size(a) + 1) / 2).cast("int")) + F.element_at(a, (F.floor(F.size(a) / 2) + 1).cast("int"))) / 2
+
+    made = F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda k: middle(drawn(k)) if location == "median" else total(drawn(k)) / F.col("n"))
+    back = F.exp if location == "geometric" else (lambda c: c)
+    made = held.select(KEY, F.array_sort(F.transform(made, back)).alias("m"))
 
-    return nodes.select(KEY, "node_index", "frequency_hz").groupBy(KEY).applyInPandas(run, f"{KEY} string, lower_hz double, upper_hz double, std_hz double")
+    def quantile(q: float) -> Column:
+        low, share = int(q * (samples - 1)), q * (samples - 1) % 1
+        one, two = F.element_at("m", low + 1), F.element_at("m", min(low + 2, samples))
+        return one + (two - one) * share
+
+    mean = total(F.col("m")) / samples
+    std = F.sqrt(F.aggregate("m", F.lit(0.0), lambda x, y: x + (y - F.col("mean")) * (y - F.col("mean"))) / (samples - 1))
+    return made.withColumn("mean", mean).select(KEY, quantile((1 - level) / 2).alias("lower"), quantile((1 + level) / 2).alias("upper"), std.alias("std"))
 
 
 def parameter_status(hypothesis: DataFrame, place: DataFrame, decays: DataFrame, variation: float = 0.02) -> DataFrame:
@@ -200,24 +228,64 @@ def q_from_decay(params: DataFrame) -> DataFrame:
     return params.select("*", F.when(fine, q).alias("q_decay"), F.when(fine, u).alias("q_decay_u"))
 
 
+def crossings(f: np.ndarray, mag: np.ndarray, targets: np.ndarray, level_db: float) -> dict[str, np.ndarray]:
+    """For each target the local peak nearest to it and where the spectrum falls to ``level_db`` of it on either side (NaN: nowhere).
+
+    A table of minima over spans of powers of two is descended from the peak outward, all targets at a
+    time: a crossing costs the logarithm of the spectrum's length, however wide the peak.
+    """
+    tops = np.flatnonzero((mag[1:-1] > mag[:-2]) & (mag[1:-1] > mag[2:])) + 1 if len(mag) > 2 else np.zeros(0, int)
+    if not len(tops):
+        return {}
+    right = np.searchsorted(f[tops], targets)
+    near = np.stack([tops[np.clip(right - 1, 0, len(tops) - 1)], tops[np.clip(right, 0, len(tops) - 1)]])
+    away = np.abs(f[near] - targets)
+    first = (away[0] < away[1]) | ((away[0] == away[1]) & (mag[near[0]] >= mag[near[1]]))
+    peak = np.where(first, near[0], near[1])
+    cut = mag[peak] * 10 ** (level_db / 20)
+    table = [mag]
+    while 2 << (len(table) - 1) <= len(mag):
+        half = 1 << (len(table) - 1)
+        table.append(np.minimum(table[-1][:-half], table[-1][half:]))
+    low, high = peak.copy(), peak.copy()
+    for step in reversed(range(len(table))):
+        span, least = 1 << step, table[step]
+        to = low - span
+        low = np.where((to >= 0) & (least[np.maximum(to, 0)] > cut), to, low)
+        fits = high + span < len(mag)
+        high = np.where(fits & (least[np.minimum(high + 1, len(least) - 1)] > cut), high + span, high)
+    a, z = low - 1, high + 1
+
+    def between(outer: np.ndarray, inner: np.ndarray) -> np.ndarray:
+        there = (outer >= 0) & (outer < len(mag))
+        o, i = np.clip(outer, 0, len(mag) - 1), inner
+        return np.where(there, f[o] + (cut - mag[o]) / (mag[i] - mag[o]) * (f[i] - f[o]), np.nan)
+
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return {"peak_hz": f[peak], "low_hz": between(a, low), "high_hz": between(z, high)}
+
+
 def bandwidths(bins: DataFrame, targets: DataFrame, level_db: float = -3.0) -> DataFrame:
     """Width of the local peak nearest to each target at ``level_db``: interpolated crossings on either side.
 
-    bins: recording_id, k, f_hz, mag; targets: recording_id, target_hz.
+    bins: recording_id, k, f_hz, mag; targets: recording_id, target_hz.  A recording's spectrum and its
+    targets meet once; bins and targets are never joined.
     """
-    w = Window.partitionBy("recording_id").orderBy("k")
-    b = bins.select("recording_id", "k", "f_hz", "mag", F.lag("mag").over(w).alias("l"), F.lead("mag").over(w).alias("h"), F.lag("f_hz").over(w).alias("fl"), F.lead("f_hz").over(w).alias("fh"))
-    tops = b.filter("mag > l AND mag > h").join(targets, "recording_id")
-    best = tops.groupBy("recording_id", "target_hz").agg(F.min(F.struct(F.abs(F.col("f_hz") - F.col("target_hz")).alias("d"), (-F.col("mag")).alias("m"), "k", "f_hz", "mag")).alias("p"))
-    peak = best.select("recording_id", "target_hz", F.col("p.k").alias("pk"), F.col("p.f_hz").alias("peak_hz"), (F.col("p.mag") * 10 ** (level_db / 20)).alias("cut"))
-    j = b.join(peak, "recording_id").filter(F.col("mag") <= F.col("cut"))
-    left = F.max(F.when(F.col("k") < F.col("pk"), F.struct("k", "f_hz", "mag", "fh", "h")))
-    right = F.min(F.when(F.col("k") > F.col("pk"), F.struct("k", "f_hz", "mag", "fl", "l")))
-    g = j.groupBy("recording_id", "target_hz", "pk", "peak_hz", "cut").agg(left.alias("a"), right.alias("z"))
-    g = peak.join(g.select("recording_id", "target_hz", "a", "z"), ["recording_id", "target_hz"], "left")
-    low = F.col("a.f_hz") + (F.col("cut") - F.col("a.mag")) / (F.col("a.h") - F.col("a.mag")) * (F.col("a.fh") - F.col("a.f_hz"))
-    high = F.col("z.f_hz") - (F.col("cut") - F.col("z.mag")) / (F.col("z.l") - F.col("z.mag")) * (F.col("z.f_hz") - F.col("z.fl"))
-    out = g.select("recording_id", "target_hz", "peak_hz", low.alias("low_hz"), high.alias("high_hz")).withColumn("bandwidth_hz", F.col("high_hz") - F.col("low_hz"))
+    kind = bins.schema["recording_id"].dataType.simpleString()
+    names = ("peak_hz", "low_hz", "high_hz")
+
+    def run(key: tuple, spectrum: pa.Table, wanted: pa.Table) -> pa.Table:
+        spectrum = spectrum.sort_by("k")
+        goal = np.unique(wanted.column("target_hz").drop_null().to_numpy(zero_copy_only=False)) if len(wanted) else np.zeros(0)
+        found = crossings(spectrum.column("f_hz").to_numpy(), spectrum.column("mag").to_numpy(), goal, level_db) if len(spectrum) and len(goal) else {}
+        rows = len(goal) if found else 0
+        return pa.table(
+            [pa.array([key[0].as_py()] * rows, key[0].type), pa.array(goal[:rows]), *(pa.array(found.get(c, np.zeros(0)), from_pandas=True) for c in names)], ["recording_id", "target_hz", *names]
+        )
+
+    both = bins.select("recording_id", "k", "f_hz", "mag").groupBy("recording_id").cogroup(targets.select(F.col("recording_id").alias("of"), F.col("target_hz").cast("double").alias("target_hz")).groupBy("of"))
+    out = both.applyInArrow(run, f"recording_id {kind}, target_hz double, peak_hz double, low_hz double, high_hz double")
+    out = out.withColumn("bandwidth_hz", F.col("high_hz") - F.col("low_hz"))
     return out.withColumn("q_bandwidth", ratio(F.col("peak_hz"), F.col("bandwidth_hz")))
 
 

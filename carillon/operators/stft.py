@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -135,6 +137,41 @@ def change_points(values: DataFrame, window: int = 2, persistence: int = 2, thre
     return runs.filter(F.col("places") >= persistence).select(BY, "metric", "at", "t_s", "change", "places")
 
 
-def smooth(values: DataFrame, radius: int) -> DataFrame:
-    """Centred moving mean with shorter windows at the ends."""
-    return values.select(BY, "metric", "n", "t_s", F.avg("value").over(Window.partitionBy(BY, "metric").orderBy("n").rowsBetween(-radius, radius)).alias("value"))
+def _sliding_median(x: np.ndarray, radius: int) -> np.ndarray:
+    """Medians of windows that are shorter at the ends; the window stays sorted, so a step is one insertion and one removal."""
+    window = sorted(x[:radius].tolist())
+    out = np.empty(len(x))
+    for i in range(len(x)):
+        if i + radius < len(x):
+            insort(window, x[i + radius])
+        if i - radius - 1 >= 0:
+            del window[bisect_left(window, x[i - radius - 1])]
+        k = len(window)
+        out[i] = (window[(k - 1) // 2] + window[k // 2]) / 2
+    return out
+
+
+def smooth(values: DataFrame, radius: int, method: str = "mean", chunk: int = 65_536) -> DataFrame:
+    """Centred moving mean or median with shorter windows at the ends; ``none`` leaves values as they are.
+
+    Medians are taken by chunks of a series, each with the neighbours that its windows reach, so that no long series is one group.
+    """
+    if method == "none":
+        return values.select(BY, "metric", "n", "t_s", "value")
+    w = Window.partitionBy(BY, "metric").orderBy("n")
+    if method == "mean":
+        return values.select(BY, "metric", "n", "t_s", F.avg("value").over(w.rowsBetween(-radius, radius)).alias("value"))
+    if method != "median":
+        raise ValueError(f"unknown method {method}")
+    placed = values.select(BY, "metric", "n", "t_s", "value", (F.row_number().over(w) - 1).alias("at"))
+    reach = F.sequence(F.floor(F.greatest(F.col("at") - radius, F.lit(0)) / chunk), F.floor((F.col("at") + radius) / chunk))
+    schema = values.select(BY, "metric", "n", "t_s", F.col("value").cast("double").alias("value")).schema
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("at")
+        at = table.column("at").to_numpy()
+        own = pa.array(at // chunk == key[2].as_py())
+        made = _sliding_median(table.column("value").to_numpy(zero_copy_only=False).astype(float), radius)
+        return table.select([BY, "metric", "n", "t_s"]).append_column("value", pa.array(made)).filter(own)
+
+    return placed.withColumn("chunk", F.explode(reach)).groupBy(BY, "metric", "chunk").applyInArrow(run, schema)

@@ -96,7 +96,19 @@ query(
     f"""WITH RECURSIVE {DECAY_SQL} SELECT chain_id, n AS tau_count, {r('tau', 'tau_s')}, {r('lr', 'log_range')}, {r('lp', 'log_std')}, n >= 2 AND lr <= 0.5 AND lp <= 0.25 AS valid, {r('tau*exp(-ls)', 'lower_s')}, {r('tau*exp(ls)', 'upper_s')},
     {r('1/tau', 'amplitude_rate')}, {r('2/tau', 'energy_rate')}, {r('tau*ln(10)', 'to_minus_20_db_s')}, {r('tau*ln(10)*2', 'to_minus_40_db_s')}, {r('tau*ln(10)*3', 'to_minus_60_db_s')} FROM dc""",
 )
-query("frequency_bootstrap", lambda s, d: modal.bootstrap(nodes(s, d)))
+def bootstrap_sql(value: str, where: str, of: str, back: str = "m") -> str:
+    """200 samples of a chain's values, drawn by md5; ``of`` is the location of a list x of draws."""
+    drawn = "list_transform(range(len(v)), lambda i: v[1 + ('0x' || substr(md5('0:' || s || ':' || i), 1, 8))::BIGINT % len(v)])"
+    return f"""WITH RECURSIVE {NODES_SQL}, vs AS (SELECT chain_id, list({value} ORDER BY node_index) AS v FROM nd WHERE {where} GROUP BY 1),
+      sm AS (SELECT chain_id, list_transform(range(200), lambda s: {of.format(drawn)}) AS b FROM vs),
+      bk AS (SELECT chain_id, list_transform(b, lambda m: {back}) AS b FROM sm)
+    SELECT chain_id, {r("list_aggregate(b, 'quantile_cont', 0.025)", 'lower')}, {r("list_aggregate(b, 'quantile_cont', 0.975)", 'upper')}, {r("list_aggregate(b, 'stddev_samp')", 'std')} FROM bk"""
+
+
+_MEAN, _MEDIAN = "list_aggregate({}, 'avg')", "list_aggregate({}, 'median')"
+query("frequency_bootstrap", lambda s, d: modal.bootstrap(nodes(s, d)), bootstrap_sql("frequency_hz", "frequency_hz IS NOT NULL", _MEAN))
+query("frequency_bootstrap_median", lambda s, d: modal.bootstrap(nodes(s, d), location="median"), bootstrap_sql("frequency_hz", "frequency_hz IS NOT NULL", _MEDIAN))
+query("decay_bootstrap", lambda s, d: modal.bootstrap(nodes(s, d), "tau_s", "geometric"), bootstrap_sql("ln(tau_s)", "tau_s > 0", _MEAN, "exp(m)"))
 query(
     "parameter_status",
     lambda s, d: modal.parameter_status(modal.hypotheses(evidence(s, d)), modal.locations(nodes(s, d)), modal.decay(nodes(s, d))),
@@ -216,6 +228,16 @@ query(
       WHERE s < c AND q.source_a = p.source_a AND q.source_b = p.source_b AND q.n = (p.n + s) % c GROUP BY 1, 2, 3), ob AS (SELECT source_a, source_b, r AS o FROM sh WHERE s = 0)
     SELECT source_a, source_b, {r('o', 'observed')}, {r('avg((r <= o + 1e-9)::INTEGER)', 'p_value')}, count(*) AS shifts FROM sh JOIN ob USING (source_a, source_b) GROUP BY source_a, source_b, o""",
 )
+query(
+    "block_permutation_test",
+    lambda s, d: energy.block_permutation_test(aligned(s, d)),
+    f"""WITH {ALIGN_SQL}, sz AS (SELECT source_a, source_b, count(*) AS c, {CORR.format('x', 'y')} AS o FROM al GROUP BY 1, 2),
+      bl AS (SELECT c, turn, blk, row_number() OVER (PARTITION BY c, turn ORDER BY md5('0:' || turn || ':' || blk)) AS place FROM (SELECT DISTINCT c, (c + 2) // 3 AS k FROM sz) z, range(19) t(turn), range((SELECT (max(c) + 2) // 3 FROM sz)) b(blk) WHERE blk < k),
+      mv AS (SELECT p.source_a, p.source_b, turn, p.y, row_number() OVER (PARTITION BY p.source_a, p.source_b, turn ORDER BY place, p.n) - 1 AS n FROM al p JOIN sz USING (source_a, source_b) JOIN bl ON bl.c = sz.c AND bl.blk = p.n // 3),
+      rs AS (SELECT source_a, source_b, turn, {CORR.format('p.x', 'mv.y')} AS r FROM mv JOIN al p USING (source_a, source_b, n) GROUP BY 1, 2, 3)
+    SELECT source_a, source_b, {r('o', 'observed')}, {r('CASE WHEN o IS NOT NULL AND c >= 4 THEN (1 + count(*) FILTER (WHERE r <= o + 1e-9))/20.0 END', 'p_value')}, CASE WHEN o IS NOT NULL AND c >= 4 THEN 19 ELSE 0 END AS permutations
+    FROM sz LEFT JOIN rs USING (source_a, source_b) GROUP BY source_a, source_b, o, c""",
+)
 GROWTH_SQL = f"{GRID_SQL}, gw AS (SELECT source_id, a - min(a) OVER (PARTITION BY source_id ORDER BY n) AS g, max(a) OVER (PARTITION BY source_id) AS top FROM gd), gf AS (SELECT source_id, max(g)/max(top) AS f FROM gw GROUP BY 1)"
 query("delayed_growth", lambda s, d: energy.delayed_growth(grid(s, d), 0.5), f"WITH {GROWTH_SQL} SELECT source_id, {r('f', 'growth_fraction')}, coalesce(f >= 0.5, false) AS supported FROM gf")
 RECOVERY_SQL = f"""{GRID_SQL}, rs AS (SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY n) - 1 AS i, n, a, count(*) OVER (PARTITION BY source_id) AS c FROM gd), lo AS (SELECT source_id, a AS low, n AS m FROM rs WHERE n < floor(c*2/3) QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY a, n) = 1),
@@ -226,10 +248,23 @@ query("pair_energy", lambda s, d: energy.pair_energy(aligned(s, d)), f"WITH {PAI
 DOM_SQL = f"""{ALIGN_SQL}, dl AS (SELECT source_a, source_b, n, last_value(CASE WHEN x >= 1.05*y THEN 'a' WHEN y >= 1.05*x THEN 'b' END IGNORE NULLS) OVER (PARTITION BY source_a, source_b ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ld FROM al),
 dn AS (SELECT *, lag(ld) OVER (PARTITION BY source_a, source_b ORDER BY n) AS bf FROM dl), dz AS (SELECT source_a, source_b, count(*) FILTER (WHERE ld <> bf) sw, count(*) FILTER (WHERE ld = 'a') pa, count(*) FILTER (WHERE ld = 'b') pb FROM dn GROUP BY 1, 2)"""
 query("dominance", lambda s, d: energy.dominance(aligned(s, d)), f"WITH {DOM_SQL} SELECT source_a, source_b, sw AS switches, pa AS a_points, pb AS b_points, sw >= 2 AS alternating FROM dz")
-PERIOD_SQL = f"{GRID_SQL}, mx AS (SELECT source_id, t_s FROM (SELECT *, lag(a) OVER w AS l, lead(a) OVER w AS h FROM gd WINDOW w AS (PARTITION BY source_id ORDER BY n)) WHERE a > l AND a > h), mg AS (SELECT source_id, t_s - lag(t_s) OVER (PARTITION BY source_id ORDER BY t_s) AS g FROM mx), mp AS (SELECT source_id, median(g) AS period, count(*) AS c FROM mg GROUP BY 1)"
+PERIOD_SQL = f"{GRID_SQL}, mx AS (SELECT source_id, t_s FROM (SELECT *, lag(a) OVER w AS l, lead(a) OVER w AS h FROM gd WINDOW w AS (PARTITION BY source_id ORDER BY n)) WHERE a >= l AND a > h), mg AS (SELECT source_id, t_s - lag(t_s) OVER (PARTITION BY source_id ORDER BY t_s) AS g FROM mx), mp AS (SELECT source_id, median(g) AS period, count(*) AS c FROM mg GROUP BY 1)"
 query("modulation_period", lambda s, d: energy.modulation_period(grid(s, d)), f"WITH {PERIOD_SQL} SELECT source_id, {r('period', 'period_s')}, c AS maxima FROM mp")
 
 
+
+def levels(s, d):
+    """The series in steps of a tenth of their peak: with plateaus."""
+    return grid(s, d).withColumn("a", F.round("a", 1))
+
+
+query(
+    "modulation_period_plateaus",
+    lambda s, d: energy.modulation_period(levels(s, d)),
+    f"WITH {PERIOD_SQL.replace('FROM gd WINDOW', 'FROM (SELECT * REPLACE (round(a, 1) AS a) FROM gd) WINDOW')} SELECT source_id, {r('period', 'period_s')}, c AS maxima FROM mp",
+)
+
+
 def beats(s, d):
     period = energy.modulation_period(grid(s, d)).select(F.col("source_id").alias("source_a"), (F.col("period_s") / 86400).alias("period_s"))
     return energy.beating(pairs(s, d).select("*", (F.col("source_a") * 0.5).cast("double").alias("fa"), (F.col("source_b") * 0.63).cast("double").alias("fb")).join(period, "source_a"), tolerance=0.9)

@@ -309,3 +309,8 @@ query(
     lambda s, d: stft.smooth(series_metric(s, d), 2),
     f"WITH {SER_SQL} SELECT recording_id, 'value' AS metric, n, {r('t_s', 't_s')}, {r('avg(x) OVER (PARTITION BY recording_id ORDER BY n ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)', 'value')} FROM ser",
 )
+query(
+    "smooth_median",
+    lambda s, d: stft.smooth(series_metric(s, d), 2, "median", chunk=16),
+    f"WITH {SER_SQL} SELECT recording_id, 'value' AS metric, n, {r('t_s', 't_s')}, {r('median(x) OVER (PARTITION BY recording_id ORDER BY n ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)', 'value')} FROM ser",
+)
