@@ -92,8 +92,7 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIM
     )
 
     # leaves that two documents reach (counted by line, so none is missed)
-    by_line = spots.groupBy("leaf", "line_key", _ID, _KEY).agg(F.first("words").alias("words"), F.first("head").alias("head"))
-    by_line = by_line.groupBy("leaf", "line_key", "words", "head").agg(F.count("*").alias("docs"))
+    by_line = spots.select("leaf", "line_key", "words", "head", _ID, _KEY).distinct().groupBy("leaf", "line_key", "words", "head").agg(F.count("*").alias("docs"))
     leaves = by_line.groupBy("leaf", "words", "head").agg(F.sum("docs").alias("reached"), F.count("*").alias("variants")).filter("reached >= 2")
     leaves = materialise(leaves.select("leaf", "words", "head", "variants"), "line-leaves")
 
@@ -106,13 +105,16 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIM
         .agg(F.count("*").alias("docs"), F.first("leaf").alias("leaf"), F.first("variants").alias("variants"))
     )
     lines = materialise(lines, "line-variants")
-    alone = lines.filter("variants = 1 AND docs >= 2").select("leaf", "line_key", F.xxhash64("leaf", "line").alias("template"))
+    # all words of a line that two documents have are fixed, so it is its own template
+    alone = lines.filter("docs >= 2").select("leaf", "line_key", F.xxhash64("leaf", "line").alias("template"))
 
-    words = lines.filter(F.col("variants") > 1).select("leaf", "line_key", "docs", F.posexplode(F.split("line", " ")).alias("at", "word"))
-    fixed = words.groupBy("leaf", "at", "word").agg(F.sum("docs").alias("n")).filter("n >= 2")
+    place = F.posexplode(F.split("line", " ")).alias("at", "word")
+    fixed = lines.filter("variants > 1").select("leaf", "docs", place).groupBy("leaf", "at", "word").agg(F.sum("docs").alias("n")).filter("n >= 2")
     usual = fixed.groupBy("leaf", "at").agg(F.min_by("word", F.struct(-F.col("n"), F.col("word"))).alias("usual"))
     several = (
-        words.join(fixed.select("leaf", "at", "word", F.lit(1).alias("is_fixed")), ["leaf", "at", "word"], "left")
+        lines.filter("variants > 1 AND docs = 1")
+        .select("leaf", "line_key", place)
+        .join(fixed.select("leaf", "at", "word", F.lit(1).alias("is_fixed")), ["leaf", "at", "word"], "left")
         .join(usual, ["leaf", "at"], "left")
         .withColumn("part", F.when(F.col("is_fixed") == 1, F.col("word")).otherwise(F.coalesce("usual", F.lit("<*>"))))
         .groupBy("leaf", "line_key")
@@ -156,7 +158,8 @@ def _deduped(docs: DataFrame, settings: dict) -> DataFrame:
     """row, before, text, n_lines, n_dropped: every row of ``docs`` whole, its text and what stays of it."""
     dropped = recurring_lines(docs, **settings).groupBy(_ID, _KEY).agg(F.array_sort(F.collect_set("pos")).alias("drop"))
     packed = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), F.col("text").alias("before"), *_identity(docs)).join(dropped, [_ID, _KEY], "left")
-    packed = packed.withColumn("lines", F.split("before", "\n"))
+    # only texts that lose a line are taken apart
+    packed = packed.withColumn("lines", F.when(F.col("drop").isNotNull(), F.split("before", "\n")))
     # the runs between dropped lines, put together again: linear in the length of a text
     kept = F.expr(
         "array_join(flatten(transform(sequence(0, size(drop)), j -> slice(lines, if(j = 0, 0, drop[j - 1] + 1) + 1, "
@@ -165,7 +168,7 @@ def _deduped(docs: DataFrame, settings: dict) -> DataFrame:
     return packed.select(
         "row",
         F.when(F.col("drop").isNull(), F.col("before")).otherwise(kept).alias("text"),
-        F.when(F.col("before").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
+        F.coalesce(F.length("before") - F.length(F.replace("before", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
