@@ -7,14 +7,12 @@ by condition (pair); everything else is relational.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import frequency_change, ratio, short_id
 from .assignment import assign_nodes, matched, scope_of
-from .kernels import assign
+from .within import Limits, associate, members
 
 KEY = ["recording_id", "candidate_id"]
 
@@ -94,50 +92,23 @@ def gate_groups(refs: DataFrame, gate: float) -> DataFrame:
     Buckets of the gate's width are chained, not rows, so the ordered windows have at most a row
     for each width of the scale.  References without frequency are the last group.
     """
+    key = [*scope_of(refs), "label_idx"]
     r = refs.withColumn("bucket", F.floor(F.nanvl("frequency_hz", F.lit(None).cast("double")) / gate).cast("long"))
-    spans = r.groupBy("label_idx", "bucket").agg(F.min("frequency_hz").alias("low"), F.max("frequency_hz").alias("high"), F.count("*").alias("c"))
-    w = Window.partitionBy("label_idx").orderBy(F.asc_nulls_last("bucket"))
+    spans = r.groupBy(*key, "bucket").agg(F.min("frequency_hz").alias("low"), F.max("frequency_hz").alias("high"), F.count("*").alias("c"))
+    w = Window.partitionBy(*key).orderBy(F.asc_nulls_last("bucket"))
     apart = F.lag("high").over(w).isNull() | F.col("bucket").isNull() | (F.col("low") - F.lag("high").over(w) > gate + 1e-12)
     before = F.coalesce(F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    spans = spans.withColumn("at", F.when(apart, before)).select("label_idx", "bucket", F.max("at").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("grp"))
-    same = (F.col("r.label_idx") == F.col("g.label_idx")) & F.col("r.bucket").eqNullSafe(F.col("g.bucket"))
+    spans = spans.withColumn("at", F.when(apart, before)).select(*key, "bucket", F.max("at").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("grp"))
+    same = F.col("r.bucket").eqNullSafe(F.col("g.bucket"))
+    for c in key:
+        same = same & (F.col(f"r.{c}") == F.col(f"g.{c}"))
     return r.alias("r").join(spans.alias("g"), same).select(*(f"r.{c}" for c in refs.columns), "grp")
 
 
-def cluster_condition(refs: DataFrame, gate: float = 2.0, repeats: int = 2) -> DataFrame:
-    """Repeats of one condition clustered recording by recording: one-to-one to medoids, every member within the gate.
-
-    Clusters never reach over a gap wider than the gate, so the gate-connected groups of each
-    condition are clustered apart from each other.  Ids are unique within a condition and rise
-    with the group and the order of begin; they have gaps.  A reference without frequency stands alone.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        clusters: list[list[tuple[str, int, float]]] = []
-        for name, part in sorted(pdf.groupby("recording_id")):
-            new = sorted((name, int(c), float(f)) for c, f in zip(part.candidate_id, part.frequency_hz, strict=True))
-            far = len(new) + len(clusters) + 1.0  # more than any assignment of admissible costs
-            costs = np.full((len(new), max(len(clusters), 1)), far)
-            for j, members in enumerate(clusters):
-                middle = float(np.median([m[2] for m in members]))
-                medoid = min(members, key=lambda m: (abs(m[2] - middle), m[0], m[1]))[2]
-                reach = np.array([m[2] for m in members])
-                for i, c in enumerate(new):
-                    if (np.abs(reach - c[2]) <= gate).all():
-                        costs[i, j] = abs(medoid - c[2]) / gate
-            taken = {i: j for i, j in assign(costs) if costs[i, j] < far} if (costs < far).any() else {}
-            for i, c in enumerate(new):
-                if i in taken:
-                    clusters[taken[i]].append(c)
-                else:
-                    clusters.append([c])
-        first = int(pdf.grp.iloc[0])
-        rows = [(int(pdf.label_idx.iloc[0]), first + k, *m) for k, members in enumerate(clusters) for m in members]
-        return pd.DataFrame(rows, columns=["label_idx", "cluster_id", "recording_id", "candidate_id", "frequency_hz"])
-
-    # Without it the groups would stay as the windows dealt them, a condition in a task.
-    grouped = gate_groups(refs.select("label_idx", *KEY, "frequency_hz"), gate).repartition("label_idx", "grp")
-    return grouped.groupBy("label_idx", "grp").applyInPandas(run, "label_idx int, cluster_id long, recording_id string, candidate_id long, frequency_hz double")
+def cluster_condition(refs: DataFrame, gate: float = 2.0) -> DataFrame:
+    """Clusters of ``within.associate`` by an absolute gate and the cost of frequency alone."""
+    limits = Limits({"absolute_frequency_gate": gate + 1e-12}, maximum_cost=float("inf"))
+    return members(associate(refs.select(*scope_of(refs), "label_idx", *KEY, "frequency_hz"), limits)).drop("ambiguous")
 
 
 def cluster_summary(members: DataFrame, totals: DataFrame, repeats: int = 2) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import assignment, association, diagnosis, spectrum, tracking
+from ..operators import assignment, association, diagnosis, spectrum, tracking, within
 from ..operators.stft import frame_peaks
 from ..sources.adapters import REF_SQL, SER_SQL, candidate_refs, series
 from .registry import query
@@ -294,3 +294,41 @@ query(
     lambda s, d: assignment.pair_certificate(p := costs(s, d).filter("cost <= 1"), assignment.assign_nodes(p)),
     f"WITH {COSTS_SQL} SELECT pair, lower_recording_id, lower_candidate_id, higher_recording_id, higher_candidate_id, {r('cost', 'cost')}, TRUE AS not_below_prices, TRUE AS tight_if_matched FROM pr WHERE cost <= 1",
 )
+
+
+# ---- repeats of a condition, by five costs ------------------------------------------
+
+WITHIN = within.Limits(
+    {"absolute_frequency_gate": 0.05, "log_frequency_gate": 0.00007},
+    {"frequency": 1.0, "frequency_stability": 2.0, "tau": 0.25, "amplitude_fit_quality": 1.5, "impact_evidence": 0.4},
+    maximum_cost=1.6, ambiguity_margin=0.05, minimum_coverage=0.1, maximum_dispersion=0.00002,
+)
+
+
+def repeated(s, d):
+    """All accepted references, each in its type's experiment."""
+    part = s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("candidate_id"), F.col("p_type").alias("experiment_id"))
+    return repeats(s, d).join(part, "candidate_id")
+
+
+def within_totals(refs):
+    return refs.groupBy("experiment_id", "label_idx").agg(F.count_distinct("recording_id").alias("recordings"))
+
+
+query("within_pairs", lambda s, d: within.compared_pairs(within.associate(repeated(s, d), WITHIN)))
+query("within_clusters", lambda s, d: within.cluster_criteria(within.members(within.associate(repeated(s, d), WITHIN)), within_totals(repeated(s, d)), WITHIN))
+
+
+def left_alone(s, d):
+    found = within.associate(repeated(s, d), WITHIN)
+    return within.alone(within.members(found), within.compared_pairs(found))
+
+
+query("within_unmatched", left_alone)
+# SQL can't cluster, but knows every reference that must lie in one cluster, alone of its recording there and within the gates
+query(
+    "within_invariants",
+    lambda s, d: within.invariants(within.members(within.associate(repeated(s, d), WITHIN)), WITHIN),
+    f"""WITH {REF_SQL} SELECT p_type AS experiment_id, label_idx, recording_id, candidate_id, {r('frequency_hz', 'frequency_hz')}, 1::BIGINT AS clusters, TRUE AS only_one, TRUE AS within_gates
+    FROM ref JOIN part ON p_partkey = candidate_id WHERE accepted""",
+)

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from carillon.operators import assignment, association, diagnosis, energy, kernels, modal, stft
+from carillon.operators import assignment, association, diagnosis, energy, kernels, modal, stft, within
 
 
 def best(pairs):
@@ -107,3 +107,70 @@ def test_plateaus_count_at_their_end_and_permutations_count_themselves(spark):
     got = {r.source_b: r for r in energy.block_permutation_test(spark.createDataFrame(pair, "source_a long, source_b long, n long, x double, y double"), 4, 99).collect()}
     assert got[2].observed == pytest.approx(-1) and got[2].p_value == pytest.approx(0.01)
     assert got[3].observed is None and got[3].p_value is None and got[4].p_value is None
+
+
+def plain_clusters(refs, limits):
+    """Recording by recording, every member and medoid compared in loops, dense assignment.  refs: (recording, candidate, f, stability, tau, r2, impact)."""
+    w = limits.weights
+
+    def compare(a, b):
+        d = abs(a[2] - b[2])
+        gaps = {"absolute_frequency_gate": d, "relative_frequency_gate": d / (0.5 * (a[2] + b[2])), "log_frequency_gate": abs(np.log2(a[2] / b[2]))}
+        first = next(g for g in within.GATES if g in limits.gates)
+        total = w.get("frequency", 0) * gaps[first] / limits.gates[first]
+        for k, name, f in ((3, "frequency_stability", lambda x, y: abs(x - y)), (4, "tau", lambda x, y: abs(np.log2(x / y))), (5, "amplitude_fit_quality", lambda x, y: abs(x - y)), (6, "impact_evidence", lambda x, y: float(x != y))):
+            if a[k] is not None and b[k] is not None:
+                total += w.get(name, 0) * f(a[k], b[k])
+        lacks = w.get("tau", 0) > 0 and None in (a[4], b[4]) and not limits.allow_missing_tau
+        return total, all(gaps[g] <= limits.gates[g] for g in limits.gates) and not lacks and total <= limits.maximum_cost
+
+    clusters, vague = [], []
+    for name in sorted({r[0] for r in refs}):
+        new = sorted(r for r in refs if r[0] == name)
+        costs = np.full((len(clusters), len(new)), np.inf)
+        for i, c in enumerate(clusters):
+            middle = float(np.median([m[2] for m in c]))
+            medoid = min(c, key=lambda m: (abs(m[2] - middle), m[:2]))
+            for j, r in enumerate(new):
+                total, fine = compare(medoid, r)
+                if fine and all(compare(m, r)[1] for m in c):
+                    costs[i, j] = total
+        chosen = {(i, j) for i, j in kernels.assign(np.where(np.isfinite(costs), costs, 1e6)) if np.isfinite(costs[i, j])} if costs.size else set()
+        for i, j in chosen:
+            others = [x for x in [*np.delete(costs[i], j), *np.delete(costs[:, j], i)] if np.isfinite(x)]
+            vague[i] |= bool(others) and min(others) - costs[i, j] <= limits.ambiguity_margin
+            clusters[i].append(new[j])
+        for j, r in enumerate(new):
+            if j not in {b for _, b in chosen}:
+                clusters.append([r])
+                vague.append(False)
+    return {(frozenset(r[:2] for r in c), v) for c, v in zip(clusters, vague, strict=True)}
+
+
+@pytest.mark.parametrize(
+    "limits",
+    [
+        within.Limits({"absolute_frequency_gate": 3.0}, maximum_cost=0.9),
+        within.Limits({"relative_frequency_gate": 0.02, "log_frequency_gate": 0.03}, {"frequency": 1.0, "frequency_stability": 0.3, "tau": 0.2, "amplitude_fit_quality": 0.3, "impact_evidence": 0.2}, 1.4, allow_missing_tau=False),
+        within.Limits({"absolute_frequency_gate": 4.0, "log_frequency_gate": 0.02}, {"frequency": 0.5, "tau": 0.4, "impact_evidence": 0.3}, 1.0),
+    ],
+)
+def test_clusters_by_five_costs_equal_loops(spark, limits):
+    rng = random.Random(9)
+    some = lambda x: x if rng.random() < 0.8 else None
+    refs = [(e, label, f"r{k:02}", c, 100 + 120 * rng.random(), some(rng.random()), some(0.5 + rng.random()), some(rng.random()), some(rng.random() < 0.5)) for e in "ab" for label in (0, 2) for k in range(9) for c in range(7)]
+    df = spark.createDataFrame(refs + [("a", 0, "r00", 99, None, None, None, None, None)], "experiment_id string, label_idx int, recording_id string, candidate_id long, frequency_hz double, stability double, tau_s double, r_squared double, impact_excited boolean")
+    found = within.associate(df.repartition(5), limits).cache()
+    got = {}
+    for r in within.members(found).collect():
+        got.setdefault((r.experiment_id, r.label_idx, r.cluster_id), []).append(r)
+    for e in "ab":
+        for label in (0, 2):
+            have = {(frozenset((m.recording_id, m.candidate_id) for m in c), c[0].ambiguous) for k, c in got.items() if k[:2] == (e, label)}
+            assert have - {(frozenset({("r00", 99)}), False)} == plain_clusters([r[2:] for r in refs if r[:2] == (e, label)], limits)
+    assert any(len(c) > 2 for c in got.values()) and {r.reason for r in within.compared_pairs(found).collect()} >= {None, "cluster_internal_inconsistency"}
+    totals = df.groupBy("experiment_id", "label_idx").agg({"recording_id": "approx_count_distinct"}).withColumnRenamed("approx_count_distinct(recording_id)", "recordings")
+    tables = within.cluster_criteria(within.members(found), totals, limits).collect()
+    assert len(tables) == sum(len(c) > 1 for c in got.values()) and all(r.reproducible == (r.failed == "") for r in tables)
+    assert within.alone(within.members(found), within.compared_pairs(found)).count() == sum(len(c) == 1 for c in got.values())
+    assert within.associate(df.limit(0), limits).count() == 0
