@@ -44,7 +44,7 @@ from .near_dup import _NO_ID, _confirm, _mix, shingle_sets, text_key
 from .tokens import text_groups
 
 #: Coordinates of a point; points of a block and of a leaf at most.
-GROUPS, BLOCK, LEAF = 512, 256, 16
+GROUPS, BLOCK, LEAF = 256, 256, 16
 #: Share of documents from which a shingle is common, fewest of a batch, and how many common ones are known at most (8 bytes each).
 COMMON, FEWEST, MOST_COMMON = 0.001, 8, 1 << 18
 #: Coordinates that pack points into blocks.
@@ -327,7 +327,7 @@ def _cell(percent: int) -> Column:
         # the lowest byte of the coordinate is enough to spread points
         byte = F.conv(F.hex(F.substring("point", (g * width + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
         above = above * 2 + (byte * GROUPS > F.col("n")).cast("int")
-    return slot * (1 << _LEADING) + above
+    return (slot * (1 << _LEADING) + above).cast("long")
 
 
 def _surviving(placed: DataFrame, nodes: DataFrame, percent: int, forest: bool) -> DataFrame:
@@ -336,17 +336,20 @@ def _surviving(placed: DataFrame, nodes: DataFrame, percent: int, forest: bool)
     apart = owns.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
     owns = materialise(owns.join(apart, "key").withColumn("part", F.when(F.col("rows") >= BLOCK, F.col("component"))), "join-owns")
     groups = owns.groupBy("key", "part").agg(F.sum("rows").alias("rows"))
-    cell = F.when(F.col("total") > BLOCK, _cell(percent)).otherwise(0).alias("cell")
     spots = (
         placed.join(owns.select("key", "component", "part"), ["key", "component"])
         .join(groups.select(F.col("key").alias("k"), F.col("part").alias("p"), F.col("rows").alias("total")), (F.col("key") == F.col("k")) & F.col("part").eqNullSafe(F.col("p")))
-        .join(nodes, "node")
-        .select("key", "part", "node", "component", "n", "point", cell)
+        .select("key", "part", "node", "component", "total")
     )
     spots = materialise(spots, "join-spots")
-    cells = spots.groupBy("key", "part", "cell").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).toDF("k", "p", "c", "blocks")
+    # what fits a block is one; the rest is packed by size and leading coordinates, and what is alike in them is salted
+    large = spots.filter(F.col("total") > BLOCK).join(nodes, "node").select("key", "part", "node", "component", _cell(percent).alias("cell"))
+    cells = large.groupBy("key", "part", "cell").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).toDF("k", "p", "c", "blocks")
     same = (F.col("key") == F.col("k")) & F.col("part").eqNullSafe(F.col("p")) & (F.col("cell") == F.col("c"))
-    filled = spots.join(cells, same).groupBy("key", "part", "cell", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("salt")).agg(F.array_sort(F.collect_list(F.struct("n", "point", "node", "component"))).alias("members"))
+    large = large.join(cells, same).select("key", "part", "node", "component", "cell", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("salt"))
+    zero = F.lit(0).cast("long")
+    small = spots.filter(F.col("total") <= BLOCK).select("key", "part", "node", "component", zero.alias("cell"), zero.alias("salt"))
+    filled = small.unionByName(large).join(nodes, "node").groupBy("key", "part", "cell", "salt").agg(F.array_sort(F.collect_list(F.struct("n", "point", "node", "component"))).alias("members"))
     blocks = filled.select("key", "part", "members").mapInArrow(trimmed(_pack_blocks), _BLOCK).withColumn("block", F.monotonically_increasing_id())
     blocks = materialise(blocks, "join-blocks")  # written at once, so the number stays
 
@@ -371,8 +374,8 @@ def _verified(pairs: DataFrame, held: DataFrame, width: int, percent: int) -> Da
     return with_texts.mapInArrow(trimmed(_confirm(width, percent)), "a long, b long")
 
 
-def _placed(members: DataFrame, links: DataFrame) -> DataFrame:
-    joined = components(links, "join-components").withColumnRenamed("component", "c")
+def _placed(members: DataFrame, joined: DataFrame) -> DataFrame:
+    """key, node, component; joined: node, c for the nodes that are in a component with others."""
     return materialise(members.join(joined, "node", "left").select("key", "node", F.coalesce("c", "node").alias("component")), "join-placed")
 
 
@@ -410,14 +413,20 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     links = materialise(_verified(asked, held, width, percent), "join-links")
     held_in = members.select("key", "node")
     for forest in (True, False):
-        left = materialise(_surviving(_placed(held_in, links), nodes, percent, forest), "join-left")
+        if forest:
+            # each node has one link to a smaller node: two steps along them tell most of what is joined
+            step = links.select(F.col("b").alias("node"), F.col("a").alias("c"))
+            joined = step.join(step.toDF("c", "further"), "c", "left").select("node", F.coalesce("further", "c").alias("c"))
+        else:
+            joined = components(links, "join-components", look=True).withColumnRenamed("component", "c")
+        left = materialise(_surviving(_placed(held_in, joined), nodes, percent, forest), "join-left")
         survivors = materialise(left.select("a", "b").distinct().join(asked, ["a", "b"], "left_anti"), "join-survivors")
         links = materialise(links.unionByName(_verified(survivors, held, width, percent)), "join-links")
         asked = asked.unionByName(survivors)
         # components only grow, so a bucket that has left nothing will leave nothing
         held_in = held_in.join(left.select("key").distinct(), "key", "left_semi")
 
-    named = classes.join(components(links, "join-final"), "node", "left").select("s1", "s2", "least_row", F.coalesce("component", "node").alias("component"))
+    named = classes.join(components(links, "join-final", look=True), "node", "left").select("s1", "s2", "least_row", F.coalesce("component", "node").alias("component"))
     named = materialise(named, "join-named")
     least = named.groupBy("component").agg(F.min("least_row.id").alias("component_id"))
     found = sets.select("id", "n", "s1", "s2").join(named.join(least, "component").select("s1", "s2", "component_id"), ["s1", "s2"], "left")
