@@ -8,14 +8,16 @@ up what is there; without a folder they are held by Spark until ``release``.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+import time
+import uuid
+from collections.abc import Callable, Iterable
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import VERSION
-from ..operators import association, comparison, modal, regimes, spectrum, stft, temporal, tracking
+from ..operators import association, comparison, diagnosis, modal, regimes, spectrum, stft, temporal, tracking, within
 from ..operators.export import fingerprint
 
 #: Stages in order, each with those it needs.
@@ -31,10 +33,11 @@ STAGES = {
     "time_resolved": ("stft",),
     "tracking": ("frame_peaks",),
     "track_features": ("tracking",),
-    "candidates": ("track_features",),
+    "preimpact": ("tracking", "temporal"),
+    "candidates": ("track_features", "preimpact"),
     "within_condition": ("candidates",),
     "cross_condition": ("candidates",),
-    "chains": ("cross_condition",),
+    "chains": ("candidates", "cross_condition"),
     "hypotheses": ("chains",),
     "parameters": ("hypotheses",),
     "quality_factors": ("parameters",),
@@ -61,6 +64,13 @@ class Settings:
     maximum_cost: float = 1.0
     ambiguity: float = 0.1
     labels: int = 5
+    #: Seconds before and after an impact in which a track's level is taken.
+    pre_window: tuple[float, float] = (-1.0, 0.0)
+    post_window: tuple[float, float] = (0.0, 0.3)
+    rise_db: float = 6.0
+    #: Weights of the ten costs of a pair of neighbouring conditions, and of the five inside a condition.
+    pair_weights: dict[str, float] = field(default_factory=lambda: {"frequency": 1.0, "tau": 0.25, "frequency_stability": 0.25, "impact_evidence": 0.1})
+    within_weights: dict[str, float] = field(default_factory=lambda: {"frequency": 1.0, "impact_evidence": 0.1})
 
     def fingerprint(self) -> str:
         return fingerprint(self)
@@ -74,6 +84,8 @@ class Analysis:
     settings: Settings
     folder: str | None = None
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    #: Rows by stage, as counted while its table was written.
+    counts: dict[str, int] = field(default_factory=dict)
     _identity: dict[str, str] | None = None
 
     @property
@@ -106,9 +118,13 @@ class Analysis:
     def _kept(self, stage: str, made: DataFrame) -> DataFrame:
         path = f"{self.folder}/{fingerprint(self.identity())[:16]}/{stage}"
         if stage_problems(self.spark, path, self.identity()):
-            made.write.mode("overwrite").parquet(path)
-            note = self.spark.createDataFrame([(json.dumps(self.identity(), sort_keys=True),)], "value string")
+            seen = Observation(f"{stage}-{uuid.uuid4().hex}")
+            made.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
+            self.counts[stage] = int(seen.get.get("rows", 0))
+            note = self.spark.createDataFrame([(json.dumps(self.identity() | {"rows": self.counts[stage]}, sort_keys=True),)], "value string")
             note.coalesce(1).write.mode("overwrite").text(f"{path}.identity")
+        else:
+            self.counts[stage] = json.loads(self.spark.read.text(f"{path}.identity").first()[0]).get("rows", 0)
         return self.spark.read.schema(made.schema).parquet(path)
 
     def release(self) -> None:
@@ -117,13 +133,53 @@ class Analysis:
             self.tables[stage].unpersist()
         self.tables.clear()
 
+    def count(self, stage: str) -> int:
+        """Rows of a stage; one that has been written is not read again."""
+        table = self.table(stage)
+        if stage not in self.counts:
+            seen = Observation(f"{stage}-{uuid.uuid4().hex}")
+            table.observe(seen, F.count(F.lit(1)).alias("rows")).write.format("noop").mode("overwrite").save()
+            self.counts[stage] = int(seen.get.get("rows", 0))
+        return self.counts[stage]
+
     def summary(self) -> DataFrame:
         """Row counts of the stages that end in a result."""
-        out = None
-        for stage in ("load", "peaks", "candidates", "chains", "hypotheses", "parameters", "quality_factors"):
-            one = self.table(stage).agg(F.count("*").alias("row_count")).select(F.lit(stage).alias("stage"), "row_count")
-            out = one if out is None else out.unionByName(one)
-        return out
+        rows = [(s, self.count(s)) for s in ("load", "peaks", "candidates", "chains", "hypotheses", "parameters", "quality_factors")]
+        return self.spark.createDataFrame(rows, "stage string, row_count long")
+
+    def run(self, stages: Iterable[str] | None = None) -> DataFrame:
+        """Build the stages (all, or those named with what they need) in order, and tell how each ended.
+
+        status: success, insufficient_data (no rows), failed (with the error) or skipped (something it needs has failed).
+        One stage that fails takes none with it but those that need it.
+        """
+        wanted = set(STAGES) if stages is None else set()
+        todo = [] if stages is None else list(stages)
+        while todo:
+            s = todo.pop()
+            if s not in STAGES:
+                raise KeyError(f"no such stage: {s}")
+            if s not in wanted:
+                wanted.add(s)
+                todo += STAGES[s]
+        ends: dict[str, str] = {}
+        rows = []
+        for i, (s, need) in enumerate(STAGES.items()):
+            if s not in wanted:
+                continue
+            lost = [n for n in need if ends[n] in ("failed", "skipped")]
+            n, why, began = None, None, time.time()
+            if lost:
+                ends[s], why = "skipped", f"needs {','.join(lost)}"
+            else:
+                try:
+                    n = self.count(s)
+                    ends[s] = "success" if n else "insufficient_data"
+                except Exception as e:  # the error is the stage's result
+                    ends[s], why = "failed", str(e).splitlines()[0][:300]
+                    self.tables.pop(s, None)
+            rows.append((i, s, ",".join(need), ends[s], n, why, round(time.time() - began, 3)))
+        return self.spark.createDataFrame(rows, "position int, stage string, dependency_stages string, status string, row_count long, error string, seconds double")
 
     def stages(self) -> DataFrame:
         """Every stage with what it needs and whether it has been built."""
@@ -160,8 +216,17 @@ def _features(a: Analysis) -> DataFrame:
     points = a.table("tracking")
     keys = tracking.BY
     f = tracking.frequency_fit(points).select(*keys, F.col("rmse_hz").alias("fit_rmse_hz"))
+    sure = points.groupBy(*keys).agg(
+        F.avg(F.col("ambiguous").cast("double")).alias("ambiguous_fraction"), F.avg(F.col("near_threshold").cast("double")).alias("near_threshold_fraction"), F.min("margin").alias("assignment_margin")
+    )
     d = tracking.amplitude_fit(points).select(*keys, "tau_s", F.col("r_squared").alias("amplitude_r_squared"))
-    return tracking.track_features(points).join(f, keys).join(d, keys)
+    return tracking.track_features(points).join(f, keys).join(d, keys).join(sure, keys)
+
+
+def _preimpact(a: Analysis) -> DataFrame:
+    """Each track's level before and after its recording's impact, and whether that excited it."""
+    hits = a.table("temporal").select("recording_id", (F.col("impact_n") / a.settings.rate).alias("hit_s"))
+    return tracking.preimpact(a.table("tracking"), hits, a.settings.pre_window, a.settings.post_window, a.settings.rise_db)
 
 
 def _candidates(a: Analysis) -> DataFrame:
@@ -169,10 +234,12 @@ def _candidates(a: Analysis) -> DataFrame:
     chosen = tracking.select_candidates(tracking.candidate_criteria(feats, {"minimum_observation_count": ("observation_count", ">=", float(a.settings.minimum_observations))}))
     return (
         chosen.join(feats, tracking.BY)
+        .join(a.table("preimpact").select(*tracking.BY, "classification", "impact_excited"), tracking.BY, "left")
         .join(a.recordings.select("recording_id", "label_idx"), "recording_id")
         .select(
             "label_idx", F.col("recording_id").cast("string").alias("recording_id"), F.xxhash64("recording_id", "candidate_id").alias("candidate_id"), "track_id", F.col("frequency_median").alias("frequency_hz"), "accepted", "tau_s",
-            F.col("relative_stability").alias("stability"), F.col("amplitude_r_squared").alias("r_squared"), "coverage", F.lit(None).cast("boolean").alias("impact_excited"),
+            F.col("relative_stability").alias("stability"), F.col("amplitude_r_squared").alias("r_squared"), "coverage", "impact_excited", "classification",
+            "drift_hz", F.col("fit_rmse_hz").alias("rmse_hz"), "ambiguous_fraction", "near_threshold_fraction", "assignment_margin",
         )
     )
 
@@ -181,6 +248,19 @@ def _accepted(a: Analysis) -> DataFrame:
     return a.table("candidates").filter("accepted")
 
 
+def _within(a: Analysis) -> DataFrame:
+    """Clusters of each condition's repeats."""
+    limits = within.Limits({"absolute_frequency_gate": a.settings.gate_hz}, a.settings.within_weights, a.settings.maximum_cost, a.settings.ambiguity)
+    return within.members(within.associate(_accepted(a), limits))
+
+
+def _across(a: Analysis) -> DataFrame:
+    """One-to-one matches of neighbouring conditions by all ten costs."""
+    limits = {"absolute_frequency_gate": a.settings.gate_hz, "cost_above_threshold": a.settings.maximum_cost}
+    pairs = diagnosis.diagnosed_pairs(_accepted(a), limits, a.settings.pair_weights, a.settings.gate_hz)
+    return diagnosis.assign_diagnosed(pairs, a.settings.maximum_cost, a.settings.ambiguity)
+
+
 def _nodes(a: Analysis) -> DataFrame:
     extra = _accepted(a).select("candidate_id", "tau_s", "coverage", "impact_excited")
     return association.chains(_accepted(a), a.table("cross_condition"), a.settings.labels).join(extra, "candidate_id")
@@ -241,7 +321,9 @@ def _condition_values(a: Analysis) -> DataFrame:
 
 def _parameters(a: Analysis) -> DataFrame:
     nodes = a.table("chains")
-    return modal.parameter_status(a.table("hypotheses"), modal.locations(nodes), modal.decay(nodes)).join(modal.uncertainties(nodes).select("chain_id", F.col("conservative_hz").alias("frequency_u")), "chain_id", "left")
+    # of a geometric mean the deviation of the logarithm is the relative one
+    spread = modal.decay(nodes).select("chain_id", (F.col("tau_s") * F.ln(F.col("upper_s") / F.col("tau_s"))).alias("tau_u"))
+    return modal.parameter_status(a.table("hypotheses"), modal.locations(nodes), modal.decay(nodes)).join(modal.uncertainties(nodes).select("chain_id", F.col("conservative_hz").alias("frequency_u")), "chain_id", "left").join(spread, "chain_id", "left")
 
 
 _BUILD: dict[str, Callable[[Analysis], DataFrame]] = {
@@ -256,13 +338,14 @@ _BUILD: dict[str, Callable[[Analysis], DataFrame]] = {
     "time_resolved": lambda a: stft.frame_descriptors(a.table("stft")),
     "tracking": lambda a: tracking.track_peaks(a.table("frame_peaks").withColumn("f_hz", F.coalesce("refined_hz", "f_hz")), a.settings.track_tolerance, a.settings.track_max_gap, a.settings.track_min_length),
     "track_features": _features,
+    "preimpact": _preimpact,
     "candidates": _candidates,
-    "within_condition": lambda a: association.cluster_condition(_accepted(a), a.settings.gate_hz),
-    "cross_condition": lambda a: association.matches(association.pair_costs(_accepted(a), a.settings.gate_hz), a.settings.maximum_cost, a.settings.ambiguity),
+    "within_condition": _within,
+    "cross_condition": _across,
     "chains": _nodes,
     "hypotheses": lambda a: modal.hypotheses(modal.evidence(a.table("chains"), a.settings.labels)),
     "parameters": _parameters,
-    "quality_factors": lambda a: modal.q_from_decay(a.table("parameters").withColumn("tau_u", F.lit(None).cast("double"))),
+    "quality_factors": lambda a: modal.q_from_decay(a.table("parameters")),
     "comparison": lambda a: comparison.aggregate(_metrics(a)),
     "regimes": lambda a: regimes.describe(regimes.score(regimes.evaluate(_condition_values(a)))),
 }

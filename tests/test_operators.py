@@ -184,7 +184,31 @@ def test_experiment_from_wav_files(spark, tmp_path, capsys):
     text = (tmp_path / "r.md").read_text()
     assert report.problems(text) == [] and "## Hypotheses" in text
     assert cli.run(["analyze", f"mf={tmp_path}/none.wav"]) == 3 and cli.run(["analyze", "loud=x.wav"]) == 2
-    assert cli.run(["inspect"]) == 0 and cli.run(["version"]) == 0 and len(STAGES) == 20
+    assert cli.run(["inspect"]) == 0 and cli.run(["version"]) == 0 and len(STAGES) == 21
+
+
+def test_stages_are_counted_as_they_are_written_and_failures_stay_where_they_are(spark, tmp_path, monkeypatch):
+    from carillon.plans import experiment as graph
+
+    t = np.arange(4096) / 4096
+    silent = np.where(t < 0.25, 0.0005, 1.0)
+    tones = lambda g: g * silent * np.exp(-np.maximum(t - 0.25, 0) / 0.5) * (np.sin(2 * np.pi * 500 * t) + 0.3 * np.sin(2 * np.pi * 1210 * t))
+    rows = [(i, i // 2, tones(0.1 * (i + 1)).tolist()) for i in range(4)]
+    recs = spark.createDataFrame(rows, "recording_id long, label_idx int, samples array<double>")
+    settings = graph.Settings(rate=4096, frame=256, hop=128, peak_height=0.002)
+    a = graph.analyze(recs, settings, f"{tmp_path}/kept")
+    ends = {r.stage: r for r in a.run(["quality_factors"]).collect()}
+    assert {r.status for r in ends.values()} == {"success"} and "comparison" not in ends and ends["load"].row_count == 4
+    for stage in ("candidates", "chains", "parameters"):
+        assert ends[stage].row_count == a.table(stage).count() > 0
+    excited = {r.impact_excited for r in a.table("candidates").collect()}
+    assert True in excited and a.table("parameters").filter("tau_u IS NOT NULL").count() > 0 and a.table("quality_factors").filter("q_decay_u IS NOT NULL").count() > 0
+    again = graph.analyze(recs, settings, f"{tmp_path}/kept")
+    assert again.count("candidates") == ends["candidates"].row_count
+    monkeypatch.setitem(graph._BUILD, "chains", lambda a: (_ for _ in ()).throw(ValueError("no chains today")))
+    ends = {r.stage: r for r in graph.analyze(recs, settings, f"{tmp_path}/other").run().collect()}
+    assert (ends["chains"].status, ends["chains"].error) == ("failed", "no chains today") and ends["hypotheses"].status == ends["quality_factors"].status == "skipped"
+    assert ends["regimes"].status == "success" and ends["hypotheses"].error == "needs chains"
 
 
 def test_synthetic_validation_passes(spark):
