@@ -47,10 +47,9 @@ _ID, _KEY = "__id", "__key"
 
 
 def _identity(docs: DataFrame) -> list[Column]:
-    return [
-        F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias(_ID),
-        F.xxhash64("text").alias(_KEY),
-    ]
+    """The id by which documents are ordered, and a hash of id and text that stands for the document."""
+    number = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+    return [number.alias(_ID), F.xxhash64(number, "text").alias(_KEY)]
 
 
 #: SQL: the lines of ``text`` with single spaces and words with a digit as <*>, each with its
@@ -59,7 +58,7 @@ _LINES = (
     r"transform(split(text, '\\n'), l -> if(l RLIKE '[0-9\\t\\x0B\\f\\r]|  ', "
     r"regexp_replace(trim(regexp_replace(l, '[ \\t\\x0B\\f\\r]+', ' ')), '(?<![^ ])[^ 0-9]*+[0-9][^ ]*+', '<*>'), trim(l)))"
 )
-_WITH_WORDS = "transform({}, l -> struct(l AS line, length(l) - length(replace(l, ' ', '')) + 1 AS words))"
+_WITH_WORDS = "transform({}, l -> struct(l AS line, octet_length(l) - octet_length(replace(l, ' ', '')) + 1 AS words))"
 
 
 def _leaf(depth: int) -> Column:
@@ -83,7 +82,7 @@ def _evidence(others: Column, chance: Column) -> Column:
 
 
 def recurring_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY, evidence: float = EVIDENCE, copy: float = COPY) -> DataFrame:
-    """__id, __key, pos: the lines of ``docs(doc_id, text)`` to drop."""
+    """__key, pos: the lines of ``docs(doc_id, text)`` to drop."""
     known = docs.filter(F.col("text").isNotNull()).select(*_identity(docs), "text")
     # the outer forms: the others compute the array once more, to filter on its size
     places = known.select(_ID, _KEY, F.posexplode_outer(F.expr(_WITH_WORDS.format(_LINES))).alias("pos", "l"))
@@ -92,7 +91,7 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIM
     )
 
     # leaves that two documents reach (counted by line, so none is missed)
-    by_line = spots.select("leaf", "line_key", "words", "head", _ID, _KEY).distinct().groupBy("leaf", "line_key", "words", "head").agg(F.count("*").alias("docs"))
+    by_line = spots.select("leaf", "line_key", "words", "head", _KEY).distinct().groupBy("leaf", "line_key", "words", "head").agg(F.count("*").alias("docs"))
     leaves = by_line.groupBy("leaf", "words", "head").agg(F.sum("docs").alias("reached"), F.count("*").alias("variants")).filter("reached >= 2")
     leaves = materialise(leaves.select("leaf", "words", "head", "variants"), "line-leaves")
 
@@ -130,34 +129,33 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIM
     found = materialise(found.select(_ID, _KEY, "pos", "template", "leaf", "words"), "line-templates")
 
     # every document of a template of several, with the first of them
-    doc, first = F.struct(F.col(_ID), F.col(_KEY)), F.col("first")
     in_docs = found.groupBy("template", "leaf", "words", _ID, _KEY).agg(F.min("pos").alias("pos"))
-    shared = in_docs.groupBy("template").agg(F.min(doc).alias("first"), F.count("*").alias("docs")).filter("docs >= 2").select("template", "first")
-    held = materialise(in_docs.join(shared, "template").select("template", "leaf", "words", doc.alias("doc"), "first", "pos"), "line-shared")
-    later = held.filter(F.col("doc") != first)
+    shared = in_docs.groupBy("template").agg(F.min(F.struct(_ID, _KEY)).alias("f"), F.count("*").alias("docs")).filter("docs >= 2").select("template", F.col(f"f.{_KEY}").alias("first"))
+    held = materialise(in_docs.join(shared, "template").select("template", "leaf", "words", _KEY, "first", "pos"), "line-shared")
+    later = held.filter(F.col(_KEY) != F.col("first"))
 
     # near copies of first documents, by the words that no document before has
-    borrowed = later.groupBy("doc").agg(F.sum("words").alias("borrowed"))
+    borrowed = later.groupBy(_KEY).agg(F.sum("words").alias("borrowed"))
     once = F.sum("words") / F.count_if(F.col("pos") == 0)  # a row that comes several times is one document
-    own = spots.groupBy(doc.alias("doc")).agg(once.alias("words")).join(borrowed, "doc", "left").select("doc", (F.col("words") - F.coalesce("borrowed", F.lit(0))).alias("own"))
+    own = spots.groupBy(_KEY).agg(once.alias("words")).join(borrowed, _KEY, "left").select(_KEY, (F.col("words") - F.coalesce("borrowed", F.lit(0))).alias("own"))
     own = materialise(own, "line-own")
-    both = later.groupBy("first", "doc").agg(F.sum("words").alias("common")).join(own, "doc").filter(F.col("common") >= copy * F.col("own"))
-    copies = both.join(own.select(F.col("doc").alias("first"), F.col("own").alias("own_first")), "first").filter(F.col("common") >= copy * (F.col("own") + F.col("own_first")))
-    copies = materialise(copies.select("first", "doc", F.lit(True).alias("copied")), "line-copies")
+    both = later.groupBy("first", _KEY).agg(F.sum("words").alias("common")).join(own, _KEY).filter(F.col("common") >= copy * F.col("own"))
+    copies = both.join(own.select(F.col(_KEY).alias("first"), F.col("own").alias("own_first")), "first").filter(F.col("common") >= copy * (F.col("own") + F.col("own_first")))
+    copies = materialise(copies.select("first", _KEY, F.lit(True).alias("copied")), "line-copies")
 
-    told = held.join(copies, ["first", "doc"], "left").withColumn("alike", F.coalesce("copied", F.col("doc") == first)).drop("copied")
-    told = materialise(told, "line-told")
+    told = held.join(copies, ["first", _KEY], "left").withColumn("alike", F.coalesce("copied", F.col(_KEY) == F.col("first")))
+    told = materialise(told.select("template", "leaf", _KEY, "pos", "alike"), "line-told")
     counted = told.filter("NOT alike").groupBy("template", "leaf").agg(F.count("*").cast("double").alias("others"))
     recurring = counted.join(_chance(spots, leaves, depth), "leaf").filter(_evidence(F.col("others"), F.col("chance")) >= evidence).select("template")
-    spots_of = told.join(recurring, "template", "left_semi").select("template", f"doc.{_ID}", f"doc.{_KEY}", F.when(F.col("alike"), F.col("pos")).alias("stays"))
-    dropped = found.select("template", _ID, _KEY, "pos").join(spots_of, ["template", _ID, _KEY])
-    return dropped.filter(F.col("stays").isNull() | (F.col("pos") != F.col("stays"))).select(_ID, _KEY, "pos")
+    spots_of = told.join(recurring, "template", "left_semi").select("template", _KEY, F.when(F.col("alike"), F.col("pos")).alias("stays"))
+    dropped = found.select("template", _KEY, "pos").join(spots_of, ["template", _KEY])
+    return dropped.filter(F.col("stays").isNull() | (F.col("pos") != F.col("stays"))).select(_KEY, "pos")
 
 
 def _deduped(docs: DataFrame, settings: dict) -> DataFrame:
     """row, before, text, n_lines, n_dropped: every row of ``docs`` whole, its text and what stays of it."""
-    dropped = recurring_lines(docs, **settings).groupBy(_ID, _KEY).agg(F.array_sort(F.collect_set("pos")).alias("drop"))
-    packed = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), F.col("text").alias("before"), *_identity(docs)).join(dropped, [_ID, _KEY], "left")
+    dropped = recurring_lines(docs, **settings).groupBy(_KEY).agg(F.array_sort(F.collect_set("pos")).alias("drop"))
+    packed = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), F.col("text").alias("before"), *_identity(docs)).join(dropped, _KEY, "left")
     # only texts that lose a line are taken apart
     packed = packed.withColumn("lines", F.when(F.col("drop").isNotNull(), F.split("before", "\n")))
     # the runs between dropped lines, put together again: linear in the length of a text
