@@ -175,3 +175,85 @@ def smooth(values: DataFrame, radius: int, method: str = "mean", chunk: int = 65
         return table.select([BY, "metric", "n", "t_s"]).append_column("value", pa.array(made)).filter(own)
 
     return placed.withColumn("chunk", F.explode(reach)).groupBy(BY, "metric", "chunk").applyInArrow(run, schema)
+
+
+# ---- frames relative to an impact ----------------------------------------------------
+
+
+def frame_layout(recs: DataFrame, hits: DataFrame, rate: float, length: int, hop: int, start_s: float = 0.0, end_s: float | None = None, pad_end: bool = False, tolerance: float = 1e-9) -> DataFrame:
+    """Where the frames of each recording begin, in a window relative to its impact, and what happened to the window.
+
+    recs: recording_id, samples.  hits: recording_id, hit_s.  One row a recording with begin and stop (in samples),
+    complete frames, whether a padded one follows, and notes in order.  A window that lies outside of the
+    signal has no frames; one that reaches over an end is clipped to it.
+    """
+    size = F.greatest(F.size("samples"), F.lit(0)).alias("size")
+    r = recs.select(BY, size).join(hits.select(BY, "hit_s"), BY)
+    duration = F.col("size") / rate
+    asked, until = F.col("hit_s") + start_s, duration if end_s is None else F.col("hit_s") + end_s
+    low, high = F.greatest(F.lit(0.0), asked), F.least(duration, until)
+    outside = (until <= 0) | (asked >= duration) | (high <= low)
+    begin, stop = F.ceil(low * rate - tolerance).cast("long"), F.floor(high * rate + tolerance).cast("long")
+    r = r.select(BY, "hit_s", outside.alias("outside"), F.when(~outside, begin).alias("begin"), F.when(~outside, stop).alias("stop"), (asked < 0).alias("early"), (until > duration).alias("late"))
+    room = F.col("stop") - F.col("begin")
+    r = r.withColumn("frames", F.coalesce(F.when(room >= length, F.floor((room - length) / hop) + 1), F.lit(0)).cast("long"))
+    rest = F.col("stop") - (F.col("begin") + F.col("frames") * hop)
+    r = r.withColumn("padded", F.coalesce((rest > 0) & F.lit(pad_end), F.lit(False))).withColumn("rest", F.when(rest > 0, rest))
+    notes = F.array(
+        F.when(~F.col("outside") & F.col("early"), "analysis_start_clipped_to_signal"),
+        F.when(~F.col("outside") & F.col("late"), "analysis_end_clipped_to_signal"),
+        F.when(F.col("outside"), "analysis_window_outside_signal"),
+        F.when(F.col("padded"), "temporal_padding_applied").when(F.col("rest").isNotNull(), F.concat(F.lit("final_incomplete_frame_discarded_samples="), F.col("rest").cast("string"))),
+        F.when(~F.col("outside") & (F.col("frames") == 0) & ~F.lit(pad_end), "segment_shorter_than_frame_duration"),
+    )
+    return r.select(BY, "hit_s", "begin", "stop", "frames", "padded", F.array_join(F.filter(notes, lambda x: x.isNotNull()), ",").alias("notes"))
+
+
+def impact_frames(recs: DataFrame, layout: DataFrame, rate: float, length: int, hop: int, window: str = "hann", minimum_energy: float = 1e-24) -> DataFrame:
+    """Every frame of ``frame_layout`` with its descriptors, its strongest peak, and why it is not valid.
+
+    recording_id, frame, start_s, center_s, relative_s (from the impact), padded, valid, reason, energy, centroid_hz,
+    dominant_hz (the strongest bin), strongest_peak_hz, strongest_share (of the energy) and whether that peak is the dominant bin.
+    A padded frame is filled with zeros.  A recording's frames are one kernel's work.
+    """
+    kind = dict(recs.dtypes)[BY]
+    names = ("frame", "at", "padded", "reason", "energy", "centroid_hz", "dominant_hz", "strongest_peak_hz", "strongest_share", "peak_is_dominant")
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.string(), *[pa.float64()] * 5, pa.bool_()]
+    f = np.arange(length // 2 + 1) * rate / length
+
+    def describe(x: np.ndarray) -> tuple:
+        if not len(x):
+            return ("insufficient_frame_samples", *[None] * 6)
+        if not np.isfinite(x).all():
+            return ("nonfinite_frame_samples", *[None] * 6)
+        mag = amplitude_spectrum(np.pad(x, (0, length - len(x)))[None], window)[0]
+        power = mag * mag
+        energy = float(power.sum())
+        if energy < minimum_energy:
+            return ("frame_energy_below_threshold", energy, *[None] * 5)
+        # the first of bins that are equal but for rounding
+        dominant = int((np.round(power, 12) == np.round(power, 12).max()).argmax())
+        peaks = np.flatnonzero((mag[1:-1] > mag[:-2]) & (mag[1:-1] > mag[2:])) + 1
+        top = int(peaks[power[peaks].argmax()]) if len(peaks) else None
+        share = None if top is None else float(power[top] / energy)
+        return (None, energy, float((power * f).sum() / energy), float(f[dominant]), None if top is None else float(f[top]), share, top == dominant if top is not None else False)
+
+    def run(batches):
+        for batch in batches:
+            ids, rows = [], []
+            for name, samples, begin, count, padded in zip(*(batch.column(c).to_pylist() for c in (BY, "samples", "begin", "frames", "padded")), strict=True):
+                x = np.array([np.nan if v is None else v for v in samples or []], float)
+                for i in range(count + bool(padded)):
+                    at = begin + i * hop
+                    ids.append(name)
+                    rows.append((i, at, i == count, *describe(x[at : at + length])))
+            columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [BY, *names])
+
+    both = recs.select(BY, "samples").join(layout.select(BY, "begin", "frames", "padded"), BY)
+    schema = f"{BY} {kind}, frame long, at long, padded boolean, reason string, energy double, centroid_hz double, dominant_hz double, strongest_peak_hz double, strongest_share double, peak_is_dominant boolean"
+    made = both.select(BY, "samples", "begin", "frames", "padded").mapInArrow(run, schema)
+    centre = (F.col("at") + length / 2) / rate
+    return made.join(layout.select(BY, "hit_s"), BY).select(
+        BY, "frame", (F.col("at") / rate).alias("start_s"), centre.alias("center_s"), (centre - F.col("hit_s")).alias("relative_s"), "padded", F.col("reason").isNull().alias("valid"), "reason", *names[4:]
+    )

@@ -314,3 +314,48 @@ query(
     lambda s, d: stft.smooth(series_metric(s, d), 2, "median", chunk=16),
     f"WITH {SER_SQL} SELECT recording_id, 'value' AS metric, n, {r('t_s', 't_s')}, {r('median(x) OVER (PARTITION BY recording_id ORDER BY n ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)', 'value')} FROM ser",
 )
+
+
+# ---- frames relative to an impact ----------------------------------------------------
+
+BEFORE, AFTER = -0.125, 0.7
+
+
+def struck(s, d):
+    """Each recording's highest sample as its impact, moved before the begin or behind the end of some."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("recording_id").orderBy(F.desc(F.abs("x")), "n")
+    top = signals(s, d).withColumn("place", F.row_number().over(w)).filter("place = 1")
+    moved = F.when(F.col("recording_id") % 9 == 0, F.col("t_s") - 3).when(F.col("recording_id") % 9 == 1, F.col("t_s") + 3).otherwise(F.col("t_s"))
+    return top.select("recording_id", moved.alias("hit_s"))
+
+
+def impact_layout(s, d):
+    return stft.frame_layout(recordings(s, d), struck(s, d), RATE, L, HOP, BEFORE, AFTER, pad_end=False)
+
+
+LAYOUT_SQL = f"""{SIG_SQL}, tp AS (SELECT recording_id, t_s FROM sig QUALIFY row_number() OVER (PARTITION BY recording_id ORDER BY abs(x) DESC, n) = 1),
+ht AS (SELECT recording_id, t_s + CASE recording_id % 9 WHEN 0 THEN -3 WHEN 1 THEN 3 ELSE 0 END AS hit_s FROM tp), sz AS (SELECT recording_id, count(*) AS size, count(*)/{RATE}.0::DOUBLE AS dur FROM sig GROUP BY 1),
+rq AS (SELECT *, hit_s + {BEFORE}::DOUBLE AS a, hit_s + {AFTER}::DOUBLE AS b FROM ht JOIN sz USING (recording_id)), rr AS (SELECT *, b <= 0 OR a >= dur OR least(dur, b) <= greatest(0, a) AS outside FROM rq),
+lo AS (SELECT *, CASE WHEN NOT outside THEN ceil(greatest(0, a)*{RATE} - 1e-9)::BIGINT END AS begin_, CASE WHEN NOT outside THEN floor(least(dur, b)*{RATE} + 1e-9)::BIGINT END AS stop_ FROM rr),
+ly AS (SELECT *, coalesce(CASE WHEN stop_ - begin_ >= {L} THEN (stop_ - begin_ - {L}) // {HOP} + 1 END, 0) AS frames FROM lo)"""
+query(
+    "impact_frame_layout",
+    impact_layout,
+    f"""WITH {LAYOUT_SQL}, nt AS (SELECT *, stop_ - (begin_ + frames*{HOP}) AS rest FROM ly)
+    SELECT recording_id, {r('hit_s', 'hit_s')}, begin_ AS "begin", stop_ AS stop, frames, FALSE AS padded, CASE WHEN outside THEN 'analysis_window_outside_signal' ELSE concat_ws(',', CASE WHEN a < 0 THEN 'analysis_start_clipped_to_signal' END, CASE WHEN b > dur THEN 'analysis_end_clipped_to_signal' END,
+      CASE WHEN rest > 0 THEN 'final_incomplete_frame_discarded_samples=' || rest END, CASE WHEN frames = 0 THEN 'segment_shorter_than_frame_duration' END) END AS notes FROM nt""",
+)
+query(
+    "impact_frames",
+    lambda s, d: stft.impact_frames(recordings(s, d), impact_layout(s, d), RATE, L, HOP, minimum_energy=0.002),
+    f"""WITH {LAYOUT_SQL}, st AS (SELECT recording_id, hit_s, f AS frame, begin_ + f*{HOP} AS start_n FROM ly, range(0, {N}) AS t(f) WHERE f < frames),
+    fr AS (SELECT recording_id, hit_s, frame, start_n, n - start_n AS j, x - avg(x) OVER (PARTITION BY recording_id, frame) AS y FROM st JOIN sig USING (recording_id) WHERE n >= start_n AND n < start_n + {L}),
+    fd AS (SELECT recording_id, hit_s, frame, start_n, k, sqrt(pow(sum(y*(0.5 - 0.5*cos(2*pi()*j/{L - 1}))*cos(2*pi()*k*j/{L})), 2) + pow(sum(y*(0.5 - 0.5*cos(2*pi()*j/{L - 1}))*sin(2*pi()*k*j/{L})), 2)) AS m FROM fr, range(0, {L // 2 + 1}) AS u(k) GROUP BY ALL),
+    fb AS (SELECT *, k*{RATE}/{L}.0 AS f_hz, m/({L}*(SELECT avg(0.5 - 0.5*cos(2*pi()*i/{L - 1})) FROM range(0, {L}) AS v(i)))*CASE WHEN k IN (0, {L // 2}) THEN 1 ELSE 2 END AS mag FROM fd),
+    nb AS (SELECT *, mag*mag AS p, lag(mag) OVER w AS l, lead(mag) OVER w AS h FROM fb WINDOW w AS (PARTITION BY recording_id, frame ORDER BY k)),
+    ag AS (SELECT recording_id, hit_s, frame, start_n, sum(p) AS e, sum(p*f_hz)/sum(p) AS c, arg_max(f_hz, (round(p, 12), -k)) AS dom, arg_max(f_hz, p) FILTER (WHERE mag > l AND mag > h) AS pk, max(p) FILTER (WHERE mag > l AND mag > h) AS pp FROM nb GROUP BY ALL), vd AS (SELECT *, e >= 0.002 AS v FROM ag)
+    SELECT recording_id, frame, {r(f'start_n/{RATE}.0', 'start_s')}, {r(f'(start_n + {L / 2})/{RATE}.0', 'center_s')}, {r(f'(start_n + {L / 2})/{RATE}.0 - hit_s', 'relative_s')}, FALSE AS padded, v AS valid, CASE WHEN NOT v THEN 'frame_energy_below_threshold' END AS reason, {r('e', 'energy')},
+      {r('CASE WHEN v THEN c END', 'centroid_hz')}, {r('CASE WHEN v THEN dom END', 'dominant_hz')}, {r('CASE WHEN v THEN pk END', 'strongest_peak_hz')}, {r('CASE WHEN v THEN pp/e END', 'strongest_share')}, CASE WHEN v THEN coalesce(pk = dom, FALSE) END AS peak_is_dominant FROM vd""",
+)
