@@ -25,6 +25,7 @@ def parser() -> argparse.ArgumentParser:
         if name == "export":
             c.add_argument("--out", required=True)
             c.add_argument("--format", choices=("parquet", "csv", "json"), default="parquet")
+            c.add_argument("--overwrite", choices=("error", "skip", "replace", "versioned"), default="error", help="what happens where an export is there already")
         if name == "report":
             c.add_argument("--out", required=True)
             c.add_argument("--format", choices=("markdown", "latex"), default="markdown")
@@ -102,8 +103,13 @@ def run(argv: list[str] | None = None) -> int:
         if args.command == "analyze":
             print(json.dumps({r.stage: r.row_count for r in analysis.summary().collect()}))
         elif args.command == "export":
-            for stage in ("peaks", "candidates", "chains", "hypotheses", "parameters", "quality_factors", "comparison", "regimes"):
-                analysis.table(stage).write.mode("errorifexists").format(args.format).option("header", True).save(f"{args.out}/{stage}")
+            from .operators.publish import publish
+
+            stages = ("peaks", "candidates", "chains", "hypotheses", "parameters", "quality_factors", "comparison", "regimes")
+            key = ("recording_id", "candidate_id")
+            keys = {"chains": [(key, "candidates", key)], "hypotheses": [(("chain_id",), "chains", ("chain_id",))]}
+            version = publish({s: analysis.table(s) for s in stages}, args.out, args.overwrite, args.format, analysis.identity(), keys)
+            print(json.dumps({"version": version}))
         else:
             from . import report
 

@@ -174,3 +174,31 @@ def test_clusters_by_five_costs_equal_loops(spark, limits):
     assert len(tables) == sum(len(c) > 1 for c in got.values()) and all(r.reproducible == (r.failed == "") for r in tables)
     assert within.alone(within.members(found), within.compared_pairs(found)).count() == sum(len(c) == 1 for c in got.values())
     assert within.associate(df.limit(0), limits).count() == 0
+
+
+def test_exports_appear_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    from carillon.operators import publish as p
+
+    root = str(tmp_path / "out")
+    make = lambda ids, chains: {"recordings": spark.createDataFrame([(i,) for i in ids], "recording_id long"), "candidates": spark.createDataFrame([(i, 2 * i, c) for i, c in zip(ids, chains)], "recording_id long, candidate_id long, note string")}
+    assert p.current_version(spark, root) is None
+    assert p.publish(make([1, 2], "ab"), root) == "v000001"
+    with pytest.raises(FileExistsError):
+        p.publish(make([3], "c"), root)
+    assert p.publish(make([3], "c"), root, "skip") is None and p.published(spark, root, "recordings").count() == 2
+    # a crash before the pointer moves, and rows without a parent: the former version stays
+    monkeypatch.setattr(p, "_point", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        p.publish(make([4, 5, 6], "def"), root, "versioned")
+    monkeypatch.undo()
+    broken = make([7], "g") | {"recordings": make([8], "h")["recordings"]}
+    with pytest.raises(ValueError, match=r"candidates\(recording_id\): 1"):
+        p.publish(broken, root, "replace")
+    assert p.current_version(spark, root) == "v000001" and sorted(r.note for r in p.published(spark, root, "candidates").collect()) == ["a", "b"]
+    assert p.publish(make([9, 10, 11], "ijk"), root, "versioned") == "v000003"
+    assert p.published(spark, root, "candidates").count() == 3 and p.published(spark, root, "candidates", "v000001").count() == 2
+    assert p.publish(make([12], "l"), root, "replace") == "v000004" and "v000003" not in p.versions(spark, root) and "v000001" in p.versions(spark, root)
+    assert {(r.table, r.row_count) for r in p.published_summary(spark, root).collect()} == {("recordings", 1), ("candidates", 1)}
+    assert p.publication_problems(spark, root) == []
+    spark.createDataFrame([(12, 24, "x")], "recording_id long, candidate_id long, note string").write.mode("overwrite").parquet(f"{root}/v000004/candidates")
+    assert p.publication_problems(spark, root) == ["candidates: other content"]
