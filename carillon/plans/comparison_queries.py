@@ -161,23 +161,67 @@ query(
     """SELECT CASE WHEN p_partkey % 5 <> 0 THEN CASE WHEN p_partkey % 3 = 0 THEN 'accepted' ELSE 'rejected' END END AS expected_status, CASE WHEN p_partkey % 7 <> 0 THEN CASE WHEN p_partkey % 4 = 0 THEN 'accepted' ELSE 'rejected' END END AS found_status, count(*) AS n
     FROM part WHERE p_partkey % 5 <> 0 OR p_partkey % 7 <> 0 GROUP BY 1, 2""",
 )
-TRUTH = (("single", 1, 500.0, 2.0), ("two_modes", 1, 220.0, 1.5), ("two_modes", 2, 349.2, 0.8), ("close_pair", 1, 440.0, 1.0), ("close_pair", 2, 443.0, 1.2))
+def part_components(s, d):
+    """Every part as a component of its brand's signal: frequency, level, decay (missing for some), drift, phase, begin and end."""
+    p = s.read.parquet(f"{d}/part.parquet").select("p_brand", "p_partkey", "p_size")
+    k = F.col("p_partkey")
+    return p.select(
+        F.col("p_brand").alias("scenario"), k.alias("component_id"), (50 + (k % 4000) * 0.5).alias("f0"), (F.col("p_size") / 50).alias("amplitude"), F.when(k % 7 != 0, 0.05 + (k % 13) / 10).alias("tau_s"),
+        (k % 5 - 2).cast("double").alias("drift"), ((k % 8) / 4).alias("phase"), F.when(k % 11 == 3, 0.25).otherwise(0.0).alias("begins"), F.when(k % 9 == 4, 0.75).otherwise(1.0).alias("ends"), (k % 6 != 0).alias("detectable"),
+    )
+
+
+_PK = "p_partkey"
+PARTS_SQL = f"""cp AS (SELECT p_brand AS scenario, {_PK} AS component_id, 50 + ({_PK} % 4000)*0.5::DOUBLE AS f0, p_size/50.0::DOUBLE AS amplitude, CASE WHEN {_PK} % 7 <> 0 THEN 0.05::DOUBLE + ({_PK} % 13)/10.0::DOUBLE END AS tau_s,
+  ({_PK} % 5 - 2)::DOUBLE AS drift, ({_PK} % 8)/4.0::DOUBLE AS phase, CASE WHEN {_PK} % 11 = 3 THEN 0.25 ELSE 0 END::DOUBLE AS begins, CASE WHEN {_PK} % 9 = 4 THEN 0.75 ELSE 1 END::DOUBLE AS ends, {_PK} % 6 <> 0 AS detectable FROM part)"""
+
+
+def waves_sql(seconds: float, rate: int, drift: str = "drift", begins: str = "begins", ends: str = "ends", amplitude: str = "amplitude", tau: str = "tau_s") -> str:
+    """Samples of every part's component."""
+    t = f"(n/{rate}.0::DOUBLE)"
+    return f"""wv AS (SELECT scenario, component_id, n, {t} AS t, CASE WHEN {t}/{seconds} BETWEEN {begins} AND {ends} THEN {amplitude}*coalesce(exp(-({t} - {begins}*{seconds})/{tau}), 1) ELSE 0 END AS env,
+      sin(2*pi()*(f0*{t} + {drift}*{t}*{t}/2) + phase) AS turn FROM cp, range(0, {round(seconds * rate)}) AS u(n))"""
+
+
 query(
     "synthetic_truth",
-    lambda s, d: synthetic.truth(s.createDataFrame(list(TRUTH), "scenario string, component_id int, f0 double, tau_s double")),
-    f"SELECT scenario, component_id, {r('f0', 'f0')}, {r('tau_s', 'tau_s')}, {r('pi()*f0*tau_s', 'q')}, {r('1/(pi()*tau_s)', 'bandwidth_hz')} FROM (VALUES {', '.join(map(str, TRUTH))}) AS v(scenario, component_id, f0, tau_s)",
+    lambda s, d: synthetic.truth(part_components(s, d).filter("tau_s IS NOT NULL").select("scenario", "component_id", "f0", "tau_s")),
+    f"WITH {PARTS_SQL} SELECT scenario, component_id, {r('f0', 'f0')}, {r('tau_s', 'tau_s')}, {r('pi()*f0*tau_s', 'q')}, {r('1/(pi()*tau_s)', 'bandwidth_hz')} FROM cp WHERE tau_s IS NOT NULL",
 )
+
+
+def plain_components(s, d):
+    """The components without drift, from begin to end."""
+    return part_components(s, d).withColumns({"drift": F.lit(0.0), "begins": F.lit(0.0), "ends": F.lit(1.0)})
+
+
 query(
     "synthetic_damped_sum",
-    lambda s, d: synthetic.clipped(synthetic.damped_sum(s, [(50.0, 1.0, 0.8, 0.0), (120.0, 3.0, 0.25, 0.5)], 1.0, 1024), 0.7),
-    f"SELECT n, {r('n/1024.0', 't_s')}, {r('greatest(least(0.8::DOUBLE*exp(-n/1024.0::DOUBLE)*sin(2*pi()*50*n/1024.0::DOUBLE) + 0.25::DOUBLE*exp(-3*n/1024.0::DOUBLE)*sin(2*pi()*120*n/1024.0::DOUBLE + 0.5), 0.7), -0.7)', 'x')} FROM range(0, 1024) AS t(n)",
+    lambda s, d: synthetic.clipped(synthetic.summed(synthetic.component_waves(plain_components(s, d), 0.25, 64)), 0.7),
+    f"WITH {PARTS_SQL}, {waves_sql(0.25, 64, '0', '0', '1')} SELECT scenario, n, {r('t', 't_s')}, {r('greatest(least(sum(round(env*turn, 12)), 0.7), -0.7)', 'x')} FROM wv GROUP BY 1, 2, t",
 )
 query(
     "synthetic_chirp",
-    lambda s, d: synthetic.with_offset(synthetic.linear_chirp(s, 30.0, 110.0, 2.0, 512), 0.1),
-    f"SELECT n, {r('n/512.0', 't_s')}, {r('sin(2*pi()*(30*(n/512.0::DOUBLE) + 20*pow(n/512.0::DOUBLE, 2))) + 0.1', 'x')} FROM range(0, 1024) AS t(n)",
+    lambda s, d: synthetic.with_offset(
+        synthetic.component_waves(plain_components(s, d).withColumns({"drift": F.col("amplitude") * 400, "tau_s": F.lit(None).cast("double"), "amplitude": F.lit(1.0)}), 0.25, 64).select("component_id", "n", "t_s", "x"), 0.1
+    ),
+    f"WITH {PARTS_SQL}, {waves_sql(0.25, 64, '(amplitude*400)', '0', '1', '1', 'NULL::DOUBLE')} SELECT component_id, n, {r('t', 't_s')}, {r('env*turn + 0.1', 'x')} FROM wv",
 )
-query("synthetic_noise_mix", lambda s, d: synthetic.mixed(synthetic.pure_sine(s, 64.0), synthetic.white_noise(s, 1.0, 1024, 0.1, 7)))
+
+
+def added(s, d, **noise):
+    """What ``with_noise`` has put on each recording, in dB below it, and how the two are correlated in sign."""
+    own = recordings(s, d).select("recording_id", "samples")
+    both = synthetic.with_noise(own, **noise).select("recording_id", F.col("samples").alias("noisy"), "noise_rms").join(own, "recording_id")
+    rms = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x) / F.size(c))
+    apart = F.zip_with("noisy", "samples", lambda a, b: a - b)
+    return both.select("recording_id", (20 * F.log10(rms(F.col("samples")) / rms(apart))).alias("snr_db"), rms(apart).alias("added_rms"), (F.abs(rms(apart) - F.col("noise_rms")) < 1e-9).alias("as_told"))
+
+
+# noise has no SQL, but its level is exact, whatever the draws
+query("synthetic_noise_mix", lambda s, d: added(s, d, snr_db=12.0, seed=7).select("recording_id", "snr_db", "as_told"), "SELECT vec_id AS recording_id, 12.0::DOUBLE AS snr_db, TRUE AS as_told FROM embeddings")
+query("synthetic_pink_noise", lambda s, d: added(s, d, sigma=0.05, seed=7, colour="pink").select("recording_id", "added_rms", "as_told"), "SELECT vec_id AS recording_id, 0.05::DOUBLE AS added_rms, TRUE AS as_told FROM embeddings")
+
 
 # ---- experiment, export and streams -------------------------------------------------
 
@@ -304,11 +348,13 @@ query(
     lambda s, d: views.lag_curve(mq.energy.lag_correlations(mq.aligned(s, d), mq.LAGS), 0.5),
     f"WITH {mq.LAG_SQL} SELECT source_a, source_b, {r('lag*0.5', 'lag_s')}, {r('r', 'r')} FROM lg",
 )
-query(
-    "track_matching",
-    lambda s, d: validation.match_tracks(
-        s.createDataFrame(list(TRUTH), "scenario string, component_id int, f0 double, tau_s double"),
-        s.createDataFrame([("single", 0, 500.4), ("two_modes", 0, 220.9), ("two_modes", 1, 352.0), ("close_pair", 0, 441.6), ("close_pair", 1, 441.8)], "scenario string, track_id int, frequency_hz double"),
-    ),
-)
-query("synthetic_pink_noise", lambda s, d: synthetic.pink_noise(s, 1.0, 1024, 0.1, 7))
+
+
+def part_candidates(s, d):
+    """A candidate near every part's component, some off, some rejected, and false ones."""
+    c, k = part_components(s, d), F.col("component_id")
+    own = c.select("scenario", k.alias("candidate_id"), (F.col("f0") + (k % 7) * 0.45 - 0.9).alias("frequency_hz"), (k % 7 != 5).alias("accepted"))
+    return own.unionByName(c.filter(k % 23 == 0).select("scenario", (-k).alias("candidate_id"), (F.col("f0") + 5000).alias("frequency_hz"), F.lit(True).alias("accepted")))
+
+
+query("track_matching", lambda s, d: validation.match_tracks(part_components(s, d), part_candidates(s, d).withColumnRenamed("candidate_id", "track_id")))

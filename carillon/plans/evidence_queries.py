@@ -10,6 +10,7 @@ from ..sources import synthetic
 from ..sources.adapters import RATE, REF_SQL, candidate_refs, label_of, series, signals
 from . import association_queries as aq
 from . import comparison_queries as cq
+from . import modal_queries as mq
 from .association_queries import BEST_SQL, CHAINS_SQL, COSTS_SQL, POINTS_SQL, best_chains, costs, points, refs
 from .registry import ORACLE_SQL, QUERIES, query
 from .signal_queries import BINS_SQL, FRAMES_SQL, NOISE_SQL, PEAKS_SQL, bins, frames, r
@@ -224,55 +225,39 @@ query(
 # ---- scenarios ----------------------------------------------------------------------
 
 
-def _value(x) -> str:
-    return "NULL::DOUBLE" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
-
-
-PARTS_SQL = "cp(scenario, component_id, f0, amplitude, tau_s, drift, detectable) AS (VALUES " + ", ".join(
-    f"({_value(n)}, {_value(c)}, {f}::DOUBLE, {a}::DOUBLE, {_value(tau)}, {synthetic.DRIFTS.get(c, 0.0)}::DOUBLE, {str(c not in synthetic.HIDDEN).lower()})" for n, parts in synthetic.SCENARIOS.items() for c, f, a, tau in parts
-) + ")"
 query(
     "scenario_truth",
-    lambda s, d: synthetic.truth(synthetic.scenario_components(s).select("scenario", "component_id", "f0", "amplitude", "tau_s", "detectable")),
-    f"WITH {PARTS_SQL} SELECT scenario, component_id, {r('f0', 'f0')}, {r('amplitude', 'amplitude')}, {r('tau_s', 'tau_s')}, detectable, {r('pi()*f0*tau_s', 'q')}, {r('1/(pi()*tau_s)', 'bandwidth_hz')} FROM cp",
+    lambda s, d: synthetic.truth(cq.part_components(s, d).select("scenario", "component_id", "f0", "amplitude", "tau_s", "detectable")),
+    f"WITH {cq.PARTS_SQL} SELECT scenario, component_id, {r('f0', 'f0')}, {r('amplitude', 'amplitude')}, {r('tau_s', 'tau_s')}, detectable, {r('pi()*f0*tau_s', 'q')}, {r('1/(pi()*tau_s)', 'bandwidth_hz')} FROM cp",
 )
-PLAIN = ("multiple_isolated", "linear_drift", "frequency_crossing", "mains_hum")
 query(
     "scenario_signals",
-    lambda s, d: synthetic.scenario_signals(s, PLAIN, 0.5, 4096),
-    f"""WITH {PARTS_SQL}, w AS (SELECT scenario, n, n/4096.0::DOUBLE AS t, amplitude*coalesce(exp(-(n/4096.0::DOUBLE)/tau_s), 1)*sin(2*pi()*(f0*(n/4096.0::DOUBLE) + drift*pow(n/4096.0::DOUBLE, 2)/2)) AS x FROM cp, range(0, 2048) AS u(n) WHERE scenario IN {PLAIN})
-    SELECT scenario, n, {r('t', 't_s')}, {r('sum(round(x, 12))', 'x')} FROM w GROUP BY 1, 2, t""",
+    lambda s, d: synthetic.summed(synthetic.component_waves(cq.part_components(s, d), 0.25, 64)),
+    f"WITH {cq.PARTS_SQL}, {cq.waves_sql(0.25, 64)} SELECT scenario, n, {r('t', 't_s')}, {r('sum(round(env*turn, 12))', 'x')} FROM wv GROUP BY 1, 2, t",
 )
-query("scenario_envelopes", lambda s, d: synthetic.scenario_waves(s, ("energy_exchange", "emergence_disappearance"), 1.0, 512).select("scenario", "component_id", "n", "envelope"))
-
-
-def scenario_candidates(s, d):
-    """Candidates near every scenario's components, some off, some rejected, and one false candidate in some scenarios."""
-    c = synthetic.scenario_components(s).withColumn("k", F.pmod(F.crc32(F.concat("scenario", "component_id")), F.lit(7)).cast("int"))
-    own = c.select("scenario", (F.col("f0") + F.col("k") * 0.45 - 0.9).alias("frequency_hz"), (F.col("k") != 5).alias("accepted"), F.crc32("component_id").alias("candidate_id"))
-    false = c.filter("k = 3").select("scenario", F.lit(1234.5).alias("frequency_hz"), F.lit(True).alias("accepted"), F.lit(1).cast("long").alias("candidate_id")).distinct()
-    return own.unionByName(false)
-
-
-query("candidate_recovery", lambda s, d: validation.candidate_recovery(synthetic.scenario_components(s), scenario_candidates(s, d)))
-
-
-def exchanging(s):
-    pairs = [(n, a, b, 8.0 * synthetic.EXCHANGE_LAG) for n, ps in synthetic.EXCHANGING.items() for a, b in ps]
-    return s.createDataFrame(pairs, "scenario string, source_a string, source_b string, lag_s double")
+query(
+    "scenario_envelopes",
+    lambda s, d: synthetic.component_waves(cq.part_components(s, d), 0.5, 16).select("scenario", "component_id", "n", "envelope"),
+    f"WITH {cq.PARTS_SQL}, {cq.waves_sql(0.5, 16)} SELECT scenario, component_id, n, {r('env', 'envelope')} FROM wv",
+)
+query("candidate_recovery", lambda s, d: validation.candidate_recovery(cq.part_components(s, d), cq.part_candidates(s, d)))
 
 
-def not_exchanging(s):
-    return s.createDataFrame([(n, a, b) for n, ps in synthetic.NOT_EXCHANGING.items() for a, b in ps], "scenario string, source_a string, source_b string")
+def exchanging(s, d):
+    """Found pairs of series, in fives, and which of them should exchange energy or should not."""
+    a = mq.aligned(s, d)
+    lags = mq.energy.best_negative(mq.energy.lag_correlations(a, mq.LAGS)).select(*mq.energy.PAIR, F.col("best_lag").cast("double").alias("best_lag_s"))
+    found = mq.exchange(s, d).join(lags, mq.energy.PAIR, "left").withColumn("scenario", F.floor(F.col("source_a") / 5))
+    both = F.col("source_a") + F.col("source_b")
+    expected = found.filter(both % 3 == 0).select("scenario", "source_a", "source_b", (both % 5 - 2).cast("double").alias("lag_s"))
+    return expected, found.filter(both % 3 == 1).select("scenario", "source_a", "source_b"), found.select("scenario", "source_a", "source_b", "status", "best_lag_s")
 
 
-FOUND = (("energy_exchange", "exchange_b", "exchange_a", "supported", 1.7), ("beating", "beat_a", "beat_b", "supported_with_reservations", 0.2), ("no_energy_exchange", "decay_a", "decay_b", "inconclusive", None))
-_FOUND = ", ".join(f"('{n}', '{min(a, b)}', '{max(a, b)}', '{t}', {'NULL' if g is None else g}::DOUBLE)" for n, a, b, t, g in FOUND)
 query(
     "exchange_recovery",
-    lambda s, d: validation.exchange_recovery(exchanging(s), not_exchanging(s), s.createDataFrame(list(FOUND), "scenario string, source_a string, source_b string, status string, best_lag_s double")),
-    f"""WITH e(scenario, a, b, g) AS (VALUES ('energy_exchange', 'exchange_a', 'exchange_b', 1.6::DOUBLE)), n(scenario, a, b) AS (VALUES ('beating', 'beat_a', 'beat_b'), ('no_energy_exchange', 'decay_a', 'decay_b')), f(scenario, a, b, st, lg) AS (VALUES {_FOUND}),
-    j AS (SELECT f.scenario, e.a IS NOT NULL AS e, n.a IS NOT NULL AS n, st LIKE 'supported%' AS s, st = 'inconclusive' AS i, abs(lg - g) AS le FROM f LEFT JOIN e USING (scenario, a, b) LEFT JOIN n USING (scenario, a, b)),
+    lambda s, d: validation.exchange_recovery(*exchanging(s, d)),
+    f"""WITH st AS ({ORACLE_SQL['energy_exchange']}), bl AS ({ORACLE_SQL['best_negative_lag']}),
+    j AS (SELECT source_a // 5 AS scenario, (source_a + source_b) % 3 = 0 AS e, (source_a + source_b) % 3 = 1 AS n, status LIKE 'supported%' AS s, status = 'inconclusive' AS i, abs(best_lag - ((source_a + source_b) % 5 - 2))::DOUBLE AS le FROM st LEFT JOIN bl USING (source_a, source_b)),
     m AS (SELECT scenario, count(*) FILTER (WHERE e AND s) AS tp, count(*) FILTER (WHERE n AND s) AS fp, count(*) FILTER (WHERE e AND NOT s) AS fn, count(*) FILTER (WHERE s) AS su, count(*) FILTER (WHERE i) AS ic, max(le) FILTER (WHERE e AND s) AS le FROM j GROUP BY 1),
     q AS (SELECT *, CASE WHEN su > 0 THEN tp/su WHEN tp + fn = 0 THEN 1 END::DOUBLE AS p, CASE WHEN tp + fn > 0 THEN tp/(tp + fn) ELSE 1 END::DOUBLE AS rc FROM m)
     SELECT scenario, tp AS true_positive, fp AS false_positive, fn AS false_negative, su AS supported, ic AS inconclusive, {r('le', 'lag_error_s')}, {r('p', 'precision')}, {r('rc', 'recall')}, {r('CASE WHEN p + rc > 0 THEN 2*p*rc/(p + rc) END', 'f1')}, fp = 0 AND fn = 0 AS passed FROM q""",

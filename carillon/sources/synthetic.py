@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -163,26 +164,63 @@ def _envelope(points: tuple[tuple[float, float], ...], share: Column) -> Column:
     return out
 
 
-def scenario_waves(spark: SparkSession, names: tuple[str, ...], duration_s: float, rate: int) -> DataFrame:
+def component_waves(components: DataFrame, duration_s: float, rate: int, envelopes: dict[str, tuple[tuple[float, float], ...]] | None = None) -> DataFrame:
     """scenario, component_id, n, t_s, f_hz, envelope, x: every component's samples; no sample depends on another one.
 
-    The phase is 2π (f t + drift t² / 2), so a drift needs no running sum.
+    components: as of ``scenario_components``, of any number; a missing tau_s does not decay.  The phase is
+    2π (f t + drift t² / 2), so a drift needs no running sum.
     """
-    t = _times(spark, duration_s, rate)
-    parts = scenario_components(spark, names)
-    both = t.join(F.broadcast(parts))  # a fixed list of components
+    both = components.withColumn("n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(round(duration_s * rate) - 1).cast("long")))).withColumn("t_s", F.col("n") / rate)
     share, c = F.col("t_s") / duration_s, F.col("t_s")
     fall = F.when(F.col("tau_s").isNull(), F.lit(1.0)).otherwise(F.exp(-(c - F.col("begins") * duration_s) / F.col("tau_s")))
-    for name, points in ENVELOPES.items():
+    for name, points in (envelopes or {}).items():
         fall = F.when(F.col("component_id") == name, _envelope(points, share)).otherwise(fall)
     level = F.when((share >= F.col("begins")) & (share <= F.col("ends")), F.col("amplitude") * fall).otherwise(0.0)
     turn = 2 * np.pi * (F.col("f0") * c + F.col("drift") * c * c / 2) + F.col("phase")
     return both.select("scenario", "component_id", "n", "t_s", (F.col("f0") + F.col("drift") * c).alias("f_hz"), level.alias("envelope"), (level * F.sin(turn)).alias("x"))
 
 
+def scenario_waves(spark: SparkSession, names: tuple[str, ...], duration_s: float, rate: int) -> DataFrame:
+    """``component_waves`` of the named scenarios."""
+    return component_waves(scenario_components(spark, names), duration_s, rate, ENVELOPES)
+
+
+def summed(waves: DataFrame) -> DataFrame:
+    """scenario, n, t_s, x: the sum of each scenario's components."""
+    return waves.groupBy("scenario", "n", "t_s").agg(F.sum(F.round("x", 12)).alias("x"))
+
+
+def with_noise(recs: DataFrame, snr_db: float | None = None, sigma: float | None = None, seed: int = 0, colour: str = "white") -> DataFrame:
+    """``recs`` (recording_id, samples and others) with seeded noise of an exact level on top, and its root mean square as noise_rms.
+
+    The level is that of the signal's root mean square less ``snr_db``, or ``sigma``.  colour: white or pink.  A recording's
+    noise comes from the seed and its id, so no recording depends on another; silent or empty ones stay as they are where the level is relative.
+    """
+    if (snr_db is None) == (sigma is None):
+        raise ValueError("either snr_db or sigma")
+
+    def run(batches):
+        for batch in batches:
+            made, levels = [], []
+            for name, samples in zip(batch.column("__name").to_pylist(), batch.column("samples").to_pylist(), strict=True):
+                x = np.array(samples if samples is not None else [], float)
+                level = float(sigma) if snr_db is None else float(np.sqrt((x * x).mean()) * 10 ** (-snr_db / 20)) if len(x) else 0.0
+                if len(x) and level > 0:
+                    noise = np.random.default_rng([seed, name & (2**63 - 1)]).standard_normal(len(x))
+                    x = x + _scaled(pink_filter(noise) if colour == "pink" else noise, level)
+                made.append(None if samples is None else x)
+                levels.append(level)
+            columns = {c: batch.column(c) for c in batch.schema.names if c != "__name"} | {"samples": pa.array(made, pa.list_(pa.float64())), "noise_rms": pa.array(levels)}
+            yield pa.RecordBatch.from_pydict(columns)
+
+    kept = recs.withColumn("samples", F.col("samples").cast("array<double>"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", noise_rms double"
+    return kept.withColumn("__name", F.xxhash64("recording_id")).mapInArrow(run, schema)
+
+
 def scenario_signals(spark: SparkSession, names: tuple[str, ...], duration_s: float, rate: int, noise_rms: float = 0.02, clip_quantile: float = 0.95, seed: int = 7) -> DataFrame:
     """scenario, n, t_s, x: the sum of the components, with noise for "noise" and clipped at a quantile for "clipping"."""
-    total = scenario_waves(spark, names, duration_s, rate).groupBy("scenario", "n", "t_s").agg(F.sum(F.round("x", 12)).alias("x"))
+    total = summed(scenario_waves(spark, names, duration_s, rate))
     if "noise" in names:
         noisy = white_noise(spark, duration_s, rate, noise_rms, seed).select("n", F.col("x").alias("y"))
         total = total.join(noisy, "n").withColumn("x", F.when(F.col("scenario") == "noise", F.col("x") + F.col("y")).otherwise(F.col("x"))).drop("y")
