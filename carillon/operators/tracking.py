@@ -6,6 +6,10 @@ follows from the track points is relational.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -18,33 +22,133 @@ BY = ["recording_id", "track_id"]
 _FAR = 1e12
 
 
-def _follow(frames: list[tuple[int, list[tuple[float, float]]]], tolerance: float, max_gap: int, min_length: int, weights: tuple[float, float], max_cost: float, ambiguity: float, near: float):
-    """Rows (track, frame, frequency, amplitude, cost, margin, ambiguous, near) of the tracks of one recording."""
-    active: list[list[tuple]] = []
-    done: list[list[tuple]] = []
-    for frame, peaks in frames:
-        done += [t for t in active if frame - t[-1][0] > max_gap + 1]
-        active = [t for t in active if frame - t[-1][0] <= max_gap + 1]
+@dataclass(frozen=True)
+class Rules:
+    """What joins a peak to a track: relative distance, frames that may be missed, least points, weights, and limits of cost."""
+
+    tolerance: float = 0.05
+    max_gap: int = 1
+    min_length: int = 2
+    weights: tuple[float, float] = (1.0, 0.0)
+    max_cost: float = 2.0
+    ambiguity: float = 0.05
+    near: float = 0.9
+
+
+class Follower:
+    """The tracks of one recording, frame after frame.
+
+    Only tracks that may go on are held: the last point of each, where it began, and the points of those that are
+    not long enough to count yet.  So what is held does not grow with the recording, and a state can be written down and taken up.
+    A track's points are (begin_frame, begin_hz, frame, frequency, amplitude, cost, margin, ambiguous, near).
+    """
+
+    def __init__(self, rules: Rules, active: list[dict] | None = None, frame: int | None = None) -> None:
+        self.rules, self.active, self.frame = rules, active or [], frame
+
+    def state(self) -> str:
+        return json.dumps([self.frame, self.active])
+
+    @classmethod
+    def of(cls, rules: Rules, state: str) -> Follower:
+        frame, active = json.loads(state)
+        return cls(rules, active, frame)
+
+    def step(self, frame: int, peaks: list[tuple[float, float]]) -> list[tuple]:
+        """The points that this frame's (frequency, amplitude) peaks settle."""
+        r, out = self.rules, []
+        self.frame = frame
+        self.active = [t for t in self.active if frame - t["last"][0] <= r.max_gap + 1]
+        before = len(self.active)
         taken: set[int] = set()
-        if active and peaks:
-            f0, a0 = (np.array([t[-1][i] for t in active])[:, None] for i in (1, 2))
+
+        def add(track: dict, point: tuple) -> None:
+            track["last"] = point[:3]
+            if track["held"] is None:
+                out.append((*track["begin"], *point))
+            else:
+                track["held"].append(point)
+                if len(track["held"]) >= r.min_length:
+                    out.extend((*track["begin"], *p) for p in track["held"])
+                    track["held"] = None
+
+        if before and peaks:
+            f0, a0 = (np.array([t["last"][i] for t in self.active])[:, None] for i in (1, 2))
             f1, a1 = (np.array([p[i] for p in peaks])[None] for i in (0, 1))
             apart = np.abs(f0 - f1) / np.maximum(f0, f1)
             louder = np.maximum(a0, a1)
-            costs = weights[0] * apart / tolerance + weights[1] * np.where(louder > 0, np.abs(a0 - a1) / np.where(louder > 0, louder, 1), 0)
-            costs = np.where(apart <= tolerance, costs, _FAR)
+            costs = r.weights[0] * apart / r.tolerance + r.weights[1] * np.where(louder > 0, np.abs(a0 - a1) / np.where(louder > 0, louder, 1), 0)
+            costs = np.where(apart <= r.tolerance, costs, _FAR)
             for row, column in assign(costs):  # assigned first, gated after
                 cost = costs[row, column]
-                if cost > max_cost:
+                if cost > r.max_cost:
                     continue
                 others = np.concatenate([np.delete(costs[row], column), np.delete(costs[:, column], row)])
                 others = others[others < _FAR]
                 margin = float(others.min() - cost) if len(others) else None
-                active[row].append((frame, *peaks[column], float(cost), margin, margin is not None and margin <= ambiguity, bool(cost >= near * max_cost)))
+                add(self.active[row], (frame, *peaks[column], float(cost), margin, margin is not None and margin <= r.ambiguity, bool(cost >= r.near * r.max_cost)))
                 taken.add(column)
-        active += [[(frame, *p, None, None, False, False)] for i, p in enumerate(peaks) if i not in taken]
-    kept = sorted((t for t in done + active if len(t) >= min_length), key=lambda t: (t[0][0], t[0][1]))
-    return [(i, *point) for i, t in enumerate(kept) for point in t]
+        for i, p in enumerate(peaks):
+            if i not in taken:
+                track = {"begin": (frame, p[0]), "last": (frame, *p), "held": []}
+                self.active.append(track)
+                add(track, (frame, *p, None, None, False, False))
+        return out
+
+
+def numbered(points: DataFrame) -> DataFrame:
+    """Points by begin of their track, with ``track_id`` in order of begin instead."""
+    # a row a track, and not a point, goes through the ordered window
+    tracks = points.select("recording_id", "begin_frame", "begin_hz").distinct()
+    tracks = tracks.withColumn("track_id", F.row_number().over(Window.partitionBy("recording_id").orderBy("begin_frame", "begin_hz")).cast("long") - 1)
+    found = points.join(tracks, ["recording_id", "begin_frame", "begin_hz"])
+    return found.select("recording_id", "track_id", "frame", "t_s", "frequency_hz", "amplitude", "cost", "margin", "ambiguous", "near_threshold")
+
+
+_POINTS = "begin_frame long, begin_hz double, frame long, t_s double, frequency_hz double, amplitude double, cost double, margin double, ambiguous boolean, near_threshold boolean"
+
+
+def track_long(peaks: DataFrame, rules: Rules | None = None) -> DataFrame:
+    """``track_peaks`` for recordings of any length: peaks come in order, batch by batch, and only the follower's state is held."""
+    rules = rules or Rules()
+    kind = dict(peaks.dtypes)["recording_id"]
+    names = ["recording_id", *(c.split()[0] for c in _POINTS.split(", "))]
+    types = [pa.int64(), pa.float64(), pa.int64(), *[pa.float64()] * 5, pa.bool_(), pa.bool_()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, follower, frame, peaks_of, times = None, None, None, [], {}
+
+        def settle() -> list[tuple]:
+            """Points of the frame that has come whole; times of frames that no held point needs are forgotten."""
+            if follower is None:
+                return []
+            out = [(own, *p[:3], times[p[2]], *p[3:]) for p in follower.step(frame, peaks_of)]
+            needed = {p[0] for t in follower.active for p in t["held"] or ()}
+            for n in [n for n in times if n not in needed]:
+                del times[n]
+            return out
+
+        for batch in batches:
+            rows: list[tuple] = []
+            kinds = batch.schema.field("recording_id").type
+            for name, n, t, f, a in zip(*(batch.column(c).to_pylist() for c in ("recording_id", "frame", "t_s", "f_hz", "mag")), strict=True):
+                if follower is None or name != own or n != frame:
+                    rows += settle()
+                    if follower is None or name != own:
+                        own, follower, times = name, Follower(rules), {}
+                    frame, peaks_of = n, []
+                times[n] = t
+                peaks_of.append((f, a))
+            yield table(rows, kinds)
+        if follower is not None:
+            yield table(settle(), kinds)
+
+    def table(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [kind, *types], strict=True)], names)
+
+    ordered = peaks.select("recording_id", "frame", "t_s", "f_hz", "mag").repartition("recording_id").sortWithinPartitions("recording_id", "frame", "f_hz")
+    return numbered(ordered.mapInArrow(run, f"recording_id {kind}, {_POINTS}"))
 
 
 def track_peaks(
@@ -68,7 +172,10 @@ def track_peaks(
             if not frames or frames[-1][0] != frame:
                 frames.append((frame, []))
             frames[-1][1].append((f, a))
-        points = _follow(frames, tolerance, max_gap, min_length, weights, max_cost, ambiguity, near)
+        follower = Follower(Rules(tolerance, max_gap, min_length, weights, max_cost, ambiguity, near))
+        found = [p for frame, held in frames for p in follower.step(frame, held)]
+        number = {b: i for i, b in enumerate(sorted({p[:2] for p in found}))}
+        points = sorted((number[p[:2]], *p[2:]) for p in found)
         name = table.column("recording_id")[0].as_py()
         columns = list(zip(*((name, t, f, when[f], *rest) for t, f, *rest in points), strict=True)) or [[]] * len(names)
         kinds = [table.column("recording_id").type, pa.int64(), pa.int64(), *[pa.float64()] * 5, pa.bool_(), pa.bool_()]

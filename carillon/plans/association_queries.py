@@ -18,6 +18,8 @@ def tracks(s, d):
 
 
 query("track_points", tracks)
+# the same points, with no more held than the tracks that may go on
+query("track_points_long", lambda s, d: tracking.track_long(frame_peaks(frames(s, d), 0.01), tracking.Rules(tolerance=0.3, max_gap=1)))
 query("track_features_kernel", lambda s, d: tracking.track_features(tracks(s, d)))
 
 

@@ -202,3 +202,61 @@ def test_exports_appear_whole_or_not_at_all(spark, tmp_path, monkeypatch):
     assert p.publication_problems(spark, root) == []
     spark.createDataFrame([(12, 24, "x")], "recording_id long, candidate_id long, note string").write.mode("overwrite").parquet(f"{root}/v000004/candidates")
     assert p.publication_problems(spark, root) == ["candidates: other content"]
+
+
+def moving_peaks(recordings=3, frames=60, seed=5):
+    """Crossing, fading and returning tones with stray peaks."""
+    rng = random.Random(seed)
+    rows = []
+    for rec in range(recordings):
+        tones = [(100.0 * (k + 1) + rng.uniform(-5, 5), rng.uniform(-0.6, 0.6)) for k in range(6)]
+        for n in range(frames):
+            if rng.random() < 0.06:
+                continue
+            for f, drift in tones:
+                if rng.random() < 0.85:
+                    rows.append((rec, n, 0.01 * n, f + drift * n + rng.uniform(-0.5, 0.5), rng.random()))
+            rows += [(rec, n, 0.01 * n, rng.uniform(50, 700), rng.random()) for _ in range(rng.randint(0, 2))]
+    return rows
+
+
+@pytest.mark.parametrize("batch", [1, 7, 10_000])
+def test_long_recordings_are_tracked_as_whole_ones(spark, batch):
+    from carillon.operators import tracking
+
+    df = spark.createDataFrame(moving_peaks(), "recording_id long, frame long, t_s double, f_hz double, mag double").repartition(4)
+    rules = tracking.Rules(0.02, 2, 3, (1.0, 0.2))
+    want = sorted(map(tuple, tracking.track_peaks(df, 0.02, 2, 3, (1.0, 0.2)).collect()), key=str)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = sorted(map(tuple, tracking.track_long(df, rules).collect()), key=str)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want and len({r[:2] for r in got}) > 15
+
+
+def test_streamed_tracks_equal_whole_ones_and_late_peaks_come_out(spark, tmp_path):
+    import os
+
+    from carillon.operators import tracking
+    from carillon.streaming import track_stream
+
+    schema = "recording_id long, frame long, t_s double, f_hz double, mag double"
+    rows, rules = moving_peaks(2, 40), tracking.Rules(0.02, 1, 2)
+    want = sorted((str(r.recording_id), r.track_id, r.frame, r.frequency_hz, r.cost, r.margin) for r in tracking.track_peaks(spark.createDataFrame(rows, schema), 0.02, 1, 2).collect())
+    # one file a batch: frames 12 and 13 come a batch late, but within what waits; frame 100 lets the last ones go; frame 2 is too late then
+    takes = [lambda n: n < 9, lambda n: n == 9, lambda n: 10 <= n < 16 and n not in (12, 13), lambda n: n in (12, 13) or 16 <= n < 19, lambda n: n >= 19]
+    parts = [[r for r in rows if take(r[1])] for take in takes] + [[(i, 100, 1.0, 1.0, 1.0) for i in (0, 1)], [r for r in rows if r[1] == 2]]
+    os.mkdir(f"{tmp_path}/in")
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/{k}")
+        name = next(f for f in os.listdir(f"{tmp_path}/{k}") if f.startswith("part-"))
+        os.rename(f"{tmp_path}/{k}/{name}", f"{tmp_path}/in/{k}.parquet")
+        os.utime(f"{tmp_path}/in/{k}.parquet", (1000 * (k + 1),) * 2)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    q = track_stream(stream, rules, hold=8).writeStream.format("parquet").option("path", f"{tmp_path}/out").outputMode("append").option("checkpointLocation", f"{tmp_path}/at").trigger(availableNow=True).start()
+    q.awaitTermination()
+    found = spark.read.parquet(f"{tmp_path}/out")
+    points = tracking.numbered(found.filter("NOT late AND frame < 100").withColumn("t_s", 0.01 * found["frame"]))
+    assert sorted((r.recording_id, r.track_id, r.frame, r.frequency_hz, r.cost, r.margin) for r in points.collect()) == want
+    assert sorted((r.recording_id, r.frequency_hz) for r in found.filter("late").collect()) == sorted((str(r[0]), r[3]) for r in rows if r[1] == 2)
