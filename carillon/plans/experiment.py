@@ -209,6 +209,9 @@ def _descriptors(a: Analysis) -> DataFrame:
     power = spectrum.powers(a.table("spectrum"))
     peaks = a.table("peaks")
     m = spectrum.moments(power).join(spectrum.rolloffs(power), "recording_id").join(spectrum.occupied_band(power).select("recording_id", "bandwidth_hz", "occupied_fraction"), "recording_id")
+    low, high = F.min(F.when(F.col("f_hz") > 0, F.col("f_hz"))), F.max("f_hz")
+    octaves = peaks.groupBy("recording_id").agg(F.when(high > low, F.count("*") / F.log2(high / low)).alias("density_per_octave"))
+    m = m.join(octaves, "recording_id", "left")
     return m.join(spectrum.peak_spacing(peaks), "recording_id", "left").join(spectrum.tonal_residual(power, peaks, 2 * a.settings.rate / a.settings.frame), "recording_id", "left")
 
 
@@ -266,12 +269,37 @@ def _nodes(a: Analysis) -> DataFrame:
     return association.chains(_accepted(a), a.table("cross_condition"), a.settings.labels).join(extra, "candidate_id")
 
 
+#: Names of condition metrics and the columns of a recording's descriptors and excitation that they are.
+GLOBAL_METRICS = {
+    "global_total_spectral_energy": "total", "global_spectral_centroid_hz": "centroid", "global_spectral_spread_hz": "spread", "global_spectral_rolloff_50_hz": "rolloff_50", "global_spectral_rolloff_85_hz": "rolloff_85",
+    "global_spectral_rolloff_95_hz": "rolloff_95", "global_spectral_flatness": "flatness", "global_spectral_entropy": "entropy", "global_spectral_crest_factor": "crest", "global_significant_peak_count": "peak_count",
+    "global_peak_density_per_hz": "density_per_hz", "global_peak_density_per_octave": "density_per_octave", "global_median_peak_spacing_hz": "median_spacing_hz", "global_tonal_energy_fraction": "tonal_fraction",
+    "global_occupied_bandwidth_hz": "bandwidth_hz", "global_occupied_frequency_fraction": "occupied_fraction",
+}
+EXCITATION_METRICS = {
+    "excitation_peak_absolute_amplitude": "peak_absolute", "excitation_rms_amplitude": "rms", "excitation_signal_energy": "energy", "excitation_equivalent_level_dbfs": "level_dbfs", "excitation_crest_factor": "crest",
+    "excitation_impulse_duration_s": "impulse_duration_s", "excitation_attack_duration_s": "attack_s",
+}
+#: Metrics whose value in a condition is the mean: shares of its recordings.
+SHARES = ("excitation_clipped_recording_fraction", "excitation_near_clipped_recording_fraction")
+
+
+def _background(a: Analysis) -> DataFrame:
+    """Root mean square of each recording's samples before its impact."""
+    hits = a.table("temporal").select("recording_id", "impact_n")
+    return _samples(a).join(hits, "recording_id").filter("n < impact_n").groupBy("recording_id").agg(F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("background"))
+
+
 def _metrics(a: Analysis) -> DataFrame:
-    wide = a.table("descriptors").select(
-        "recording_id", F.col("flatness").alias("global_spectral_flatness"), F.col("entropy").alias("global_spectral_entropy"), F.col("crest").alias("global_spectral_crest_factor"), F.col("density_per_hz").alias("global_peak_density_per_hz"),
-        F.col("peak_count").cast("double").alias("global_significant_peak_count"), F.col("occupied_fraction").alias("global_occupied_frequency_fraction"), F.col("tonal_fraction").alias("global_tonal_energy_fraction"), (1 - F.col("tonal_fraction")).alias("global_residual_energy_fraction"),
+    """recording_id, label_idx, metric, value: all metrics of a condition by recording, in one row a recording until the end."""
+    number = lambda c: F.col(c).cast("double")
+    wide = a.table("descriptors").select("recording_id", *(number(c).alias(n) for n, c in GLOBAL_METRICS.items()), (1 - F.col("tonal_fraction")).alias("global_residual_energy_fraction"))
+    share = lambda c: (F.col(c) / F.col("n_samples")).alias
+    loud = a.table("excitation").join(_background(a), "recording_id", "left").select(
+        "recording_id", *(number(c).alias(n) for n, c in EXCITATION_METRICS.items()), F.when((F.col("rms") > 0) & (F.col("background") > 0), 20 * F.log10(F.col("rms") / F.col("background"))).alias("excitation_signal_to_background_db"),
+        (F.col("clipped") > 0).cast("double").alias(SHARES[0]), (F.col("near_clipped") > 0).cast("double").alias(SHARES[1]),
+        share("clipped")("excitation_clipped_sample_fraction"), share("near_clipped")("excitation_near_clipping_sample_fraction"),
     )
-    loud = a.table("excitation").select("recording_id", F.col("peak_absolute").alias("excitation_peak_absolute_amplitude"), F.col("rms").alias("excitation_rms_amplitude"), F.col("energy").alias("excitation_signal_energy"))
     both = wide.join(loud, "recording_id", "left").join(_over_time(a), "recording_id", "left").join(a.recordings.select("recording_id", "label_idx"), "recording_id")
     return both.unpivot(["recording_id", "label_idx"], [c for c in both.columns if c not in ("recording_id", "label_idx")], "metric", "value")
 
@@ -292,23 +320,27 @@ def _frames(a: Analysis) -> DataFrame:
 
 
 def _over_time(a: Analysis) -> DataFrame:
-    """recording_id and, one column each, medians of the last third of its frames less those of the first, and courses over all."""
+    """recording_id and, one column each, medians over the thirds of its frames, their differences, and courses over all, from one aggregation."""
     all_of = Window.partitionBy("recording_id")
     t0, t1 = F.min("t_s").over(all_of), F.max("t_s").over(all_of)
     f = _frames(a).withColumn("at", F.when(t1 > t0, (F.col("t_s") - t0) / (t1 - t0)))
-    early, late = F.col("at") < 1 / 3, F.col("at") >= 2 / 3
-    #: Names of regional metrics and the columns they are of.
+    at = F.col("at")
+    regions = {"early": at < 1 / 3, "middle": (at >= 1 / 3) & (at < 2 / 3), "late": at >= 2 / 3}
+    #: Names of regional metrics and of courses, and the columns they are of.
     regional = {
         "spectral_flatness": F.col("flatness"), "spectral_entropy": F.col("entropy"), "tonal_energy_fraction": F.col("tonal_fraction"), "residual_energy_fraction": 1 - F.col("tonal_fraction"),
         "peak_density_per_hz": F.col("density"), "significant_peak_count": F.col("peaks"), "occupied_bandwidth_hz": F.col("occupied_hz"),
     }
+    courses = regional | {"energy_db": 10 * F.log10(F.col("energy")), "spectral_centroid_hz": F.col("centroid_hz"), "spectral_spread_hz": F.col("spread_hz")}
     valid = lambda place, c: F.median(F.when(place & F.col("valid"), c))
+    pairs = (("middle", "early"), ("late", "early"), ("late", "middle"))
     steps = f.filter("valid").select("recording_id", F.lit("flatness").alias("metric"), F.col("frame").alias("n"), "t_s", F.col("flatness").alias("value"))
     changes = stft.change_points(steps, threshold=0.15).groupBy("recording_id").agg(F.count("*").cast("double").alias("time_change_point_count"))
     m = f.groupBy("recording_id").agg(
-        *((valid(late, c) - valid(early, c)).alias(f"region_late_minus_early_{n}") for n, c in regional.items()), *(valid(late, c).alias(f"late_{n}") for n, c in regional.items()),
-        F.avg(F.col("valid").cast("double")).alias("time_temporal_coverage_fraction"), F.regr_slope(F.when(F.col("valid"), F.col("centroid_hz")), F.col("t_s")).alias("time_spectral_centroid_hz_slope_per_s"),
+        *(valid(place, c).alias(f"{region}_{n}") for region, place in regions.items() for n, c in regional.items()),
+        *(F.regr_slope(F.when(F.col("valid"), c), F.col("t_s")).alias(f"time_{n}_slope_per_s") for n, c in courses.items()), F.avg(F.col("valid").cast("double")).alias("time_temporal_coverage_fraction"),
     )
+    m = m.select("*", *((F.col(f"{x}_{n}") - F.col(f"{y}_{n}")).alias(f"region_{x}_minus_{y}_{n}") for x, y in pairs for n in regional))
     return m.join(changes, "recording_id", "left").fillna(0.0, ["time_change_point_count"])
 
 
@@ -316,7 +348,8 @@ def _condition_values(a: Analysis) -> DataFrame:
     """label_idx, metric, value: each metric's median, how many repeats there are and the largest variation within the condition."""
     c = a.table("comparison")
     repeats = c.groupBy("label_idx").agg(F.max("used").cast("double").alias("valid_repeat_count"), F.max("variation").alias("within_condition_coefficient_of_variation"))
-    return c.select("label_idx", "metric", F.col("median").alias("value")).unionByName(repeats.unpivot("label_idx", ["valid_repeat_count", "within_condition_coefficient_of_variation"], "metric", "value"))
+    value = F.when(F.col("metric").isin(*SHARES), F.col("mean")).otherwise(F.col("median"))
+    return c.select("label_idx", "metric", value.alias("value")).unionByName(repeats.unpivot("label_idx", ["valid_repeat_count", "within_condition_coefficient_of_variation"], "metric", "value"))
 
 
 def _parameters(a: Analysis) -> DataFrame:

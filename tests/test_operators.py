@@ -248,6 +248,11 @@ def test_an_analysis_sees_how_a_sound_changes(spark):
     m = _over_time(a).collect()
     assert len(m) == 2 and all(r.region_late_minus_early_spectral_flatness < -0.15 and r.time_change_point_count >= 1 and r.late_tonal_energy_fraction > 0.9 and r.time_temporal_coverage_fraction == 1.0 for r in m)
     assert a.table("regimes").first().course == "broadband_to_tonal"
+    from carillon.functions import METRIC_NAMES, recognised_metric
+
+    named = a.table("comparison").withColumn("known", recognised_metric(F.col("metric")))
+    assert named.filter("NOT known").count() == 0 and {r.metric for r in named.collect()} >= set(METRIC_NAMES)
+    assert named.filter("metric = 'global_spectral_rolloff_95_hz' AND median > 0").count() == 1 and named.filter("metric = 'time_spectral_flatness_slope_per_s' AND median < 0").count() == 1
     a.release()
 
 
