@@ -23,7 +23,7 @@ With 42 bands of 6 registers a pair at similarity 0.8 shares no bucket with like
 Defined results: words are runs of anything but ASCII white space, A-Z lower-cased; fewer
 words than a shingle make one shingle of the whole sequence; texts without words and null
 texts are empty, linked with nothing, and components of their own; every row is linked by its
-own text, also where rows share an id; a null id is larger than every other (component_id is
+own text, of any length as a whole, also where rows share an id; a null id is larger than every other (component_id is
 null where no other is reached); of a component's rows that share its smallest id all are
 kept, and one text of them is ``first``; an empty table gives no rows; other columns, whatever
 their names, are ignored.

@@ -11,7 +11,7 @@ without a piece are spelt in byte pieces.
 
 Defined results: a null text is an empty one and has no ids; texts are taken as they are
 but for the space sign (the model normalises nothing else); repeated rows are handled one by
-one; an empty table gives no rows; other columns are ignored.
+one; a text of any length is encoded whole, by its words; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ shuffled, and every document is scored alone.
 Defined results: a null text is an empty one, and empty texts have a score; labels other
 than 0 and 1 (and null ones) teach nothing; repeated labelled rows count repeatedly up to
 the sample's bound; without both classes the score is the smoothed share of label 1;
-an empty table gives no rows; other columns are ignored.
+a text of any length is counted as a whole; an empty table gives no rows; other columns are
+ignored, or stay as they are where rows are filtered.
 """
 
 from __future__ import annotations

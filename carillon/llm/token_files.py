@@ -8,7 +8,7 @@ skip by, so a reader of a few documents or of lengths alone touches few pages.
 
 Defined results: a null text is an empty one; an empty text has the end id alone; null ids
 come first; rows with equal ids are ordered by a hash of their text and repeated rows stay;
-an empty table gives empty files and no rows; other columns are ignored.
+a text of any length is one row's list; an empty table gives empty files and no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -15,8 +15,9 @@ Defined results: null urls and texts are empty ones, line ends in a url are
 %0D and %0A; a null page_id is an id of its own;
 records of one file are ordered by page_id (nulls first), url and digest, so repeated rows
 stand side by side; a record that one replica lacks or has changed is damaged; in a file,
-what follows a place where no record begins is not read; an empty table gives no rows; other
-columns, whatever their names, are ignored.
+what follows a place where no record begins is not read; a file is unpacked whole by one task, so its
+bound is 512 records, however long their texts; texts are strings, so bytes that are no UTF-8 are not kept as they
+are by a copy; an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
