@@ -255,7 +255,7 @@ def _forest(one: np.ndarray, two: np.ndarray, order: np.ndarray) -> np.ndarray:
     return np.array(kept, np.int64)
 
 
-def _few(batch: pa.RecordBatch, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _few(batch: pa.RecordBatch, percent: int, forest: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(rows, nodes, nodes): what single leaves leave, all leaves of a batch at a time."""
     sizes_of = np.array([len(x) // 8 for x in batch.column("nodes_x").to_pylist()])
     for m in np.unique(sizes_of[sizes_of <= LEAF]).tolist():
@@ -272,7 +272,12 @@ def _few(batch: pa.RecordBatch, percent: int) -> Iterator[tuple[np.ndarray, np.n
             x = np.stack([known[t][i[u]] for t, u in zip(r.tolist(), k.tolist(), strict=True)])
             y = np.stack([known[t][j[u]] for t, u in zip(r.tolist(), k.tolist(), strict=True)])
             fine = _may_link(np.minimum(x, y).sum(1, dtype=np.int64), sizes[r, i[k]], sizes[r, j[k]], percent)
-            yield rows[r[fine]], nodes[r[fine], i[k[fine]]], nodes[r[fine], j[k[fine]]]
+            r, k = r[fine], k[fine]
+            if forest and len(r):
+                ends = np.flatnonzero(np.diff(r, append=-1)) + 1  # a leaf's pairs stand together
+                kept = [a + _forest(components[r[a], i[k[a:b]]], components[r[a], j[k[a:b]]], np.arange(b - a)) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+                r, k = r[np.concatenate(kept)], k[np.concatenate(kept)]
+            yield rows[r], nodes[r, i[k]], nodes[r, j[k]]
 
 
 def _join_blocks(percent: int, inside: bool, forest: bool):
@@ -282,7 +287,7 @@ def _join_blocks(percent: int, inside: bool, forest: bool):
         for batch in batches:
             if not len(batch):
                 continue
-            found = list(_few(batch, percent)) if inside else []
+            found = list(_few(batch, percent, forest)) if inside else []
             rows = np.arange(len(batch))
             if inside:
                 rows = rows[np.array([len(x) // 8 for x in batch.column("nodes_x").to_pylist()]) > LEAF]
