@@ -111,10 +111,12 @@ def exact_top_k(vectors: DataFrame, every: int = 50, k: int = 5, query_block: in
     asked = as_blocks(fine.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"]), query_block, "query-blocks")
     counts = shards.groupBy("dim").agg((F.max("block") + 1).alias("n"))
     most = counts.agg(F.max("n")).first()[0] or 1
+    # a block is one wide row and files of blocks are small for what they hold: by their size the planner would send
+    # the repeated query blocks to the driver
     tiles = (
-        asked.join(counts, "dim")
+        asked.join(F.broadcast(counts), "dim")
         .select("dim", F.col("ids").alias("q_ids"), F.col("values").alias("q_values"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("block"))
-        .join(shards, ["dim", "block"])
+        .join(shards.hint("merge"), ["dim", "block"])
         .select("dim", "block", "q_ids", "q_values", "ids", "values")
     )
     partial = tiles.mapInArrow(trimmed(_tile(k)), "query_id long, vec_id long, score long, exact string, part long")
