@@ -57,7 +57,7 @@ query(
 for side, shift, other in (("lower", 0, "higher"), ("higher", 1, "lower")):
 
     def reasons(s, d, side=side):
-        found = association.mutual_best(costs(s, d)).withColumn("ambiguous", (F.col("pair") == 3) & (F.col("cost") <= 0.01))
+        found = aq.best(s, d).withColumn("ambiguous", (F.col("pair") == 3) & (F.col("cost") <= 0.01))
         return summaries.unmatched_reasons(refs(s, d), association.pair_costs(refs(s, d), aq.GATE), found, side, 0.5, ("tau_s",))
 
     query(
@@ -75,7 +75,7 @@ def impact_pairs(s, d):
     """Best matches with both sides' impact evidence and a class of each, here by coverage."""
     one = candidate_refs(s, d).select("candidate_id", "impact_excited", F.when(F.col("coverage") < 0.8, "weak").otherwise("strong").alias("kind"))
     low, high = (one.select(F.col("candidate_id").alias(f"{n}_candidate_id"), F.col("impact_excited").alias(f"{n}_i"), F.col("kind").alias(f"{n}_k")) for n in ("lower", "higher"))
-    j = association.mutual_best(costs(s, d)).join(low, "lower_candidate_id").join(high, "higher_candidate_id")
+    j = aq.best(s, d).join(low.hint("merge"), "lower_candidate_id").join(high.hint("merge"), "higher_candidate_id")
     return j.select("pair", "lower_candidate_id", "higher_candidate_id", summaries.impact_compatible(F.col("lower_i"), F.col("higher_i"), F.col("lower_k"), F.col("higher_k")).alias("compatible"))
 
 
@@ -88,7 +88,7 @@ query(
 _CLOSE = "c{0} AS (SELECT pair, {0}_recording_id AS rid, {0}_candidate_id AS cid FROM (SELECT *, min(cost) OVER (PARTITION BY pair, {0}_recording_id, {0}_candidate_id) AS lowest FROM pr WHERE cost <= 1) WHERE cost <= lowest + 0.1 + 1e-12 GROUP BY 1, 2, 3 HAVING count(*) >= 2)"
 query(
     "structural_context",
-    lambda s, d: summaries.structural_context(best_chains(s, d), association.splits(costs(s, d), "lower"), association.splits(costs(s, d), "higher"), reject_merge=True),
+    lambda s, d: summaries.structural_context(best_chains(s, d), association.close_partners(refs(s, d), "lower", aq.GATE), association.close_partners(refs(s, d), "higher", aq.GATE), reject_merge=True),
     f"""WITH RECURSIVE {CHAINS_SQL}, {_CLOSE.format('lower')}, {_CLOSE.format('higher')}, x AS (SELECT chain_id, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM clower c WHERE c.pair = n.label_idx AND c.rid = n.recording_id AND c.cid = n.candidate_id)) AS a, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM chigher c WHERE c.pair + 1 = n.label_idx AND c.rid = n.recording_id AND c.cid = n.candidate_id)) AS b FROM nodes n GROUP BY 1)
     SELECT chain_id, a AS split_context_count, b AS merge_context_count, b = 0 AS passes, a > 0 AND b = 0 AS requires_reservation FROM x""",
 )
@@ -320,7 +320,7 @@ query(
 
 
 def matches_view(s, d):
-    m = association.mutual_best(costs(s, d))
+    m = aq.best(s, d)
     low, high = F.col("lower_hz"), F.col("higher_hz")
     return export.in_order(
         m.select(

@@ -15,7 +15,7 @@ from .signal_queries import BINS_SQL, bins, r
 
 def nodes(s, d):
     extra = candidate_refs(s, d).select("candidate_id", "tau_s", "coverage", "impact_excited")
-    return best_chains(s, d).join(extra, "candidate_id")
+    return best_chains(s, d).join(extra.hint("merge"), "candidate_id")
 
 
 NODES_SQL = f"{CHAINS_SQL}, nd AS (SELECT nodes.*, tau_s, coverage, impact_excited FROM nodes JOIN ref USING (candidate_id))"
