@@ -15,6 +15,8 @@ from ..functions import dbfs, is_finite, ratio
 from .kernels import amplitude_spectrum, analytic_envelope, find_peaks
 
 BY = "recording_id"
+#: Recordings that a kernel holds at once, however many a batch has.
+_AT_ONCE = 256
 
 
 def _lists(rows: list[np.ndarray]) -> pa.Array:
@@ -25,7 +27,7 @@ def _per_recording(recs: DataFrame, kernel, out: str = "values") -> DataFrame:
     """``kernel(samples) -> array`` on every row of (recording_id, samples), row by row within Arrow batches."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(i, _AT_ONCE) for b in batches for i in range(0, len(b), _AT_ONCE)):
             rows = [kernel(np.asarray(s, float)) if s else np.zeros(0) for s in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(rows)], [BY, out])
 
@@ -66,12 +68,13 @@ def peaks(bins: DataFrame, height: float | None = None, prominence: float | None
     arrays = bins.groupBy(BY).agg(F.array_sort(F.collect_list(F.struct("k", "f_hz", "mag"))).alias("b"))  # one recording's bins
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(i, _AT_ONCE) for b in batches for i in range(0, len(b), _AT_ONCE)):
             ids, rows = [], []
-            for name, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                y = np.array([r["mag"] for r in b])
-                f = np.array([r["f_hz"] for r in b])
-                k = [r["k"] for r in b]
+            starts = batch.column(1).offsets.to_numpy() - batch.column(1).offsets[0].as_py()
+            flat = batch.column(1).flatten()
+            every = {c: flat.field(c).to_numpy(zero_copy_only=False) for c in ("k", "f_hz", "mag")}
+            for name, begin, end in zip(batch.column(0).to_pylist(), starts[:-1], starts[1:], strict=True):
+                k, f, y = (every[c][begin:end] for c in ("k", "f_hz", "mag"))
                 for p, prom, width in find_peaks(y, height, prominence, distance):
                     refined = None
                     if y[p - 1] > 0 and y[p] > 0 and y[p + 1] > 0:
@@ -84,7 +87,7 @@ def peaks(bins: DataFrame, height: float | None = None, prominence: float | None
                     floor = float(np.median(near)) if near else None
                     snr = 20 * float(np.log10(y[p] / floor)) if floor else None
                     ids.append(name)
-                    rows.append((k[p], float(f[p]), float(y[p]), prom, width, refined, floor, snr))
+                    rows.append((int(k[p]), float(f[p]), float(y[p]), prom, width, refined, floor, snr))
             columns = list(zip(*rows, strict=True)) or [[]] * 8
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, batch.column(0).type), pa.array(columns[0], pa.int64()), *(pa.array(c, pa.float64()) for c in columns[1:])],
