@@ -52,18 +52,26 @@ def evidence(nodes: DataFrame, labels: int = 5) -> DataFrame:
     )
 
 
-def frequency_evidence(e: DataFrame, step_hz: float = 2.0, total_hz: float = 5.0, rmse_hz: float = 1.0) -> DataFrame:
+def _frequency_evidence(e: DataFrame, step_hz: float = 2.0, total_hz: float = 5.0, rmse_hz: float = 1.0) -> DataFrame:
     many = F.col("condition_count") > 1
     ok = lambda c, limit: F.when(many, le_tol(F.col(c), F.lit(limit)))
     score = F.when(many, mean_present(upper_limit_score(F.col("max_step_hz"), step_hz), upper_limit_score(F.col("total_change_hz"), total_hz), upper_limit_score(F.col("trajectory_rmse_hz"), rmse_hz)))
-    return e.select(KEY, "max_step_hz", "total_change_hz", "trajectory_rmse_hz", ok("max_step_hz", step_hz).alias("step_ok"), ok("total_change_hz", total_hz).alias("total_ok"), ok("trajectory_rmse_hz", rmse_hz).alias("rmse_ok"), score.alias("frequency_score"))
+    return e.select("*", ok("max_step_hz", step_hz).alias("step_ok"), ok("total_change_hz", total_hz).alias("total_ok"), ok("trajectory_rmse_hz", rmse_hz).alias("rmse_ok"), score.alias("frequency_score"))
 
 
-def decay_evidence(e: DataFrame, range_limit: float = 0.5, std_limit: float = 0.25, minimum: int = 2) -> DataFrame:
+def frequency_evidence(e: DataFrame, step_hz: float = 2.0, total_hz: float = 5.0, rmse_hz: float = 1.0) -> DataFrame:
+    return _frequency_evidence(e, step_hz, total_hz, rmse_hz).select(KEY, "max_step_hz", "total_change_hz", "trajectory_rmse_hz", "step_ok", "total_ok", "rmse_ok", "frequency_score")
+
+
+def _decay_evidence(e: DataFrame, range_limit: float = 0.5, std_limit: float = 0.25, minimum: int = 2) -> DataFrame:
     enough = F.col("tau_count") >= minimum
     fine = F.when(enough, le_tol(F.col("log_tau_range"), F.lit(range_limit)) & le_tol(F.col("log_tau_std"), F.lit(std_limit)))
     score = F.when(enough, mean_present(upper_limit_score(F.col("log_tau_range"), range_limit), upper_limit_score(F.col("log_tau_std"), std_limit)))
-    return e.select(KEY, "tau_count", "log_tau_range", "log_tau_std", fine.alias("consistent"), score.alias("decay_score"))
+    return e.select("*", fine.alias("consistent"), score.alias("decay_score"))
+
+
+def decay_evidence(e: DataFrame, range_limit: float = 0.5, std_limit: float = 0.25, minimum: int = 2) -> DataFrame:
+    return _decay_evidence(e, range_limit, std_limit, minimum).select(KEY, "tau_count", "log_tau_range", "log_tau_std", "consistent", "decay_score")
 
 
 #: Weights of the score's components.
@@ -72,8 +80,7 @@ WEIGHTS = {"coverage": 1.0, "frequency": 4.0, "association": 1.0, "tracking": 1.
 
 def scores(e: DataFrame, penalty: float = 0.05) -> DataFrame:
     """Weighted mean of the available component scores less the penalty of each missing evidence."""
-    f, d = frequency_evidence(e), decay_evidence(e)
-    j = e.join(f.select(KEY, "frequency_score", "step_ok", "total_ok", "rmse_ok"), KEY).join(d.select(KEY, "decay_score", "consistent"), KEY)
+    j = _frequency_evidence(_decay_evidence(e))
     part = {
         "coverage": F.col("condition_coverage"),
         "frequency": F.col("frequency_score"),
@@ -118,12 +125,15 @@ def weighted_median(values: DataFrame, by: str, value: str, weight: str) -> Data
 def locations(nodes: DataFrame) -> DataFrame:
     """Frequency of each chain by every location method, and its dispersion."""
     w = F.coalesce("coverage", F.lit(0.0))
-    m = nodes.groupBy(KEY).agg(
+    counted, over = F.when(w > 0, w), Window.partitionBy(KEY)
+    n = nodes.select("*", F.sum(counted).over(over.orderBy("frequency_hz")).alias("__part"), F.sum(counted).over(over).alias("__total"))
+    # the median as ``weighted_median`` has it, inside the one grouping
+    middle = F.min(F.when((w > 0) & (F.col("__part") >= 0.5 * F.col("__total") - 1e-12), F.col("frequency_hz")))
+    return n.groupBy(KEY).agg(
         F.count("*").alias("n"), F.avg("frequency_hz").alias("mean_hz"), F.median("frequency_hz").alias("median_hz"), F.exp(F.avg(F.ln("frequency_hz"))).alias("geometric_hz"),
         ratio(F.sum(F.col("frequency_hz") * w), F.sum(w)).alias("weighted_mean_hz"), F.stddev_samp("frequency_hz").alias("std_hz"), (F.max("frequency_hz") - F.min("frequency_hz")).alias("range_hz"),
-        (F.stddev_pop("frequency_hz") / F.avg("frequency_hz")).alias("variation"),
+        (F.stddev_pop("frequency_hz") / F.avg("frequency_hz")).alias("variation"), middle.alias("weighted_median_hz"),
     )
-    return m.join(weighted_median(nodes.withColumn("w", w), KEY, "frequency_hz", "w").withColumnRenamed("weighted_median", "weighted_median_hz"), KEY, "left")
 
 
 def normalised_weights(nodes: DataFrame, weight: str) -> DataFrame:
