@@ -8,12 +8,11 @@ expressions over those pairs alone, and the assignment is sparse.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields, replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -30,8 +29,11 @@ _VALUES = ("frequency_hz", "stability", "tau_s", "r_squared", "impact")
 _ROWS = (
     "kind string, cluster_id long, recording_id string, candidate_id long, frequency_hz double, medoid_recording_id string, medoid_candidate_id long, "
     + ", ".join(f"{c}_cost double" for c in COSTS)
-    + ", cost double, reason string, selected boolean, row_margin double, column_margin double, ambiguous boolean"
+    + ", cost double, reason string, selected boolean, row_margin double, column_margin double, ambiguous boolean, cluster_size long, least_cost double, compared long, vague boolean"
 )
+#: Pairs of a new candidate and a member that are compared at once.
+_AT_ONCE = 1 << 18
+_CALL = 4096  # references
 
 
 @dataclass(frozen=True)
@@ -86,13 +88,60 @@ def _expanded(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
 
 
-def clustered(names: list[tuple[str, int]], values: np.ndarray, limits: Limits) -> tuple[list[list[int]], list[bool], list[dict]]:
-    """Clusters of places in ``names``, which are in order, whether each was ambiguous, and the pairs that were compared."""
+def _consistent(clusters: list[list[int]], near: np.ndarray, new: np.ndarray, values: np.ndarray, limits: Limits) -> np.ndarray:
+    """Whether every member of each cluster in ``near`` admits the candidate beside it; a bounded part at a time."""
+    flat = np.array([i for c in clusters for i in c])
+    size = np.array([len(c) for c in clusters])
+    first, sizes = (np.cumsum(size) - size)[near], size[near]
+    ends = np.cumsum(sizes)
+    fine = np.ones(len(near), bool)
+    i = 0
+    while i < len(near):
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] - sizes[i] + _AT_ONCE, "right")))
+        pair = np.repeat(np.arange(i, j), sizes[i:j])
+        admits = _compared(values[flat[_expanded(first[i:j], sizes[i:j])]], values[new[pair]], limits)[2] == ""
+        fine[i:j] = np.bincount(pair - i, ~admits, j - i) == 0
+        i = j
+    return fine
+
+
+@dataclass
+class Pairs:
+    """Pairs of a cluster's medoid and a candidate that were compared: an array a column, places in ``names``."""
+
+    cluster: np.ndarray
+    of: np.ndarray
+    medoid: np.ndarray
+    costs: np.ndarray
+    cost: np.ndarray
+    reason: np.ndarray
+    selected: np.ndarray
+    margins: np.ndarray
+    ambiguous: np.ndarray
+
+
+@dataclass
+class Seen:
+    """Of every candidate, on both sides of its pairs: the least cost, how many there are, and whether any is ambiguous."""
+
+    least: np.ndarray
+    compared: np.ndarray
+    vague: np.ndarray
+
+    def add(self, place: np.ndarray, cost: np.ndarray, vague: np.ndarray) -> None:
+        np.minimum.at(self.least, place, cost)
+        self.compared += np.bincount(place, minlength=len(self.compared))
+        self.vague[place[vague]] = True
+
+
+def clustered(names: list[tuple[str, int]], values: np.ndarray, limits: Limits, listed: bool = True) -> tuple[list[list[int]], list[bool], list[Pairs], Seen]:
+    """Clusters of places in ``names``, which are in order, whether each was ambiguous, the pairs that were compared (none unless ``listed``), and what they tell of each candidate."""
     recordings = [n[0] for n in names]
     starts = [0, *(i for i in range(1, len(names)) if recordings[i] != recordings[i - 1]), len(names)]
     clusters: list[list[int]] = []
     unsure: list[bool] = []
-    compared: list[dict] = []
+    pairs: list[Pairs] = []
+    seen = Seen(np.full(len(names), np.inf), np.zeros(len(names), np.int64), np.zeros(len(names), bool))
     medoids = np.zeros(0, int)
     for begin, end in zip(starts, starts[1:]):
         own = np.arange(begin, end)[np.argsort(values[begin:end, 0], kind="stable")]
@@ -107,12 +156,7 @@ def clustered(names: list[tuple[str, int]], values: np.ndarray, limits: Limits)
             new = own[_expanded(first, counts)]
             costs, total, reason = _compared(values[medoids[near]], values[new], limits)
             # every member of the cluster must admit the new one
-            sizes = np.array([len(clusters[c]) for c in near.tolist()])
-            members = np.concatenate([clusters[c] for c in near.tolist()])
-            pair = np.repeat(np.arange(len(near)), sizes)
-            admits = _compared(values[members], values[new[pair]], limits)[2] == ""
-            consistent = np.bincount(pair, ~admits, len(near)) == 0
-            reason = np.where(consistent, reason, "cluster_internal_inconsistency")
+            reason = np.where(_consistent(clusters, near, new, values, limits), reason, "cluster_internal_inconsistency")
             fine = np.flatnonzero(reason == "")
             chosen = np.zeros(len(near), bool)
             margins = np.full((len(near), 2), np.nan)
@@ -121,9 +165,11 @@ def clustered(names: list[tuple[str, int]], values: np.ndarray, limits: Limits)
                 columns, column_codes = np.unique(new[fine], return_inverse=True)
                 match, *_ = sparse_assign(row_codes, column_codes, total[fine])
                 chosen[fine] = match[row_codes] == column_codes
+                rest = ~chosen[fine]
                 for k, codes in enumerate((row_codes, column_codes)):
-                    rest = ~chosen[fine]
-                    other = pd.Series(total[fine][rest]).groupby(codes[rest]).min().reindex(range(codes.max() + 1)).to_numpy()
+                    other = np.full(codes.max() + 1, np.inf)
+                    np.minimum.at(other, codes[rest], total[fine][rest])
+                    other[np.bincount(codes[rest], minlength=len(other)) == 0] = np.nan
                     margins[fine, k] = np.where(chosen[fine], other[codes] - total[fine], np.nan)
                 for c, i in zip(near[chosen].tolist(), new[chosen].tolist(), strict=True):
                     taken[i] = c
@@ -131,12 +177,10 @@ def clustered(names: list[tuple[str, int]], values: np.ndarray, limits: Limits)
             vague = chosen & ((least <= limits.ambiguity_margin) | np.isclose(least, limits.ambiguity_margin, rtol=1e-12, atol=1e-12))
             for c in near[vague].tolist():
                 unsure[c] = True
-            for k in range(len(near)):
-                m = names[medoids[near[k]]]
-                compared.append(
-                    {"cluster": int(near[k]), "of": int(new[k]), "medoid_recording_id": m[0], "medoid_candidate_id": m[1], "cost": total[k], "reason": str(reason[k]) or None, "selected": bool(chosen[k])}
-                    | {"row_margin": margins[k, 0], "column_margin": margins[k, 1], "ambiguous": bool(vague[k])} | {f"{n}_cost": costs[k, j] for j, n in enumerate(COSTS)}
-                )
+            seen.add(new, total, vague)
+            seen.add(medoids[near], total, vague)
+            if listed:
+                pairs.append(Pairs(near, new, medoids[near], costs, total, reason, chosen, margins, vague))
         before = len(clusters)
         for i in range(begin, end):
             if i in taken:
@@ -148,7 +192,7 @@ def clustered(names: list[tuple[str, int]], values: np.ndarray, limits: Limits)
         medoids = np.concatenate([medoids, np.array([c[0] for c in clusters[before:]], int)])
         if len(moved):
             medoids[sorted(set(taken.values()))] = moved
-    return clusters, unsure, compared
+    return clusters, unsure, pairs, seen
 
 
 def _medoid(names: list[tuple[str, int]], values: np.ndarray, members: list[int]) -> int:
@@ -157,10 +201,11 @@ def _medoid(names: list[tuple[str, int]], values: np.ndarray, members: list[int]
     return min(members, key=lambda i: (abs(values[i, 0] - middle), names[i]))
 
 
-def associate(refs: DataFrame, limits: Limits) -> DataFrame:
-    """Members of clusters (kind ``member``) and compared pairs (kind ``pair``) of every label, and experiment.
+def associate(refs: DataFrame, limits: Limits, listed: bool = True) -> DataFrame:
+    """Members of clusters (kind ``member``) and compared pairs (kind ``pair``, none unless ``listed``) of every label, and experiment.
 
-    A pair is a cluster's medoid with a candidate that its gates reach; its reason says why it is not admissible.
+    A member has the size of its cluster and, of the pairs it was in on either side, their number, the least cost and whether any was ambiguous,
+    so that only those who want the pairs, whose number grows with the square of a group, list them.  A pair is a cluster's medoid with a candidate that its gates reach; its reason says why it is not admissible.
     A reference without a positive frequency stands alone.  Cluster ids are unique within a label and rise with frequency
     groups and the order of begin; they have gaps.
     """
@@ -182,26 +227,54 @@ def associate(refs: DataFrame, limits: Limits) -> DataFrame:
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(c, "ascending") for c in _KEY])
+        table = table.sort_by([(c, "ascending") for c in ("grp", *_KEY)])
         names = list(zip(*(table.column(c).to_pylist() for c in _KEY), strict=True))
         values = np.stack([table.column(c).to_numpy(zero_copy_only=False).astype(float) for c in _VALUES], 1)
-        single = ~(values[:, 0] > 0)
-        fine = np.flatnonzero(~single)
-        clusters, unsure, compared = clustered([names[i] for i in fine], values[fine], limits) if len(fine) else ([], [], [])
-        clusters = [[int(fine[i]) for i in c] for c in clusters] + [[int(i)] for i in np.flatnonzero(single)]
-        unsure += [False] * int(single.sum())
-        first = table.column("grp")[0].as_py()
-        same = {c: table.column(c)[0].as_py() for c in key}
-
-        def row(i: int, **more) -> dict:
-            hz = float(values[i, 0])
-            more = {k: None if isinstance(v, float) and np.isnan(v) else v for k, v in more.items()}
-            return same | {"recording_id": names[i][0], "candidate_id": names[i][1], "frequency_hz": None if np.isnan(hz) else hz} | more
-
-        rows = [row(i, kind="member", cluster_id=first + k, ambiguous=unsure[k]) for k, c in enumerate(clusters) for i in c]
-        for p in compared:
-            rows.append(row(int(fine[p.pop("of")]), kind="pair", cluster_id=first + p.pop("cluster"), **{k: v.item() if isinstance(v, np.generic) else v for k, v in p.items()}))
-        return pa.Table.from_pylist(rows, arrow)
+        groups = table.column("grp").to_numpy(zero_copy_only=False)
+        least, compared, vague = np.full(len(names), np.inf), np.zeros(len(names), np.int64), np.zeros(len(names), bool)
+        clusters: list[np.ndarray] = []
+        ids: list[int] = []
+        unsure: list[bool] = []
+        pairs: list[Pairs] = []
+        starts = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), len(names)]
+        for begin, end in zip(starts, starts[1:]):
+            first, single = int(groups[begin]), ~(values[begin:end, 0] > 0)
+            fine = begin + np.flatnonzero(~single)
+            own: list[np.ndarray] = []
+            if len(fine) > 1:
+                found, vaguely, some, seen = clustered([names[i] for i in fine], values[fine], limits, listed)
+                own = [fine[c] for c in found]
+                unsure += vaguely
+                least[fine], compared[fine], vague[fine] = seen.least, seen.compared, seen.vague
+                pairs += [replace(p, cluster=first + p.cluster, of=fine[p.of], medoid=fine[p.medoid]) for p in some]
+            alone = (fine if len(fine) == 1 else fine[:0]).tolist() + (begin + np.flatnonzero(single)).tolist()
+            unsure += [False] * len(alone)
+            own += [np.array([i]) for i in alone]
+            ids += range(first, first + len(own))
+            clusters += own
+
+        def rows(kind: str, place: np.ndarray, columns: dict) -> pa.Table:
+            own = table.take(place)
+            known = {c: own.column(c) for c in key} | {c: own.column(c) for c in (*_KEY, "frequency_hz")} | {"kind": pa.array([kind] * len(place))} | columns
+            return pa.table([known[n] if n in known else pa.nulls(len(place)) for n in arrow.names], arrow.names).cast(arrow)
+
+        number = lambda x: pa.array(x, from_pandas=True)
+        size = np.array([len(c) for c in clusters])
+        place = np.concatenate(clusters)
+        out = rows("member", place, {
+            "cluster_id": np.repeat(np.array(ids), size), "ambiguous": np.repeat(np.array(unsure, bool), size), "cluster_size": np.repeat(size, size),
+            "least_cost": number(np.where(compared[place] > 0, least[place], np.nan)), "compared": compared[place], "vague": vague[place],
+        })
+        if not pairs:
+            return out
+        p = Pairs(*(np.concatenate([getattr(x, f.name) for x in pairs]) for f in fields(Pairs)))
+        medoid, reason = table.take(p.medoid), p.reason.astype(object)
+        reason[reason == ""] = None
+        listing = rows("pair", p.of, {
+            "cluster_id": p.cluster, "medoid_recording_id": medoid.column("recording_id"), "medoid_candidate_id": medoid.column("candidate_id"), **{f"{c}_cost": number(p.costs[:, j]) for j, c in enumerate(COSTS)},
+            "cost": number(p.cost), "reason": pa.array(reason, pa.string()), "selected": p.selected, "row_margin": number(p.margins[:, 0]), "column_margin": number(p.margins[:, 1]), "ambiguous": p.ambiguous,
+        })
+        return pa.concat_tables([out, listing])
 
     # without the repartition the groups would stay as the windows dealt them, a condition in a task
     if absolute is not None:
@@ -209,7 +282,9 @@ def associate(refs: DataFrame, limits: Limits) -> DataFrame:
     else:
         scale = held.withColumn("hz", F.col("frequency_hz")).withColumn("frequency_hz", F.when(F.col("hz") > 0, F.log2("hz")))
         grouped = gate_groups(scale, float(octaves)).withColumn("frequency_hz", F.col("hz")).drop("hz")
-    return grouped.repartition(*key, "grp").groupBy(*key, "grp").applyInArrow(run, schema)
+    # groups that begin within so many references are one call: most hold a few references only
+    grouped = grouped.withColumn("call", F.floor(F.col("grp") / _CALL))
+    return grouped.repartition(*key, "call").groupBy(*key, "call").applyInArrow(run, schema)
 
 
 def members(found: DataFrame) -> DataFrame:
@@ -254,14 +329,26 @@ def alone(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.join(single, [*key, "cluster_id"], "left_semi").join(seen, [*key, *_KEY], "left").select(*key, *_KEY, "frequency_hz", reason, "minimum_cost", F.coalesce("compared", F.lit(0)).alias("compared"))
 
 
+def alone_members(found: DataFrame) -> DataFrame:
+    """``alone`` of what ``associate`` found, listed or not, without a join."""
+    key = [*scope_of(found), "label_idx"]
+    reason = F.when(F.col("vague"), "ambiguous_match").otherwise("no_compatible_cluster").alias("reason")
+    return found.filter("kind = 'member' AND cluster_size = 1").select(*key, *_KEY, "frequency_hz", reason, F.col("least_cost").alias("minimum_cost"), "compared")
+
+
 def invariants(rows: DataFrame, limits: Limits) -> DataFrame:
-    """Every member: how many clusters hold it, whether it is its recording's only one there, and whether all others are within the gates."""
+    """Every member: how many clusters hold it, whether it is its recording's only one there, and whether all others are within the gates.
+
+    Clusters have a member a recording, so windows over them are small; the rows, which are a kernel's work, are made once.
+    """
     key = [*scope_of(rows), "label_idx"]
-    held = rows.groupBy(*key, *_KEY).agg(F.count("*").alias("clusters"))
-    per = rows.groupBy(*key, "cluster_id", "recording_id").agg(F.count("*").alias("c")).select(*key, "cluster_id", "recording_id", (F.col("c") == 1).alias("only_one"))
-    ends = rows.groupBy(*key, "cluster_id").agg(F.min("frequency_hz").alias("a"), F.max("frequency_hz").alias("b"))
+    cluster = Window.partitionBy(*key, "cluster_id")
+    low, high = F.min("frequency_hz").over(cluster), F.max("frequency_hz").over(cluster)
+    only = F.count("*").over(Window.partitionBy(*key, "cluster_id", "recording_id")) == 1
+    held = F.count("*").over(Window.partitionBy(*key, *_KEY))
     gap = dict(zip(GATES, (F.col("b") - F.col("a"), (F.col("b") - F.col("a")) / (0.5 * (F.col("a") + F.col("b"))), F.log2(F.col("b") / F.col("a"))), strict=True))
     within = F.lit(True)
     for name, g in limits.gates.items():
         within = within & le_tol(gap[name], F.lit(g))
-    return rows.join(held, [*key, *_KEY]).join(per, [*key, "cluster_id", "recording_id"]).join(ends, [*key, "cluster_id"]).select(*key, *_KEY, "frequency_hz", "clusters", "only_one", within.alias("within_gates"))
+    r = rows.select(*key, "cluster_id", *_KEY, "frequency_hz", low.alias("a"), high.alias("b"), only.alias("only_one")).withColumn("clusters", held)
+    return r.select(*key, *_KEY, "frequency_hz", "clusters", "only_one", within.alias("within_gates"))

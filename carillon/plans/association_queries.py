@@ -257,7 +257,7 @@ query(
 def experiment_refs(s, d):
     """The references with figures of their tracks, an experiment for each type."""
     part = s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("candidate_id"), F.col("p_type").alias("experiment_id"))
-    return tracked_refs(s, d).join(part, "candidate_id")
+    return tracked_refs(s, d).join(part.hint("merge"), "candidate_id")
 
 
 def admissible_pairs(s, d):
@@ -315,7 +315,7 @@ WITHIN = within.Limits(
 def repeated(s, d):
     """All accepted references, each in its type's experiment."""
     part = s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("candidate_id"), F.col("p_type").alias("experiment_id"))
-    return repeats(s, d).join(part, "candidate_id")
+    return repeats(s, d).join(part.hint("merge"), "candidate_id")  # wide rows in a small file, which the planner would send to the driver
 
 
 def within_totals(refs):
@@ -323,19 +323,14 @@ def within_totals(refs):
 
 
 query("within_pairs", lambda s, d: within.compared_pairs(within.associate(repeated(s, d), WITHIN)))
-query("within_clusters", lambda s, d: within.cluster_criteria(within.members(within.associate(repeated(s, d), WITHIN)), within_totals(repeated(s, d)), WITHIN))
+query("within_clusters", lambda s, d: within.cluster_criteria(within.members(within.associate(repeated(s, d), WITHIN, listed=False)), within_totals(repeated(s, d)), WITHIN))
 
 
-def left_alone(s, d):
-    found = within.associate(repeated(s, d), WITHIN)
-    return within.alone(within.members(found), within.compared_pairs(found))
-
-
-query("within_unmatched", left_alone)
+query("within_unmatched", lambda s, d: within.alone_members(within.associate(repeated(s, d), WITHIN, listed=False)))
 # SQL can't cluster, but knows every reference that must lie in one cluster, alone of its recording there and within the gates
 query(
     "within_invariants",
-    lambda s, d: within.invariants(within.members(within.associate(repeated(s, d), WITHIN)), WITHIN),
+    lambda s, d: within.invariants(within.members(within.associate(repeated(s, d), WITHIN, listed=False)), WITHIN),
     f"""WITH {REF_SQL} SELECT p_type AS experiment_id, label_idx, recording_id, candidate_id, {r('frequency_hz', 'frequency_hz')}, 1::BIGINT AS clusters, TRUE AS only_one, TRUE AS within_gates
     FROM ref JOIN part ON p_partkey = candidate_id WHERE accepted""",
 )

@@ -254,7 +254,7 @@ def _accepted(a: Analysis) -> DataFrame:
 def _within(a: Analysis) -> DataFrame:
     """Clusters of each condition's repeats."""
     limits = within.Limits({"absolute_frequency_gate": a.settings.gate_hz}, a.settings.within_weights, a.settings.maximum_cost, a.settings.ambiguity)
-    return within.members(within.associate(_accepted(a), limits))
+    return within.members(within.associate(_accepted(a), limits, listed=False))
 
 
 def _across(a: Analysis) -> DataFrame:
