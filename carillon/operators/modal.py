@@ -6,12 +6,16 @@ and weights are keyword arguments.
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import le_tol, ratio
 
@@ -175,44 +179,79 @@ def decay(nodes: DataFrame, range_limit: float = 0.5, std_limit: float = 0.25, m
     )
 
 
+_DRAWS = 16  # draws whose places are kept from batch to batch
+_AT_ONCE = 1 << 21
+
+
+def _hashes(seed: int, first: int, last: int, n: int) -> np.ndarray:
+    """What the draws of samples ``first`` to ``last`` are taken by, a row a sample."""
+    return np.array([[int(hashlib.md5(f"{seed}:{k}:{i}".encode()).hexdigest()[:8], 16) for i in range(n)] for k in range(first, last)], np.int64)
+
+
+def _resampled(values: np.ndarray, hashes: Callable[[int, int], np.ndarray], samples: int, middle: bool) -> np.ndarray:
+    """The location of every sample (a row each) of every row of ``values``."""
+    n = values.shape[1]
+    out, columns = np.empty((samples, len(values))), np.ascontiguousarray(values.T)
+    step = max(1, _AT_ONCE // (n * max(1, len(values))))
+    for k in range(0, samples, step):
+        places = hashes(k, min(k + step, samples)) % n
+        if middle:
+            drawn = np.sort(columns[places], axis=1)
+            out[k : k + step] = (drawn[:, (n + 1) // 2 - 1] + drawn[:, n // 2]) / 2
+        else:
+            total = np.zeros((len(places), len(values)))
+            for draw in places.T:
+                total += columns[draw]
+            out[k : k + step] = total / n
+    return out
+
+
 def bootstrap(nodes: DataFrame, value: str = "frequency_hz", location: str = "mean", samples: int = 200, seed: int = 0, level: float = 0.95) -> DataFrame:
     """Bounds and deviation of a chain's location from resampling with replacement.
 
     location: mean, median or geometric (the mean in the domain of logarithms).  Missing values, and others than positive
     ones for geometric, take no part.  Draws come from the md5 of ``seed:sample:draw``, so any
-    engine repeats them; a chain's values, one a label at most, are an array and a sample is a
-    function of it, without a row for each sample.
+    engine repeats them; they are the same for all chains and are hashed once a task.  A chain's values, one a label at most,
+    are an array; chains of equal length are resampled together, a bounded part at a time.
     """
     v = F.ln(value) if location == "geometric" else F.col(value)
     fine = F.col(value).isNotNull() & ~F.isnan(value) & (F.col(value) > 0 if location == "geometric" else F.lit(True))
-    held = nodes.filter(fine).groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("node_index", v.alias("v")))).alias("s")).select(KEY, F.col("s.v").alias("v"), F.size("s").alias("n"))
-
-    def drawn(sample: Column) -> Column:
-        def one(draw: Column) -> Column:
-            name = F.concat_ws(":", F.lit(str(seed)), sample.cast("string"), draw.cast("string"))
-            return F.element_at("v", (F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long") % F.col("n") + 1).cast("int"))
-
-        return F.transform(F.sequence(F.lit(0), F.col("n") - 1), one)
-
-    def total(a: Column) -> Column:
-        return F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
-
-    def middle(a: Column) -> Column:
-        a = F.array_sort(a)
-        return (F.element_at(a, F.floor((F.size(a) + 1) / 2).cast("int")) + F.element_at(a, (F.floor(F.size(a) / 2) + 1).cast("int"))) / 2
-
-    made = F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda k: middle(drawn(k)) if location == "median" else total(drawn(k)) / F.col("n"))
-    back = F.exp if location == "geometric" else (lambda c: c)
-    made = held.select(KEY, F.array_sort(F.transform(made, back)).alias("m"))
+    held = nodes.filter(fine).groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("node_index", v.cast("double").alias("v")))).alias("s")).select(KEY, F.col("s.v").alias("v"))
+    schema = StructType([held.schema[KEY], *(StructField(c, DoubleType()) for c in ("lower", "upper", "std"))])
+    arrow = to_arrow_schema(schema)
 
-    def quantile(q: float) -> Column:
+    def quantile(m: np.ndarray, q: float) -> np.ndarray:
         low, share = int(q * (samples - 1)), q * (samples - 1) % 1
-        one, two = F.element_at("m", low + 1), F.element_at("m", min(low + 2, samples))
+        one, two = m[low], m[min(low + 1, samples - 1)]
         return one + (two - one) * share
 
-    mean = total(F.col("m")) / samples
-    std = F.sqrt(F.aggregate("m", F.lit(0.0), lambda x, y: x + (y - F.col("mean")) * (y - F.col("mean"))) / (samples - 1))
-    return made.withColumn("mean", mean).select(KEY, quantile((1 - level) / 2).alias("lower"), quantile((1 + level) / 2).alias("upper"), std.alias("std"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _hashes(seed, 0, samples, _DRAWS)
+        for batch in batches:
+            lists = batch.column("v")
+            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            begin, size = ends[:-1], np.diff(ends)
+            for n in np.unique(size):
+                hashes = (lambda i, j, n=n: known[i:j, :n]) if n <= _DRAWS else (lambda i, j, n=n: _hashes(seed, i, j, n))
+                rows = np.flatnonzero(size == n)
+                step = max(1, _AT_ONCE // max(samples, int(n)))
+                for i in range(0, len(rows), step):
+                    x = rows[i : i + step]
+                    m = _resampled(flat[begin[x][:, None] + np.arange(n)], hashes, samples, location == "median")
+                    with np.errstate(all="ignore"):
+                        m = np.sort(np.exp(m) if location == "geometric" else m, axis=0)
+                        # sums in order, as a fold over the sorted samples has them
+                        mean, square = np.zeros(len(x)), np.zeros(len(x))
+                        for row in m:
+                            mean += row
+                        mean /= samples
+                        for row in m:
+                            square += (row - mean) * (row - mean)
+                        std = np.sqrt(square / (samples - 1)) if samples > 1 else np.full(len(x), np.nan)
+                        columns = [batch.column(KEY).take(pa.array(x)), *(pa.array(c) for c in (quantile(m, (1 - level) / 2), quantile(m, (1 + level) / 2))), pa.array(std, from_pandas=samples < 2)]
+                    yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    return held.mapInArrow(run, schema)
 
 
 def parameter_status(hypothesis: DataFrame, place: DataFrame, decays: DataFrame, variation: float = 0.02) -> DataFrame:
