@@ -74,9 +74,11 @@ def evaluate(metrics: DataFrame, limited: DataFrame | None = None, factor: float
 
     limited: labels whose peak spacing is near the resolution; there density criteria weigh ``factor``.
     """
-    labels = metrics.select("label_idx").distinct()
     cat = catalogue(metrics.sparkSession, thresholds)
-    rows = labels.join(F.broadcast(cat)).join(metrics, ["label_idx", "metric"], "left")  # a fixed catalogue for each label
+    # a label's values in one row, so that the metrics are read once and not joined with their own labels
+    held = metrics.groupBy("label_idx").agg(F.collect_list(F.struct("metric", "value")).alias("held"))
+    rows = held.join(F.broadcast(cat))  # a fixed catalogue for each label
+    rows = rows.select("*", F.explode_outer(F.filter("held", lambda m: m.metric == F.col("metric"))).alias("m")).select("*", "m.value").drop("held", "m")
     v, t = F.col("value"), F.col("threshold")
     op = F.col("op")
     passed = (

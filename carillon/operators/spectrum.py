@@ -19,31 +19,26 @@ BY = "recording_id"
 _AT_ONCE = 256
 
 
-def _lists(rows: list[np.ndarray]) -> pa.Array:
-    return pa.array([r.tolist() for r in rows], pa.list_(pa.float64()))
-
-
 def _per_recording(recs: DataFrame, kernel, out: str = "values") -> DataFrame:
-    """``kernel(samples) -> array`` on every row of (recording_id, samples), row by row within Arrow batches."""
+    """``kernel(samples) -> array`` on every row of (recording_id, samples) and how many samples it has, row by row within Arrow batches."""
 
     def run(batches):
         for batch in (b.slice(i, _AT_ONCE) for b in batches for i in range(0, len(b), _AT_ONCE)):
-            rows = [kernel(np.asarray(s, float)) if s else np.zeros(0) for s in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(rows)], [BY, out])
+            held = [np.asarray(s or (), float) for s in batch.column(1).to_pylist()]
+            rows = [kernel(x) if len(x) else np.zeros(0) for x in held]
+            ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+            values = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0), *rows])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in held], pa.int32()), values], [BY, "size", out])
 
     kind = dict(recs.dtypes)[BY]
-    return recs.select(BY, "samples").mapInArrow(run, f"{BY} {kind}, {out} array<double>")
+    return recs.select(BY, "samples").mapInArrow(run, f"{BY} {kind}, size int, {out} array<double>")
 
 
 def spectrum_bins(recs: DataFrame, rate: float, window: str = "hann", n_fft: int | None = None, remove_mean: bool = True) -> DataFrame:
     """recording_id, k, f_hz, mag."""
-    size = F.lit(n_fft) if n_fft else F.size("samples")
-    known = recs.filter(F.size("samples") > 0)
-    mags = _per_recording(known, lambda x: amplitude_spectrum(x, window, n_fft, remove_mean))
-    if not n_fft:  # an even length has one bin more than half of it, an odd one as many as its upper half
-        sized = known.select(BY, size.alias("size"))
-        return mags.join(sized, BY).select(BY, "size", F.posexplode("values").alias("k", "mag")).select(BY, F.col("k").cast("long").alias("k"), (F.col("k") * rate / F.col("size")).alias("f_hz"), "mag")
-    return mags.select(BY, F.posexplode("values").alias("k", "mag")).select(BY, F.col("k").cast("long").alias("k"), (F.col("k") * rate / n_fft).alias("f_hz"), "mag")
+    mags = _per_recording(recs.filter(F.size("samples") > 0), lambda x: amplitude_spectrum(x, window, n_fft, remove_mean))
+    size = F.lit(n_fft) if n_fft else F.col("size")
+    return mags.select(BY, "size", F.posexplode("values").alias("k", "mag")).select(BY, F.col("k").cast("long").alias("k"), (F.col("k") * rate / size).alias("f_hz"), "mag")
 
 
 def hilbert_envelope(recs: DataFrame) -> DataFrame:

@@ -346,10 +346,12 @@ def _over_time(a: Analysis) -> DataFrame:
 
 def _condition_values(a: Analysis) -> DataFrame:
     """label_idx, metric, value: each metric's median, how many repeats there are and the largest variation within the condition."""
-    c = a.table("comparison")
-    repeats = c.groupBy("label_idx").agg(F.max("used").cast("double").alias("valid_repeat_count"), F.max("variation").alias("within_condition_coefficient_of_variation"))
     value = F.when(F.col("metric").isin(*SHARES), F.col("mean")).otherwise(F.col("median"))
-    return c.select("label_idx", "metric", value.alias("value")).unionByName(repeats.unpivot("label_idx", ["valid_repeat_count", "within_condition_coefficient_of_variation"], "metric", "value"))
+    one = lambda metric, value: F.struct(metric.alias("metric"), value.cast("double").alias("value"))
+    # in one grouping: Spark does not find a held table again where it is joined or united with itself
+    c = a.table("comparison").groupBy("label_idx").agg(F.collect_list(one(F.col("metric"), value)).alias("own"), F.max("used").alias("used"), F.max("variation").alias("variation"))
+    more = F.array(one(F.lit("valid_repeat_count"), F.col("used")), one(F.lit("within_condition_coefficient_of_variation"), F.col("variation")))
+    return c.select("label_idx", F.explode(F.concat("own", more)).alias("m")).select("label_idx", "m.metric", "m.value")
 
 
 def _parameters(a: Analysis) -> DataFrame:
@@ -383,7 +385,7 @@ _BUILD: dict[str, Callable[[Analysis], DataFrame]] = {
     "regimes": lambda a: regimes.describe(regimes.score(regimes.evaluate(_condition_values(a)))),
 }
 #: Stages whose rows several others read.
-_SHARED = {"spectrum", "stft", "tracking", "candidates", "cross_condition", "chains"}
+_SHARED = {"spectrum", "peaks", "stft", "frame_peaks", "tracking", "candidates", "cross_condition", "chains", "comparison"}
 
 
 def analyze(recordings: DataFrame, settings: Settings | None = None, folder: str | None = None) -> Analysis:
