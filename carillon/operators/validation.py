@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from ..functions import ratio
+from ..functions import is_finite, ratio
+from .kernels import nearest_pairs
+
+_EPS = 1e-9
 
 
 def value_errors(truth: DataFrame, found: DataFrame, on: list[str], absolute: float, relative: float) -> DataFrame:
@@ -56,22 +62,38 @@ def confusion(expected: DataFrame, found: DataFrame, on: list[str]) -> DataFrame
 
 
 def match_tracks(components: DataFrame, tracks: DataFrame, by: str = "scenario", limit_hz: float = 2.0) -> DataFrame:
-    """Tracks (by, track_id, frequency_hz) given to components (by, component_id, f0): nearest pairs first, each once."""
-    both = components.select(by, "component_id", "f0").join(tracks.select(by, "track_id", "frequency_hz"), by)
-    near = both.withColumn("apart_hz", F.abs(F.col("f0") - F.col("frequency_hz"))).filter(F.col("apart_hz") <= limit_hz)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        # nearest pairs that are nearest from both sides are taken together, then the rest is looked at again
-        left, keep = pdf.sort_values(["apart_hz", "component_id", "track_id"]), []
-        while len(left):
-            first = ~left.component_id.duplicated() & ~left.track_id.duplicated()
-            keep += left.index[first].tolist()
-            left = left[~left.component_id.isin(left.component_id[first]) & ~left.track_id.isin(left.track_id[first])]
-        return pdf.loc[keep, [by, "component_id", "track_id", "apart_hz"]]
-
-    kind = dict(near.dtypes)
-    found = near.groupBy(by).applyInPandas(run, f"{by} {kind[by]}, component_id {kind['component_id']}, track_id {kind['track_id']}, apart_hz double")
-    return components.select(by, "component_id").join(found, [by, "component_id"], "left").withColumn("status", F.when(F.col("track_id").isNull(), "missed").otherwise("matched"))
+    """Tracks (by, track_id, frequency_hz) given to components (by, component_id, f0): nearest pairs first, each once.
+
+    Of equally near pairs that with the least component goes first, then that with the least track.  No pairs are listed: both sides
+    lie on one scale, cut where neighbours are farther apart than the limit, and a run's task gets its components and tracks alone.
+    An id has one frequency; repeated rows of it are one.
+    """
+    place = lambda c: F.col(c).cast("double").alias("hz")
+    kind = {"component_id": components.schema["component_id"].dataType, "track_id": tracks.schema["track_id"].dataType}
+    own = components.select(by, place("f0"), F.col("component_id"), F.lit(None).cast(kind["track_id"]).alias("track_id"), F.lit(True).alias("wanted"))
+    both = own.unionByName(tracks.select(by, place("frequency_hz"), F.lit(None).cast(kind["component_id"]).alias("component_id"), "track_id", F.lit(False).alias("wanted")))
+    both = both.filter(is_finite(F.col("hz"))).distinct().withColumn("cell", F.floor(F.col("hz") / (4 * limit_hz + _EPS)).cast("long"))
+    # cells are chained, not rows: a run goes on where a cell's first place is within the limit of the last one before
+    w = Window.partitionBy(by).orderBy("cell")
+    cells = both.groupBy(by, "cell").agg(F.min("hz").alias("low"), F.max("hz").alias("high"))
+    fresh = F.lag("high").over(w).isNull() | (F.col("low") - F.lag("high").over(w) > limit_hz)
+    cells = cells.withColumn("at", F.when(fresh, F.col("cell"))).select(by, "cell", F.last("at", ignorenulls=True).over(w).alias("run"))
+    schema = StructType([components.schema[by], components.schema["component_id"], tracks.schema["track_id"]]).add("apart_hz", "double")
+    arrow = to_arrow_schema(schema)
+
+    def run(table: pa.Table) -> pa.Table:
+        wanted = table.column("wanted").to_numpy(zero_copy_only=False).astype(bool)
+        parts = []
+        for side, name in ((wanted, "component_id"), (~wanted, "track_id")):
+            part = table.filter(pa.array(side)).sort_by([(name, "ascending")])  # places are in the order of ids
+            parts.append((part.column(name), part.column("hz").to_numpy()))
+        (components_, f), (tracks_, g) = parts
+        i, j = nearest_pairs(f, g, limit_hz)
+        columns = {by: pa.repeat(table.column(by)[0], len(i)), "component_id": components_.take(pa.array(i)), "track_id": tracks_.take(pa.array(j)), "apart_hz": pa.array(np.abs(f[i] - g[j]))}
+        return pa.table([columns[c] for c in arrow.names], arrow.names).cast(arrow)
+
+    found = both.join(cells.hint("merge"), [by, "cell"]).drop("cell").groupBy(by, "run").applyInArrow(run, schema)
+    return components.select(by, "component_id").join(found.hint("merge"), [by, "component_id"], "left").withColumn("status", F.when(F.col("track_id").isNull(), "missed").otherwise("matched"))
 
 
 def candidate_recovery(components: DataFrame, candidates: DataFrame, by: str = "scenario", limit_hz: float = 2.0, limit_relative: float = 0.01, most_missed: int = 0, most_false: int = 0) -> DataFrame:
