@@ -102,11 +102,11 @@ def candidate_recovery(components: DataFrame, candidates: DataFrame, by: str = "
     components: by, component_id, f0, detectable; candidates: by, candidate_id, frequency_hz, accepted.
     """
     wanted = components.filter("detectable").select(by, "component_id", "f0")
-    given = match_tracks(wanted, candidates.select(by, F.col("candidate_id").alias("track_id"), "frequency_hz"), by, limit_hz).join(wanted, [by, "component_id"])
+    given = match_tracks(wanted, candidates.select(by, F.col("candidate_id").alias("track_id"), "frequency_hz"), by, limit_hz).join(wanted.hint("merge"), [by, "component_id"])
     # within both limits
     given = given.withColumn("track_id", F.when(F.col("apart_hz") / F.col("f0") <= limit_relative, F.col("track_id")))
     taken = given.filter("track_id IS NOT NULL").select(by, F.col("track_id").alias("candidate_id"), F.lit(True).alias("taken"))
-    c = candidates.join(taken, [by, "candidate_id"], "left").groupBy(by).agg(
+    c = candidates.join(taken.hint("merge"), [by, "candidate_id"], "left").groupBy(by).agg(
         F.count_if(F.col("taken").isNull() & F.col("accepted")).alias("false_count"), F.count_if(F.col("taken").isNotNull() & ~F.col("accepted")).alias("rejected_expected_count")
     )
     g = given.groupBy(by).agg(F.count("*").alias("expected_count"), F.count("track_id").alias("matched_count"))
